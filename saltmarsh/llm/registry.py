@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import mixing, packing
+from saltmarsh.llm import imatch, mixing, packing, quality_rules
 from saltmarsh.llm.common import cut, table
 
 
+def op2_fingerprint_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -17,7 +25,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(slim).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op5_pack_nnls": op5_pack_nnls, "op10_mix_sources": op10_mix_sources}
+QUERIES = {
+    "op2_fingerprint_imatch": op2_fingerprint_imatch,
+    "op4_quality_rules_gbt": op4_quality_rules_gbt,
+    "op5_pack_nnls": op5_pack_nnls,
+    "op10_mix_sources": op10_mix_sources,
+}
 
 ORACLES = {
     "op10_mix_sources": r"""
