@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import imatch, mixing, packing, quality_rules
+from saltmarsh.llm import imatch, jaccard_join, mixing, packing, quality_rules
 from saltmarsh.llm.common import cut, table
 
 
@@ -12,6 +12,10 @@ def op2_fingerprint_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_quality_rules_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,6 +31,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_fingerprint_imatch": op2_fingerprint_imatch,
+    "op3_jaccard_lsh_forest": op3_jaccard_lsh_forest,
     "op4_quality_rules_gbt": op4_quality_rules_gbt,
     "op5_pack_nnls": op5_pack_nnls,
     "op10_mix_sources": op10_mix_sources,
