@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import imatch, jaccard_join, line_dedup, mixing, packing, quality_rules
+from saltmarsh.llm import imatch, jaccard_join, line_dedup, mixing, packing, quality_classifier, quality_rules
 from saltmarsh.llm.common import cut, table
 
 
@@ -24,6 +24,10 @@ def op5_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents")).select("doc_id", "posterior", "score", "kept")
+
+
 def op9_line_dedup_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op3_jaccard_lsh_forest": op3_jaccard_lsh_forest,
     "op4_quality_rules_gbt": op4_quality_rules_gbt,
     "op5_pack_nnls": op5_pack_nnls,
+    "op7_quality_weak_labels": op7_quality_weak_labels,
     "op9_line_dedup_simhash": op9_line_dedup_simhash,
     "op10_mix_sources": op10_mix_sources,
 }
