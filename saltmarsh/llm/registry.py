@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import imatch, jaccard_join, line_dedup, mixing, packing, quality_classifier, quality_rules
+from saltmarsh.llm import imatch, jaccard_join, line_dedup, mixing, packing, quality_classifier, quality_rules, toxicity
 from saltmarsh.llm.common import cut, table
 
 
@@ -28,6 +28,10 @@ def op7_quality_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents")).select("doc_id", "posterior", "score", "kept")
 
 
+def op8_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_quality_rules_gbt": op4_quality_rules_gbt,
     "op5_pack_nnls": op5_pack_nnls,
     "op7_quality_weak_labels": op7_quality_weak_labels,
+    "op8_toxicity_noisy_channel": op8_toxicity_noisy_channel,
     "op9_line_dedup_simhash": op9_line_dedup_simhash,
     "op10_mix_sources": op10_mix_sources,
 }
