@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import imatch, jaccard_join, line_dedup, mixing, packing, quality_classifier, quality_rules, toxicity
+from saltmarsh.llm import imatch, jaccard_join, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, toxicity
 from saltmarsh.llm.common import cut, table
 
 
+def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprint_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_skip_chain": op1_pii_skip_chain,
     "op2_fingerprint_imatch": op2_fingerprint_imatch,
     "op3_jaccard_lsh_forest": op3_jaccard_lsh_forest,
     "op4_quality_rules_gbt": op4_quality_rules_gbt,
