@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import imatch, jaccard_join, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, toxicity
+from saltmarsh.llm import html_template, imatch, jaccard_join, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, toxicity
 from saltmarsh.llm.common import cut, table
 
 
@@ -28,6 +28,10 @@ def op5_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents")).select("doc_id", "posterior", "score", "kept")
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_jaccard_lsh_forest": op3_jaccard_lsh_forest,
     "op4_quality_rules_gbt": op4_quality_rules_gbt,
     "op5_pack_nnls": op5_pack_nnls,
+    "op6_html_template": op6_html_template,
     "op7_quality_weak_labels": op7_quality_weak_labels,
     "op8_toxicity_noisy_channel": op8_toxicity_noisy_channel,
     "op9_line_dedup_simhash": op9_line_dedup_simhash,
