@@ -12,7 +12,7 @@ from saltmarsh.llm.components import components
 
 #: Lines are near if their SimHashes differ in so many bits at most and their edit similarity is this or more.
 MOST_BITS, SIMILARITY = 3, 0.8
-#: Lines with fewer words than this have no SimHash and are only matched exactly.
+#: Lines with fewer distinct words than this have no SimHash and are only matched exactly.
 LEAST_WORDS = 5
 #: Up to so many distinct lines two matching blocks make a key, beyond three. It changes the work, not the result.
 TWO_BLOCKS_UP_TO = 2**27
@@ -21,31 +21,21 @@ FILTER_WORDS = 2**17
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, with runs of anything but letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    """Lower case, with runs of ASCII signs and white space as one space. Characters beyond ASCII count as letters."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
 
 
-def simhash(hashes: Column, n: Column) -> Column:
-    """The 64-bit SimHash of an array of ``n`` word hashes: each bit by majority.
+def majority(sums: list[str], n: Column, field: int) -> Column:
+    """The 64-bit SimHash from its counters: each bit that more than half of the ``n`` words have.
 
-    Counters lie side by side in a long, so one addition counts several bits: four of 16 bits, or two
-    of 32 for lines too long for those.
+    ``sums[j]`` holds the counters of bits j, j + field, j + 2 field ... side by side, ``field`` bits each.
     """
-
-    def majority(field: int) -> Column:
-        ones = sum(1 << k for k in range(0, 64, field))
-
-        def total(j: int) -> Column:
-            return F.aggregate(hashes, F.lit(0).cast("long"), lambda so_far, h: so_far + F.shiftright(h, j).bitwiseAND(F.lit(ones)))
-
-        sums = [total(j) for j in range(field)]
-        bits = [F.when(F.shiftright(sums[k % field], k - k % field).bitwiseAND(F.lit((1 << field) - 1)) * 2 > n, F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for k in range(64)]
-        out = bits[0]
-        for bit in bits[1:]:
-            out = out.bitwiseOR(bit)
-        return out
-
-    return F.when(n < 2**14, majority(16)).otherwise(majority(32))
+    counters = [F.shiftrightunsigned(sums[k % field], k - k % field).bitwiseAND(F.lit((1 << field) - 1)) for k in range(64)]
+    bits = [F.when(c * 2 > n, F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for k, c in enumerate(counters)]
+    out = bits[0]
+    for bit in bits[1:]:
+        out = out.bitwiseOR(bit)
+    return out
 
 
 def block_keys(sim: Column, most_bits: int, matching: int) -> Column:
@@ -57,7 +47,7 @@ def block_keys(sim: Column, most_bits: int, matching: int) -> Column:
     count = most_bits + matching
     ends = [round(64 * k / count) for k in range(count + 1)]
     blocks = [F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(ends, ends[1:], strict=False)]
-    return F.array(*(F.xxhash64(F.lit(k), *(blocks[i] for i in chosen)) for k, chosen in enumerate(combinations(range(count), matching))))
+    return F.array(*(F.hash(F.lit(k), *(blocks[i] for i in chosen)) if matching < 3 else F.xxhash64(F.lit(k), *(blocks[i] for i in chosen)) for k, chosen in enumerate(combinations(range(count), matching))))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -67,53 +57,81 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Each line's place, its key (a hash of the normalised line) and its SimHash."""
-    lines = numbered_lines(docs).withColumn("words", F.split("norm", " "))
-    lines = lines.select("doc_id", "text_hash", "pos", F.xxhash64("norm").alias("k"), F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    return lines.select("doc_id", "text_hash", "pos", "k", F.when(F.col("n") >= least_words, simhash(F.col("hashes"), F.col("n"))).alias("sim"))
+    """Each line's place, its key (a hash of the normalised line) and its SimHash over distinct words.
 
+    Distinct, as otherwise a few very common words would decide most bits. The words' hashes are added
+    up with several bit counters side by side in a long: eight of 8 bits for lines of up to 127 words,
+    two of 32 bits for longer ones.
+    """
+    keys = ["doc_id", "text_hash", "pos", "k"]
+    words = numbered_lines(docs).select("doc_id", "text_hash", "pos", F.xxhash64("norm").alias("k"), F.array_distinct(F.split("norm", " ")).alias("words"))
 
-def near(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: line keys) whose lines have the edit similarity: 1 - distance / longer length.
+    def counted(lines: DataFrame, field: int) -> DataFrame:
+        ones = F.lit(sum(1 << k for k in range(0, 64, field)))
+        sums = [f"s{j}" for j in range(field)]
+        hashed = lines.select(*keys, F.explode("words").alias("word")).select(*keys, F.xxhash64("word").alias("h"))
+        added = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(F.shiftright("h", j).bitwiseAND(ones)).alias(c) for j, c in enumerate(sums)))
+        return added.select(*keys, F.when(F.col("n") >= least_words, majority(sums, F.col("n"), field)).alias("sim"))
+
+    return counted(words.where(F.size("words") < 128), 8).unionByName(counted(words.where(F.size("words") >= 128), 32))
+
+
+def bitmap(keys: Column) -> tuple[Column, Column]:
+    """Word and bit of a key in a bitmap of a fixed size."""
+    return F.shiftright(keys, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), keys.bitwiseAND(F.lit(63)).cast("int"))
 
-    Only lines whose key passes a bitmap of the keys in question are shuffled. The bitmap has a bounded
-    size; with more keys it passes more, and loses none.
+
+def marked(rows: DataFrame, key: str, among: DataFrame) -> DataFrame:
+    """``rows`` with _maybe: false where ``key`` is surely not among the first column of ``among``.
+
+    Made from a bitmap of FILTER_WORDS longs at most, which is broadcast. With more keys it says maybe
+    more often, so it saves shuffling and never loses a row.
     """
+    word, bit = bitmap(F.col(among.columns[0]))
+    bits = F.broadcast(among.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+    word, bit = bitmap(F.col(key))
+    return rows.withColumn("_word", word).join(bits, "_word", "left").withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def distance(x: str, y: str, most: Column) -> Column:
+    """Edit distance; null if it is over ``most``. A narrow band settles most pairs, the next one is tried only beyond it."""
+    out = F.levenshtein(x, y)
+    for band in (4096, 1024, 256, 64, 16):
+        inside = F.expr(f"nullif(levenshtein({x}, {y}, {band}), -1)")
+        out = F.coalesce(inside, F.when(most > band, out))
+    return out
+
+
+def near(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: line keys) whose lines have the edit similarity: 1 - distance / longer length."""
     pairs = cut(pairs)
-    keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    word, bit = F.shiftright("k", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)), F.expr("shiftleft(1L, cast(k & 63 as int))")
-    bitmap = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    lines = numbered_lines(docs).select(F.xxhash64("norm").alias("k"), "norm").withColumn("word", word)
-    lines = lines.join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("k", "norm")
+    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    lines = marked(numbered_lines(docs).select(F.xxhash64("norm").alias("k"), "norm"), "k", keys).where("_maybe").select("k", "norm")
     texts = cut(lines.join(keys, "k", "left_semi").dropDuplicates(["k"]))
     joined = pairs.join(texts.withColumnsRenamed({"k": "a", "norm": "x"}), "a").join(texts.withColumnsRenamed({"k": "b", "norm": "y"}), "b")
-    most = F.greatest(F.length("x"), F.length("y")) * (1 - similarity)
-    # A narrow band settles most pairs; wider ones are tried only if the distance exceeds it.
-    distance = F.coalesce(*(F.expr(f"nullif(levenshtein(x, y, {band}), -1)") for band in (32, 256, 2048)), F.levenshtein("x", "y"))
-    shorter = F.abs(F.length("x") - F.length("y")) <= most + 1e-9
-    return joined.where(shorter).where(F.when(F.lit(32) >= most, F.expr("nullif(levenshtein(x, y, 32), -1)")).otherwise(distance) <= most + 1e-9).select("a", "b")
+    most = F.greatest(F.length("x"), F.length("y")) * (1 - similarity) + 1e-9
+    return joined.where(F.abs(F.length("x") - F.length("y")) <= most).where(distance("x", "y", most) <= most).select("a", "b")
 
 
 def near_line_groups(lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, matching: int | None = None) -> DataFrame:
     """Connected groups of near lines: node and root for the keys that are not their group's root.
 
     ``lines`` has k, sim and n (occurrences) of each distinct line. Lines that share a block key are a
-    bucket. First, each line of a bucket is held against its most frequent line and its first and last
-    by key, which joins most of what belongs together in rows linear in the bucket. Then the lines that
+    bucket. First, each line of a bucket is held against its most frequent line and its first by
+    key, which joins most of what belongs together in rows linear in the bucket. Then the lines that
     are still apart from their bucket's head are held against the bucket's lines of other groups. So
     every near pair is either found or lies inside a group already.
     """
     hashed = lines.where("sim is not null")
     matching = matching or (2 if hashed.count() <= TWO_BLOCKS_UP_TO else 3)
-    ties = hashed.select("k", "sim", "n", F.explode(block_keys(F.col("sim"), most_bits, matching)).alias("key"))
-    heads = ties.groupBy("key").agg(
-        F.count("*").alias("size"), F.max_by("k", "n").alias("k0"), F.max_by("sim", "n").alias("s0"), F.min("k").alias("k1"), F.min_by("sim", "k").alias("s1"), F.max("k").alias("k2"), F.max_by("sim", "k").alias("s2")
-    )
-    shared = cut(ties.join(heads.where("size > 1").drop("size"), "key").select("key", "k", "sim", "k0", "s0", "k1", "s1", "k2", "s2"))
+    # Dealt by key once: the heads and the join below both use this exchange.
+    ties = hashed.select("k", "sim", "n", F.explode(block_keys(F.col("sim"), most_bits, matching)).alias("key")).repartition("key")
+    heads = ties.groupBy("key").agg(F.count("*").alias("size"), F.max_by("k", "n").alias("k0"), F.max_by("sim", "n").alias("s0"), F.min("k").alias("k1"), F.min_by("sim", "k").alias("s1"))
+    shared = cut(ties.join(heads.where("size > 1").drop("size"), "key").select("key", "k", "sim", "n", "k0", "s0", "k1", "s1"))
     close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most_bits
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = [shared.where(F.col("k") != F.col(f"k{h}")).where(close("sim", f"s{h}")).select(*pair("k", f"k{h}")) for h in range(3)]
-    tried = cut(stars[0].unionByName(stars[1]).unionByName(stars[2]).distinct())
+    stars = [shared.where(F.col("k") != F.col(f"k{h}")).where(close("sim", f"s{h}")).select(*pair("k", f"k{h}")) for h in range(2)]
+    tried = cut(stars[0].unionByName(stars[1]).distinct())
     edges = cut(near(tried, docs, similarity))
     groups = components(edges)
     member = lambda name, of: shared_groups.join(groups.select(F.col("node").alias(of), F.col("root").alias("_r")), of, "left").withColumn(name, F.coalesce("_r", of)).drop("_r")
@@ -129,7 +147,7 @@ def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float =
     """``docs`` with one occurrence of each group of near lines, plus n_lines and n_removed.
 
     Lines are what newlines part. They are compared in normal form (``normalised``): equal forms are one
-    line; forms of ``least_words`` words or more are near if their SimHashes differ in ``most_bits``
+    line; forms of ``least_words`` distinct words or more are near if their SimHashes differ in ``most_bits``
     bits at most and their edit similarity is ``similarity`` or more; a group is what near pairs
     connect. The occurrence that stays is the first by doc_id (null last), text hash and position, with
     its own text. Lines without a letter or digit always stay. A null text stays null, with 0 lines.
@@ -148,12 +166,16 @@ def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float =
     gone = places.join(kept, "k").where(first != F.col("head")).select("doc_id", "text_hash", "pos")
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     split = F.split("text", "\n")
-    # A flag for each line, so that looking one up does not search the removed ones.
-    marked = docs.select(*own, F.xxhash64("text").alias("_h")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    # Documents that surely lose no line skip the join.
+    gone = cut(gone)
+    told = marked(docs.select(*own, F.xxhash64("text").alias("_h")), "_h", gone.select("_hash").distinct())
+    joined = told.where("_maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left").select(*own, "_gone")
+    whole = joined.unionByName(told.where("not _maybe").select(*own, F.lit(None).cast("array<int>").alias("_gone")))
+    # What stands between two removed lines stays; cut out by positions, so long texts take linear time.
     sorted_gone = F.array_sort("_gone")
     runs = F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.slice(split, F.when(i == 0, 0).otherwise(F.get(sorted_gone, i - 1) + 1) + 1, F.when(i == F.size("_gone"), F.size(split)).otherwise(F.get(sorted_gone, i)) - F.when(i == 0, 0).otherwise(F.get(sorted_gone, i - 1) + 1)))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
-    return marked.select(
+    return whole.select(
         *(text.alias("text") if c == "text" else F.col(c) for c in own),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
