@@ -42,7 +42,7 @@ def slugify(text: Column) -> Column:
 
 def tickers(tags: Column) -> Column:
     """Those of the tags that look like tickers, trimmed."""
-    return F.filter(F.transform(tags, F.trim), lambda t: t.rlike(TICKER))
+    return F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t.rlike(TICKER))
 
 
 def clip_unit(x: Column, low: Column, high: Column) -> Column:
