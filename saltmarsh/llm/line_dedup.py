@@ -14,15 +14,17 @@ from saltmarsh.llm.components import components
 MOST_BITS, SIMILARITY = 3, 0.8
 #: Lines with fewer distinct words than this have no SimHash and are only matched exactly.
 LEAST_WORDS = 5
+#: Words that are counted in 8 bits.
+CHUNK = 127
 #: Up to so many distinct lines two matching blocks make a key, beyond three. It changes the work, not the result.
 TWO_BLOCKS_UP_TO = 2**27
 #: The filter on line keys has so many 64-bit words at most (2 MB broadcast).
 FILTER_WORDS = 2**17
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, with runs of ASCII signs and white space as one space. Characters beyond ASCII count as letters."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
+def normalised(text: Column) -> Column:
+    """Lower case, with runs of ASCII signs and white space but newlines as one space. Characters beyond ASCII count as letters."""
+    return F.regexp_replace(F.lower(text), r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
 
 
 def majority(sums: list[str], n: Column, field: int) -> Column:
@@ -51,29 +53,34 @@ def block_keys(sim: Column, most_bits: int, matching: int) -> Column:
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos and the normalised line with a word or number in it."""
-    lines = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "text_hash", "pos", normalised(F.col("line")).alias("norm")).where("norm <> ''")
+    """doc_id, text_hash, pos and the normalised line with a word or number in it.
+
+    Texts are normalised as a whole and before they are cut, so that each is worked on once; the outer
+    explode keeps the optimiser from doing it again to look for empty arrays.
+    """
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(normalised(F.col("text")), "\n")).alias("pos", "line"))
+    return lines.select("doc_id", "text_hash", "pos", F.trim("line").alias("norm")).where("norm <> ''")
 
 
 def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Each line's place, its key (a hash of the normalised line) and its SimHash over distinct words.
 
     Distinct, as otherwise a few very common words would decide most bits. The words' hashes are added
-    up with several bit counters side by side in a long: eight of 8 bits for lines of up to 127 words,
-    two of 32 bits for longer ones.
+    up, CHUNK words at a time, with eight counters of 8 bits side by side in a long; the counters of
+    longer lines are then spread to 32 bits and added up over their chunks.
     """
-    keys = ["doc_id", "text_hash", "pos", "k"]
-    words = numbered_lines(docs).select("doc_id", "text_hash", "pos", F.xxhash64("norm").alias("k"), F.array_distinct(F.split("norm", " ")).alias("words"))
-
-    def counted(lines: DataFrame, field: int) -> DataFrame:
-        ones = F.lit(sum(1 << k for k in range(0, 64, field)))
-        sums = [f"s{j}" for j in range(field)]
-        hashed = lines.select(*keys, F.explode("words").alias("word")).select(*keys, F.xxhash64("word").alias("h"))
-        added = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(F.shiftright("h", j).bitwiseAND(ones)).alias(c) for j, c in enumerate(sums)))
-        return added.select(*keys, F.when(F.col("n") >= least_words, majority(sums, F.col("n"), field)).alias("sim"))
-
-    return counted(words.where(F.size("words") < 128), 8).unionByName(counted(words.where(F.size("words") >= 128), 32))
+    keys = ["doc_id", "text_hash", "pos", "k", "n"]
+    lines = numbered_lines(docs).select("doc_id", "text_hash", "pos", F.xxhash64("norm").alias("k"), F.array_distinct(F.split("norm", " ")).alias("words"))
+    words = lines.select("doc_id", "text_hash", "pos", "k", F.size("words").alias("n"), F.posexplode_outer("words").alias("at", "word"))
+    hashed = words.select(*keys, F.floor(F.col("at") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h"))
+    sums = [f"s{j}" for j in range(8)]
+    ones = F.lit(0x0101010101010101)
+    added = hashed.groupBy(*keys, "chunk").agg(*(F.sum(F.shiftright("h", j).bitwiseAND(ones)).alias(c) for j, c in enumerate(sums)))
+    wide = {f"s{8 * p + j}": F.shiftrightunsigned(f"s{j}", 8 * p).bitwiseAND(F.lit(0x000000FF000000FF)) for p in range(4) for j in range(8)}
+    long = added.where(F.col("n") > CHUNK).groupBy(*keys).agg(*(F.sum(c).alias(name) for name, c in wide.items()))
+    own = ["doc_id", "text_hash", "pos", "k"]
+    short = added.where(F.col("n") <= CHUNK).select(*own, F.when(F.col("n") >= least_words, majority(sums, F.col("n"), 8)).alias("sim"))
+    return short.unionByName(long.select(*own, majority([f"s{j}" for j in range(32)], F.col("n"), 32).alias("sim")))
 
 
 def bitmap(keys: Column) -> tuple[Column, Column]:
@@ -102,12 +109,17 @@ def distance(x: str, y: str, most: Column) -> Column:
     return out
 
 
-def near(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: line keys) whose lines have the edit similarity: 1 - distance / longer length."""
+def near(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: line keys) whose lines have the edit similarity: 1 - distance / longer length.
+
+    The text of a line is read from its first document; documents that are surely none of those are not
+    even normalised.
+    """
     pairs = cut(pairs)
-    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    lines = marked(numbered_lines(docs).select(F.xxhash64("norm").alias("k"), "norm"), "k", keys).where("_maybe").select("k", "norm")
-    texts = cut(lines.join(keys, "k", "left_semi").dropDuplicates(["k"]))
+    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(lines.select("k", F.col("first.text_hash").alias("home")), "k"))
+    some = marked(docs.withColumn("_h", F.xxhash64("text")), "_h", keys.select("home").distinct()).where("_maybe").select("doc_id", "text")
+    found = marked(numbered_lines(some).select(F.xxhash64("norm").alias("k"), "norm"), "k", keys.select("k")).where("_maybe").select("k", "norm")
+    texts = cut(found.join(keys, "k", "left_semi").dropDuplicates(["k"]))
     joined = pairs.join(texts.withColumnsRenamed({"k": "a", "norm": "x"}), "a").join(texts.withColumnsRenamed({"k": "b", "norm": "y"}), "b")
     most = F.greatest(F.length("x"), F.length("y")) * (1 - similarity) + 1e-9
     return joined.where(F.abs(F.length("x") - F.length("y")) <= most).where(distance("x", "y", most) <= most).select("a", "b")
@@ -116,7 +128,7 @@ def near(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 def near_line_groups(lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, matching: int | None = None) -> DataFrame:
     """Connected groups of near lines: node and root for the keys that are not their group's root.
 
-    ``lines`` has k, sim and n (occurrences) of each distinct line. Lines that share a block key are a
+    ``lines`` has k, sim, n (occurrences) and first (the first occurrence) of each distinct line. Lines that share a block key are a
     bucket. First, each line of a bucket is held against its most frequent line and its first by
     key, which joins most of what belongs together in rows linear in the bucket. Then the lines that
     are still apart from their bucket's head are held against the bucket's lines of other groups. So
@@ -132,7 +144,7 @@ def near_line_groups(lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BI
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = [shared.where(F.col("k") != F.col(f"k{h}")).where(close("sim", f"s{h}")).select(*pair("k", f"k{h}")) for h in range(2)]
     tried = cut(stars[0].unionByName(stars[1]).distinct())
-    edges = cut(near(tried, docs, similarity))
+    edges = cut(near(tried, lines, docs, similarity))
     groups = components(edges)
     member = lambda name, of: shared_groups.join(groups.select(F.col("node").alias(of), F.col("root").alias("_r")), of, "left").withColumn(name, F.coalesce("_r", of)).drop("_r")
     shared_groups = shared.select("key", "k", "sim", "k0")
@@ -140,7 +152,7 @@ def near_line_groups(lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BI
     shared_groups = cut(member("head", "k0").select("key", "k", "sim", "group", "head"))
     apart = shared_groups.where("group <> head").select("key", F.col("k").alias("k_"), F.col("sim").alias("sim_"), F.col("group").alias("group_"))
     rest = apart.join(shared_groups, "key").where("group <> group_").where(close("sim", "sim_")).select(*pair("k", "k_")).distinct().join(tried, ["a", "b"], "left_anti")
-    return components(edges.unionByName(near(rest, docs, similarity)))
+    return components(edges.unionByName(near(rest, lines, docs, similarity)))
 
 
 def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, matching: int | None = None) -> DataFrame:
