@@ -16,8 +16,8 @@ MOST_BITS, SIMILARITY = 3, 0.8
 LEAST_WORDS = 5
 #: Words that are counted in 8 bits.
 CHUNK = 127
-#: Up to so many distinct lines two matching blocks make a key, beyond three. It changes the work, not the result.
-TWO_BLOCKS_UP_TO = 2**27
+#: So many matching blocks make a key. More make more keys that fewer lines share by chance; the result is the same.
+MATCHING = 3
 #: The filter on line keys has so many 64-bit words at most (2 MB broadcast).
 FILTER_WORDS = 2**17
 
@@ -48,8 +48,17 @@ def block_keys(sim: Column, most_bits: int, matching: int) -> Column:
     """
     count = most_bits + matching
     ends = [round(64 * k / count) for k in range(count + 1)]
-    blocks = [F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(ends, ends[1:], strict=False)]
-    return F.array(*(F.hash(F.lit(k), *(blocks[i] for i in chosen)) if matching < 3 else F.xxhash64(F.lit(k), *(blocks[i] for i in chosen)) for k, chosen in enumerate(combinations(range(count), matching))))
+
+    def key(number: int, chosen: tuple[int, ...]) -> Column:
+        """The choice's number and the chosen blocks' bits, side by side."""
+        out = F.lit(number).cast("long")
+        for i in chosen:
+            width = ends[i + 1] - ends[i]
+            block = F.shiftrightunsigned(sim, ends[i]).bitwiseAND(F.lit((1 << width) - 1))
+            out = F.call_function("shiftleft", out, F.lit(width)).bitwiseOR(block)
+        return out
+
+    return F.array(*(key(k, chosen) for k, chosen in enumerate(combinations(range(count), matching))))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -67,7 +76,8 @@ def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     Distinct, as otherwise a few very common words would decide most bits. The words' hashes are added
     up, CHUNK words at a time, with eight counters of 8 bits side by side in a long; the counters of
-    longer lines are then spread to 32 bits and added up over their chunks.
+    longer lines are then spread to 32 bits and added up over their chunks. Lineage is cut between the
+    two, or short and long lines would each read and hash all texts.
     """
     keys = ["doc_id", "text_hash", "pos", "k", "n"]
     lines = numbered_lines(docs).select("doc_id", "text_hash", "pos", F.xxhash64("norm").alias("k"), F.array_distinct(F.split("norm", " ")).alias("words"))
@@ -76,10 +86,12 @@ def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     sums = [f"s{j}" for j in range(8)]
     ones = F.lit(0x0101010101010101)
     added = hashed.groupBy(*keys, "chunk").agg(*(F.sum(F.shiftright("h", j).bitwiseAND(ones)).alias(c) for j, c in enumerate(sums)))
-    wide = {f"s{8 * p + j}": F.shiftrightunsigned(f"s{j}", 8 * p).bitwiseAND(F.lit(0x000000FF000000FF)) for p in range(4) for j in range(8)}
-    long = added.where(F.col("n") > CHUNK).groupBy(*keys).agg(*(F.sum(c).alias(name) for name, c in wide.items()))
     own = ["doc_id", "text_hash", "pos", "k"]
-    short = added.where(F.col("n") <= CHUNK).select(*own, F.when(F.col("n") >= least_words, majority(sums, F.col("n"), 8)).alias("sim"))
+    counters = F.when(F.col("n") > CHUNK, F.struct(*sums))
+    added = cut(added.select(*own, "n", F.when(F.col("n").between(least_words, CHUNK), majority(sums, F.col("n"), 8)).alias("sim"), counters.alias("counters")))
+    wide = {f"s{8 * p + j}": F.shiftrightunsigned(f"counters.s{j}", 8 * p).bitwiseAND(F.lit(0x000000FF000000FF)) for p in range(4) for j in range(8)}
+    long = added.where("counters is not null").groupBy(*own, "n").agg(*(F.sum(c).alias(name) for name, c in wide.items()))
+    short = added.where("counters is null").select(*own, "sim")
     return short.unionByName(long.select(*own, majority([f"s{j}" for j in range(32)], F.col("n"), 32).alias("sim")))
 
 
@@ -109,23 +121,51 @@ def distance(x: str, y: str, most: Column) -> Column:
     return out
 
 
+def middles(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with xs and ys, the words of x and y but those that both begin or both end with.
+
+    Each step is a select of its own, so that none is worked out twice.
+    """
+    differ = lambda a, b: F.array_position(F.zip_with(a, b, lambda p, q: p == q), F.lit(False)).cast("int")
+    split = pairs.select("a", "b", "x", "y", "most", F.split("x", " ").alias("xs"), F.split("y", " ").alias("ys"))
+    at = split.select("*", F.least(F.size("xs"), F.size("ys")).alias("n"), differ("xs", "ys").alias("head"), differ(F.reverse("xs"), F.reverse("ys")).alias("tail"))
+    at = at.withColumn("head", F.when(F.col("head") == 0, F.col("n")).otherwise(F.col("head") - 1))
+    at = at.withColumn("tail", F.least(F.when(F.col("tail") == 0, F.col("n")).otherwise(F.col("tail") - 1), F.col("n") - F.col("head")))
+    return at.select("a", "b", "most", *(F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail")).alias(c) for c in ("xs", "ys")))
+
+
+def alike(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, x, y, most) with _near: whether x and y are ``most`` edits apart at most.
+
+    The words that both begin or end with do not count. If as many words are left on both sides, putting
+    one for the other in each place is one way of editing, which is enough for most near copies. Only
+    the others need the edit distance, of what is left.
+    """
+    swapped = F.aggregate(F.zip_with("xs", "ys", lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))), F.lit(0), lambda total, n: total + n)
+    # A space before each word, so that what was taken off is the same string on both sides.
+    text = lambda c: F.array_join(F.transform(c, lambda w: F.concat(F.lit(" "), w)), "")
+    left = middles(pairs).select("a", "b", "most", text("xs").alias("x"), text("ys").alias("y"), (F.size("xs") == F.size("ys")).alias("even"), F.when(F.size("xs") == F.size("ys"), swapped).alias("swapped"))
+    return left.select("a", "b", F.when(F.col("even") & (F.col("swapped") <= F.col("most")), True).otherwise(F.coalesce(distance("x", "y", F.col("most")) <= F.col("most"), F.lit(False))).alias("_near"))
+
+
 def near(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b: line keys) whose lines have the edit similarity: 1 - distance / longer length.
 
     The text of a line is read from its first document; documents that are surely none of those are not
     even normalised.
     """
-    pairs = cut(pairs)
     keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(lines.select("k", F.col("first.text_hash").alias("home")), "k"))
     some = marked(docs.withColumn("_h", F.xxhash64("text")), "_h", keys.select("home").distinct()).where("_maybe").select("doc_id", "text")
     found = marked(numbered_lines(some).select(F.xxhash64("norm").alias("k"), "norm"), "k", keys.select("k")).where("_maybe").select("k", "norm")
     texts = cut(found.join(keys, "k", "left_semi").dropDuplicates(["k"]))
     joined = pairs.join(texts.withColumnsRenamed({"k": "a", "norm": "x"}), "a").join(texts.withColumnsRenamed({"k": "b", "norm": "y"}), "b")
     most = F.greatest(F.length("x"), F.length("y")) * (1 - similarity) + 1e-9
-    return joined.where(F.abs(F.length("x") - F.length("y")) <= most).where(distance("x", "y", most) <= most).select("a", "b")
+    close = joined.where(F.abs(F.length("x") - F.length("y")) <= most).withColumn("most", most)
+    # Cut before the filter, which would otherwise be worked out from the start for each use of a column.
+    return cut(alike(close)).where("_near").select("a", "b")
 
 
-def near_line_groups(lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, matching: int | None = None) -> DataFrame:
+def near_line_groups(lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, matching: int = MATCHING) -> DataFrame:
     """Connected groups of near lines: node and root for the keys that are not their group's root.
 
     ``lines`` has k, sim, n (occurrences) and first (the first occurrence) of each distinct line. Lines that share a block key are a
@@ -135,16 +175,19 @@ def near_line_groups(lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BI
     every near pair is either found or lies inside a group already.
     """
     hashed = lines.where("sim is not null")
-    matching = matching or (2 if hashed.count() <= TWO_BLOCKS_UP_TO else 3)
-    # Dealt by key once: the heads and the join below both use this exchange.
-    ties = hashed.select("k", "sim", "n", F.explode(block_keys(F.col("sim"), most_bits, matching)).alias("key")).repartition("key")
-    heads = ties.groupBy("key").agg(F.count("*").alias("size"), F.max_by("k", "n").alias("k0"), F.max_by("sim", "n").alias("s0"), F.min("k").alias("k1"), F.min_by("sim", "k").alias("s1"))
-    shared = cut(ties.join(heads.where("size > 1").drop("size"), "key").select("key", "k", "sim", "n", "k0", "s0", "k1", "s1"))
+    # Dealt by key once: the count and the join below both use this exchange. Few keys are shared, so the
+    # join holds those of a partition and streams the ties past them, unsorted.
+    ties = hashed.select("k", F.explode(block_keys(F.col("sim"), most_bits, matching)).alias("key")).repartition("key")
+    several = ties.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key").hint("shuffle_hash")
+    shared = cut(ties.join(several, "key").join(hashed.select("k", "sim", "n"), "k").select("key", "k", "sim", "n"))
+    heads = shared.groupBy("key").agg(F.max(F.struct("n", "k", "sim")).alias("h0"), F.min(F.struct("k", "sim")).alias("h1"))
+    heads = heads.select("key", F.col("h0.k").alias("k0"), F.col("h0.sim").alias("s0"), F.col("h1.k").alias("k1"), F.col("h1.sim").alias("s1"))
+    shared = cut(shared.join(heads, "key").select("key", "k", "sim", "n", "k0", "s0", "k1", "s1"))
     close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most_bits
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = [shared.where(F.col("k") != F.col(f"k{h}")).where(close("sim", f"s{h}")).select(*pair("k", f"k{h}")) for h in range(2)]
     tried = cut(stars[0].unionByName(stars[1]).distinct())
-    edges = cut(near(tried, lines, docs, similarity))
+    edges = near(tried, lines, docs, similarity)
     groups = components(edges)
     member = lambda name, of: shared_groups.join(groups.select(F.col("node").alias(of), F.col("root").alias("_r")), of, "left").withColumn(name, F.coalesce("_r", of)).drop("_r")
     shared_groups = shared.select("key", "k", "sim", "k0")
@@ -152,10 +195,10 @@ def near_line_groups(lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BI
     shared_groups = cut(member("head", "k0").select("key", "k", "sim", "group", "head"))
     apart = shared_groups.where("group <> head").select("key", F.col("k").alias("k_"), F.col("sim").alias("sim_"), F.col("group").alias("group_"))
     rest = apart.join(shared_groups, "key").where("group <> group_").where(close("sim", "sim_")).select(*pair("k", "k_")).distinct().join(tried, ["a", "b"], "left_anti")
-    return components(edges.unionByName(near(rest, lines, docs, similarity)))
+    return components(edges.unionByName(near(cut(rest), lines, docs, similarity)))
 
 
-def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, matching: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, matching: int = MATCHING) -> DataFrame:
     """``docs`` with one occurrence of each group of near lines, plus n_lines and n_removed.
 
     Lines are what newlines part. They are compared in normal form (``normalised``): equal forms are one
@@ -166,9 +209,11 @@ def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float =
     Rows with equal doc_id and text are one document given repeatedly and get equal results. An empty
     table gives an empty result. All columns are kept; n_lines and n_removed of ``docs`` are replaced.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = [f"c{k}" for k in range(len(names))]  # so that no column's name clashes with those made here
+    doc_id, text_ = (own[names.index(c)] for c in ("doc_id", "text"))
     slim = docs.select("doc_id", "text")
-    places = cut(occurrences(slim, least_words))
+    places = occurrences(slim, least_words)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
     lines = cut(places.groupBy("k", "sim").agg(F.count("*").alias("n"), F.min(first).alias("first")))
     groups = near_line_groups(lines, slim, most_bits, similarity, matching)
@@ -177,18 +222,18 @@ def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float =
     kept = rooted.join(heads, "root").select("k", "head")
     gone = places.join(kept, "k").where(first != F.col("head")).select("doc_id", "text_hash", "pos")
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    split = F.split("text", "\n")
+    split = F.split(text_, "\n")
     # Documents that surely lose no line skip the join.
     gone = cut(gone)
-    told = marked(docs.select(*own, F.xxhash64("text").alias("_h")), "_h", gone.select("_hash").distinct())
-    joined = told.where("_maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left").select(*own, "_gone")
+    told = marked(docs.drop("n_lines", "n_removed").toDF(*own).withColumn("_h", F.xxhash64(text_)), "_h", gone.select("_hash").distinct())
+    joined = told.where("_maybe").join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left").select(*own, "_gone")
     whole = joined.unionByName(told.where("not _maybe").select(*own, F.lit(None).cast("array<int>").alias("_gone")))
     # What stands between two removed lines stays; cut out by positions, so long texts take linear time.
     sorted_gone = F.array_sort("_gone")
     runs = F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.slice(split, F.when(i == 0, 0).otherwise(F.get(sorted_gone, i - 1) + 1) + 1, F.when(i == F.size("_gone"), F.size(split)).otherwise(F.get(sorted_gone, i)) - F.when(i == 0, 0).otherwise(F.get(sorted_gone, i - 1) + 1)))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col(text_)).otherwise(F.array_join(F.flatten(runs), "\n"))
     return whole.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in own),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        *((text if c == text_ else F.col(c)).alias(name) for c, name in zip(own, names, strict=True)),
+        F.when(F.col(text_).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
