@@ -11,9 +11,18 @@ from saltmarsh.llm.common import cut
 from saltmarsh.llm.components import components
 
 #: Lines are near if their SimHashes differ in so many bits at most and their edit similarity is this or more.
-MOST_BITS, SIMILARITY = 3, 0.8
-#: Lines with fewer distinct words than this have no SimHash and are only matched exactly.
-LEAST_WORDS = 5
+MOST_BITS, SIMILARITY = 20, 0.8
+#: Lines whose SimHashes differ in so many bits at most surely share a block key; others meet by their least word hashes.
+SURE_BITS = 3
+#: Lines with fewer distinct words than this are hashed by runs of RUN characters in place of words.
+LEAST_WORDS, RUN = 5, 3
+#: Lines shorter than this have no SimHash, as none but an equal line can have the similarity 0.8.
+LEAST_CHARS = 5
+#: Least word hashes of a line, each in an order of its own, and the choices of them that make a key.
+LEASTS = 12
+CHOICES = list(combinations(range(LEASTS), 5))[::44]
+#: What turns a word's hash round for each order; the leading bits differ.
+TURNS = [((0x9E3779B9 * (j + 1)) % 2**32) - 2**31 for j in range(LEASTS)]
 #: Words that are counted in 8 bits.
 CHUNK = 127
 #: So many matching blocks make a key. More make more keys that fewer lines share by chance; the result is the same.
@@ -61,6 +70,11 @@ def block_keys(sim: Column, most_bits: int, matching: int) -> Column:
     return F.array(*(key(k, chosen) for k, chosen in enumerate(combinations(range(count), matching))))
 
 
+def least_keys(leasts: str) -> Column:
+    """Keys of several least word hashes. Two lines agree in each with about the share of words they have in common."""
+    return F.array(*(F.xxhash64(F.lit(number), *(F.get(leasts, i) for i in chosen)) for number, chosen in enumerate(CHOICES)))
+
+
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, pos and the normalised line with a word or number in it.
 
@@ -72,27 +86,31 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Each line's place, its key (a hash of the normalised line) and its SimHash over distinct words.
+    """Each line's place, its key (a hash of the normalised line), its SimHash over distinct words and their least hashes.
 
     Distinct, as otherwise a few very common words would decide most bits. The words' hashes are added
     up, CHUNK words at a time, with eight counters of 8 bits side by side in a long; the counters of
     longer lines are then spread to 32 bits and added up over their chunks. Lineage is cut between the
-    two, or short and long lines would each read and hash all texts.
+    two, or short and long lines would each read and hash all texts. Lines of few words have runs of
+    characters for words.
     """
     keys = ["doc_id", "text_hash", "pos", "k", "n"]
-    lines = numbered_lines(docs).select("doc_id", "text_hash", "pos", F.xxhash64("norm").alias("k"), F.array_distinct(F.split("norm", " ")).alias("words"))
+    lines = numbered_lines(docs).select("doc_id", "text_hash", "pos", "norm", F.xxhash64("norm").alias("k"), F.array_distinct(F.split("norm", " ")).alias("words"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - RUN + 1), lambda i: F.substring("norm", i, F.lit(RUN))))
+    lines = lines.withColumn("words", F.when(F.size("words") >= least_words, F.col("words")).when(F.length("norm") >= LEAST_CHARS, runs))
     words = lines.select("doc_id", "text_hash", "pos", "k", F.size("words").alias("n"), F.posexplode_outer("words").alias("at", "word"))
     hashed = words.select(*keys, F.floor(F.col("at") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h"))
     sums = [f"s{j}" for j in range(8)]
     ones = F.lit(0x0101010101010101)
-    added = hashed.groupBy(*keys, "chunk").agg(*(F.sum(F.shiftright("h", j).bitwiseAND(ones)).alias(c) for j, c in enumerate(sums)))
+    leasts = [F.min(F.shiftright("h", 32).cast("int").bitwiseXOR(F.lit(turn))).alias(f"m{j}") for j, turn in enumerate(TURNS)]
+    added = hashed.groupBy(*keys, "chunk").agg(*(F.sum(F.shiftright("h", j).bitwiseAND(ones)).alias(c) for j, c in enumerate(sums)), *leasts)
     own = ["doc_id", "text_hash", "pos", "k"]
     counters = F.when(F.col("n") > CHUNK, F.struct(*sums))
-    added = cut(added.select(*own, "n", F.when(F.col("n").between(least_words, CHUNK), majority(sums, F.col("n"), 8)).alias("sim"), counters.alias("counters")))
+    added = cut(added.select(*own, "n", F.array(*(f"m{j}" for j in range(LEASTS))).alias("leasts"), F.when(F.col("n") <= CHUNK, majority(sums, F.col("n"), 8)).alias("sim"), counters.alias("counters")))
     wide = {f"s{8 * p + j}": F.shiftrightunsigned(f"counters.s{j}", 8 * p).bitwiseAND(F.lit(0x000000FF000000FF)) for p in range(4) for j in range(8)}
-    long = added.where("counters is not null").groupBy(*own, "n").agg(*(F.sum(c).alias(name) for name, c in wide.items()))
-    short = added.where("counters is null").select(*own, "sim")
-    return short.unionByName(long.select(*own, majority([f"s{j}" for j in range(32)], F.col("n"), 32).alias("sim")))
+    long = added.where("counters is not null").groupBy(*own, "n").agg(*(F.sum(c).alias(name) for name, c in wide.items()), *(F.min(F.get("leasts", F.lit(j))).alias(f"m{j}") for j in range(LEASTS)))
+    short = added.where("counters is null").select(*own, "sim", "leasts")
+    return short.unionByName(long.select(*own, majority([f"s{j}" for j in range(32)], F.col("n"), 32).alias("sim"), F.array(*(f"m{j}" for j in range(LEASTS))).alias("leasts")))
 
 
 def bitmap(keys: Column) -> tuple[Column, Column]:
@@ -168,16 +186,16 @@ def near(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float)
 def near_line_groups(lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, matching: int = MATCHING) -> DataFrame:
     """Connected groups of near lines: node and root for the keys that are not their group's root.
 
-    ``lines`` has k, sim, n (occurrences) and first (the first occurrence) of each distinct line. Lines that share a block key are a
-    bucket. First, each line of a bucket is held against its most frequent line and its first by
+    ``lines`` has k, sim, leasts, n (occurrences) and first (the first occurrence) of each distinct line. Lines that share a block key
+    or a key of least word hashes are a bucket. First, each line of a bucket is held against its most frequent line and its first by
     key, which joins most of what belongs together in rows linear in the bucket. Then the lines that
     are still apart from their bucket's head are held against the bucket's lines of other groups. So
-    every near pair is either found or lies inside a group already.
+    every near pair of a bucket is either found or lies inside a group already.
     """
     hashed = lines.where("sim is not null")
     # Dealt by key once: the count and the join below both use this exchange. Few keys are shared, so the
     # join holds those of a partition and streams the ties past them, unsorted.
-    ties = hashed.select("k", F.explode(block_keys(F.col("sim"), most_bits, matching)).alias("key")).repartition("key")
+    ties = hashed.select("k", F.explode(F.concat(block_keys(F.col("sim"), min(most_bits, SURE_BITS), matching), least_keys("leasts"))).alias("key")).repartition("key")
     several = ties.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key").hint("shuffle_hash")
     shared = cut(ties.join(several, "key").join(hashed.select("k", "sim", "n"), "k").select("key", "k", "sim", "n"))
     heads = shared.groupBy("key").agg(F.max(F.struct("n", "k", "sim")).alias("h0"), F.min(F.struct("k", "sim")).alias("h1"))
@@ -202,9 +220,10 @@ def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float =
     """``docs`` with one occurrence of each group of near lines, plus n_lines and n_removed.
 
     Lines are what newlines part. They are compared in normal form (``normalised``): equal forms are one
-    line; forms of ``least_words`` distinct words or more are near if their SimHashes differ in ``most_bits``
-    bits at most and their edit similarity is ``similarity`` or more; a group is what near pairs
-    connect. The occurrence that stays is the first by doc_id (null last), text hash and position, with
+    line; forms of LEAST_CHARS characters or more are near if their SimHashes (over words, or runs of characters
+    where there are fewer than ``least_words`` distinct words) differ in ``most_bits`` bits at most and their edit
+    similarity is ``similarity`` or more; a group is what near pairs connect. Pairs within SURE_BITS bits are surely
+    found, others if they share a key of least word hashes (the README gives the measured recall). The occurrence that stays is the first by doc_id (null last), text hash and position, with
     its own text. Lines without a letter or digit always stay. A null text stays null, with 0 lines.
     Rows with equal doc_id and text are one document given repeatedly and get equal results. An empty
     table gives an empty result. All columns are kept; n_lines and n_removed of ``docs`` are replaced.
@@ -215,7 +234,7 @@ def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float =
     slim = docs.select("doc_id", "text")
     places = occurrences(slim, least_words)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
-    lines = cut(places.groupBy("k", "sim").agg(F.count("*").alias("n"), F.min(first).alias("first")))
+    lines = cut(places.groupBy("k", "sim").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.first("leasts").alias("leasts")))
     groups = near_line_groups(lines, slim, most_bits, similarity, matching)
     rooted = lines.join(groups.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("root"), "n", "first")
     heads = rooted.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("head")).where("total > 1")

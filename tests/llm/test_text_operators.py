@@ -355,6 +355,23 @@ def test_line_dedup_equals_all_pairs(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_with_a_few_new_words_are_near(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    cases, docs = ((8, 1, 0.85), (20, 1, 0.95), (20, 2, 0.85), (50, 3, 0.95), (80, 2, 0.95), (200, 5, 0.95)), []
+    for k, (n, edits, _) in enumerate(cases):
+        lines = [[word() for _ in range(n)] for _ in range(60)]
+        near = [list(ws) for ws in lines]
+        for ws in near:
+            for at in r.sample(range(n), edits):
+                ws[at] = word()
+        docs += [(2 * k + i, "\n".join(map(" ".join, x))) for i, x in enumerate((lines, near))]
+    short = ["subscribe to our newsletter", "subscribe to our newsletters", "something else entirely", "one", "two"]
+    got = {row["doc_id"]: row["n_removed"] for row in line_dedup.dedup_lines(make(spark, docs + [(100 + k, t) for k, t in enumerate(short)])).collect()}
+    assert all(got[2 * k] == 0 and got[2 * k + 1] >= least * 60 for k, (*_, least) in enumerate(cases)), got
+    assert [got[100 + k] for k in range(len(short))] == [0, 1, 0, 0, 0]
+
+
 def test_simhash_is_a_majority(spark):
     (row,) = line_dedup.occurrences(spark.createDataFrame([(1, "red Green, blue red white black")], "doc_id long, text string")).collect()
     hashes = [r["h"] for r in spark.createDataFrame([(w,) for w in ("red", "green", "blue", "white", "black")], "w string").select(F.xxhash64("w").alias("h")).collect()]
