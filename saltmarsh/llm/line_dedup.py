@@ -76,13 +76,13 @@ def least_keys(leasts: str) -> Column:
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos and the normalised line with a word or number in it.
+    """row, doc_id, text_hash, pos and the normalised line with a word or number in it; row tells rows of equal doc_id and text apart.
 
     Texts are normalised as a whole and before they are cut, so that each is worked on once; the outer
     explode keeps the optimiser from doing it again to look for empty arrays.
     """
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(normalised(F.col("text")), "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "text_hash", "pos", F.trim("line").alias("norm")).where("norm <> ''")
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(normalised(F.col("text")), "\n")).alias("pos", "line"))
+    return lines.select("row", "doc_id", "text_hash", "pos", F.trim("line").alias("norm")).where("norm <> ''")
 
 
 def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -91,20 +91,21 @@ def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     Distinct, as otherwise a few very common words would decide most bits. The words' hashes are added
     up, CHUNK words at a time, with eight counters of 8 bits side by side in a long; the counters of
     longer lines are then spread to 32 bits and added up over their chunks. Lineage is cut between the
-    two, or short and long lines would each read and hash all texts. Lines of few words have runs of
+    two, or short and long lines would each read and hash all texts. Rows given repeatedly are counted
+    each on its own, as their sums would pass what the counters hold. Lines of few words have runs of
     characters for words.
     """
-    keys = ["doc_id", "text_hash", "pos", "k", "n"]
-    lines = numbered_lines(docs).select("doc_id", "text_hash", "pos", "norm", F.xxhash64("norm").alias("k"), F.array_distinct(F.split("norm", " ")).alias("words"))
+    keys = ["row", "doc_id", "text_hash", "pos", "k", "n"]
+    lines = numbered_lines(docs).select("row", "doc_id", "text_hash", "pos", "norm", F.xxhash64("norm").alias("k"), F.array_distinct(F.split("norm", " ")).alias("words"))
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - RUN + 1), lambda i: F.substring("norm", i, F.lit(RUN))))
     lines = lines.withColumn("words", F.when(F.size("words") >= least_words, F.col("words")).when(F.length("norm") >= LEAST_CHARS, runs))
-    words = lines.select("doc_id", "text_hash", "pos", "k", F.size("words").alias("n"), F.posexplode_outer("words").alias("at", "word"))
+    words = lines.select("row", "doc_id", "text_hash", "pos", "k", F.size("words").alias("n"), F.posexplode_outer("words").alias("at", "word"))
     hashed = words.select(*keys, F.floor(F.col("at") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h"))
     sums = [f"s{j}" for j in range(8)]
     ones = F.lit(0x0101010101010101)
     leasts = [F.min(F.shiftright("h", 32).cast("int").bitwiseXOR(F.lit(turn))).alias(f"m{j}") for j, turn in enumerate(TURNS)]
     added = hashed.groupBy(*keys, "chunk").agg(*(F.sum(F.shiftright("h", j).bitwiseAND(ones)).alias(c) for j, c in enumerate(sums)), *leasts)
-    own = ["doc_id", "text_hash", "pos", "k"]
+    own = ["row", "doc_id", "text_hash", "pos", "k"]
     counters = F.when(F.col("n") > CHUNK, F.struct(*sums))
     added = cut(added.select(*own, "n", F.array(*(f"m{j}" for j in range(LEASTS))).alias("leasts"), F.when(F.col("n") <= CHUNK, majority(sums, F.col("n"), 8)).alias("sim"), counters.alias("counters")))
     wide = {f"s{8 * p + j}": F.shiftrightunsigned(f"counters.s{j}", 8 * p).bitwiseAND(F.lit(0x000000FF000000FF)) for p in range(4) for j in range(8)}

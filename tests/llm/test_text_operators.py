@@ -372,6 +372,12 @@ def test_lines_with_a_few_new_words_are_near(spark):
     assert [got[100 + k] for k in range(len(short))] == [0, 1, 0, 0, 0]
 
 
+def test_repeated_rows_have_the_simhash_of_one(spark):
+    texts = [prose(1, 30), edited(prose(1, 30), 1, 1), " ".join(f"w{k}" for k in range(120)), " ".join(f"w{k}" for k in range(300))]
+    sims = lambda times: {(r["doc_id"], r["k"], r["sim"]) for r in line_dedup.occurrences(make(spark, list(enumerate(texts)) * times).select("doc_id", "text")).collect()}
+    assert sims(1) == sims(3)
+
+
 def test_simhash_is_a_majority(spark):
     (row,) = line_dedup.occurrences(spark.createDataFrame([(1, "red Green, blue red white black")], "doc_id long, text string")).collect()
     hashes = [r["h"] for r in spark.createDataFrame([(w,) for w in ("red", "green", "blue", "white", "black")], "w string").select(F.xxhash64("w").alias("h")).collect()]
