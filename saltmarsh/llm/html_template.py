@@ -52,6 +52,7 @@ class Block:
     furniture: bool
     text: str
     links: int
+    named: tuple[int, ...] = ()
 
 
 @dataclass
@@ -69,14 +70,17 @@ def _named(tag: str, attributes: dict[str, str]) -> str:
 
 
 def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element holds page furniture. ``inside``: it stands in an article or main element."""
+    """Whether an element surely holds page furniture. ``inside``: it stands in an article or main element."""
     if tag in FURNITURE_TAGS or tag == "header" and not inside:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return True
+    return attributes.get("role", "").lower() in FURNITURE_ROLES
+
+
+def _named_furniture(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element's class or id names page furniture, which a wrapper's may do as well."""
     role = attributes.get("role", "").lower()
-    if role in FURNITURE_ROLES:
-        return True
     if tag in ("html", "body", "article", "main") or role in ("main", "article"):
         return False
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
@@ -86,9 +90,34 @@ def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     return False
 
 
+def _judge(blocks: list[Block], slots: dict[int, str], holders: dict[int, tuple[int, ...]], within: dict[int, int]) -> None:
+    """Mark the blocks in elements that are furniture by name, but not in those that hold the page's text.
+
+    ``slots``: article and main elements; ``holders``: the named elements around each of them; ``within``:
+    the slot that each named element stands in, or 0. Around a slot, those that hold the main element or the
+    slot with most free words are wrappers. Within the slot (or on a page without one) those with more than half of
+    its free words are.
+    """
+    free = [0 if b.furniture else len(b.text.split()) - b.links for b in blocks]
+    held: Counter[int] = Counter()
+    for b, n in zip(blocks, free, strict=True):
+        for element in b.named:
+            held[element] += n
+    best = max(slots, key=lambda x: (slots[x] == "main", held[x], -x), default=0)
+    wrappers = set(holders.get(best, ()))
+    total = held[best] if best else sum(free)
+    wrappers |= {x for x, slot in within.items() if slot == best and 2 * held[x] > total}
+    for b in blocks:
+        b.furniture = b.furniture or any(x in within and x not in wrappers for x in b.named)
+
+
 def parse(source: str) -> Page:
     """Cut a page at block elements. Missing end tags are implied the usual way; unclosed elements end with the page."""
-    page, stack = Page(), [("", "", False, False, False)]  # tag, path, furniture, inside an article, inside a link
+    page, stack = Page(), [("", "", False, False, False, (), 0)]  # tag, path, furniture, inside an article, inside a link, named elements and slots around, slot
+    slots: dict[int, str] = {}
+    holders: dict[int, tuple[int, ...]] = {}
+    within: dict[int, int] = {}
+    number = 0
     parts: list[str] = []
     links = 0
 
@@ -96,8 +125,8 @@ def parse(source: str) -> Page:
         nonlocal links
         if parts:
             if text := " ".join(entities.unescape("".join(parts)).split()):
-                _, path, furniture, *_ = stack[-1]
-                page.blocks.append(Block(path, furniture, text, links))
+                _, path, furniture, _, _, named, _ = stack[-1]
+                page.blocks.append(Block(path, furniture, text, links, named))
             parts.clear()
             links = 0
 
@@ -136,15 +165,24 @@ def parse(source: str) -> Page:
         if tag in VOID:
             continue
         attributes = {a.lower(): x or y or z for a, x, y, z in _ATTRIBUTE.findall(inner)} if inner.strip() else {}
-        _, path, furniture, inside, link = stack[-1]
+        _, path, furniture, inside, link, named, slot = stack[-1]
         if len(stack) <= MOST_DEPTH and tag in BLOCKS:
             path = f"{path}>{_named(tag, attributes)}"
             page.opened[path] += 1
-        inside = inside or tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
-        stack.append((tag, path, furniture or _furniture(tag, attributes, inside), inside, link or tag == "a"))
+        role = attributes.get("role", "").lower()
+        is_slot = tag in ("article", "main") or role in ("main", "article")
+        inside = inside or is_slot
+        furniture = furniture or _furniture(tag, attributes, inside)
+        number += 1
+        if is_slot and not furniture and not slot:
+            slots[number], holders[number], named, slot = "main" if "main" in (tag, role) else "article", named, (*named, number), number
+        elif not furniture and len(named) < MOST_DEPTH and _named_furniture(tag, attributes):
+            within[number], named = slot, (*named, number)
+        stack.append((tag, path, furniture, inside, link or tag == "a", named, slot))
         if inner.rstrip().endswith("/") and tag not in BLOCKS:
             stack.pop()
     close_block()
+    _judge(page.blocks, slots, holders, within)
     return page
 
 

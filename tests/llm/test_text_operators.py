@@ -254,6 +254,14 @@ def test_article_without_furniture():
     assert html_template.Template([parsed]).extract(parsed) == "T & x\nOne two three bold.\nNext é x\na\nb"
 
 
+@pytest.mark.parametrize("name", ["layout sidebar-left", "page-notice-board", "search-results-article", "post-comments-enabled", "social-post"])
+def test_wrappers_named_like_furniture_keep_the_text(name):
+    text, side = prose(1, 40), '<div class="sidebar"><p>Some other links</p></div><div id="comments"><article class="comment">I like it</article></div>'
+    for page in (f'<div class="{name}"><article><p>{text}</p></article>{side}</div>', f'<main><div class="{name}"><p>{text}</p></div></main>{side}', f'<div id="x" class="{name}"><div><p>{text}</p></div></div>{side.replace("article", "p")}'):
+        parsed = html_template.parse(f"<html><body>{page}</body></html>")
+        assert html_template.Template([parsed]).extract(parsed) == text
+
+
 def test_template_of_pages_without_an_article(spark):
     page = lambda k: f'<html><body><div class="top">Site name here</div><div class="body"><p>{prose(k, 30)}</p><p>{prose(100 + k, 20)}</p></div><div class="end">All rights reserved</div></body></html>'
     rows = [(k, f"http://host/{k}", page(k)) for k in range(9)] + [(20, None, None), (21, "http://h/", ""), (22, "x", "plain <b>text"), (23, "http://q/", "<p " * 2000), (24, "http://q/", "<div>" * 3000 + "deep")]
