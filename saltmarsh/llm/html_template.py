@@ -32,11 +32,14 @@ FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus dropdown footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+#: Elements without text of the page. They end with their parent at the latest, those of BROKEN also where a block starts.
+SKIPPED = frozenset("template svg select audio video canvas".split())
+BROKEN = frozenset("svg math select".split())
 CONTAINERS = frozenset("html body div section main article td tr tbody table center span".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|audio|video|canvas)\b[^>]*+(?:/>|>.*?(?:</\1\s*+[^>]*+(?:>|\Z)|\Z)|\Z)
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title)\b[^>]*+(?:>.*?(?:</\1\s*+[^>]*+(?:>|\Z)|\Z)|\Z)
     |<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"<]*+"|'[^'<]*+')*+)(?:>|\Z)|<[/!?a-zA-Z][^>]*+(?:>|\Z)|[^<]++|<""",
     re.S | re.I | re.X,
 )
@@ -113,7 +116,7 @@ def _judge(blocks: list[Block], slots: dict[int, str], holders: dict[int, tuple[
 
 def parse(source: str) -> Page:
     """Cut a page at block elements. Missing end tags are implied the usual way; unclosed elements end with the page."""
-    page, stack = Page(), [("", "", False, False, False, (), 0)]  # tag, path, furniture, inside an article, inside a link, named elements and slots around, slot
+    page, stack = Page(), [("", "", False, False, False, (), 0, False, 0)]  # tag, path, furniture, inside an article, inside a link, named elements and slots around, slot, skipped, where a block breaks out to
     slots: dict[int, str] = {}
     holders: dict[int, tuple[int, ...]] = {}
     within: dict[int, int] = {}
@@ -125,7 +128,7 @@ def parse(source: str) -> Page:
         nonlocal links
         if parts:
             if text := " ".join(entities.unescape("".join(parts)).split()):
-                _, path, furniture, _, _, named, _ = stack[-1]
+                _, path, furniture, _, _, named, *_ = stack[-1]
                 page.blocks.append(Block(path, furniture, text, links, named))
             parts.clear()
             links = 0
@@ -138,7 +141,7 @@ def parse(source: str) -> Page:
     for m in _TOKEN.finditer(source):
         raw, end, tag, inner = m.groups()
         if raw is not None or tag is None:
-            if raw is None and not m[0].startswith("<!") and (m[0][0] != "<" or m[0] == "<"):
+            if raw is None and not stack[-1][7] and not m[0].startswith("<!") and (m[0][0] != "<" or m[0] == "<"):
                 parts.append(m[0])
                 if stack[-1][4]:
                     links += len(m[0].split())
@@ -155,6 +158,8 @@ def parse(source: str) -> Page:
         if tag == "br":
             parts.append(" ")
         if tag in BLOCKS:
+            if stack[-1][8]:
+                del stack[stack[-1][8] :]
             close_block()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
@@ -165,8 +170,10 @@ def parse(source: str) -> Page:
         if tag in VOID:
             continue
         attributes = {a.lower(): x or y or z for a, x, y, z in _ATTRIBUTE.findall(inner)} if inner.strip() else {}
-        _, path, furniture, inside, link, named, slot = stack[-1]
-        if len(stack) <= MOST_DEPTH and tag in BLOCKS:
+        _, path, furniture, inside, link, named, slot, skipped, broken = stack[-1]
+        skipped = skipped or tag in SKIPPED
+        broken = broken or (len(stack) if tag in BROKEN else 0)
+        if len(stack) <= MOST_DEPTH and tag in BLOCKS and not skipped:
             path = f"{path}>{_named(tag, attributes)}"
             page.opened[path] += 1
         role = attributes.get("role", "").lower()
@@ -174,11 +181,11 @@ def parse(source: str) -> Page:
         inside = inside or is_slot
         furniture = furniture or _furniture(tag, attributes, inside)
         number += 1
-        if is_slot and not furniture and not slot:
+        if is_slot and not furniture and not skipped and not slot:
             slots[number], holders[number], named, slot = "main" if "main" in (tag, role) else "article", named, (*named, number), number
         elif not furniture and len(named) < MOST_DEPTH and _named_furniture(tag, attributes):
             within[number], named = slot, (*named, number)
-        stack.append((tag, path, furniture, inside, link or tag == "a", named, slot))
+        stack.append((tag, path, furniture, inside, link or tag == "a", named, slot, skipped, broken))
         if inner.rstrip().endswith("/") and tag not in BLOCKS:
             stack.pop()
     close_block()

@@ -262,6 +262,12 @@ def test_wrappers_named_like_furniture_keep_the_text(name):
         assert html_template.Template([parsed]).extract(parsed) == text
 
 
+@pytest.mark.parametrize("inner, seen", [('<svg class="icon" />', ""), ("<math/>", ""), ("<math><mi>x</mi></math>", "x"), ("<object>", ""), ("<object>instead</object>", "instead"), ("<select><option>no", ""), ("<video>", ""), ("<svg><text>no</text></svg>", ""), ("<canvas>no</canvas>", "")])
+def test_unclosed_elements_do_not_take_the_page(inner, seen):
+    parsed = html_template.parse(f"<html><body><article><p>one {inner}</p><p>two</p></article></body></html>")
+    assert html_template.Template([parsed]).extract(parsed) == f"one {seen}".strip() + "\ntwo"
+
+
 def test_template_of_pages_without_an_article(spark):
     page = lambda k: f'<html><body><div class="top">Site name here</div><div class="body"><p>{prose(k, 30)}</p><p>{prose(100 + k, 20)}</p></div><div class="end">All rights reserved</div></body></html>'
     rows = [(k, f"http://host/{k}", page(k)) for k in range(9)] + [(20, None, None), (21, "http://h/", ""), (22, "x", "plain <b>text"), (23, "http://q/", "<p " * 2000), (24, "http://q/", "<div>" * 3000 + "deep")]
