@@ -1,4 +1,4 @@
-"""HTML extraction: equivalence classes of tokens over same-host pages give a template, whose main slot is the text."""
+"""HTML extraction: occurrence vectors of tokens over same-host pages give a template, whose main slot is the text."""
 
 from __future__ import annotations
 
@@ -193,14 +193,6 @@ def parse(source: str) -> Page:
     return page
 
 
-def equivalence_classes(vectors: dict[object, tuple[int, ...]]) -> dict[tuple[int, ...], set]:
-    """Tokens by their vector of occurrences over the pages of a group."""
-    out: dict[tuple[int, ...], set] = defaultdict(set)
-    for token, vector in vectors.items():
-        out[vector].add(token)
-    return out
-
-
 def occurrence_vectors(counts: list[Counter]) -> dict[object, tuple[int, ...]]:
     found: dict[object, list[int]] = {}
     for k, counted in enumerate(counts):
@@ -212,18 +204,21 @@ def occurrence_vectors(counts: list[Counter]) -> dict[object, tuple[int, ...]]:
 class Template:
     """What the pages of a group have in common.
 
-    Paths of elements and words in their place are tokens; those with one occurrence vector are a class.
-    The valid outermost class is that of the body (each of its tokens once a page); an element is nested
+    Paths of elements and words in their place are tokens with an occurrence vector over the pages. An element is nested
     in its parent if its vector equals the parent's, and so is a part of the template that stands once in
     each. Going down that nest, the main slot is the last element that holds at least half of the text
-    that is neither furniture nor constant; an article or main element ends the way.
+    that is neither furniture nor constant; an article or main element ends the way. In such an element
+    the blocks that all distinct pages have are the template's, elsewhere those of constant words only.
     """
 
     def __init__(self, pages: list[Page]):
         self.paths = occurrence_vectors([p.opened for p in pages])
-        classes = equivalence_classes(self.paths)
-        words = occurrence_vectors([Counter((b.path, w) for b in p.blocks for w in b.text.split()) for p in pages]) if len(pages) >= LEAST_PAGES else {}
-        self.constant = {token for token, v in words.items() if min(v) > 0 and len(set(v)) == 1}
+        # Copies of a page say nothing of the template, so constant is what distinct ones share.
+        bodies = list({tuple((b.path, b.text) for b in p.blocks): p.blocks for p in pages}.values())
+        bodies = bodies if len(bodies) >= LEAST_PAGES else []
+        constant = lambda found: {token for token, v in found.items() if min(v) > 0 and len(set(v)) == 1}
+        self.constant = constant(occurrence_vectors([Counter((b.path, w) for b in blocks for w in b.text.split()) for blocks in bodies]))
+        self.repeated = constant(occurrence_vectors([Counter((b.path, b.text) for b in blocks) for blocks in bodies]))
         weight: Counter[str] = Counter()
         for page in pages:
             for b in page.blocks:
@@ -238,7 +233,7 @@ class Template:
             children[path.rpartition(">")[0]].append(path)
         at = max(children[""], key=lambda p: (weight[p], p), default="")
         while at and self.tag(at) not in ("article", "main"):
-            below = [p for p in children[at] if self.tag(p) in CONTAINERS and p in classes[self.paths[p]] and self._nested(p, at) and 2 * weight[p] >= weight[at] > 0]
+            below = [p for p in children[at] if self.tag(p) in CONTAINERS and self._nested(p, at) and 2 * weight[p] >= weight[at] > 0]
             if not below:
                 break
             at = max(below, key=lambda p: (self.tag(p) in ("article", "main"), weight[p], p))
@@ -260,7 +255,7 @@ class Template:
         for b in page.blocks:
             if b.furniture or not (b.path == main or b.path.startswith(f"{main}>")):
                 continue
-            if own or not all((b.path, w) in self.constant for w in b.text.split()):
+            if (b.path, b.text) not in self.repeated if own else not all((b.path, w) in self.constant for w in b.text.split()):
                 out.append(b.text)
         return "\n".join(out)
 

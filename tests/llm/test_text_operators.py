@@ -277,6 +277,14 @@ def test_template_of_pages_without_an_article(spark):
     assert html_template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_are_no_template_but_repeated_blocks_of_an_article_are():
+    text = lambda page, among: html_template.Template([html_template.parse(x) for x in among]).extract(html_template.parse(page))
+    copy = f'<html><body><div class="body"><p>{prose(1, 30)}</p></div></body></html>'
+    assert text(copy, [copy] * 6) == prose(1, 30)
+    pages = [f'<html><body><article><p>{prose(k, 30)}</p><div class="x">Join our list today</div></article></body></html>' for k in range(6)]
+    assert [text(x, pages) for x in pages] == [prose(k, 30) for k in range(6)]
+
+
 # ---- 7: quality classifier
 
 
