@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import WordHashes, map_rows, mix64
+from saltmarsh.llm.line_dedup import marked
 
-#: The band: terms that at least this share of the documents hold (and two documents), and at most that share.
+#: The band: terms that at least this share of the distinct texts hold (and two texts), and at most that share.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
 #: Subsets on each level of density, and levels that a fingerprint holds.
 SUBSETS, LEVELS = 48, 3
+#: A text with fewer terms in the band than this has its fingerprint from its rarest terms.
+FEW = 4
 #: Terms that a task counts before it hands them on.
 MOST_COUNTED = 300_000
 
@@ -43,11 +46,21 @@ class Terms:
         return np.sort(self.hashes.of(found))
 
 
-def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> np.ndarray:
-    """Hashes of the terms in the band of document frequency (so of idf), sorted.
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Each text of ``docs`` once, and how many there are. Only texts that may stand in several rows are shuffled."""
+    hashed = docs.select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    sizes = hashed.groupBy("h").agg(F.count("*").alias("size"))
+    told = marked(hashed, "h", sizes.where("size > 1").select("h"))
+    several = told.where("_maybe").dropDuplicates(["h"])
+    return told.where("not _maybe").select("text").unionByName(several.select("text")), sizes.count()
 
-    Counts cover all documents. The band bounds what comes to the driver whatever the corpus: at most
-    1 / ``least`` times the mean number of distinct terms of a document can be in it.
+
+def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the terms in the band of document frequency (so of idf), and of those above it, sorted.
+
+    Counts cover all distinct texts, so that copies do not make a term common. The band bounds what comes to
+    the driver whatever the corpus: at most 1 / ``least`` times the mean number of distinct terms of a text
+    can be in it or above.
     """
 
     def rows(texts: Iterator[tuple]) -> Iterator[tuple]:
@@ -59,11 +72,17 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
                 counts.clear()
         yield from counts.items()
 
-    n = docs.count()
+    texts, n = distinct_texts(docs)
     low, high = max(2, math.ceil(least * n)), max(2, math.floor(most * n))
-    counted = map_rows(docs.select(F.col("text").cast("string")), rows, _COUNTS, flush=50_000).groupBy("term").agg(F.sum("n").alias("n"))
-    band = counted.where(F.col("n").between(low, high)).select("term").toArrow()["term"].to_numpy()
-    return np.sort(band.view(np.uint64))
+    counted = map_rows(texts, rows, _COUNTS, flush=50_000).groupBy("term").agg(F.sum("n").alias("n"))
+    got = counted.where(F.col("n") >= low).select("term", (F.col("n") > high).alias("above")).toArrow()
+    term, above = got["term"].to_numpy().view(np.uint64), got["above"].to_numpy().astype(bool)
+    return np.sort(term[~above]), np.sort(term[above])
+
+
+def among(terms: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of ``terms`` is in ``known``, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, terms), len(known) - 1)] == terms if len(known) else np.zeros(len(terms), bool)
 
 
 class Fingerprint:
@@ -72,16 +91,20 @@ class Fingerprint:
     On level r a subset keeps each lexicon term with probability 2 to the -r; the terms of the text
     that it keeps are hashed, in sorted order, to 16 bits (0: none kept). Which levels are held follows
     from the number of terms, so that a subset has about two, one and half a term: of sparse subsets
-    about as large a share agrees as the texts have terms in common. A text without lexicon terms has
-    one hash of all its terms, or of itself if it has no terms.
+    about as large a share agrees as the texts have terms in common. A text with fewer than FEW lexicon
+    terms has in their place all its terms but those above the band (``common``), or if these are few as well all its
+    terms. A text without terms has one hash of itself.
     """
 
-    def __init__(self, text: str, terms: np.ndarray, band: np.ndarray):
-        at = np.searchsorted(band, terms)
-        kept = terms[band[np.minimum(at, len(band) - 1)] == terms] if len(band) else terms[:0]
+    def __init__(self, text: str, terms: np.ndarray, band: np.ndarray, common: np.ndarray = np.empty(0, np.uint64)):
+        kept = terms[among(terms, band)]
+        if len(kept) < FEW:
+            kept = terms[~among(terms, common)]
+        if len(kept) < FEW:
+            kept = terms
         self.parts: dict[int, np.ndarray] = {}
         if not len(kept):
-            self.text = "all:" + hashlib.sha256(terms.tobytes() or text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
+            self.text = "all:" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
             return
         first = max(0, int(math.log2(len(kept))) - 1)
         drawn = mix64(kept[:, None] ^ _SEEDS)
@@ -143,12 +166,12 @@ def fingerprints(docs: DataFrame, band: Broadcast | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    band = band or spark.sparkContext.broadcast(lexicon(docs))
+    band = band or spark.sparkContext.broadcast(lexicon(docs))  # the band and the terms above it
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(ordered: Iterator[tuple]) -> Iterator[tuple]:
         terms, known = Terms(), band.value
-        mark = lambda text: Fingerprint(text, terms.of(text), known)
+        mark = lambda text: Fingerprint(text, terms.of(text), *known)
         held = None
         for run, ahead, doc_id, text in ordered:
             after = mark(text)

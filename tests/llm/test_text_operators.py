@@ -135,6 +135,23 @@ def test_likeness_falls_with_edits():
     assert whole.like(mark(words[10:200])) > whole.like(mark(words[100:300])) > whole.like(mark(words[200:]))
 
 
+def test_copies_do_not_make_terms_common(spark):
+    texts = [prose(k, 60) for k in range(60)]
+    band, common = imatch.lexicon(make(spark, [(k, t) for k, t in enumerate([*texts, *[" ".join(f"hot{k}" for k in range(40))] * 40, "hot1 hot2 hot3 x1", *[None] * 30])]))
+    hot = WordHashes().of(["hot1", "hot2", "hot3"])
+    assert np.isin(hot, band).all() and not np.isin(hot, common).any()
+
+
+def test_texts_without_terms_of_the_band_keep_their_likeness():
+    hashes, none = WordHashes(), np.empty(0, np.uint64)
+    words = [f"w{k}" for k in range(60)]
+    mark = lambda ws, common: imatch.Fingerprint(" ".join(ws), np.sort(hashes.of(sorted(set(ws)))), none, common)
+    for common in (none, np.sort(hashes.of(words)), np.sort(hashes.of(words[:20]))):
+        whole = mark(words, common)
+        assert whole.like(mark(words, common)) == 1.0
+        assert whole.like(mark([*words[:59], "new"], common)) > 0.3 > whole.like(mark([f"v{k}" for k in range(60)], common))
+
+
 # ---- 3: n-gram Jaccard join
 
 
