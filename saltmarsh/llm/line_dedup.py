@@ -10,108 +10,116 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.common import cut
 from saltmarsh.llm.components import components
 
-#: Lines are near if their SimHashes differ in so many bits at most and their edit similarity is this or more.
-MOST_BITS, SIMILARITY = 20, 0.8
-#: Lines whose SimHashes differ in so many bits at most surely share a block key; others meet by their least word hashes.
-SURE_BITS = 3
-#: Lines with fewer distinct words than this are hashed by runs of RUN characters in place of words.
-LEAST_WORDS, RUN = 5, 3
-#: Lines shorter than this have no SimHash, as none but an equal line can have the similarity 0.8.
+#: Lines are near if their edit similarity is this or more: counted in words if both have LONG words, else in characters.
+SIMILARITY = 0.8
+#: Blocks of a SimHash, and how many equal ones make a key of a line, by the words in a block (0: a block is of characters).
+BLOCKS, EQUAL = 6, {0: 3, 1: 4, 2: 3, 3: 2, 4: 2}
+#: Words in a block at most, and characters where a line has fewer than WORDS words.
+BLOCK_WORDS, BLOCK_CHARS, WORDS = 4, 8, 6
+#: Lines of so many words have two of their blocks where their content says so, and are compared by words.
+LONG = 32
+#: Lines shorter than this are only matched exactly, as none but an equal line can have the similarity 0.8.
 LEAST_CHARS = 5
-#: Least word hashes of a line, each in an order of its own, and the choices of them that make a key.
-LEASTS = 12
-CHOICES = list(combinations(range(LEASTS), 5))[::44]
-#: What turns a word's hash round for each order; the leading bits differ.
-TURNS = [((0x9E3779B9 * (j + 1)) % 2**32) - 2**31 for j in range(LEASTS)]
-#: Words that are counted in 8 bits.
-CHUNK = 127
-#: So many matching blocks make a key. More make more keys that fewer lines share by chance; the result is the same.
-MATCHING = 3
+#: What stands between words: runs of ASCII signs and white space. Characters beyond ASCII count as letters.
+SIGN = r"\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: The filter on line keys has so many 64-bit words at most (2 MB broadcast).
 FILTER_WORDS = 2**17
 
 
-def normalised(text: Column) -> Column:
-    """Lower case, with runs of ASCII signs and white space but newlines as one space. Characters beyond ASCII count as letters."""
-    return F.regexp_replace(F.lower(text), r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
+def simhash(hashes: list[Column], words: Column) -> Column:
+    """SimHash of the first ``words`` of four words' hashes: each bit that more than half of them have."""
+    a, b, c, d = hashes
+    both = a.bitwiseAND(b)
+    three = both.bitwiseOR(c.bitwiseAND(a.bitwiseOR(b)))
+    four = both.bitwiseAND(c.bitwiseOR(d)).bitwiseOR(c.bitwiseAND(d).bitwiseAND(a.bitwiseOR(b)))
+    return F.when(words == 1, a).when(words == 2, both).when(words == 3, three).otherwise(four)
 
 
-def majority(sums: list[str], n: Column, field: int) -> Column:
-    """The 64-bit SimHash from its counters: each bit that more than half of the ``n`` words have.
-
-    ``sums[j]`` holds the counters of bits j, j + field, j + 2 field ... side by side, ``field`` bits each.
-    """
-    counters = [F.shiftrightunsigned(sums[k % field], k - k % field).bitwiseAND(F.lit((1 << field) - 1)) for k in range(64)]
-    bits = [F.when(c * 2 > n, F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for k, c in enumerate(counters)]
-    out = bits[0]
-    for bit in bits[1:]:
-        out = out.bitwiseOR(bit)
-    return out
+def upper(bits: Column) -> Column:
+    """The upper half of 64 bits."""
+    return F.shiftright(bits, 32).cast("int")
 
 
-def block_keys(sim: Column, most_bits: int, matching: int) -> Column:
-    """Keys of which two hashes that differ in ``most_bits`` bits at most share one.
+def word_blocks(words: Column) -> Column:
+    """A line's SimHash over ``words`` words a block, as integers: the number of words, then the blocks.
 
-    The bits are cut into most_bits + matching blocks; the differing bits leave ``matching`` of them
-    untouched, so some choice of that many blocks is equal in both.
+    An edit changes the bits of the block that it falls in and of no other, where the bits of a SimHash over
+    the whole line would change here and there in most blocks. The first blocks are counted from the
+    line's start and the others from its end, so that words put in or left out between them move none. Long
+    lines have the last two at the least and at the greatest word hash of what lies between.
     """
-    count = most_bits + matching
-    ends = [round(64 * k / count) for k in range(count + 1)]
+    n, inner = F.size("hashes"), F.slice("hashes", 2 * BLOCK_WORDS + 1, F.greatest(F.size("hashes") - 4 * BLOCK_WORDS, F.lit(0)))
+    at = lambda pick: F.array_position(inner, pick(inner)).cast("int") + (2 * BLOCK_WORDS - 1)
+    long = n >= LONG
+    starts = F.array(F.lit(0), words, n - words, n - 2 * words, F.when(long, at(F.array_min)).otherwise(2 * words), F.when(long, at(F.array_max)).otherwise(n - 3 * words))
+    blocks = F.transform(starts, lambda i: upper(simhash([F.get("hashes", i + k) for k in range(BLOCK_WORDS)], words)))
+    return F.concat(F.array(words.cast("int")), blocks)
 
-    def key(number: int, chosen: tuple[int, ...]) -> Column:
-        """The choice's number and the chosen blocks' bits, side by side."""
-        out = F.lit(number).cast("long")
-        for i in chosen:
-            width = ends[i + 1] - ends[i]
-            block = F.shiftrightunsigned(sim, ends[i]).bitwiseAND(F.lit((1 << width) - 1))
-            out = F.call_function("shiftleft", out, F.lit(width)).bitwiseOR(block)
-        return out
 
-    return F.array(*(key(k, chosen) for k, chosen in enumerate(combinations(range(count), matching))))
+def char_blocks() -> Column:
+    """The same for lines of few words (``norm``): hashes of runs of characters."""
+    n = F.length("norm")
+    size = F.least(F.greatest(F.floor(n / BLOCKS), F.lit(1)), F.lit(BLOCK_CHARS)).cast("int")
+    starts = F.array(F.lit(0), size, n - size, n - 2 * size, 2 * size, n - 3 * size)
+    return F.concat(F.array(F.lit(0)), F.transform(starts, lambda i: upper(F.xxhash64(F.substring("norm", i + 1, size)))))
 
 
-def least_keys(leasts: str) -> Column:
-    """Keys of several least word hashes. Two lines agree in each with about the share of words they have in common."""
-    return F.array(*(F.xxhash64(F.lit(number), *(F.get(leasts, i) for i in chosen)) for number, chosen in enumerate(CHOICES)))
+def with_blocks(lines: DataFrame) -> DataFrame:
+    """``lines`` (with words) with blocks and but_one, which are null for lines that are too short.
+
+    blocks has the SimHashes of the line one after another. A line at the border of two sizes of block has
+    both, and one of just enough words those of characters too. but_one has keys of lines of few words, in
+    which each word is a block and all blocks but one are equal.
+    """
+    n = F.size("words")
+    few, enough = n < WORDS + 3, (n >= 3) | (F.length("norm") >= LEAST_CHARS)
+    split = lines.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "norm": F.when(few, F.array_join("words", " "))})
+    size = F.least(F.floor(n / BLOCKS), F.lit(BLOCK_WORDS)).cast("int")
+    border = (n >= 2 * BLOCKS) & (n < BLOCKS * BLOCK_WORDS + 2) & (n % BLOCKS < 2)
+    some = F.array_compact(F.array(F.when(n >= WORDS, word_blocks(size)), F.when(border, word_blocks(size - 1)), F.when(n < WORDS + 2, char_blocks())))
+    # All of the words as blocks of their own, and all but each one of them.
+    but_one = F.when(few & enough & (n > 1), F.transform(F.sequence(F.lit(0), n), lambda k: F.xxhash64(F.filter("hashes", lambda _, i: i != k))))
+    return split.withColumns({"blocks": F.when(enough, F.flatten(some)), "but_one": but_one}).drop("hashes", "norm")
+
+
+def block_keys(lines: DataFrame) -> DataFrame:
+    """key and k: a key for each choice of EQUAL blocks of each SimHash of a line.
+
+    By the pigeonhole principle two lines share a key if their edits leave that many blocks of a SimHash
+    untouched, so surely if no more than BLOCKS - EQUAL places of one of the other's words are edited.
+    """
+    choices = {r: F.array(*(F.array(*map(F.lit, (c + (-1,) * 4)[:4])) for c in combinations(range(BLOCKS), r))) for r in set(EQUAL.values())}
+    of = F.col("sizes")
+    picked = F.lit(None)
+    for size, r in EQUAL.items():
+        picked = F.when(of == size, choices[r]).otherwise(picked)
+    each = lines.select("k", "blocks", F.explode(F.sequence(F.lit(0), F.size("blocks") - 1, F.lit(BLOCKS + 1))).alias("from"))
+    each = each.select("k", F.slice("blocks", F.col("from") + 2, F.lit(BLOCKS)).alias("b"), F.get("blocks", "from").alias("sizes"))
+    chosen = each.select("k", "b", "sizes", F.explode(picked).alias("c"))
+    keys = chosen.select(F.xxhash64("sizes", "c", *(F.get("b", F.get("c", F.lit(i))) for i in range(4))).alias("key"), "k")
+    return keys.unionByName(lines.where("but_one is not null").select(F.explode("but_one").alias("key"), "k"))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_hash, pos and the normalised line with a word or number in it; row tells rows of equal doc_id and text apart.
+    """doc_id, text_hash, pos, words and k (a hash of the words) of the lines with a word or number in them.
 
-    Texts are normalised as a whole and before they are cut, so that each is worked on once; the outer
-    explode keeps the optimiser from doing it again to look for empty arrays.
+    The words in lower case are a line's normal form. The outer explode keeps the optimiser from splitting
+    the texts twice to look for empty arrays, and so does a filter that does not ask for the words.
     """
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(normalised(F.col("text")), "\n")).alias("pos", "line"))
-    return lines.select("row", "doc_id", "text_hash", "pos", F.trim("line").alias("norm")).where("norm <> ''")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    words = lines.where(F.col("line").rlike(f"[^{SIGN}]")).withColumn("words", F.array_remove(F.split("line", f"[{SIGN}]+"), ""))
+    return words.select("doc_id", "text_hash", "pos", "words", F.xxhash64("words").alias("k"))
 
 
-def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Each line's place, its key (a hash of the normalised line), its SimHash over distinct words and their least hashes.
+def first_place() -> Column:
+    """A line's place, ordered by doc_id (null last), text hash and position."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
 
-    Distinct, as otherwise a few very common words would decide most bits. The words' hashes are added
-    up, CHUNK words at a time, with eight counters of 8 bits side by side in a long; the counters of
-    longer lines are then spread to 32 bits and added up over their chunks. Lineage is cut between the
-    two, or short and long lines would each read and hash all texts. Rows given repeatedly are counted
-    each on its own, as their sums would pass what the counters hold. Lines of few words have runs of
-    characters for words.
-    """
-    keys = ["row", "doc_id", "text_hash", "pos", "k", "n"]
-    lines = numbered_lines(docs).select("row", "doc_id", "text_hash", "pos", "norm", F.xxhash64("norm").alias("k"), F.array_distinct(F.split("norm", " ")).alias("words"))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - RUN + 1), lambda i: F.substring("norm", i, F.lit(RUN))))
-    lines = lines.withColumn("words", F.when(F.size("words") >= least_words, F.col("words")).when(F.length("norm") >= LEAST_CHARS, runs))
-    words = lines.select("row", "doc_id", "text_hash", "pos", "k", F.size("words").alias("n"), F.posexplode_outer("words").alias("at", "word"))
-    hashed = words.select(*keys, F.floor(F.col("at") / CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h"))
-    sums = [f"s{j}" for j in range(8)]
-    ones = F.lit(0x0101010101010101)
-    leasts = [F.min(F.shiftright("h", 32).cast("int").bitwiseXOR(F.lit(turn))).alias(f"m{j}") for j, turn in enumerate(TURNS)]
-    added = hashed.groupBy(*keys, "chunk").agg(*(F.sum(F.shiftright("h", j).bitwiseAND(ones)).alias(c) for j, c in enumerate(sums)), *leasts)
-    own = ["row", "doc_id", "text_hash", "pos", "k"]
-    counters = F.when(F.col("n") > CHUNK, F.struct(*sums))
-    added = cut(added.select(*own, "n", F.array(*(f"m{j}" for j in range(LEASTS))).alias("leasts"), F.when(F.col("n") <= CHUNK, majority(sums, F.col("n"), 8)).alias("sim"), counters.alias("counters")))
-    wide = {f"s{8 * p + j}": F.shiftrightunsigned(f"counters.s{j}", 8 * p).bitwiseAND(F.lit(0x000000FF000000FF)) for p in range(4) for j in range(8)}
-    long = added.where("counters is not null").groupBy(*own, "n").agg(*(F.sum(c).alias(name) for name, c in wide.items()), *(F.min(F.get("leasts", F.lit(j))).alias(f"m{j}") for j in range(LEASTS)))
-    short = added.where("counters is null").select(*own, "sim", "leasts")
-    return short.unionByName(long.select(*own, majority([f"s{j}" for j in range(32)], F.col("n"), 32).alias("sim"), F.array(*(f"m{j}" for j in range(LEASTS))).alias("leasts")))
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """k (a hash of its words), n (places), first (its first place), blocks and but_one of each distinct line."""
+    lines = with_blocks(numbered_lines(docs)).select("k", first_place().alias("at"), "blocks", "but_one")
+    return lines.groupBy("k").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.first("blocks").alias("blocks"), F.first("but_one").alias("but_one"))
 
 
 def bitmap(keys: Column) -> tuple[Column, Column]:
@@ -131,100 +139,82 @@ def marked(rows: DataFrame, key: str, among: DataFrame) -> DataFrame:
     return rows.withColumn("_word", word).join(bits, "_word", "left").withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
 
 
-def distance(x: str, y: str, most: Column) -> Column:
-    """Edit distance; null if it is over ``most``. A narrow band settles most pairs, the next one is tried only beyond it."""
-    out = F.levenshtein(x, y)
-    for band in (4096, 1024, 256, 64, 16):
-        inside = F.expr(f"nullif(levenshtein({x}, {y}, {band}), -1)")
-        out = F.coalesce(inside, F.when(most > band, out))
-    return out
+def with_codes(lines: DataFrame) -> DataFrame:
+    """k, norm (the line's words) and code of ``lines``; code is for lines of LONG words a string with one character for each.
 
-
-def middles(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with xs and ys, the words of x and y but those that both begin or both end with.
-
-    Each step is a select of its own, so that none is worked out twice.
+    Its 54,784 characters are those from U+0100 to below the surrogates, picked by a hash, so that different words
+    have the same one by chance rarely enough not to matter to a share of words. norm is dropped where it is not needed.
     """
-    differ = lambda a, b: F.array_position(F.zip_with(a, b, lambda p, q: p == q), F.lit(False)).cast("int")
-    split = pairs.select("a", "b", "x", "y", "most", F.split("x", " ").alias("xs"), F.split("y", " ").alias("ys"))
-    at = split.select("*", F.least(F.size("xs"), F.size("ys")).alias("n"), differ("xs", "ys").alias("head"), differ(F.reverse("xs"), F.reverse("ys")).alias("tail"))
-    at = at.withColumn("head", F.when(F.col("head") == 0, F.col("n")).otherwise(F.col("head") - 1))
-    at = at.withColumn("tail", F.least(F.when(F.col("tail") == 0, F.col("n")).otherwise(F.col("tail") - 1), F.col("n") - F.col("head")))
-    return at.select("a", "b", "most", *(F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail")).alias(c) for c in ("xs", "ys")))
+    hexes = F.transform("words", lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD600)) + 0x100), 4, "0"))
+    code = F.when(F.size("words") >= LONG, F.decode(F.unhex(F.array_join(hexes, "")), "UTF-16BE"))
+    return lines.select("k", F.when(F.size("words") < 2 * LONG, F.array_join("words", " ")).alias("norm"), code.alias("code"))
 
 
-def alike(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, x, y, most) with _near: whether x and y are ``most`` edits apart at most.
+def near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: line keys) whose lines have the edit similarity: 1 - distance / longer length.
 
-    The words that both begin or end with do not count. If as many words are left on both sides, putting
-    one for the other in each place is one way of editing, which is enough for most near copies. Only
-    the others need the edit distance, of what is left.
+    Two lines of LONG words or more are told apart by words, all others by characters. Most near pairs are
+    so within a narrow band of edits, which is tried first.
     """
-    swapped = F.aggregate(F.zip_with("xs", "ys", lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))), F.lit(0), lambda total, n: total + n)
-    # A space before each word, so that what was taken off is the same string on both sides.
-    text = lambda c: F.array_join(F.transform(c, lambda w: F.concat(F.lit(" "), w)), "")
-    left = middles(pairs).select("a", "b", "most", text("xs").alias("x"), text("ys").alias("y"), (F.size("xs") == F.size("ys")).alias("even"), F.when(F.size("xs") == F.size("ys"), swapped).alias("swapped"))
-    return left.select("a", "b", F.when(F.col("even") & (F.col("swapped") <= F.col("most")), True).otherwise(F.coalesce(distance("x", "y", F.col("most")) <= F.col("most"), F.lit(False))).alias("_near"))
+    side = lambda key, c: texts.select(F.col("k").alias(key), F.col("norm").alias(f"n{c}"), F.col("code").alias(f"c{c}"))
+    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    long = F.col("cx").isNotNull() & F.col("cy").isNotNull()
+    told = joined.select("a", "b", F.when(long, F.col("cx")).otherwise(F.col("nx")).alias("x"), F.when(long, F.col("cy")).otherwise(F.col("ny")).alias("y"))
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - similarity) + 1e-9).cast("int")
+    close = told.withColumn("most", most).where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
+    inside = lambda band: F.call_function("levenshtein", F.col("x"), F.col("y"), band) >= 0
+    return cut(close.where(inside(F.least("most", F.lit(16))) | ((F.col("most") > 16) & inside(F.col("most")))).select("a", "b"))
 
 
-def near(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: line keys) whose lines have the edit similarity: 1 - distance / longer length.
+def texts_of(keys: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """k, norm and code of the lines ``keys``.
 
     The text of a line is read from its first document; documents that are surely none of those are not
     even normalised.
     """
-    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(lines.select("k", F.col("first.text_hash").alias("home")), "k"))
-    some = marked(docs.withColumn("_h", F.xxhash64("text")), "_h", keys.select("home").distinct()).where("_maybe").select("doc_id", "text")
-    found = marked(numbered_lines(some).select(F.xxhash64("norm").alias("k"), "norm"), "k", keys.select("k")).where("_maybe").select("k", "norm")
-    texts = cut(found.join(keys, "k", "left_semi").dropDuplicates(["k"]))
-    joined = pairs.join(texts.withColumnsRenamed({"k": "a", "norm": "x"}), "a").join(texts.withColumnsRenamed({"k": "b", "norm": "y"}), "b")
-    most = F.greatest(F.length("x"), F.length("y")) * (1 - similarity) + 1e-9
-    close = joined.where(F.abs(F.length("x") - F.length("y")) <= most).withColumn("most", most)
-    # Cut before the filter, which would otherwise be worked out from the start for each use of a column.
-    return cut(alike(close)).where("_near").select("a", "b")
-
-
-def near_line_groups(lines: DataFrame, docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, matching: int = MATCHING) -> DataFrame:
+    homes = cut(keys.join(lines.select("k", F.col("first.text_hash").alias("home")), "k"))
+    some = marked(docs.withColumn("_h", F.xxhash64("text")), "_h", homes.select("home").distinct()).where("_maybe").select("doc_id", "text")
+    found = marked(numbered_lines(some).select("k", "words"), "k", homes.select("k")).where("_maybe").select("k", "words")
+    return cut(with_codes(found).join(homes, "k", "left_semi").dropDuplicates(["k"]))
+
+
+def near_line_groups(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Connected groups of near lines: node and root for the keys that are not their group's root.
 
-    ``lines`` has k, sim, leasts, n (occurrences) and first (the first occurrence) of each distinct line. Lines that share a block key
-    or a key of least word hashes are a bucket. First, each line of a bucket is held against its most frequent line and its first by
-    key, which joins most of what belongs together in rows linear in the bucket. Then the lines that
-    are still apart from their bucket's head are held against the bucket's lines of other groups. So
-    every near pair of a bucket is either found or lies inside a group already.
+    ``lines`` are those of ``distinct_lines``. Lines that share a block key are a bucket. First, each line of a
+    bucket is held against its most frequent line and its first by key, which joins most of what belongs
+    together in rows linear in the bucket. Then the lines that are still apart from their bucket's head
+    are held against the bucket's lines of other groups. So every near pair of a bucket is either found or
+    lies inside a group already.
     """
-    hashed = lines.where("sim is not null")
     # Dealt by key once: the count and the join below both use this exchange. Few keys are shared, so the
     # join holds those of a partition and streams the ties past them, unsorted.
-    ties = hashed.select("k", F.explode(F.concat(block_keys(F.col("sim"), min(most_bits, SURE_BITS), matching), least_keys("leasts"))).alias("key")).repartition("key")
-    several = ties.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key").hint("shuffle_hash")
-    shared = cut(ties.join(several, "key").join(hashed.select("k", "sim", "n"), "k").select("key", "k", "sim", "n"))
-    heads = shared.groupBy("key").agg(F.max(F.struct("n", "k", "sim")).alias("h0"), F.min(F.struct("k", "sim")).alias("h1"))
-    heads = heads.select("key", F.col("h0.k").alias("k0"), F.col("h0.sim").alias("s0"), F.col("h1.k").alias("k1"), F.col("h1.sim").alias("s1"))
-    shared = cut(shared.join(heads, "key").select("key", "k", "sim", "n", "k0", "s0", "k1", "s1"))
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most_bits
+    ties = block_keys(lines.where("blocks is not null")).repartition("key")
+    several = ties.groupBy("key").agg(F.count("*").alias("size"), F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 < k1").select("key", "k0").hint("shuffle_hash")
+    shared = cut(ties.join(several, "key").distinct())
+    sized = shared.join(lines.select("k", "n"), "k")
+    heads = sized.groupBy("key").agg(F.max(F.struct("n", "k")).alias("h")).select("key", F.col("h.k").alias("k1"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = [shared.where(F.col("k") != F.col(f"k{h}")).where(close("sim", f"s{h}")).select(*pair("k", f"k{h}")) for h in range(2)]
+    stars = [shared.where("k <> k0").select(*pair("k", "k0")), shared.join(heads, "key").where("k <> k1").select(*pair("k", "k1"))]
     tried = cut(stars[0].unionByName(stars[1]).distinct())
-    edges = near(tried, lines, docs, similarity)
+    texts = texts_of(shared.select("k").distinct(), lines, docs)
+    edges = near(tried, texts, similarity)
     groups = components(edges)
-    member = lambda name, of: shared_groups.join(groups.select(F.col("node").alias(of), F.col("root").alias("_r")), of, "left").withColumn(name, F.coalesce("_r", of)).drop("_r")
-    shared_groups = shared.select("key", "k", "sim", "k0")
-    shared_groups = member("group", "k")
-    shared_groups = cut(member("head", "k0").select("key", "k", "sim", "group", "head"))
-    apart = shared_groups.where("group <> head").select("key", F.col("k").alias("k_"), F.col("sim").alias("sim_"), F.col("group").alias("group_"))
-    rest = apart.join(shared_groups, "key").where("group <> group_").where(close("sim", "sim_")).select(*pair("k", "k_")).distinct().join(tried, ["a", "b"], "left_anti")
-    return components(edges.unionByName(near(cut(rest), lines, docs, similarity)))
+    member = lambda of, name: groups.select(F.col("node").alias(of), F.col("root").alias(name))
+    grouped = shared.join(member("k", "_g"), "k", "left").join(member("k0", "_h"), "k0", "left")
+    grouped = cut(grouped.select("key", "k", F.coalesce("_g", "k").alias("group"), F.coalesce("_h", "k0").alias("head")))
+    apart = grouped.where("group <> head").select("key", F.col("k").alias("k_"), F.col("group").alias("group_"))
+    rest = cut(apart.join(grouped, "key").where("group <> group_").select(*pair("k", "k_")).distinct().join(tried, ["a", "b"], "left_anti"))
+    return groups if rest.isEmpty() else components(edges.unionByName(near(rest, texts, similarity)))
 
 
-def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, matching: int = MATCHING) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one occurrence of each group of near lines, plus n_lines and n_removed.
 
-    Lines are what newlines part. They are compared in normal form (``normalised``): equal forms are one
-    line; forms of LEAST_CHARS characters or more are near if their SimHashes (over words, or runs of characters
-    where there are fewer than ``least_words`` distinct words) differ in ``most_bits`` bits at most and their edit
-    similarity is ``similarity`` or more; a group is what near pairs connect. Pairs within SURE_BITS bits are surely
-    found, others if they share a key of least word hashes (the README gives the measured recall). The occurrence that stays is the first by doc_id (null last), text hash and position, with
+    Lines are what newlines part. They are compared by their words (``numbered_lines``): equal words are one
+    line; lines of LEAST_CHARS characters or more are near if they share a block key (``block_keys``; the
+    README gives the measured recall) and their edit similarity is ``similarity`` or more; a group is what near
+    pairs connect. The occurrence that stays is the first by doc_id (null last), text hash and position, with
     its own text. Lines without a letter or digit always stay. A null text stays null, with 0 lines.
     Rows with equal doc_id and text are one document given repeatedly and get equal results. An empty
     table gives an empty result. All columns are kept; n_lines and n_removed of ``docs`` are replaced.
@@ -233,14 +223,14 @@ def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, similarity: float =
     own = [f"c{k}" for k in range(len(names))]  # so that no column's name clashes with those made here
     doc_id, text_ = (own[names.index(c)] for c in ("doc_id", "text"))
     slim = docs.select("doc_id", "text")
-    places = occurrences(slim, least_words)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
-    lines = cut(places.groupBy("k", "sim").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.first("leasts").alias("leasts")))
-    groups = near_line_groups(lines, slim, most_bits, similarity, matching)
-    rooted = lines.join(groups.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("root"), "n", "first")
+    lines = cut(distinct_lines(slim))
+    groups = near_line_groups(lines, slim, similarity)
+    rooted = lines.select("k", "n", "first").join(groups.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("root"), "n", "first")
     heads = rooted.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("head")).where("total > 1")
-    kept = rooted.join(heads, "root").select("k", "head")
-    gone = places.join(kept, "k").where(first != F.col("head")).select("doc_id", "text_hash", "pos")
+    kept = cut(rooted.join(heads, "root").select("k", "head"))
+    places = numbered_lines(slim).select("doc_id", "text_hash", "pos", "k")
+    # Of the places of a line that many documents have, none meets its like: they are streamed past the few lines.
+    gone = marked(places, "k", kept.select("k")).where("_maybe").join(kept, "k").where(first_place() != F.col("head")).select("doc_id", "text_hash", "pos")
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     split = F.split(text_, "\n")
     # Documents that surely lose no line skip the join.

@@ -360,72 +360,82 @@ def distance(a, b):
     return row[-1]
 
 
-def test_line_dedup_equals_all_pairs(spark, empty):
+def normal(line):
+    return re.sub(r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", line.lower()).strip()
+
+
+def test_line_dedup_equals_all_pairs_by_edit_similarity_alone(spark, empty):
     long_line = prose(50, 300)
     lines = [prose(k, 30) for k in range(12)]
-    docs = [(k, "\n".join([lines[k % 12], edited(lines[(k + 3) % 12], k, k % 3), "***", "Short one!", lines[k % 12].upper() + "!"])) for k in range(30)] + [(40, long_line), (41, edited(long_line, 1, 3)), (42, None), (43, ""), (44, "\n\n")]
-    df = make(spark, docs)
-    places = line_dedup.occurrences(df.select("doc_id", "text")).collect()
-    norms = {r["k"]: r["norm"] for r in line_dedup.numbered_lines(df.select("doc_id", "text")).withColumn("k", F.xxhash64("norm")).collect()}
-    sims = {r["k"]: r["sim"] for r in places}
-    root = {k: k for k in norms}
+    docs = [(k, "\n".join([lines[k % 12], edited(lines[(k + 3) % 12], k, k % 3), "***", "Short one!", lines[k % 12].upper() + "!"])) for k in range(30)] + [(40, long_line), (41, edited(long_line, 1, 3)), (42, None), (43, ""), (44, "\n\n"), (None, lines[5])]
+    places = sorted(((i is None, i or 0, pos), i, normal(x)) for i, t in docs for pos, x in enumerate((t or "").split("\n")) if normal(x))
+    norms = sorted({x for *_, x in places})
+    root = {x: x for x in norms}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    keys = sorted(k for k in norms if sims[k] is not None)
-    for i, a in enumerate(keys):
-        for b in keys[:i]:
-            if bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= line_dedup.MOST_BITS and distance(norms[a], norms[b]) <= 0.2 * max(len(norms[a]), len(norms[b])) + 1e-9:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
+    for i, x in enumerate(norms):
+        for y in norms[:i]:
+            if len(x) >= line_dedup.LEAST_CHARS <= len(y) and distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
+                a, b = find(x), find(y)
+                root[max(a, b)] = min(a, b)
     first, gone = {}, {}
-    for r in sorted(places, key=lambda r: (r["doc_id"], r["text_hash"], r["pos"])):
-        if first.setdefault(find(r["k"]), r) is not r:
-            gone.setdefault(r["doc_id"], set()).add(r["pos"])
+    for place, i, x in places:
+        if first.setdefault(find(x), place) is not place:
+            gone.setdefault(i, set()).add(place[2])
     want = {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in docs}
-    for matching in (2, 3):
-        got = line_dedup.dedup_lines(df, matching=matching)
-        assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+    df = make(spark, docs)
+    got = line_dedup.dedup_lines(df)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
     assert got.columns == [*df.columns, "n_lines", "n_removed"]
-    assert any(len({find(k) for k in ks}) < len(ks) for ks in [keys])  # some near lines were found
+    assert len({find(x) for x in norms}) < len(norms)
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_lines_with_a_few_new_words_are_near(spark):
+def test_recall_of_near_lines(spark):
     r = random.Random(5)
-    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
-    cases, docs = ((8, 1, 0.85), (20, 1, 0.95), (20, 2, 0.85), (50, 3, 0.95), (80, 2, 0.95), (200, 5, 0.95)), []
-    for k, (n, edits, _) in enumerate(cases):
-        lines = [[word() for _ in range(n)] for _ in range(60)]
-        near = [list(ws) for ws in lines]
-        for ws in near:
-            for at in r.sample(range(n), edits):
-                ws[at] = word()
-        docs += [(2 * k + i, "\n".join(map(" ".join, x))) for i, x in enumerate((lines, near))]
-    short = ["subscribe to our newsletter", "subscribe to our newsletters", "something else entirely", "one", "two"]
-    got = {row["doc_id"]: row["n_removed"] for row in line_dedup.dedup_lines(make(spark, docs + [(100 + k, t) for k, t in enumerate(short)])).collect()}
-    assert all(got[2 * k] == 0 and got[2 * k + 1] >= least * 60 for k, (*_, least) in enumerate(cases)), got
-    assert [got[100 + k] for k in range(len(short))] == [0, 1, 0, 0, 0]
-
-
-def test_repeated_rows_have_the_simhash_of_one(spark):
-    texts = [prose(1, 30), edited(prose(1, 30), 1, 1), " ".join(f"w{k}" for k in range(120)), " ".join(f"w{k}" for k in range(300))]
-    sims = lambda times: {(r["doc_id"], r["k"], r["sim"]) for r in line_dedup.occurrences(make(spark, list(enumerate(texts)) * times).select("doc_id", "text")).collect()}
-    assert sims(1) == sims(3)
-
-
-def test_simhash_is_a_majority(spark):
-    (row,) = line_dedup.occurrences(spark.createDataFrame([(1, "red Green, blue red white black")], "doc_id long, text string")).collect()
-    hashes = [r["h"] for r in spark.createDataFrame([(w,) for w in ("red", "green", "blue", "white", "black")], "w string").select(F.xxhash64("w").alias("h")).collect()]
-    assert row["sim"] & (2**64 - 1) == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
+    cases, docs, near_pairs = ((5, 1), (8, 1), (12, 1), (20, 1), (20, 2), (23, 1), (31, 2), (40, 2), (50, 3), (80, 8), (200, 5), (200, 20)), [], Counter()
+    for k, case in enumerate(cases):
+        for kind in ("new", "out", "in", "letter"):
+            lines = [[word() for _ in range(case[0])] for _ in range(50)]
+            near = [list(ws) for ws in lines]
+            for ws, old in zip(near, lines, strict=True):
+                for at in sorted(r.sample(range(case[0]), case[1]), reverse=True):
+                    ws[at : at + 1] = {"new": [word()], "out": [], "in": [ws[at], word()], "letter": [ws[at] + "x"]}[kind]
+                # Ten letters at most for each edit of a word, so these are surely near.
+                near_pairs[2 * len(docs)] += 10 * case[1] <= 0.2 * len(" ".join(old)) or distance(" ".join(ws), " ".join(old)) <= 0.2 * max(len(" ".join(ws)), len(" ".join(old)))
+            docs.append((2 * len(docs), "\n".join(map(" ".join, lines)), "\n".join(map(" ".join, near))))
+    got = {row["doc_id"]: row["n_removed"] for row in line_dedup.dedup_lines(make(spark, [x for i, a, b in docs for x in ((i, a), (i + 1, b))])).collect()}
+    found = [got[i + 1] / max(near_pairs[i], 1) for i, *_ in docs]
+    assert all(got[i] == 0 and got[i + 1] <= near_pairs[i] for i, *_ in docs)
+    assert sum(got.values()) >= 0.95 * sum(near_pairs.values()), found
+    assert sum(x >= 0.9 for x, (i, *_) in zip(found, docs, strict=True) if near_pairs[i] >= 8) >= 0.85 * sum(n >= 8 for n in near_pairs.values()), found
+
+
+def test_short_and_repeated_lines(spark):
+    short = ["subscribe to our newsletter", "subscribe to our newsletters", "something else entirely", "one", "two", "ones", "w" * 5000, "w" * 5000 + "v", "one\none"]
+    for times in (1, 3):
+        got = {row["doc_id"]: row["n_removed"] for row in line_dedup.dedup_lines(make(spark, [(k, t) for k, t in enumerate(short)] * times)).collect()}
+        assert [got[k] for k in range(len(short))] == [0, 1, 0, 0, 0, 0, 0, 1, 2]
+
+
+def test_a_block_has_the_bits_of_most_of_its_words(spark):
+    words = [f"w{k}" for k in range(24)]
+    (row,) = line_dedup.with_blocks(spark.createDataFrame([(words,)], "words array<string>")).collect()
+    hashes = [r["h"] for r in spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").orderBy("k").select(F.xxhash64("w").alias("h")).collect()]
+    bits = lambda hs: sum(1 << k for k in range(32, 64) if 2 * sum(h >> k & 1 for h in hs) > len(hs)) >> 32
+    for size, got in ((4, row["blocks"][:7]), (3, row["blocks"][7:])):
+        starts = (0, size, 24 - size, 24 - 2 * size, 2 * size, 24 - 3 * size)
+        assert [x % 2**32 for x in got] == [size, *(bits(hashes[i : i + size]) for i in starts)]
 
 
 def test_native_plan_has_no_python(spark):
     df = make(spark, [(1, prose(1))])
-    plan = line_dedup.occurrences(df)._jdf.queryExecution().executedPlan().toString() + line_dedup.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
+    plan = line_dedup.distinct_lines(df)._jdf.queryExecution().executedPlan().toString() + line_dedup.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
