@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 #: A word: a run of anything but the six ASCII white-space characters.
@@ -24,17 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the cluster shares.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests in local
-    mode) a temporary folder is made.
-    """
+    """Cut lineage with a reliable checkpoint in the folder that the cluster shares, the session's ``spark.checkpoint.dir``."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ..., so that none clashes with those that an operator adds; and the new name of each."""
+    new = {name: f"c{k}" for k, name in enumerate(df.columns)}
+    return df.toDF(*new.values()), new
+
+
+def share(rows: int, of: int) -> Column:
+    """Whether a 64-bit hash (column ``pick``) is among the lowest, so that about ``rows`` of ``of`` evenly drawn ones are."""
+    return F.col("pick") <= min(round(rows / max(of, 1) * 2.0**64) - 2**63, 2**63 - 1)
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, flush: int = 2000) -> DataFrame:
     """Run a generator over each partition's rows (as tuples, streamed), and return its tuples as a DataFrame."""
 

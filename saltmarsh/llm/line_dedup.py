@@ -65,39 +65,48 @@ def char_blocks() -> Column:
 
 
 def with_blocks(lines: DataFrame) -> DataFrame:
-    """``lines`` (with words) with blocks and but_one, which are null for lines that are too short.
+    """``lines`` (with words) with size, w0, w1, w2, more and but_one, which are null where they do not apply.
 
-    blocks has the SimHashes of the line one after another. A line at the border of two sizes of block has
-    both, and one of just enough words those of characters too. but_one has keys of lines of few words, in
-    which each word is a block and all blocks but one are equal.
+    The first four are the line's SimHash: the words in a block, and the blocks, two in each long. more has
+    further SimHashes one after another: a line at the border of two sizes of block has both, and one of few
+    words those of characters. but_one has keys of lines of few words, in which each word is a block and all
+    blocks but one are equal. Lines that are too short have none.
     """
     n = F.size("words")
     few, enough = n < WORDS + 3, (n >= 3) | (F.length("norm") >= LEAST_CHARS)
     split = lines.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "norm": F.when(few, F.array_join("words", " "))})
     size = F.least(F.floor(n / BLOCKS), F.lit(BLOCK_WORDS)).cast("int")
     border = (n >= 2 * BLOCKS) & (n < BLOCKS * BLOCK_WORDS + 2) & (n % BLOCKS < 2)
-    some = F.array_compact(F.array(F.when(n >= WORDS, word_blocks(size)), F.when(border, word_blocks(size - 1)), F.when(n < WORDS + 2, char_blocks())))
+    further = F.when(border, word_blocks(size - 1)).when(enough & (n < WORDS + 2), char_blocks())
     # All of the words as blocks of their own, and all but each one of them.
     but_one = F.when(few & enough & (n > 1), F.transform(F.sequence(F.lit(0), n), lambda k: F.xxhash64(F.filter("hashes", lambda _, i: i != k))))
-    return split.withColumns({"blocks": F.when(enough, F.flatten(some)), "but_one": but_one}).drop("hashes", "norm")
+    # A generator, as the optimiser would put what a plain column holds in each place that asks for it.
+    told = split.select(*lines.columns, F.inline(F.array(F.struct(F.when(n >= WORDS, word_blocks(size)).alias("own"), further.alias("more"), but_one.alias("but_one")))))
+    low = lambda k: F.get("own", F.lit(k)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    packed = {f"w{j}": F.shiftleft(low(2 * j + 1), 32).bitwiseOR(low(2 * j + 2)) for j in range(BLOCKS // 2)}
+    return told.withColumns({"size": F.get("own", F.lit(0)), **packed}).drop("own")
 
 
-def block_keys(lines: DataFrame) -> DataFrame:
-    """key and k: a key for each choice of EQUAL blocks of each SimHash of a line.
+def simhashes(lines: DataFrame) -> DataFrame:
+    """k, size and b (the blocks) of each SimHash of ``lines``."""
+    halves = [F.shiftright(f"w{j}", 32).cast("int") if half == 0 else F.shiftright(F.shiftleft(f"w{j}", 32), 32).cast("int") for j in range(BLOCKS // 2) for half in range(2)]
+    own = lines.where("size is not null").select("k", "size", F.array(*halves).alias("b"))
+    more = lines.where("more is not null").select("k", F.get("more", F.lit(0)).alias("size"), F.slice("more", 2, BLOCKS).alias("b"))
+    return own.unionByName(more)
+
+
+def block_keys(hashed: DataFrame, finer: bool = False) -> DataFrame:
+    """key and k: a key for each choice of EQUAL blocks of each SimHash in ``hashed``; ``finer``: of each greater number of blocks.
 
     By the pigeonhole principle two lines share a key if their edits leave that many blocks of a SimHash
     untouched, so surely if no more than BLOCKS - EQUAL places of one of the other's words are edited.
     """
-    choices = {r: F.array(*(F.array(*map(F.lit, (c + (-1,) * 4)[:4])) for c in combinations(range(BLOCKS), r))) for r in set(EQUAL.values())}
-    of = F.col("sizes")
     picked = F.lit(None)
-    for size, r in EQUAL.items():
-        picked = F.when(of == size, choices[r]).otherwise(picked)
-    each = lines.select("k", "blocks", F.explode(F.sequence(F.lit(0), F.size("blocks") - 1, F.lit(BLOCKS + 1))).alias("from"))
-    each = each.select("k", F.slice("blocks", F.col("from") + 2, F.lit(BLOCKS)).alias("b"), F.get("blocks", "from").alias("sizes"))
-    chosen = each.select("k", "b", "sizes", F.explode(picked).alias("c"))
-    keys = chosen.select(F.xxhash64("sizes", "c", *(F.get("b", F.get("c", F.lit(i))) for i in range(4))).alias("key"), "k")
-    return keys.unionByName(lines.where("but_one is not null").select(F.explode("but_one").alias("key"), "k"))
+    for size, equal in EQUAL.items():
+        chosen = [c for r in (range(equal + 1, BLOCKS + 1) if finer else [equal]) for c in combinations(range(BLOCKS), r)]
+        picked = F.when(F.col("size") == size, F.array(*(F.array(*map(F.lit, (c + (-1,) * BLOCKS)[:BLOCKS])) for c in chosen))).otherwise(picked)
+    rows = hashed.select("k", "size", "b", F.explode(picked).alias("c"))
+    return rows.select(F.xxhash64("size", "c", *(F.get("b", F.get("c", F.lit(i))) for i in range(BLOCKS))).alias("key"), "k")
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -116,10 +125,15 @@ def first_place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """k (a hash of its words), n (places), first (its first place), blocks and but_one of each distinct line."""
-    lines = with_blocks(numbered_lines(docs)).select("k", first_place().alias("at"), "blocks", "but_one")
-    return lines.groupBy("k").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.first("blocks").alias("blocks"), F.first("but_one").alias("but_one"))
+def places_of(docs: DataFrame) -> DataFrame:
+    """Each line's key k, place and SimHashes (``with_blocks``)."""
+    return with_blocks(numbered_lines(docs)).drop("words")
+
+
+def distinct_lines(places: DataFrame) -> DataFrame:
+    """k, n (places), home (a text that has it), size and w0, w1, w2 of each distinct line of ``places``."""
+    same = [F.max(c).alias(c) for c in ("size", *(f"w{j}" for j in range(BLOCKS // 2)))]
+    return places.groupBy("k").agg(F.count("*").alias("n"), F.min("text_hash").alias("home"), *same)
 
 
 def bitmap(keys: Column) -> tuple[Column, Column]:
@@ -172,40 +186,51 @@ def texts_of(keys: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     The text of a line is read from its first document; documents that are surely none of those are not
     even normalised.
     """
-    homes = cut(keys.join(lines.select("k", F.col("first.text_hash").alias("home")), "k"))
+    homes = cut(keys.join(lines.select("k", "home"), "k"))
     some = marked(docs.withColumn("_h", F.xxhash64("text")), "_h", homes.select("home").distinct()).where("_maybe").select("doc_id", "text")
     found = marked(numbered_lines(some).select("k", "words"), "k", homes.select("k")).where("_maybe").select("k", "words")
     return cut(with_codes(found).join(homes, "k", "left_semi").dropDuplicates(["k"]))
 
 
-def near_line_groups(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def buckets(ties: DataFrame) -> DataFrame:
+    """``ties`` (key, k) whose key several lines have, each with the least (k0) and the greatest (k1) of them.
+
+    Dealt by key once: the count and the join both use this exchange. Few keys are shared, so the join holds
+    those of a partition and streams the ties past them, unsorted.
+    """
+    ties = ties.repartition("key")
+    several = ties.groupBy("key").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 < k1").hint("shuffle_hash")
+    return cut(ties.join(several, "key").distinct())
+
+
+def near_line_groups(places: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Connected groups of near lines: node and root for the keys that are not their group's root.
 
-    ``lines`` are those of ``distinct_lines``. Lines that share a block key are a bucket. First, each line of a
-    bucket is held against its most frequent line and its first by key, which joins most of what belongs
-    together in rows linear in the bucket. Then the lines that are still apart from their bucket's head
-    are held against the bucket's lines of other groups. So every near pair of a bucket is either found or
-    lies inside a group already.
+    Lines that share a block key are a bucket. Each line of a bucket is held against two heads of the bucket,
+    which finds most of what belongs together. The lines that are not near the first head then have two
+    heads of their own, and those still apart meet in finer buckets, of lines with more equal blocks. So
+    the pairs grow with the lines of a bucket and not with their square.
     """
-    # Dealt by key once: the count and the join below both use this exchange. Few keys are shared, so the
-    # join holds those of a partition and streams the ties past them, unsorted.
-    ties = block_keys(lines.where("blocks is not null")).repartition("key")
-    several = ties.groupBy("key").agg(F.count("*").alias("size"), F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 < k1").select("key", "k0").hint("shuffle_hash")
-    shared = cut(ties.join(several, "key").distinct())
-    sized = shared.join(lines.select("k", "n"), "k")
-    heads = sized.groupBy("key").agg(F.max(F.struct("n", "k")).alias("h")).select("key", F.col("h.k").alias("k1"))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = [shared.where("k <> k0").select(*pair("k", "k0")), shared.join(heads, "key").where("k <> k1").select(*pair("k", "k1"))]
-    tried = cut(stars[0].unionByName(stars[1]).distinct())
+    more = cut(places.where("more is not null or but_one is not null").select("k", "more", "but_one").dropDuplicates(["k"]))
+    hashed = simhashes(lines.select("*", F.lit(None).cast("array<int>").alias("more"))).unionByName(simhashes(more.select("*", F.lit(None).cast("int").alias("size"), *(F.lit(None).cast("long").alias(f"w{j}") for j in range(BLOCKS // 2)))))
+    shared = buckets(block_keys(hashed).unionByName(more.where("but_one is not null").select(F.explode("but_one").alias("key"), "k")))
     texts = texts_of(shared.select("k").distinct(), lines, docs)
-    edges = near(tried, texts, similarity)
-    groups = components(edges)
-    member = lambda of, name: groups.select(F.col("node").alias(of), F.col("root").alias(name))
-    grouped = shared.join(member("k", "_g"), "k", "left").join(member("k0", "_h"), "k0", "left")
-    grouped = cut(grouped.select("key", "k", F.coalesce("_g", "k").alias("group"), F.coalesce("_h", "k0").alias("head")))
-    apart = grouped.where("group <> head").select("key", F.col("k").alias("k_"), F.col("group").alias("group_"))
-    rest = cut(apart.join(grouped, "key").where("group <> group_").select(*pair("k", "k_")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return groups if rest.isEmpty() else components(edges.unionByName(near(rest, texts, similarity)))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    def held(rows: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pairs of ``rows`` with their heads but those held against each other ``before``, the near ones, and the rows that are not near the first."""
+        pairs = rows.select("k", F.explode(F.array("k0", "k1")).alias("h")).where("k <> h").select(*pair("k", "h")).distinct()
+        pairs = cut(pairs.join(before, ["a", "b"], "left_anti") if before else pairs)
+        found = near(pairs, texts, similarity)
+        lone = rows.where("k <> k0").select("key", "k", *pair("k", "k0")).join(found, ["a", "b"], "left_anti").select("key", "k")
+        return pairs, found, lone
+
+    tried, edges, lone = held(shared, None)
+    second = buckets(lone)
+    again, more_edges, lone = held(second, tried)
+    third = buckets(block_keys(hashed.join(lone.select("k").distinct(), "k", "left_semi"), finer=True))
+    _, last, _ = held(third, tried.unionByName(again))
+    return components(edges.unionByName(more_edges).unionByName(last))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -223,14 +248,15 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     own = [f"c{k}" for k in range(len(names))]  # so that no column's name clashes with those made here
     doc_id, text_ = (own[names.index(c)] for c in ("doc_id", "text"))
     slim = docs.select("doc_id", "text")
-    lines = cut(distinct_lines(slim))
-    groups = near_line_groups(lines, slim, similarity)
-    rooted = lines.select("k", "n", "first").join(groups.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("root"), "n", "first")
-    heads = rooted.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("head")).where("total > 1")
-    kept = cut(rooted.join(heads, "root").select("k", "head"))
-    places = numbered_lines(slim).select("doc_id", "text_hash", "pos", "k")
-    # Of the places of a line that many documents have, none meets its like: they are streamed past the few lines.
-    gone = marked(places, "k", kept.select("k")).where("_maybe").join(kept, "k").where(first_place() != F.col("head")).select("doc_id", "text_hash", "pos")
+    places = cut(places_of(slim))
+    lines = cut(distinct_lines(places))
+    groups = near_line_groups(places, lines, slim, similarity)
+    rooted = lines.select("k", "n").join(groups.withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("root"), "n")
+    kept = cut(rooted.join(rooted.groupBy("root").agg(F.sum("n").alias("total")).where("total > 1"), "root").select("k", "root"))
+    # Places of lines that surely have no like stay out of the join.
+    often = cut(marked(places.select("k", "doc_id", "text_hash", "pos"), "k", kept.select("k")).where("_maybe").join(kept, "k").select("root", first_place().alias("place")))
+    heads = often.groupBy("root").agg(F.min("place").alias("head"))
+    gone = often.join(heads, "root").where("place <> head").select("place.doc_id", "place.text_hash", "place.pos")
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     split = F.split(text_, "\n")
     # Documents that surely lose no line skip the join.
@@ -244,6 +270,6 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     text = F.when(F.col("_gone").isNull(), F.col(text_)).otherwise(F.array_join(F.flatten(runs), "\n"))
     return whole.select(
         *((text if c == text_ else F.col(c)).alias(name) for c, name in zip(own, names, strict=True)),
-        F.when(F.col(text_).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.coalesce(F.length(text_) - F.length(F.replace(text_, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -9,11 +9,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from saltmarsh.llm.common import map_rows
+from saltmarsh.llm.common import cut, map_rows, renamed, share
 from saltmarsh.llm.stats import FEATURES, Reader
 
-#: The linear scorer is fitted on so many documents at most, chosen by a hash of doc_id and text.
+#: The linear scorer is fitted on about so many documents (in the mean), chosen by a hash of doc_id and text; equal rows count as one with a weight.
 TRAIN_ROWS = 10_000
 BUCKETS = 1024
 
@@ -33,8 +34,7 @@ LABELLERS = (
 #: Shapes of ordinary words, see Shapes.
 PLAIN = ("a", "Aa", "A", "a.", "Aa.", "A.", "a,", "Aa,", "A,", "a;", "a:", "a?", "a!", "0")
 
-_VOTES = pa.schema([("votes", pa.int32())])
-_TRAIN = pa.schema([("votes", pa.int32()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
+_READ = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pick", pa.int64()), ("words", pa.bool_()), ("votes", pa.int32()), ("at", pa.list_(pa.int16())), ("value", pa.list_(pa.float32()))])
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("posterior", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
 
 
@@ -103,79 +103,88 @@ _PLAIN = np.zeros(BUCKETS, bool)
 _PLAIN[[_bucket(shape) for shape in PLAIN]] = True
 
 
-def hashed(at: np.ndarray, features: list[float]) -> np.ndarray:
-    """A text as hashed counts of word shapes (log, unit length) and of statistics by steps of an eighth."""
+def hashed(at: np.ndarray, features: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """A text as hashed counts of word shapes (log, unit length) and of statistics by steps of an eighth: buckets and values."""
     x = np.log1p(np.bincount(at, minlength=BUCKETS)).astype(np.float32)
     x /= max(float(np.linalg.norm(x)), 1e-9)
     for name, value in zip(FEATURES, features, strict=True):
         if name.endswith("share") or name.endswith("per_word"):
-            x[_bucket(f"{name}:{min(int(8 * value), 8)}")] += 0.5
-    return x
+            x[_STEPS[name][min(int(8 * value), 8)]] += 0.5
+    used = np.flatnonzero(x)
+    return used, x[used]
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full gradient steps with per-weight rates; both kinds weigh the same."""
-    w, b, seen = np.zeros(x.shape[1], np.float64), 0.0, np.full(x.shape[1] + 1, 1e-8)
-    weight = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+_STEPS = {name: [_bucket(f"{name}:{k}") for k in range(9)] for name in FEATURES}
+
+
+def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, many: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by full gradient steps with per-weight rates; both kinds weigh the same.
+
+    ``row``, ``column`` and ``value`` are the entries of the sparse matrix, ``many`` the rows' own weights.
+    """
+    w, b, seen = np.zeros(BUCKETS), 0.0, np.full(BUCKETS + 1, 1e-8)
+    weight = many * (y / max((many * y).sum(), 1e-9) + (1 - y) / max((many * (1 - y)).sum(), 1e-9))
+    for _ in range(rounds if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[column], len(y)) + b, -30, 30)))
         error = weight * (p - y)
-        g = np.append(x.T @ error + decay * w, error.sum())
+        g = np.append(np.bincount(column, value * error[row], BUCKETS) + decay * w, error.sum())
         seen += g * g
         step = rate * g / np.sqrt(seen)
         w, b = w - step[:-1], b - step[-1]
     return w, float(b)
 
 
+def entries(at: pa.ListArray, value: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and value of each entry of lists of buckets and values."""
+    row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+    return row, at.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(np.float64)
+
+
 def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, text_hash, posterior (of the labellers), score (of the linear scorer) and kept, for every document.
 
-    The votes on all documents are counted by pattern (3 to the number of labellers at most, so they
-    fit the driver) and give the labellers' accuracies. The scorer is fitted on the posteriors of
-    ``train_rows`` documents. A document is kept if its score is 0.5 or more; one without a word (also
-    a null text) is not kept. Rows with equal doc_id are judged each by its own text. An empty table
-    gives an empty result. Other columns of ``docs`` are not used.
+    Each text is read once, to votes and hashed features. The votes on all documents are counted by pattern (3 to
+    the number of labellers at most, so they fit the driver) and give the labellers' accuracies. The scorer
+    is fitted on the posteriors of about ``train_rows`` documents. A document is kept if its score is 0.5 or more;
+    one without a word (also a null text) is not kept. Rows with equal doc_id are judged each by its own
+    text. Equal scores are of no account. An empty table gives an empty result. Other columns of ``docs`` are not used.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h"))
-
-    def voted(rows: Iterator[tuple]) -> Iterator[tuple]:
-        reader, shapes = Reader(), Shapes()
-        for (text,) in rows:
-            words, _, features = reader.read(text)
-            yield (vote(features, shapes.of(words)),)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = own.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64("doc_id", F.xxhash64("text")).alias("pick"))
 
-    def featured(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def read(rows: Iterator[tuple]) -> Iterator[tuple]:
         reader, shapes = Reader(), Shapes()
-        for (text,) in rows:
+        for doc_id, text, text_hash, pick in rows:
             words, _, features = reader.read(text)
-            x = hashed(at := shapes.of(words), features)
-            used = np.flatnonzero(x)
-            yield vote(features, at), used.tolist(), x[used].tolist()
+            buckets = shapes.of(words)
+            at, value = hashed(buckets, features)
+            yield doc_id, text_hash, pick, bool(words), vote(features, buckets), at, value
 
-    found = map_rows(texts.select("text"), voted, _VOTES, flush=20_000).groupBy("votes").count().collect()
+    told = cut(map_rows(texts, read, _READ))
+    found = told.groupBy("votes").count().collect()
     codes, counts = np.array([r["votes"] for r in found], np.int64), np.array([r["count"] for r in found], float)
     odds, prior = accuracies(codes, counts)
-    chosen = texts.orderBy(F.xxhash64("doc_id", "h"), "doc_id").limit(train_rows).select("text")
-    sample = map_rows(chosen, featured, _TRAIN).collect()
-    x = np.zeros((len(sample), BUCKETS), np.float32)
-    for k, row in enumerate(sample):
-        x[k, row["at"]] = row["value"]
-    w, b = fit(x, posterior(np.array([r["votes"] for r in sample], np.int64), odds, prior))
+    chosen = told.where(share(train_rows, int(counts.sum()))).groupBy("pick").agg(F.count("*").alias("many"), *(F.first(c).alias(c) for c in ("votes", "at", "value")))
+    sample = chosen.orderBy("pick").toArrow().combine_chunks()
+    lists = [sample[c].chunk(0) if sample[c].num_chunks else pa.array([], t) for c, t in (("at", pa.list_(pa.int16())), ("value", pa.list_(pa.float32())))]
+    w, b = fit(*entries(*lists), posterior(sample["votes"].to_numpy().astype(np.int64), odds, prior), sample["many"].to_numpy().astype(float))
     model = docs.sparkSession.sparkContext.broadcast((odds, prior, w, b))
 
-    def scored(rows: Iterator[tuple]) -> Iterator[tuple]:
-        reader, shapes = Reader(), Shapes()
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds, prior, w, b = model.value
-        for doc_id, text, text_hash in rows:
-            words, _, features = reader.read(text)
-            at = shapes.of(words)
-            score = 1 / (1 + np.exp(-float(np.clip(hashed(at, features) @ w + b, -30, 30))))
-            yield doc_id, text_hash, float(posterior(vote(features, at), odds, prior)[0]), score, bool(words) and score >= 0.5
+        for batch in batches:
+            row, column, value = entries(batch["at"], batch["value"])
+            scores = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[column], len(batch)) + b, -30, 30)))
+            good = posterior(batch["votes"].to_numpy().astype(np.int64), odds, prior)
+            kept = batch["words"].to_numpy(zero_copy_only=False) & (scores >= 0.5)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(good), pa.array(scores), pa.array(kept)], schema=_SCHEMA)
 
-    return map_rows(texts, scored, _SCHEMA)
+    return told.select("doc_id", "text_hash", "words", "votes", "at", "value").mapInArrow(score, from_arrow_schema(_SCHEMA))
 
 
 def keep_good(docs: DataFrame, **how: int) -> DataFrame:
-    """The documents that ``classify`` keeps, with all their columns."""
-    kept = classify(docs, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
+    """The documents that ``classify`` keeps, with all their columns, whatever these are named."""
+    kept = classify(docs, **how).where("kept").select("doc_id", "text_hash").distinct()
+    rows, new = renamed(docs)
+    same = F.col(new["doc_id"]).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col(new["text"]).cast("string")) == F.col("text_hash"))
+    return rows.join(kept, same, "left_semi").toDF(*docs.columns)

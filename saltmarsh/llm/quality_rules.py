@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import map_rows
+from saltmarsh.llm.common import map_rows, share
 from saltmarsh.llm.stats import FEATURES, Reader
 
-#: The classifier is fitted on so many labelled rows at most, chosen by a hash of doc_id.
+#: The classifier is fitted on about so many labelled documents (in the mean), chosen by a hash of doc_id.
 TRAIN_ROWS = 20_000
 #: Quality never rises with these.
 FALLING = ("symbols_per_word", "dup_line_share", "repeat_share", "upper_share", "shouts_per_word", "bar_share", "same_as_previous_share")
@@ -21,7 +21,7 @@ MIN_WORDS = 20
 MOST_REPEAT_PERCENT = 30
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("score", pa.float64())])
-_TRAIN = pa.schema([("label", pa.float64()), ("features", pa.list_(pa.float64()))])
+_TRAIN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("label", pa.float64()), ("features", pa.list_(pa.float64()))])
 
 
 @dataclass
@@ -44,16 +44,18 @@ class Trees:
         return k
 
     def freeze(self) -> Trees:
-        for name in ("feature", "threshold", "left", "right", "value"):
-            setattr(self, name, np.asarray(getattr(self, name)))
+        for name, kind in (("feature", np.int64), ("threshold", float), ("left", np.int64), ("right", np.int64), ("value", float)):
+            setattr(self, name, np.asarray(getattr(self, name), kind))
         return self
 
     def margins(self, x: np.ndarray) -> np.ndarray:
+        if not self.roots:
+            return np.full(len(x), self.bias)
         at = np.broadcast_to(np.asarray(self.roots, np.int64), (len(x), len(self.roots)))
         row = np.arange(len(x))[:, None]
         for _ in range(self.depth):
             at = np.where(x[row, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
-        return self.bias + (self.value[at].sum(1) if self.roots else 0.0)
+        return self.bias + self.value[at].sum(1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.margins(x)))
@@ -112,20 +114,22 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 40, depth:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
-    """Fit on the labelled documents, ``most`` at most (those with the lowest hash of doc_id).
+    """Fit on about ``most`` of the labelled documents, those with the lowest hash of doc_id.
 
-    The chosen labels, at most ``most`` rows of two numbers, are broadcast, so no text is shuffled.
+    A doc_id with several labels has their mean, and one with several texts is learned from the text with
+    the least hash. The chosen labels, about ``most`` rows of two numbers, are broadcast, so no text is shuffled.
     """
-    chosen = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("label"))
+    chosen = known.withColumn("pick", F.xxhash64("doc_id")).where(share(most, known.count())).select("doc_id", "label")
 
     def rows(labelled: Iterator[tuple]) -> Iterator[tuple]:
         reader = Reader()
-        for label, text in labelled:
-            yield label, reader.read(text)[2]
+        for doc_id, text_hash, label, text in labelled:
+            yield doc_id, text_hash, label, reader.read(text)[2]
 
-    got = map_rows(docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("label", "text"), rows, _TRAIN).limit(2 * most).collect()
-    got.sort()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    read = map_rows(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "label", "text"), rows, _TRAIN)
+    got = sorted(read.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("features", "text_hash").alias("features")).collect())
     x, y = np.array([r["features"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in got])
     return fit(x, y, np.array([-1 if f in FALLING else 0 for f in FEATURES]))
 

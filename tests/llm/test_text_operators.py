@@ -428,14 +428,16 @@ def test_a_block_has_the_bits_of_most_of_its_words(spark):
     (row,) = line_dedup.with_blocks(spark.createDataFrame([(words,)], "words array<string>")).collect()
     hashes = [r["h"] for r in spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").orderBy("k").select(F.xxhash64("w").alias("h")).collect()]
     bits = lambda hs: sum(1 << k for k in range(32, 64) if 2 * sum(h >> k & 1 for h in hs) > len(hs)) >> 32
-    for size, got in ((4, row["blocks"][:7]), (3, row["blocks"][7:])):
+    (own,) = line_dedup.simhashes(line_dedup.with_blocks(spark.createDataFrame([(1, words)], "k long, words array<string>")).withColumn("more", F.lit(None).cast("array<int>"))).collect()
+    for size, got in ((own["size"], own["b"]), (row["more"][0], row["more"][1:])):
         starts = (0, size, 24 - size, 24 - 2 * size, 2 * size, 24 - 3 * size)
-        assert [x % 2**32 for x in got] == [size, *(bits(hashes[i : i + size]) for i in starts)]
+        assert [x % 2**32 for x in got] == [bits(hashes[i : i + size]) for i in starts]
+    assert (own["size"], row["more"][0]) == (4, 3)
 
 
 def test_native_plan_has_no_python(spark):
     df = make(spark, [(1, prose(1))])
-    plan = line_dedup.distinct_lines(df)._jdf.queryExecution().executedPlan().toString() + line_dedup.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
+    plan = line_dedup.places_of(df)._jdf.queryExecution().executedPlan().toString() + line_dedup.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
