@@ -1,10 +1,11 @@
-"""HTML extraction: occurrence vectors of tokens over same-host pages give a template, whose main slot is the text."""
+"""HTML extraction: valid classes of tokens with equal occurrence vectors over same-host pages nest into a template, whose main slot is the text."""
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -13,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import map_rows
+from saltmarsh.llm.common import cut, map_rows
 
 #: Pages of a host that share a template, on average; larger hosts are dealt to several groups.
 GROUP = 32
-#: Pages from which constant text is believed to be the template's.
-LEAST_PAGES = 4
-#: An element deeper than this is taken for its ancestor of this depth.
-MOST_DEPTH = 100
+#: Distinct pages that must support a class of tokens, or text as the template's own. Fewer are no evidence.
+SUPPORT = 3
+#: Elements with names of furniture one inside another that are told apart; all within the last of them belongs to it.
+MOST_NAMED = 100
+#: Hosts with more pages than GROUP are broadcast up to so many, and joined by a shuffle beyond.
+MOST_BROADCAST_ROWS = 50_000
 
 # Names of HTML elements and of roles, and words that name page furniture in class and id attributes.
 BLOCKS = frozenset(
@@ -51,7 +54,7 @@ _SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.
 
 @dataclass
 class Block:
-    path: str
+    path: int
     furniture: bool
     text: str
     links: int
@@ -60,16 +63,18 @@ class Block:
 
 @dataclass
 class Page:
-    """A page's blocks of text, and how often each path of elements opens."""
+    """A page's blocks of text, and its element tokens: the path of names from the root down, as a hash, in order of opening."""
 
     blocks: list[Block] = field(default_factory=list)
-    opened: Counter = field(default_factory=Counter)
+    order: list[int] = field(default_factory=list)
+    parent: dict[int, int] = field(default_factory=dict)
+    tag: dict[int, str] = field(default_factory=dict)
 
 
 def _named(tag: str, attributes: dict[str, str]) -> str:
     """An element's token: its tag with its first class, or else its id, numbers left out."""
     name = (attributes.get("class", "").split() or attributes.get("id", "").split() or [""])[0]
-    return f"{tag}.{re.sub('[0-9]+', '', name)[:40]}" if name else tag
+    return f"{tag}.{re.sub('[0-9]+', '', name)}" if name else tag
 
 
 def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
@@ -116,11 +121,12 @@ def _judge(blocks: list[Block], slots: dict[int, str], holders: dict[int, tuple[
 
 def parse(source: str) -> Page:
     """Cut a page at block elements. Missing end tags are implied the usual way; unclosed elements end with the page."""
-    page, stack = Page(), [("", "", False, False, False, (), 0, False, 0)]  # tag, path, furniture, inside an article, inside a link, named elements and slots around, slot, skipped, where a block breaks out to
+    page, stack = Page(), [("", 0, False, False, False, (), 0, False, 0)]  # tag, path, furniture, inside an article, inside a link, named elements and slots around, slot, skipped, where a block breaks out to
     slots: dict[int, str] = {}
     holders: dict[int, tuple[int, ...]] = {}
     within: dict[int, int] = {}
     number = 0
+    standing: Counter[str] = Counter()  # tags on the stack, so that end tags of none of them cost nothing
     parts: list[str] = []
     links = 0
 
@@ -136,6 +142,7 @@ def parse(source: str) -> Page:
     def pop_to(depth: int) -> None:
         if any(x[0] in BLOCKS for x in stack[depth:]):
             close_block()
+        standing.subtract(x[0] for x in stack[depth:])
         del stack[depth:]
 
     for m in _TOKEN.finditer(source):
@@ -147,6 +154,8 @@ def parse(source: str) -> Page:
                     links += len(m[0].split())
             continue
         tag = tag.lower()
+        if end and not standing[tag]:
+            continue
         if end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -159,9 +168,10 @@ def parse(source: str) -> Page:
             parts.append(" ")
         if tag in BLOCKS:
             if stack[-1][8]:
+                standing.subtract(x[0] for x in stack[stack[-1][8] :])
                 del stack[stack[-1][8] :]
             close_block()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if standing["p"] > 0 or any(standing[x] > 0 for x in CLOSES.get(tag, ())) else ():
                 if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
                     pop_to(k)
                     break
@@ -173,9 +183,10 @@ def parse(source: str) -> Page:
         _, path, furniture, inside, link, named, slot, skipped, broken = stack[-1]
         skipped = skipped or tag in SKIPPED
         broken = broken or (len(stack) if tag in BROKEN else 0)
-        if len(stack) <= MOST_DEPTH and tag in BLOCKS and not skipped:
-            path = f"{path}>{_named(tag, attributes)}"
-            page.opened[path] += 1
+        if tag in BLOCKS and not skipped:
+            above, path = path, hash((path, _named(tag, attributes)))
+            page.order.append(path)
+            page.parent[path], page.tag[path] = above, tag
         role = attributes.get("role", "").lower()
         is_slot = tag in ("article", "main") or role in ("main", "article")
         inside = inside or is_slot
@@ -183,71 +194,154 @@ def parse(source: str) -> Page:
         number += 1
         if is_slot and not furniture and not skipped and not slot:
             slots[number], holders[number], named, slot = "main" if "main" in (tag, role) else "article", named, (*named, number), number
-        elif not furniture and len(named) < MOST_DEPTH and _named_furniture(tag, attributes):
+        elif not furniture and len(named) < MOST_NAMED and _named_furniture(tag, attributes):
             within[number], named = slot, (*named, number)
+        standing[tag] += 1
         stack.append((tag, path, furniture, inside, link or tag == "a", named, slot, skipped, broken))
         if inner.rstrip().endswith("/") and tag not in BLOCKS:
+            standing[tag] -= 1
             stack.pop()
     close_block()
     _judge(page.blocks, slots, holders, within)
     return page
 
 
-def occurrence_vectors(counts: list[Counter]) -> dict[object, tuple[int, ...]]:
+def occurrence_vectors(pages: list[list]) -> dict[object, tuple[int, ...]]:
+    """How often each token stands on each of ``pages`` (lists of tokens)."""
     found: dict[object, list[int]] = {}
-    for k, counted in enumerate(counts):
-        for token, n in counted.items():
-            found.setdefault(token, [0] * len(counts))[k] = n
+    for k, tokens in enumerate(pages):
+        for token, n in Counter(tokens).items():
+            found.setdefault(token, [0] * len(pages))[k] = n
     return {token: tuple(v) for token, v in found.items()}
 
 
+def in_order(tokens: list[int], pages: list[list[int]]) -> list[int]:
+    """The largest part of ``tokens`` (each once on every page), page after page, that stands in the same order on all of ``pages``."""
+    for page in pages:
+        place = {token: k for k, token in enumerate(page)}
+        ends: list[int] = []  # the least last place of a run of each length, and its token
+        last, before = [], {}
+        for token in tokens:
+            k = bisect_left(ends, place[token])
+            ends[k:], last[k:] = ([place[token]], [token]) if k == len(ends) else ([place[token], *ends[k + 1 :]], [token, *last[k + 1 :]])
+            before[token] = last[k - 1] if k else None
+        kept, token = [], last[-1] if last else None
+        while token is not None:
+            kept.append(token)
+            token = before[token]
+        tokens = kept[::-1]
+    return tokens
+
+
+def valid_classes(pages: list[list[int]], support: int) -> list[list[int]]:
+    """Classes of tokens with equal occurrence vectors that ``support`` pages have, ordered alike on each of them.
+
+    Of tokens that stand once on their pages those out of order are left out; others are a class only
+    if each page repeats them in turn as often as its count says.
+    """
+    vectors = occurrence_vectors(pages)
+    together: dict[tuple[int, ...], list[list[int]]] = {}
+    for k, page in enumerate(pages):
+        for token in page:
+            together.setdefault(vectors[token], [[] for _ in pages])[k].append(token)
+    out = []
+    for vector, sequences in together.items():
+        there = [s for s in sequences if s]
+        if len(there) < support:
+            continue
+        if max(vector) == 1:
+            out.append(in_order(there[0], there[1:]))
+        else:
+            size = len(set(there[0]))
+            if all(s == there[0][:size] * n for s, n in zip(sequences, vector, strict=True) if n):
+                out.append(there[0][:size])
+    return out
+
+
 class Template:
     """What the pages of a group have in common.
 
-    Paths of elements and words in their place are tokens with an occurrence vector over the pages. An element is nested
-    in its parent if its vector equals the parent's, and so is a part of the template that stands once in
-    each. Going down that nest, the main slot is the last element that holds at least half of the text
-    that is neither furniture nor constant; an article or main element ends the way. In such an element
-    the blocks that all distinct pages have are the template's, elsewhere those of constant words only.
+    The tokens are the elements, by their path of names. Tokens with equal occurrence vectors over the distinct
+    pages are a class if they are ordered alike on all pages that have them (``valid_classes``). Classes
+    nest: a token lies in a slot of its parent's class if on each page it stands once in each occurrence of
+    the parent, or not at all (another layout). From the root down that nest, a page's main slot is the last
+    token of a valid class in which lies at least half of the text, on the pages that have it, that is
+    neither furniture nor the template's own; an article or main element ends the way. Blocks that all distinct
+    pages with their path have alike are the template's own and no part of the text; outside of article and
+    main elements also those of which that is true of each word. ``support`` without end switches all of this off.
     """
 
-    def __init__(self, pages: list[Page]):
-        self.paths = occurrence_vectors([p.opened for p in pages])
-        # Copies of a page say nothing of the template, so constant is what distinct ones share.
-        bodies = list({tuple((b.path, b.text) for b in p.blocks): p.blocks for p in pages}.values())
-        bodies = bodies if len(bodies) >= LEAST_PAGES else []
-        constant = lambda found: {token for token, v in found.items() if min(v) > 0 and len(set(v)) == 1}
-        self.constant = constant(occurrence_vectors([Counter((b.path, w) for b in blocks for w in b.text.split()) for blocks in bodies]))
-        self.repeated = constant(occurrence_vectors([Counter((b.path, b.text) for b in blocks) for blocks in bodies]))
-        weight: Counter[str] = Counter()
-        for page in pages:
+    def __init__(self, pages: list[Page], support: int = SUPPORT):
+        # Copies of a page say nothing of the template.
+        distinct = list({tuple((b.path, b.text) for b in p.blocks): p for p in pages}.values())
+        self.parent = {path: above for p in pages for path, above in p.parent.items()}
+        self.tag = {path: tag for p in pages for path, tag in p.tag.items()}
+        self.vectors = occurrence_vectors([p.order for p in distinct])
+        self.tokens = {token for c in valid_classes([p.order for p in distinct], support) for token in c}
+        self.constant = self._constant([[(b.path, w) for b in p.blocks for w in b.text.split()] for p in distinct], support)
+        self.repeated = self._constant([[(b.path, b.text) for b in p.blocks] for p in distinct], support)
+        self.weights: dict[int, list[int]] = {}
+        for k, page in enumerate(distinct):
+            own: Counter[int] = Counter()
             for b in page.blocks:
                 if not b.furniture:
-                    free = sum((b.path, w) not in self.constant for w in b.text.split()) - b.links
-                    path = b.path
-                    while free > 0 and path:
-                        weight[path] += free
-                        path = path.rpartition(">")[0]
-        children: dict[str, list[str]] = defaultdict(list)
-        for path in self.paths:
-            children[path.rpartition(">")[0]].append(path)
-        at = max(children[""], key=lambda p: (weight[p], p), default="")
-        while at and self.tag(at) not in ("article", "main"):
-            below = [p for p in children[at] if self.tag(p) in CONTAINERS and self._nested(p, at) and 2 * weight[p] >= weight[at] > 0]
+                    own[b.path] += max(0, sum((b.path, w) not in self.constant for w in b.text.split()) - b.links)
+            for path in reversed(dict.fromkeys(page.order)):  # parents open before their children
+                if own[path]:
+                    self.weights.setdefault(path, [0] * len(distinct))[k] = own[path]
+                    own[page.parent[path]] += own[path]
+
+    def _constant(self, pages: list[list[tuple]], support: int) -> set[tuple]:
+        """Tokens (path, text) that all pages with that path have, equally often."""
+        paths = occurrence_vectors([list({path for path, _ in p}) for p in pages])
+        out = set()
+        for token, v in occurrence_vectors(pages).items():
+            there = [n for n, has in zip(v, paths[token[0]], strict=True) if has]
+            if len(there) >= support and min(there) == max(there):
+                out.add(token)
+        return out
+
+    def _nested(self, path: int, parent: int) -> bool:
+        return path in self.tokens and all(n == m or n == 0 for n, m in zip(self.vectors[path], self.vectors[parent], strict=True))
+
+    def _holds_most(self, path: int, parent: int) -> bool:
+        own, whole = self.weights.get(path), self.weights.get(parent)
+        return own is not None and 2 * sum(own) >= sum(w for w, there in zip(whole, self.vectors[path], strict=True) if there)
+
+    def main(self, page: Page) -> int:
+        """The page's main slot; where no class tells, its first article or main element, or its root (0: all of it)."""
+        children: dict[int, list[int]] = {}
+        for path in dict.fromkeys(page.order):
+            children.setdefault(page.parent[path], []).append(path)
+        at = max((p for p in children.get(0, []) if p in self.tokens), key=lambda p: sum(self.weights.get(p, [])), default=0)
+        while at and self.tag[at] not in ("article", "main"):
+            below = [p for p in children.get(at, []) if self.tag[p] in CONTAINERS and self._nested(p, at) and self._holds_most(p, at)]
             if not below:
                 break
-            at = max(below, key=lambda p: (self.tag(p) in ("article", "main"), weight[p], p))
-        self.main = at
+            at = max(below, key=lambda p: (self.tag[p] in ("article", "main"), sum(self.weights[p])))
+        # A root that holds it all tells nothing.
+        if at and self.tag[at] not in ("html", "body"):
+            return at
+        return next((p for p in page.order if self.tag[p] in ("article", "main")), 0)
 
-    @staticmethod
-    def tag(path: str) -> str:
-        return path.rpartition(">")[2].partition(".")[0]
+    def extract(self, page: Page) -> str:
+        """The blocks of the page's main slot that are neither furniture nor the template's own."""
+        main = self.main(page)
+        own = main and self.tag[main] in ("article", "main")
+        inside = {main}
+        for path in page.order:
+            if page.parent[path] in inside:
+                inside.add(path)
+        out = []
+        for b in page.blocks:
+            if b.furniture or b.path not in inside:
+                continue
+            if (b.path, b.text) not in self.repeated if own else not all((b.path, w) in self.constant for w in b.text.split()):
+                out.append(b.text)
+        return "\n".join(out)
 
-    def _nested(self, path: str, parent: str) -> bool:
-        """Once in each occurrence of its parent; pages that were cut off before it do not tell against it."""
-        return all(n == m or n == 0 for n, m in zip(self.paths[path], self.paths[parent], strict=True))
 
-    def extract(self, page: Page) -> str:
+def extract(self, page: Page) -> str:
         """The blocks of the page's main slot. Where the page has no such slot, its article, its main element or all of it."""
         main = self.main if page.opened[self.main] else next((p for p in page.opened if self.tag(p) in ("article", "main")), "")
         own = self.tag(main) in ("article", "main")
@@ -273,10 +367,13 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
         F.col("page_id").cast("long"),
         F.col("url").cast("string"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-        F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))).alias("host"),
+        F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))).alias("host"),
     )
-    groups = keyed.groupBy("host").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-    dealt = keyed.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int"))
+    # Only large hosts are asked for, of which there is one for ``group`` pages at most.
+    large = keyed.groupBy("host").count().where(F.col("count") > group).select("host", F.ceil(F.col("count") / group).cast("int").alias("groups"))
+    large = cut(large)
+    large = F.broadcast(large) if large.count() <= MOST_BROADCAST_ROWS else large
+    dealt = keyed.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).cast("int"))
 
     def rows(read: Iterator[tuple]) -> Iterator[tuple]:
         for _, together in groupby(read, key=lambda r: r[:2]):

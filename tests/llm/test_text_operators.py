@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -292,6 +293,40 @@ def test_template_of_pages_without_an_article(spark):
     assert all(got[k]["text"] == f"{prose(k, 30)}\n{prose(100 + k, 20)}" for k in range(9))
     assert [got[k]["text"] for k in (20, 21, 22, 24)] == ["", "", "plain text", "deep"] and all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html_template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame([(1, "http://h/", "<p>a", 5, "q", 7)] * 3 + [(None, "http://h/", "<p>b", 5, "q", 7)], "page_id long, url string, html string, part int, host string, count int")
+    assert sorted(r["text"] for r in html_template.extract(clash).collect()) == ["a", "a", "a", "b"]
+
+
+def test_classes_find_the_text_of_several_layouts():
+    """Pages without an article, of two layouts with unnamed parts around the text; without the classes these stay in it."""
+    side = lambda k: f"{prose(500 + k, 6)}"
+    one = lambda k: f'<html><body><div class="a"><p>{side(k)}</p></div><div class="b"><p>{prose(k, 40)}</p><p>{prose(100 + k, 30)}</p></div><div class="c">{side(k + 50)}</div></body></html>'
+    two = lambda k: f'<html><body><table><tr><td class="x">{side(k)}</td><td class="y"><p>{prose(k, 40)}</p><div>{prose(100 + k, 30)}</div></td></tr></table></body></html>'
+    pages = [html_template.parse(one(k)) for k in range(8)] + [html_template.parse(two(k)) for k in range(20, 26)]
+    want = [f"{prose(k, 40)}\n{prose(100 + k, 30)}" for k in (*range(8), *range(20, 26))]
+    whole, off = html_template.Template(pages), html_template.Template(pages, support=10**9)
+    assert [whole.extract(p) for p in pages] == want
+    assert not any(off.extract(p) == w for p, w in zip(pages, want, strict=True))
+
+
+def test_classes_equal_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        pages = [[r.choice("abcdef") for _ in range(r.randint(0, 7))] for _ in range(r.randint(1, 4))]
+        vectors = {t: tuple(p.count(t) for p in pages) for p in pages for t in p}
+        assert html_template.occurrence_vectors(pages) == vectors
+        for c in html_template.valid_classes(pages, 2):
+            v = vectors[c[0]]
+            assert all(vectors[t] == v for t in c) and sum(n > 0 for n in v) >= 2
+            assert all([t for t in p if t in c] == c * n for p, n in zip(pages, v, strict=True))
+
+
+def test_unmatched_tags_and_depth_take_linear_time():
+    began = time.time()
+    for page in ("<div>" * 20_000 + "x" + "</b>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000 + "<p>x" * 2000, "<ul><li>x" * 5000, '<div class="ad">' * 5000 + "x"):
+        parsed = html_template.parse(page)
+        html_template.Template([parsed]).extract(parsed)
+    assert time.time() - began < 20
 
 
 def test_copies_are_no_template_but_repeated_blocks_of_an_article_are():
