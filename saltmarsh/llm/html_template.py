@@ -258,6 +258,25 @@ def valid_classes(pages: list[list[int]], support: int) -> list[list[int]]:
     return out
 
 
+def constant(pages: list[dict[int, list[str]]], support: int) -> dict[int, set[str]]:
+    """By path the strings that all pages with that path have there, equally often."""
+    together: dict[int, list[list[str]]] = {}
+    for page in pages:
+        for path, strings in page.items():
+            together.setdefault(path, []).append(strings)
+    out = {}
+    for path, lists in together.items():
+        common = set(min(lists, key=len)) if len(lists) >= support else set()
+        for strings in lists:
+            if not common:
+                break
+            common.intersection_update(strings)
+        if common:
+            counts = [Counter(x for x in strings if x in common) for strings in lists]
+            out[path] = {x for x in common if len({c[x] for c in counts}) == 1}
+    return out
+
+
 class Template:
     """What the pages of a group have in common.
 
@@ -278,29 +297,27 @@ class Template:
         self.tag = {path: tag for p in pages for path, tag in p.tag.items()}
         self.vectors = occurrence_vectors([p.order for p in distinct])
         self.tokens = {token for c in valid_classes([p.order for p in distinct], support) for token in c}
-        self.constant = self._constant([[(b.path, w) for b in p.blocks for w in b.text.split()] for p in distinct], support)
-        self.repeated = self._constant([[(b.path, b.text) for b in p.blocks] for p in distinct], support)
+        words: list[dict[int, list[str]]] = []
+        blocks: list[dict[int, list[str]]] = []
+        for page in distinct:
+            words.append({})
+            blocks.append({})
+            for b in page.blocks:
+                words[-1].setdefault(b.path, []).extend(b.text.split())
+                blocks[-1].setdefault(b.path, []).append(b.text)
+        self.constant, self.repeated = constant(words, support), constant(blocks, support)
         self.weights: dict[int, list[int]] = {}
         for k, page in enumerate(distinct):
             own: Counter[int] = Counter()
             for b in page.blocks:
                 if not b.furniture:
-                    own[b.path] += max(0, sum((b.path, w) not in self.constant for w in b.text.split()) - b.links)
+                    same, told = self.constant.get(b.path), b.text.split()
+                    own[b.path] += max(0, (sum(w not in same for w in told) if same else len(told)) - b.links)
             for path in reversed(dict.fromkeys(page.order)):  # parents open before their children
                 if own[path]:
                     self.weights.setdefault(path, [0] * len(distinct))[k] = own[path]
                     own[page.parent[path]] += own[path]
 
-    def _constant(self, pages: list[list[tuple]], support: int) -> set[tuple]:
-        """Tokens (path, text) that all pages with that path have, equally often."""
-        paths = occurrence_vectors([list({path for path, _ in p}) for p in pages])
-        out = set()
-        for token, v in occurrence_vectors(pages).items():
-            there = [n for n, has in zip(v, paths[token[0]], strict=True) if has]
-            if len(there) >= support and min(there) == max(there):
-                out.add(token)
-        return out
-
     def _nested(self, path: int, parent: int) -> bool:
         return path in self.tokens and all(n == m or n == 0 for n, m in zip(self.vectors[path], self.vectors[parent], strict=True))
 
@@ -336,7 +353,7 @@ class Template:
         for b in page.blocks:
             if b.furniture or b.path not in inside:
                 continue
-            if (b.path, b.text) not in self.repeated if own else not all((b.path, w) in self.constant for w in b.text.split()):
+            if not (b.text in self.repeated.get(b.path, ()) if own else self.constant.get(b.path, set()).issuperset(b.text.split())):
                 out.append(b.text)
         return "\n".join(out)
 
@@ -349,7 +366,7 @@ def extract(self, page: Page) -> str:
         for b in page.blocks:
             if b.furniture or not (b.path == main or b.path.startswith(f"{main}>")):
                 continue
-            if (b.path, b.text) not in self.repeated if own else not all((b.path, w) in self.constant for w in b.text.split()):
+            if not (b.text in self.repeated.get(b.path, ()) if own else self.constant.get(b.path, set()).issuperset(b.text.split())):
                 out.append(b.text)
         return "\n".join(out)
 

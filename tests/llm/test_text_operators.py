@@ -180,6 +180,8 @@ def test_classes_equal_all_pairs(spark, tricky, empty):
         assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (root[i], len(links[i])) for i in sets}
     kept = {r["doc_id"] for r in jaccard_join.keep_one(make(spark, texts)).collect()}
     assert kept == set(root.values())
+    nulls = jaccard_join.classes(make(spark, [(None, prose(1)), (None, prose(2)), (-1, prose(3)), (None, prose(1))])).collect()
+    assert sorted((r["n_links"], r["class_id"] or 0) for r in nulls) == [(0, -1), (0, 0), (1, 0), (1, 0)]
     assert jaccard_join.classes(tricky).count() == len(TRICKY) and jaccard_join.classes(empty).count() == 0
     assert jaccard_join.keep_one(tricky).columns == tricky.columns and jaccard_join.keep_one(tricky).count() == len(TRICKY) - 2  # the repeat of 7, and 8
 
@@ -190,6 +192,41 @@ def test_prefix_reaches_the_target_recall():
     assert found(p) >= jaccard_join.RECALL > found(p + 1)
 
 
+def test_ties_connect_what_shares_a_prefix(spark):
+    """Components of the ties are those of all pairs of signatures that share three values at the start of some trie."""
+    r = np.random.default_rng(2)
+    signature = r.integers(0, 3, (150, 12)).astype(np.uint8)
+    sets = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(signature)], "node long, signature binary")
+    got = {x["node"]: x["root"] for x in components(jaccard_join.tied(sets, 3, 4, 3)).collect()}
+    root = list(range(150))
+    for _ in range(150):
+        for t in range(3):
+            least = {}
+            for k, x in enumerate(signature):
+                key = x[4 * t : 4 * t + 3].tobytes()
+                least[key] = min(least.get(key, 999), root[k])
+            root = [min(root[k], least[x[4 * t : 4 * t + 3].tobytes()]) for k, x in enumerate(signature)]
+    assert got == {k: root[k] for k in range(150) if root[k] != k}
+
+
+def test_recall_of_pairs_near_the_threshold_and_chains_of_weak_likeness(spark):
+    texts, r = [], random.Random(8)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    for k in range(60):  # pairs at about 0.8 to 0.95
+        ws = [word() for _ in range(200)]
+        other = list(ws)
+        for at in range(5, 5 + 20 * (1 + k % 4), 20):
+            other[at] = word()
+        texts += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+    chain = [word() for _ in range(1500)]
+    texts += [(1000 + k, " ".join(chain[5 * k : 5 * k + 60])) for k in range(280)]  # neighbours at about 0.84, the next at 0.7
+    got = {x["doc_id"]: x["n_links"] for x in jaccard_join.classes(make(spark, texts), block=16).collect()}
+    sets = {i: shingles(t) for i, t in texts}
+    near = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = Counter(x for p in near for x in p)
+    assert sum(got.values()) >= 0.98 * sum(want.values()) and all(got[i] <= want[i] for i in got) and len(near) > 300
+
+
 # ---- 4: quality rules
 
 
