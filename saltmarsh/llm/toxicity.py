@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import WORDS, map_rows
+from saltmarsh.llm.common import WORDS, cut, map_rows, share
 
-#: The scorer is fitted on so many labelled rows at most, chosen by a hash of doc_id, and on so many word features.
+#: The scorer is fitted on about so many labelled documents (in the mean), chosen by a hash of doc_id, and on so many word features.
 TRAIN_ROWS, FEATURES = 20_000, 3000
 #: Rows with this remainder of crc32(doc_id as text) are held out.
 HELD_OUT, FOLDS = 0, 5
-#: Longer tokens are codes, not words, and stay as they are.
-LONGEST_WORD = 40
+#: Characters of texts whose letters a task counts at a time.
+COUNTED = 2_000_000
 #: Results that a task remembers by word.
 MOST_WORDS = 400_000
 
@@ -29,8 +29,8 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 FILLERS = set(".-_*'~^,:;/\\=#%&\"`)")
 #: Letters that the language model tells apart; all others are one.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëìíîïñòóôöùúûüßœæ"
-#: Log costs: reading a sign as a letter, passing over a filler, passing over a sign, reading a run of letters as one.
-READ, FILL, DROP, COLLAPSE = -0.5, -0.3, -7.0, -0.2
+#: Log costs: reading a sign as a letter, passing over a filler, passing over a sign, reading a run of letters as one, passing over a space.
+READ, FILL, DROP, COLLAPSE, JOIN = -0.5, -0.3, -7.0, -0.2, -1.5
 
 _SIZE = 64
 _PLACE = np.zeros(0x250, np.int64)
@@ -38,13 +38,13 @@ _PLACE[[ord(c) for c in LETTERS]] = np.arange(1, len(LETTERS) + 1)
 for _c in map(chr, range(0x250)):
     if _c.isalpha() and _c.islower() and not _PLACE[ord(_c)]:
         _PLACE[ord(_c)] = _SIZE - 1
-_SPACED = re.compile(r"(?<!\S)\S(?:[ _.*-]\S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S{1,2}(?: \S{1,2}){2,}(?!\S)")
 _EDGE = re.compile(r"^(?:([^\w\s])\1+|[\"'(\[{<.,;:?*#%&-])+|(?:([^\w\s])\2+|[\"')\]}>.,;:?!*#%&-])+$")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 
 _TRIGRAMS = pa.schema([("code", pa.int32()), ("n", pa.int64())])
 _COUNTS = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
-_TRAIN = pa.schema([("label", pa.int32()), ("words", pa.int64()), ("at", pa.list_(pa.int32()))])
+_TRAIN = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("at", pa.list_(pa.int32()))])
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
@@ -58,11 +58,20 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of letter trigrams, with word ends, over all documents, as a table of three model letters."""
 
     def rows(texts: Iterator[tuple]) -> Iterator[tuple]:
-        total = np.zeros(_SIZE**3, np.int64)
-        for (text,) in texts:
-            p = np.concatenate([[0, 0], places((text or "").lower()), [0]])
+        total, held, size = np.zeros(_SIZE**3, np.int64), [], 0
+
+        def count() -> None:
+            p = np.concatenate([[0, 0], places("\n\n".join(held)), [0]])
             code = (p[:-2] * _SIZE + p[1:-1]) * _SIZE + p[2:]
-            total += np.bincount(code[(p[1:-1] > 0) | (p[2:] > 0)], minlength=len(total))
+            total[:] += np.bincount(code[(p[1:-1] > 0) | (p[2:] > 0)], minlength=len(total))
+
+        for (text,) in texts:
+            held.append((text or "").lower())
+            size += len(held[-1])
+            if size >= COUNTED:
+                count()
+                held, size = [], 0
+        count()
         yield from ((int(k), int(total[k])) for k in np.flatnonzero(total))
 
     out = np.zeros(_SIZE**3)
@@ -96,49 +105,71 @@ class Restorer(dict):
         return word
 
     def _restore(self, token: str) -> str:
+        if " " in token:
+            letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
+            return self.decode(token) if letters >= 2 and digits <= letters + 2 else token
         if token.isalpha():
-            return self.decode(token) if _RUN.search(token) and len(token) <= LONGEST_WORD else token
+            return self.decode(token) if _RUN.search(token) else token
         bare = _EDGE.sub("", token)
         if bare.isalpha() and not _RUN.search(bare):
             return bare
         letters = sum(map(str.isalpha, bare))
-        if not letters or len(bare) > LONGEST_WORD or 2 * sum(map(str.isdigit, bare)) > len(bare) + 2:
+        if not letters or 2 * sum(map(str.isdigit, bare)) > len(bare) + 2:
             return bare
         return self.decode(bare)
 
     def decode(self, token: str) -> str:
-        """Viterbi over the lattice of readings of each sign; a state is the last two letters."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """Viterbi over the lattice of readings of each sign and space; a state is the last two letters (0 between words).
+
+        Each step keeps, by state, the best score, the state before and the letters read, so the work
+        is linear in the token.
+        """
+        best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        steps: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
         k = 0
         while k < len(token):
             c, run = token[k], 1
             while k + run < len(token) and token[k + run] == c:
                 run += 1
             arcs: list[tuple[float, str]] = []
-            if c.isalpha():
+            if c == " ":
+                arcs = [(0.0, " "), (JOIN, "")]
+            elif c.isalpha():
                 arcs = [(0.0, c * run)] if run < 3 else [(COLLAPSE, c), (COLLAPSE, c * 2)]
             else:
                 arcs += [(READ * run, x * n) for x in LOOKS.get(c, "") for n in {1, min(run, 2)}]
                 arcs.append(((FILL if c in FILLERS else DROP), ""))
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, word) in best.items():
+            following: dict[tuple[int, int], float] = {}
+            came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+            for (a, b), score in best.items():
                 for cost, letters in arcs:
                     x, y, s = a, b, score + cost
                     for letter in letters:
-                        z = int(_PLACE[ord(letter)]) if ord(letter) < len(_PLACE) else _SIZE - 1
+                        z = 0 if letter == " " else int(_PLACE[ord(letter)]) if ord(letter) < len(_PLACE) else _SIZE - 1
                         s += self.chance[x][y][z]
                         x, y = y, z
-                    if (x, y) not in following or s > following[x, y][0]:
-                        following[x, y] = (s, word + letters)
+                    if (x, y) not in following or s > following[x, y]:
+                        following[x, y], came[x, y] = s, ((a, b), letters)
             best, k = following, k + run
-        return max(((s + self.chance[a][b][0], w) for (a, b), (s, w) in best.items() if w), default=(0.0, token))[1]
+            steps.append(came)
+        state = max(best, key=lambda ab: best[ab] + (self.chance[ab[0]][ab[1]][0] if ab[1] else 0.0))
+        out = []
+        for came in reversed(steps):
+            state, letters = came[state]
+            out.append(letters)
+        return " ".join("".join(reversed(out)).split()) or token
+
+    def _phrase(self, m: re.Match) -> str:
+        """Three or more pieces of a letter or two, two of them single, may be a word spaced out; the lattice says where words end."""
+        return self[m[0]] if sum(len(x) == 1 for x in m[0].split(" ")) >= 2 else m[0]
+
+    def spaced(self, text: str) -> str:
+        """The text in lower case, words spaced out being joined."""
+        return _SPACED.sub(self._phrase, text.lower())
 
     def words(self, text: str) -> list[str]:
-        """The words of a text with disguises undone, letters that stand apart being joined first."""
-        text = text.lower()
-        if _SPACED.search(text):
-            text = _SPACED.sub(lambda m: m[0][::2], text)
-        return list(map(self.__getitem__, WORDS(text)))
+        """The words of a text with disguises undone."""
+        return [self[x] for x in WORDS(self.spaced(text))]
 
 
 def prefixes(word: str) -> list[str]:
@@ -162,18 +193,17 @@ class Scorer:
         self.known: dict[str, tuple[str, ...]] = {}
         self.used = {f[1:] for f in chosen}
 
-    def of(self, text: str | None) -> tuple[int, list[int]]:
-        words = self.restorer.words(text or "")
+    def of(self, text: str | None) -> list[int]:
         counts: Counter[str] = Counter()
         if len(self.known) >= MOST_WORDS:
             self.known.clear()
-        for word in words:
-            features = self.known.get(word)
+        for token, n in Counter(WORDS(self.restorer.spaced(text or ""))).items():
+            features = self.known.get(token)
             if features is None:
-                self.known[word] = features = tuple(f for f in prefixes(word) if f in self.used)
-            if features:
-                counts.update(features)
-        return len(words), [self.index[f] for f in named(counts) if f in self.index]
+                self.known[token] = features = tuple(f for f in prefixes(self.restorer[token]) if f in self.used)
+            for f in features:
+                counts[f] += n
+        return [self.index[f] for f in named(counts) if f in self.index]
 
 
 def fold(doc_id: Column) -> Column:
@@ -207,14 +237,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chance = context.broadcast(language_model(trigram_counts(texts)))
-    sample = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    sample = F.broadcast(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
-    labelled = texts.join(sample, "doc_id").select("label", "text")
+    known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != HELD_OUT).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    sample = known.withColumn("pick", F.xxhash64("doc_id")).where(share(train_rows, known.count())).select("doc_id", "label")
+    labelled = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    labelled = cut(labelled)
 
     def counted(rows: Iterator[tuple]) -> Iterator[tuple]:
         restorer, toxic, clean = Restorer(chance.value), Counter(), Counter()
         for label, text in rows:
-            (toxic if label == 1 else clean).update(named(Counter(f for w in restorer.words(text or "") for f in prefixes(w))))
+            counts: Counter[str] = Counter()
+            for word, n in Counter(restorer.words(text or "")).items():
+                for f in prefixes(word):
+                    counts[f] += n
+            (toxic if label == 1 else clean).update(named(counts))
             if len(toxic) + len(clean) > 500_000:
                 yield from ((f, toxic[f], clean[f]) for f in toxic.keys() | clean.keys())
                 toxic.clear()
@@ -225,15 +260,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     m, n = max(sizes["toxic"], 1), max(sizes["clean"], 1)
     rate = (F.col("a") + F.col("b")) / (m + n)
     gap = (F.col("a") / m - F.col("b") / n) / F.sqrt(rate * (1 - rate) * (1 / m + 1 / n) + 1e-9)
-    chosen = map_rows(labelled, counted, _COUNTS, flush=50_000).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    chosen = map_rows(labelled.select("label", "text"), counted, _COUNTS, flush=50_000).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     chosen = [r["feature"] for r in chosen.where("a >= 3").select("feature", gap.alias("gap")).where("gap > 3").orderBy(F.desc("gap"), "feature").limit(features).collect()]
 
     def picked(rows: Iterator[tuple]) -> Iterator[tuple]:
         scorer = Scorer(chance.value, chosen)
-        for label, text in rows:
-            yield label, *scorer.of(text)
+        for doc_id, label, text in rows:
+            yield doc_id, label, scorer.of(text)
 
-    got = map_rows(labelled, picked, _TRAIN).limit(2 * train_rows).collect()
+    got = sorted(map_rows(labelled, picked, _TRAIN).collect())
     y = np.array([int(r["label"] == 1) for r in got])
     row, column = np.repeat(np.arange(len(got)), [len(r["at"]) for r in got]) if got else np.zeros(0, int), np.array([k for r in got for k in r["at"]], np.int64)
     w, b = fit(y, row, column, len(chosen))
@@ -243,7 +278,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
         chosen, w, b = model.value
         scorer = Scorer(chance.value, chosen)
         for doc_id, text in rows:
-            _, at = scorer.of(text)
+            at = scorer.of(text)
             score = 1 / (1 + math.exp(-min(max(float(w[at].sum()) + b, -30), 30)))
             yield doc_id, score, int(score >= 0.5)
 

@@ -407,7 +407,9 @@ def test_disguised_words_are_restored(spark, data):
     restorer = toxicity.Restorer(toxicity.language_model(toxicity.trigram_counts(corpus)))
     told = {"m0r0n": "moron", "stuuupid": "stupid", "tr4$h": "trash", "l.o.s.e.r": "loser", "cl0wn.": "clown", "the###": "the"}
     assert {k: restorer.words(k)[0] for k in told} == told
-    assert restorer.words("i d i o t") == ["idiot"] and restorer.words("plain Words, here") == ["plain", "words", "here"]
+    assert restorer.words("you i d i o t there") == ["you", "idiot", "there"] and restorer.words("1 d 1 0 t") == ["idiot"] and restorer.words("st u p 1 d") == ["stupid"]
+    assert restorer.words("m" + "o" * 300 + "r0n") == ["moron"] and restorer.words("a" * 100_000 + "1")[0][:1] == "a"
+    assert restorer.words("plain Words, here") == ["plain", "words", "here"]
 
 
 def test_held_out_toxicity(spark, data, tricky, labels, empty):
