@@ -89,7 +89,8 @@ class Fingerprint:
     """I-Match hashes of a text.
 
     On level r a subset keeps each lexicon term with probability 2 to the -r; the terms of the text
-    that it keeps are hashed, in sorted order, to 16 bits (0: none kept). Which levels are held follows
+    that it keeps are hashed to 16 bits (0: none kept): the sum of the distinct terms' own scrambled hashes is
+    scrambled, which is the same for terms in any order, so sorting them would change nothing. Which levels are held follows
     from the number of terms, so that a subset has about two, one and half a term: of sparse subsets
     about as large a share agrees as the texts have terms in common. A text with fewer than FEW lexicon
     terms has in their place all its terms but those above the band (``common``), or if these are few as well all its

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import cut
+from saltmarsh.llm.common import cut, renamed
 from saltmarsh.llm.components import components
 
 #: Lines are near if their edit similarity is this or more: counted in words if both have LONG words, else in characters.
@@ -273,3 +273,17 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.coalesce(F.length(text_) - F.length(F.replace(text_, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def clean_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` after ``dedup_lines``, without those that are left without any line they had, and with their own columns only.
+
+    n_chars (if there is such a column) of a changed text becomes its length.
+    """
+    rows, new = renamed(docs)
+    rows = rows.withColumnsRenamed({new["doc_id"]: "doc_id", new["text"]: "text"})
+    done = dedup_lines(rows)
+    done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    if "n_chars" in new:
+        done = done.withColumn(new["n_chars"], F.when(F.col("n_removed") == 0, F.col(new["n_chars"])).otherwise(F.length("text")).cast("long"))
+    return done.select(*rows.columns).toDF(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from saltmarsh.llm.common import WORD_PATTERN, cut
+from saltmarsh.llm.common import WORD_PATTERN, cut, renamed
 
 #: Relative weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_ep
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
-    """Adds size (words of the text) and _tie (a hash of the text, to order rows of equal doc_id)."""
+    """Adds size (words of the text) and _tie (a hash of the text, to order rows of equal doc_id); columns of these names are replaced."""
     return docs.withColumns({"size": count_words(F.col("text")), "_tie": F.xxhash64("text")})
 
 
@@ -99,17 +99,21 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int =
     return placed(keyed).join(offsets, ["_key", "_bucket"]).select(*own, "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
-def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixed corpus itself: a row for each epoch that a document is taken in.
+def mixed_corpus(docs: DataFrame) -> DataFrame:
+    """The mixed corpus itself: a row of ``docs`` for each epoch that it is taken in, with all columns, whatever their names.
 
     Of a document that is taken in part in its last epoch, the first words are left, joined by single
     spaces, and its n_chars (if there is such a column) becomes the length of what is left.
     """
+    rows, new = renamed(docs)
+    text = F.col(new["text"]).cast("string")
+    named = rows.select(*new.values(), F.col(new["doc_id"]).alias("doc_id"), F.col(new["source"]).alias("source"), count_words(text).alias("size"), F.xxhash64(text).alias("_tie"))
+    mixed = mix(named)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).otherwise(0).cast("int")
     left = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = F.when(left > 0, F.array_append(F.array_repeat(F.lit(-1), whole), left)).otherwise(F.array_repeat(F.lit(-1), whole))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), 1, F.greatest(F.col("_left"), F.lit(0))), " ")
-    rows = mixed.select(*columns, F.explode(copies).alias("_left")).withColumn("text", F.when(F.col("_left") < 0, F.col("text")).otherwise(first))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_left") < 0, F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return rows.select(*columns)
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), 1, F.greatest(F.col("_left"), F.lit(0))), " ")
+    out = mixed.select(*new.values(), F.explode(copies).alias("_left")).withColumn(new["text"], F.when(F.col("_left") < 0, text).otherwise(first))
+    if "n_chars" in new:
+        out = out.withColumn(new["n_chars"], F.when(F.col("_left") < 0, F.col(new["n_chars"])).otherwise(F.length(new["text"])).cast("long"))
+    return out.select(*new.values()).toDF(*docs.columns)

@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import map_rows
+from saltmarsh.llm.common import map_rows, share
 
 KINDS = ("email", "ip", "card", "phone")
-#: The field is fitted on so many documents with a digit or @ at most, and on so many tokens of each.
+#: The field is fitted on about so many distinct texts with a digit or @ (in the mean, chosen by a hash), and on so many tokens in a row
+#: of each, from a place that the hash says; beliefs are formed over all tokens of all texts.
 TRAIN_ROWS, TRAIN_TOKENS = 2000, 200
 #: Belief from which a token is taken, rounds of message passing, and share of the old message that is kept.
 BELIEF, ROUNDS, DAMPING = 0.9, 12, 0.3
@@ -28,10 +29,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]").search
 _TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
+_NEIGHBOUR = re.compile(r"[^\x20\x09-\x0D]+")
 _LEAD = re.compile(r"[^A-Za-z0-9+(]*")
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
-_TRAIN = pa.schema([("labels", pa.list_(pa.int32())), ("features", pa.list_(pa.list_(pa.int32()))), ("chain", pa.list_(pa.int32())), ("skip", pa.list_(pa.list_(pa.int32())))])
+_TRAIN = pa.schema([("pick", pa.int64()), ("labels", pa.list_(pa.int32())), ("features", pa.list_(pa.list_(pa.int32()))), ("chain", pa.list_(pa.int32())), ("skip", pa.list_(pa.list_(pa.int32())))])
 
 
 def luhn(digits: str) -> bool:
@@ -71,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> str:
     """Digits as 9, letters as a or A, runs of more than four as four."""
-    return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64]))
+    return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token))
 
 
 class Tokens:
@@ -81,8 +83,11 @@ class Tokens:
     five or more digits, by skip edges from each to the next of its like.
     """
 
-    def __init__(self, text: str, base: list[tuple[int, int, int]], most: int | None = None):
-        self.spans = [m.span() for m in _TOKEN.finditer(text)][:most]
+    def __init__(self, text: str, base: list[tuple[int, int, int]], most: int | None = None, place: int = 0):
+        self.spans = [m.span() for m in _TOKEN.finditer(text)]
+        if most is not None and len(self.spans) > most:
+            first = place % (len(self.spans) - most + 1)
+            self.spans = self.spans[first : first + most]
         self.words = [text[a:b] for a, b in self.spans]
         n = len(self.spans)
         self.chain = [k for k in range(n - 1) if not text[self.spans[k][1] : self.spans[k + 1][0]].strip(" ") and self.spans[k + 1][0] - self.spans[k][1] <= 2]
@@ -104,14 +109,16 @@ class Tokens:
         self.text = text
 
     def features(self) -> list[list[int]]:
-        out = []
+        out, beside = [], set(self.chain)
+        around = {m.end(): m[0] for m in _NEIGHBOUR.finditer(self.text)}
+        starts = {end - len(word): word for end, word in around.items()}
         for k, word in enumerate(self.words):
             digits = sum(map(str.isdigit, word))
             a, b = self.spans[k]
-            before, after = self.text[max(0, a - 24) : a].split()[-1:], self.text[b : b + 24].split()[:1]
+            before, after = around.get(a - 1, ""), starts.get(b + 1, "")
             names = [
                 "bias", f"shape {shape(word)}", f"digits {min(digits, 20)}", f"@ {word.count('@')}", f". {min(word.count('.'), 4)}", f"- {min(word.count('-'), 4)}", f"first {word[0]}", f"last {word[-1]}",
-                f"letters {any(map(str.isalpha, word))}", f"length {min(len(word) // 4, 10)}", f"before {shape(before[0]) if before else ''}"[:16], f"after {shape(after[0]) if after else ''}"[:16], f"beside {k in self.chain} {k - 1 in self.chain}",
+                f"letters {any(map(str.isalpha, word))}", f"length {min(len(word) // 4, 10)}", f"before {shape(before)}", f"after {shape(after)}", f"beside {k in beside} {k - 1 in beside}",
             ]
             out.append([zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names])
         return out
@@ -213,14 +220,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    """Fit on the base spans of ``rows`` documents (lowest hash of text), ``TRAIN_TOKENS`` tokens of each at most."""
+    """Fit on the base spans of about ``rows`` distinct texts with a digit or @ (lowest hash of text)."""
 
     def read(texts: Iterator[tuple]) -> Iterator[tuple]:
-        for (text,) in texts:
-            tokens = Tokens(text, base_spans(text), TRAIN_TOKENS)
-            yield tokens.label.tolist(), tokens.features(), tokens.chain, [list(x) for x in tokens.skip]
+        for pick, text in texts:
+            tokens = Tokens(text, base_spans(text), TRAIN_TOKENS, pick)
+            yield pick, tokens.label.tolist(), tokens.features(), tokens.chain, [list(x) for x in tokens.skip]
 
-    got = map_rows(docs.select("text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text")).limit(rows), read, _TRAIN).collect()
+    hinted = docs.where(F.col("text").rlike("[0-9@]")).withColumn("pick", F.xxhash64("text"))
+    known = hinted.agg(F.approx_count_distinct("pick")).first()[0]
+    got = sorted(map_rows(hinted.where(share(rows, known)).dropDuplicates(["pick"]).select("pick", "text"), read, _TRAIN).collect())
     label, features, chain, skip, n = [], [], [], [], 0
     for row in got:
         label += row["labels"]
