@@ -24,8 +24,8 @@ TREES, LONGEST_PREFIX, RECALL = 32, 10, 0.9999
 #: MinHash values of each trie (its last ones) that estimate how alike two sets are, and the share of equal ones, far below any
 #: that a pair at the threshold has by chance (more than four standard deviations), under which a tie is dropped.
 SKETCHED, LEAST_ALIKE = 2, 0.58
-#: Texts of a block; two blocks are compared at a time.
-BLOCK = 256
+#: Texts of a block, and shingles of a block for each of them, in the mean; two blocks are compared at a time.
+BLOCK, SHINGLES = 256, 1024
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_id", pa.binary()), ("size", pa.int32()), ("signature", pa.binary())])
 _WALKED = pa.schema([("part", pa.int32()), ("tree", pa.int32()), ("label", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
@@ -237,10 +237,10 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     members = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
     key = lambda doc_id, text_hash: F.xxhash64(doc_id, F.lit(0), text_hash)
     level = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / threshold) + 1e-9).cast("long")
-    found = cut(members.join(sets, "node").select(F.col("root").alias("component"), "set_id", "copies", level.alias("level"), key("first.doc_id", "first.text_hash").alias("at")))
+    found = cut(members.join(sets, "node").select(F.col("root").alias("component"), "set_id", "copies", "size", level.alias("level"), key("first.doc_id", "first.text_hash").alias("at")))
     by_level = W.partitionBy("component").orderBy("level")
     near = lambda f: F.when(F.abs(f("level").over(by_level) - F.col("level")) == 1, f("blocks").over(by_level)).otherwise(0)
-    blocks = found.groupBy("component", "level").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    blocks = found.groupBy("component", "level").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / (block * SHINGLES))).cast("long").alias("blocks"))
     blocks = blocks.select("component", "level", "blocks", near(F.lag).alias("below"), near(F.lead).alias("above"))
     code = lambda step, sub: (F.col("level") + step) * 2**32 + sub
 

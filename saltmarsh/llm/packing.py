@@ -22,7 +22,7 @@ from saltmarsh.llm.common import WORDS, cut, map_rows
 WINDOW = 2048
 END_ID = 1
 #: Tokenised words that a task remembers.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
 
 CONTROLS = re.compile("[\x1c-\x1f]").search
 

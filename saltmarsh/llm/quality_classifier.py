@@ -76,7 +76,7 @@ def posterior(code: int | np.ndarray, odds: np.ndarray, prior: float) -> np.ndar
 class Shapes(dict):
     """Word to the bucket of its shape: runs of capitals, of other letters, of digits, and each other character once."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
