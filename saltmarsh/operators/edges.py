@@ -8,6 +8,7 @@ from datetime import date
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saltmarsh.functions.scalar import finite, pad_gvkey
@@ -15,6 +16,8 @@ from saltmarsh.operators.pit import first_by, gvkey_links, vintage_for
 from saltmarsh.operators.signals import market_dates
 
 MIN_CO_OBS, MIN_CORRELATION = 120, 0.30
+#: Ids of a block of the co-movement matrix, in the mean.
+IDS_PER_BLOCK = 256
 FILING_LAG_DAYS = 90
 
 
@@ -116,15 +119,14 @@ def residuals(bars: DataFrame, market: DataFrame, window: int = 252, least: int
 
 
 def correlations(res: DataFrame) -> DataFrame:
-    """src, dst, n and the correlation over the dates that both have, for each pair of ids, from sums of products.
+    """src, dst, n and the correlation over the dates that both have, for each pair of ids.
 
-    A self join on date: fit for up to about a thousand ids; beyond, ``blocked_correlations``.
+    A self join on date, whose rows grow with the square of the ids of a date: the plain way, for few
+    ids; ``blocked_correlations`` gives the same for many.
     """
     right = res.select("date", F.col("permno").alias("dst"), F.col("res").alias("y"))
     pairs = res.select("date", F.col("permno").alias("src"), F.col("res").alias("x")).join(right, "date").where("src < dst")
-    s = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"), *(F.sum(e).alias(a) for a, e in (("x", F.col("x")), ("y", F.col("y")), ("xy", F.col("x") * F.col("y")), ("xx", F.col("x") * F.col("x")), ("yy", F.col("y") * F.col("y")))))
-    spread = F.greatest(F.col("n") * F.col("xx") - F.col("x") * F.col("x"), F.lit(0.0)) * F.greatest(F.col("n") * F.col("yy") - F.col("y") * F.col("y"), F.lit(0.0))
-    return s.select("src", "dst", "n", finite(F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(spread))).alias("corr"))
+    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr")).withColumn("corr", finite(F.col("corr")))
 
 
 def blocked_correlations(res: DataFrame, blocks: int = 16) -> DataFrame:
@@ -133,6 +135,8 @@ def blocked_correlations(res: DataFrame, blocks: int = 16) -> DataFrame:
     There the pairwise-complete sums are products of matrices of dates by ids. Each return is sent to as
     many tasks as there are blocks, and no row is made for a date of a pair.
     """
+    # A shift of an id's returns changes no correlation and keeps the sums of squares from cancelling.
+    res = res.withColumn("res", F.col("res") - F.avg("res").over(W.partitionBy("permno")))
     block = F.pmod(F.xxhash64("permno"), F.lit(blocks)).cast("int")
     dealt = res.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
@@ -160,8 +164,12 @@ def blocked_correlations(res: DataFrame, blocks: int = 16) -> DataFrame:
     return made.withColumn("corr", finite(F.col("corr")))
 
 
-def comovement_edges(bars: DataFrame, market: DataFrame, t0: date, window: int = 252, least: int = MIN_CO_OBS, threshold: float = MIN_CORRELATION, blocks: int = 0) -> DataFrame:
-    """Undirected edges of ids whose residual returns correlate at ``threshold`` or more. ``blocks``: see above."""
+def comovement_edges(bars: DataFrame, market: DataFrame, t0: date, window: int = 252, least: int = MIN_CO_OBS, threshold: float = MIN_CORRELATION, blocks: int | None = None) -> DataFrame:
+    """Undirected edges of ids whose residual returns correlate at ``threshold`` or more, with the unrounded correlation as weight.
+
+    ``blocks`` of ids meet two at a time; if not given there is one for each IDS_PER_BLOCK ids.
+    """
     res = residuals(bars, market, window, least)
-    pairs = blocked_correlations(res, blocks) if blocks else correlations(res)
-    return pairs.where(F.col("corr") >= threshold).select("src", "dst", F.lit("COMOVES_WITH").alias("kind"), F.round("corr", 6).alias("weight"), F.lit(False).alias("directed"), F.lit(t0).alias("as_of"), F.lit("crsp_comovement").alias("provenance"))
+    blocks = blocks or max(1, -(-bars.select("permno").distinct().count() // IDS_PER_BLOCK))
+    pairs = blocked_correlations(res, blocks)
+    return pairs.where(F.col("corr") >= threshold).select("src", "dst", F.lit("COMOVES_WITH").alias("kind"), F.col("corr").alias("weight"), F.lit(False).alias("directed"), F.lit(t0).alias("as_of"), F.lit("crsp_comovement").alias("provenance"))

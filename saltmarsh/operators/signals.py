@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,10 +15,10 @@ def _latest_first(bars: DataFrame, n: str = "rn") -> DataFrame:
     return bars.withColumn(n, F.row_number().over(W.partitionBy("permno").orderBy(F.desc("date"))))
 
 
-def one_bar_a_day(bars: DataFrame) -> DataFrame:
-    """Bars with one row for each id and date: of each column the last value that is not null, by source order columns if given."""
+def one_bar_a_day(bars: DataFrame, order: Column) -> DataFrame:
+    """Bars with one row for each id and date: of each column the last value in ``order`` that is not null."""
     values = [c for c in bars.columns if c not in ("permno", "date")]
-    return bars.groupBy("permno", "date").agg(*(F.max(c).alias(c) for c in values))
+    return bars.groupBy("permno", "date").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in values))
 
 
 def realized_vol_spike(bars: DataFrame, short: int = 10, long: int = 60, least: int = MIN_VOL_OBS) -> DataFrame:

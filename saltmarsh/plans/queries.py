@@ -305,3 +305,52 @@ def edge_upsert(spark: SparkSession, d: str) -> DataFrame:
 def pit_pages(spark: SparkSession, d: str) -> DataFrame:
     pages, _ = Star(spark, d).pages()
     return pit.before(pages, date(1996, 1, 1), "updated_at").select("slug", F.size(scalar.tickers(F.col("tags"))).alias("n_tickers"))
+
+
+def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates with their salience and each component, in plain columns."""
+    parts = ("vol_spike", "abn_volume", "dislocation", "gap")
+    found = candidates(spark, d)
+    return found.select("canonical_id", "as_of", r6("salience"), r6("attention"), *(F.round(F.col("components")[c], 6).alias(c) for c in parts))
+
+
+def _spans(star: Star) -> DataFrame:
+    links = star.links()
+    return links.select(F.col("lpermno").alias("permno"), "lpermno", "secid", F.concat(F.lit("T"), F.col("secid").cast("string")).alias("ticker"), F.when(F.col("score") > 0, F.col("score")).alias("score"), F.col("linkdt").alias("sdate"), F.col("linkenddt").alias("edate"))
+
+
+def secid_resolve(spark: SparkSession, d: str) -> DataFrame:
+    return pit.resolve("secid", _spans(Star(spark, d)), date(1999, 6, 30))
+
+
+def ibes_resolve(spark: SparkSession, d: str) -> DataFrame:
+    return pit.resolve("ibes_ticker", _spans(Star(spark, d)), date(1999, 6, 30))
+
+
+def bulk_resolve(spark: SparkSession, d: str) -> DataFrame:
+    star = Star(spark, d)
+    return pit.resolve_gvkeys(star.table("customer").select(F.col("c_custkey").cast("string").alias("gvkey")), star.links(), date(1999, 6, 30))
+
+
+def vertical_edges(spark: SparkSession, d: str) -> DataFrame:
+    star = Star(spark, d)
+    return edges.peer_edges(_pairs(star), _custkey_links(star), T0, kind="VERTICAL", provenance="vtnic", min_score=1.3).select("src", "dst", "kind", "provenance", r6("weight"))
+
+
+def last_values_a_day(spark: SparkSession, d: str) -> DataFrame:
+    """Of several lines that a supplier ships on a day the last price, and the last quantity of 10 or more."""
+    rows = Star(spark, d).table("lineitem").select(F.col("l_suppkey").alias("permno"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("close"), F.when(F.col("l_quantity") >= 10, F.col("l_quantity")).alias("volume"), F.struct("l_orderkey", "l_linenumber").alias("place"))
+    return signals.one_bar_a_day(rows, F.col("place")).select("permno", "date", "close", "volume")
+
+
+def winsorised_zscores(spark: SparkSession, d: str) -> DataFrame:
+    z = signals.zscore(signals.abnormal_volume(Star(spark, d).bars()))
+    return z.select("permno", F.round(scalar.winsorize(F.col("z"), 1.0), 6).alias("z"))
+
+
+def date_ceilings(spark: SparkSession, d: str) -> DataFrame:
+    """The last day and the rows of each dated table."""
+    star = Star(spark, d)
+    dated = (("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts"))
+    out = [star.table(t).agg(F.lit(t).alias("table_name"), F.max(F.col(c).cast("date")).alias("last_day"), F.count(c).alias("n_rows")) for t, c in dated]
+    return out[0].unionByName(out[1]).unionByName(out[2])

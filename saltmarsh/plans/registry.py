@@ -115,7 +115,7 @@ QUERIES = {
         "bar_derivation market_series rv_spike abnormal_volume abnormal_volume_window dislocation gap zscore_signals top_vol_spikes composite_attention cap_quintile bucket_salience candidates ranked_candidates "
         "asof_link_resolve batch_resolve asof_over_time option_link_resolve ticker_map sector_map vintage_for iv_rank_minmax next_expiry_asof competes_edges_dedupe peer_load_counters supplies_edges edge_skip_reasons "
         "comoves_residual_corr expand_2hop shortest_path_hops complement_topk reason_hierarchy flag_session seed_weights in_degree page_listing slugify session_scores session_aggregate lift sliced_precision feedback_rates "
-        "drift nested_session_read edge_upsert pit_pages"
+        "drift nested_session_read edge_upsert pit_pages candidate_scores secid_resolve ibes_resolve bulk_resolve vertical_edges last_values_a_day winsorised_zscores date_ceilings"
     ).split()
 }
 
@@ -225,9 +225,31 @@ FROM s LEFT JOIN m USING (ns, turn) LEFT JOIN sh USING (ns, turn)""",
     "nested_session_read": f"""WITH {_EVENTS}, f AS (SELECT session_id, id, count(*) AS s FROM log WHERE event = 'flags' AND id IS NOT NULL GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s DESC, 'permno:' || id) AS rank FROM f QUALIFY rank <= 5),
 sheets AS (SELECT p_partkey % 15 AS session_id, p_partkey % 100 AS id, min(p_name) AS company FROM part GROUP BY 1, 2),
-news AS (SELECT p_partkey % 30 AS session_id, p_size AS id, p_name, row_number() OVER (PARTITION BY p_partkey % 30, p_size ORDER BY p_name, p_partkey::VARCHAR) AS r FROM part QUALIFY r <= 5),
+news AS (SELECT p_partkey % 30 AS session_id, p_size AS id, p_name, row_number() OVER (PARTITION BY p_partkey % 30, p_size ORDER BY p_name, p_partkey::VARCHAR) AS r FROM part),
 n AS (SELECT session_id, id, count(*) AS n, max(p_name) FILTER (r = 1) AS t FROM news GROUP BY 1, 2)
 SELECT session_id, CAST(rank AS INTEGER) AS rank, 'permno:' || id AS canonical_id, company, CAST(coalesce(n, 0) AS INTEGER) AS n_headlines, t AS first_title FROM ranked LEFT JOIN sheets USING (session_id, id) LEFT JOIN n USING (session_id, id)""",
     "edge_upsert": f"WITH {_GRAPH} SELECT src, dst, round(CASE WHEN src % 3 = 0 THEN weight + 1 ELSE weight END, 6) AS weight FROM graph WHERE src % 2 = 0 OR src % 3 = 0",
+    "candidate_scores": f"""WITH {_BARS}, {_VOL}, {_ABN}, {_DIS}, {_GAP}, {_COMPOSITE}, {_CAPS},
+rec AS (SELECT c.*, least(greatest(coalesce(s_nationkey * 400, 0) // 1000, 0), 9) AS division, coalesce(mktcap, 0) AS cap FROM composite c LEFT JOIN supplier ON s_suppkey = permno LEFT JOIN caps USING (permno)
+        WHERE permno IN (SELECT permno FROM vol UNION SELECT permno FROM abn UNION SELECT permno FROM dis UNION SELECT permno FROM gaps)),
+cuts AS (SELECT list_distinct(quantile_cont(cap, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM rec),
+buckets AS (SELECT rec.*, division || '_' || greatest(0, len(list_filter(e, lambda x: x < cap)) - 1) AS bucket FROM rec, cuts),
+placed AS (SELECT *, (rank() OVER (PARTITION BY bucket ORDER BY composite) + (count(*) OVER (PARTITION BY bucket, composite) - 1) / 2) / count(*) OVER (PARTITION BY bucket) AS salience FROM buckets)
+SELECT 'permno:' || permno AS canonical_id, DATE '2001-07-01' AS as_of, round(salience, 6) AS salience, round(composite, 6) AS attention, round(vol_spike, 6) AS vol_spike,
+       round(abn_volume, 6) AS abn_volume, round(dislocation, 6) AS dislocation, round(gap, 6) AS gap FROM placed""",
+    "secid_resolve": f"""WITH {_LINKS} SELECT o_custkey::VARCHAR AS key, permno FROM links
+WHERE start <= DATE '1999-06-30' AND (stop IS NULL OR stop >= DATE '1999-06-30') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY start DESC, permno) = 1""",
+    "ibes_resolve": f"""WITH {_LINKS} SELECT 'T' || o_custkey AS key, permno FROM links
+WHERE start <= DATE '1999-06-30' AND (stop IS NULL OR stop >= DATE '1999-06-30') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN score > 0 THEN score ELSE 100 END DESC, permno) = 1""",
+    "bulk_resolve": f"""WITH {_LINKS},
+good AS (SELECT o_custkey, permno FROM links WHERE NOT bad AND start <= DATE '1999-06-30' AND (stop IS NULL OR stop >= DATE '1999-06-30') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY start DESC, permno) = 1)
+SELECT CASE WHEN length(c_custkey::VARCHAR) < 6 THEN lpad(c_custkey::VARCHAR, 6, '0') ELSE c_custkey::VARCHAR END AS key, permno FROM customer LEFT JOIN good ON c_custkey = o_custkey""",
+    "vertical_edges": f"""WITH {_PAIRS} SELECT least(a, b) AS src, greatest(a, b) AS dst, 'VERTICAL' AS kind, 'vtnic' AS provenance, round(max(score), 6) AS weight FROM pairs
+WHERE score >= 1.3 AND a % 10 <> 0 AND b % 10 <> 0 GROUP BY 1, 2""",
+    "last_values_a_day": """SELECT l_suppkey AS permno, CAST(l_shipdate AS DATE) AS date, last(l_extendedprice ORDER BY l_orderkey, l_linenumber) AS close,
+last(l_quantity ORDER BY l_orderkey, l_linenumber) FILTER (l_quantity >= 10) AS volume FROM lineitem GROUP BY 1, 2""",
+    "winsorised_zscores": f"""WITH {_BARS}, {_ABN} SELECT permno, round(least(greatest(z, -1), 1), 6) AS z FROM {_z("abn")}""",
+    "date_ceilings": """SELECT 'orders' AS table_name, max(CAST(o_orderdate AS DATE)) AS last_day, count(o_orderdate) AS n_rows FROM orders
+UNION ALL SELECT 'lineitem', max(CAST(l_shipdate AS DATE)), count(l_shipdate) FROM lineitem UNION ALL SELECT 'events', max(CAST(ts AS DATE)), count(ts) FROM events""",
     "pit_pages": f"WITH {_PAGES} SELECT slug, CAST(len(list_filter(tags, lambda t: regexp_full_match(t, '[A-Z]{{1,5}}'))) AS INTEGER) AS n_tickers FROM pages_ WHERE day < DATE '1996-01-01'",
 }

@@ -14,7 +14,6 @@ MERGE_KEYS = {
     "SUPPLIES": ["src", "dst", "fiscal_year", "provenance"],
     "COMOVES_WITH": ["src", "dst", "provenance"],
 }
-MOST_HEADLINES = 5
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,9 +51,9 @@ def ranked_flags(flags: DataFrame) -> DataFrame:
 
 
 def nested_session(flags: DataFrame, tearsheets: DataFrame, headlines: DataFrame) -> DataFrame:
-    """One row a session with its flags by rank, each with its tearsheet (or null) and up to five headlines by rank."""
+    """One row a session with its flags by rank, each with its tearsheet (or null) and all its headlines by rank."""
     keys = ["session_id", "canonical_id"]
-    news = headlines.where(F.col("rank") <= MOST_HEADLINES).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url"))).alias("headlines"))
+    news = headlines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url"))).alias("headlines"))
     sheet = tearsheets.select(*keys, F.struct("company", "prev_close", "change", "change_pct").alias("tearsheet"))
     joined = flags.join(sheet, keys, "left").join(news, keys, "left")
     joined = joined.withColumn("headlines", F.coalesce("headlines", F.array().cast("array<struct<rank:int,title:string,url:string>>")))
