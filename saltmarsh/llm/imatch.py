@@ -109,11 +109,18 @@ class Fingerprint:
             return
         first = max(0, int(math.log2(len(kept))) - 1)
         drawn = mix64(kept[:, None] ^ _SEEDS)
+        # What a level keeps is part of what the one before keeps, so only the first level looks at all terms.
+        subset = np.nonzero((drawn >> np.uint64(64 - first)) == 0 if first else np.ones(drawn.shape, bool))
+        drawn, subset = drawn[subset], subset[1]
         hashed = mix64(drawn + _SECOND)
         for level in range(first, first + LEVELS):
-            inside = (drawn >> np.uint64(64 - level)) == 0 if level else np.ones(drawn.shape, bool)
-            digest = (mix64(np.where(inside, hashed, 0).sum(0, dtype=np.uint64)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
-            self.parts[level] = np.where(inside.any(0), digest, 0)
+            if level > first:
+                inside = (drawn >> np.uint64(64 - level)) == 0
+                drawn, hashed, subset = drawn[inside], hashed[inside], subset[inside]
+            total = np.zeros(SUBSETS, np.uint64)
+            np.add.at(total, subset, hashed)
+            digest = (mix64(total) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+            self.parts[level] = np.where(np.bincount(subset, minlength=SUBSETS) > 0, digest, 0)
         self.text = f"{first:02d}:" + ":".join(p.astype(">u2").tobytes().hex() for p in self.parts.values())
 
     def like(self, other: Fingerprint) -> float:
