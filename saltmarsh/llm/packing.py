@@ -24,6 +24,9 @@ END_ID = 1
 #: Tokenised words that a task remembers.
 MOST_WORDS = 300_000
 
+#: Words that are encoded at a time, so that what the library holds for them stays small.
+ENCODED = 10_000
+
 CONTROLS = re.compile("[\x1c-\x1f]").search
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
@@ -67,7 +70,9 @@ class Words(dict):
             (odd if self.ODD(c) else plain).append(c)
         cuts = [*map(self._cut, plain)]
         known = self.parts
-        if new := list({p for ps in cuts for p in ps if p not in known}):
+        fresh = list({p for ps in cuts for p in ps if p not in known})
+        for k in range(0, len(fresh), ENCODED):
+            new = fresh[k : k + ENCODED]
             # Encoded as one text; the last id of each part, and no other, is one that ends a word.
             ids = np.array(self.encode([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             data, stops = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
@@ -76,7 +81,7 @@ class Words(dict):
         self.update((c, struct.pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(odd, self.encode(odd, add_special_tokens=False), strict=True))
 
 
-def ids_of(texts: Iterator[str], path: str, block: int = 2_000_000) -> Iterator[bytes]:
+def ids_of(texts: Iterator[str], path: str, block: int = 500_000) -> Iterator[bytes]:
     """Token ids of each text, about ``block`` characters of texts at a time."""
     words = Words(path)
 
