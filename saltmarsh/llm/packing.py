@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -21,7 +22,7 @@ from saltmarsh.llm.common import WORDS, cut, map_rows
 
 WINDOW = 2048
 END_ID = 1
-#: Tokenised words that a task remembers.
+#: Tokenised words that a Python worker remembers, over all tasks that it runs.
 MOST_WORDS = 600_000
 
 #: Words that are encoded at a time, so that what the library holds for them stays small.
@@ -37,14 +38,16 @@ class Words(dict):
     """White-space-free chunk of text to its token ids as little-endian unsigned 32-bit integers.
 
     The vocabulary's normaliser and pre-tokenizer work within such chunks, so a text's ids are those
-    of its chunks one after another. New chunks are cut by the vocabulary's own pre-tokenizer pattern,
-    so that each run of letters is merged once, however many chunks hold it.
+    of its chunks one after another. Chunks are in lower case, and new ones are cut by the vocabulary's own
+    pre-tokenizer pattern, so that each run of letters is merged once, however many chunks hold it.
     """
 
     #: The pre-tokenizer's pattern, as the vocabulary file states it.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
     #: Characters from where lower case may depend on the library or characters may compose, and what starts a special token.
     ODD = re.compile("[\u0180-\U0010ffff]|<\\|").search
+    #: A full stop or comma that may belong to the signs before it.
+    JOINED = re.compile("[\x00-\x08\x0e-\x1f!-/:-@\\[-`{-\u00bf\u00d7\u00f7\u0180-\U0010ffff][.,]\\s").search
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,49 +58,56 @@ class Words(dict):
         ends = [i for word, i in tokenizer.get_vocab().items() if word.endswith("</w>")]
         self.ends = np.zeros(max(ends) + 1, bool)
         self.ends[ends] = True
-        self.parts: dict[str, bytes] = {}
 
-    def _cut(self, chunk: str) -> list[str]:
-        chunk = chunk.lower()
-        if chunk.isalpha():
-            return [chunk]
-        return [chunk[:-1], chunk[-1]] if chunk[-1] in ".," and chunk[:-1].isalpha() else self.PARTS(chunk)
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text, those without an odd character in lower case; stops and commas that end a word stand alone."""
+        # str.split also parts at four control characters that the vocabulary does not take for white space.
+        split = WORDS if CONTROLS(text) else str.split
+        if self.ODD(text):
+            return [c if self.ODD(c) else c.lower() for c in split(text)]
+        text = text.lower()
+        if not self.JOINED(text):
+            for sign in ".,":
+                text = text.replace(f"{sign} ", f" {sign} ").replace(f"{sign}\n", f" {sign}\n")
+        return split(text)
 
     def learn(self, chunks: set[str]) -> None:
         """Take in chunks that are not known yet, all at once."""
-        plain, odd = [], []
-        for c in chunks:
-            (odd if self.ODD(c) else plain).append(c)
-        cuts = [*map(self._cut, plain)]
-        known = self.parts
-        fresh = list({p for ps in cuts for p in ps if p not in known})
+        odd = [*filter(self.ODD, chunks)] if self.ODD(" ".join(chunks)) else []
+        plain = chunks.difference(odd)
+        letters = set(filter(str.isalpha, plain))
+        cuts = [(c, self.PARTS(c)) for c in plain.difference(letters)]
+        fresh = [*letters.union(*(parts for _, parts in cuts)).difference(self)]
         for k in range(0, len(fresh), ENCODED):
             new = fresh[k : k + ENCODED]
             # Encoded as one text; the last id of each part, and no other, is one that ends a word.
             ids = np.array(self.encode([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             data, stops = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            known.update((p, data[i:j]) for p, i, j in zip(new, [0, *stops[:-1]], stops, strict=True))
-        self.update((c, b"".join(map(known.__getitem__, ps))) for c, ps in zip(plain, cuts, strict=True))
+            self.update((p, data[i:j]) for p, i, j in zip(new, [0, *stops[:-1]], stops, strict=True))
+        self.update((c, b"".join(map(self.__getitem__, parts))) for c, parts in cuts)
         self.update((c, struct.pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(odd, self.encode(odd, add_special_tokens=False), strict=True))
 
 
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """The memory of a Python worker, which Spark gives one task after another."""
+    return Words(path)
+
+
 def ids_of(texts: Iterator[str], path: str, block: int = 500_000) -> Iterator[bytes]:
     """Token ids of each text, about ``block`` characters of texts at a time."""
-    words = Words(path)
+    words = words_of(path)
 
     def done(held: list[list[str]]) -> Iterator[bytes]:
         if len(words) > MOST_WORDS:
             words.clear()
-            words.parts.clear()
-        ids = [list(map(words.get, chunks)) for chunks in held]
-        words.learn({c for chunks, found in zip(held, ids, strict=True) if None in found for c, i in zip(chunks, found, strict=True) if i is None})
-        for chunks, found in zip(held, ids, strict=True):
-            yield b"".join(map(words.__getitem__, chunks) if None in found else found)
+        words.learn(set().union(*held).difference(words))
+        for chunks in held:
+            yield b"".join(map(words.__getitem__, chunks))
 
     held, size = [], 0
     for text in texts:
-        # str.split also parts at four control characters that the vocabulary does not take for white space.
-        held.append(WORDS(text) if CONTROLS(text) else text.split())
+        held.append(words.chunks(text))
         size += len(text)
         if size >= block:
             yield from done(held)
