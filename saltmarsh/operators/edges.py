@@ -75,6 +75,11 @@ def source_span(share: Column, name: Column, year: Column) -> Column:
     return F.when(share.isNotNull(), F.concat(name, F.format_string(" (%.1f%% of FY%d revenue)", share * 100, year))).otherwise(F.concat(name, F.format_string(" (FY%d major customer)", year)))
 
 
+def filings_by_gvkey(companies: DataFrame, filings: DataFrame) -> DataFrame:
+    """gvkey and fdate of the filings (cik, fdate) of each company (gvkey, cik); a company without a cik has none."""
+    return companies.join(filings, "cik").select("gvkey", "fdate")
+
+
 def supplier_rows(segments: DataFrame, sales: DataFrame, customers: DataFrame, filings: DataFrame, links: DataFrame, t0: date, min_share: float = 0.0) -> DataFrame:
     """Every customer segment with share, as_of, src, dst and the reason it is skipped for, if any.
 

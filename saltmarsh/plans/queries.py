@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions import scalar
 from saltmarsh.operators import edges, evaluation, graph, knowledge, pit, scoring, seeds, signals
+from saltmarsh.sources import bars as bar_sources
 from saltmarsh.sources import store
 from saltmarsh.sources.derived import EVENTS_T0, T0, Star
 
@@ -240,8 +241,6 @@ def in_degree(spark: SparkSession, d: str) -> DataFrame:
 
 def page_listing(spark: SparkSession, d: str) -> DataFrame:
     pages, links = Star(spark, d).pages()
-    from datetime import datetime
-
     return knowledge.list_pages(pages, links, "main", datetime(1997, 1, 1), datetime(1998, 1, 1), 10, 25).select("slug", "created_at", "in_degree")
 
 
@@ -354,3 +353,162 @@ def date_ceilings(spark: SparkSession, d: str) -> DataFrame:
     dated = (("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts"))
     out = [star.table(t).agg(F.lit(t).alias("table_name"), F.max(F.col(c).cast("date")).alias("last_day"), F.count(c).alias("n_rows")) for t, c in dated]
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def flag_report(spark: SparkSession, d: str) -> DataFrame:
+    """``flag_session`` in plain columns."""
+    return flag_session(spark, d).select("canonical_id", r6("salience"), "on_entity_frontier", F.array_join("entity_path", ">").alias("path"), "reason")
+
+
+def option_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """Volatility, its rank and the implied move, with line items as quotes and as a volatility surface."""
+    star = Star(spark, d)
+    lines = star.table("lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
+    put = F.col("l_orderkey") % 2 == 1
+    quotes = lines.select(
+        F.col("l_suppkey").alias("secid"), F.when(F.col("l_linenumber") % 2 == 0, F.lit(T0)).otherwise(F.date_sub(F.lit(T0), 1)).alias("date"), F.date_add("day", 1095).alias("exdate"), F.when(put, "P").otherwise("C").alias("cp_flag"),
+        (F.col("l_quantity") / F.when(put, -50).otherwise(50)).alias("delta"), (F.col("l_extendedprice") / 1000).alias("best_bid"), (F.col("l_extendedprice") / 1000 + 0.5).alias("best_offer"), (F.col("l_orderkey") % 3).alias("open_interest"),
+    )
+    days = F.when(F.col("l_linenumber") % 2 == 0, 30).otherwise(60)
+    surface = lines.groupBy(F.col("l_suppkey").alias("secid"), F.col("day").alias("date"), days.alias("days")).agg((F.max("l_extendedprice") / 100000 + 0.1).alias("impl_volatility")).withColumn("delta", F.lit(50))
+    ids = star.table("supplier").select(F.col("s_suppkey").alias("permno"))
+    links = ids.select("permno", F.col("permno").alias("secid"), (F.col("permno") % 8).alias("score"), F.lit(date(1990, 1, 1)).alias("sdate"), F.lit(None).cast("date").alias("edate"))
+    events = ids.select(scalar.canonical_id(F.col("permno")).alias("canonical_id"), F.date_add(F.lit(T0), (F.col("permno") % 60).cast("int")).alias("catalyst"))
+    return scoring.enrich_options(ids, links, surface, quotes, events, star.bars(), T0).select("permno", r6("iv"), r6("iv_rank"), r6("implied_move"))
+
+
+def _vendor(star: Star) -> bar_sources.TableBars:
+    """Line items as a vendor's bars, prices with signs and returns with codes, and orders a day as the market."""
+    sign = F.when(F.col("l_orderkey") % 4 == 0, -1.0).otherwise(1.0)
+    ret = F.when(F.col("l_linenumber") == 1, "C").when(F.col("l_linenumber") == 2, "-1.5").otherwise(F.col("l_discount").cast("string"))
+    price = sign * F.col("l_extendedprice")
+    raw = star.table("lineitem").select(F.col("l_suppkey").alias("permno"), F.col("l_shipdate").cast("date").alias("date"), *(price.alias(c) for c in ("open", "high", "low", "prc")), F.col("l_quantity").alias("volume"), ret.alias("ret"), F.lit(None).cast("double").alias("shrout"))
+    index = star.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.when(F.count("*") % 3 == 0, "B").otherwise((F.count("*") / 100).cast("string")).alias("vwretd"))
+    return bar_sources.TableBars(raw, index)
+
+
+def vendor_bars(spark: SparkSession, d: str) -> DataFrame:
+    star = Star(spark, d)
+    even = star.table("supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("permno"))
+    return _vendor(star).bars(even, date(1996, 1, 1), date(1996, 12, 31)).select("permno", "date", "close", "volume", "ret")
+
+
+def vendor_market(spark: SparkSession, d: str) -> DataFrame:
+    return _vendor(Star(spark, d)).market(date(1996, 1, 1), date(1997, 12, 31))
+
+
+def proxy_market(spark: SparkSession, d: str) -> DataFrame:
+    return bar_sources.proxy_market(Star(spark, d).bars(), 7).select("date", r6("mkt"))
+
+
+def bar_window(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of each id in the calendar days that surely hold 63 trading days before the day."""
+    first, last = pit.window_bounds(T0, 63)
+    return Star(spark, d).bars().where(F.col("date").between(F.lit(first), F.lit(last))).groupBy("permno").agg(F.count("*").alias("n_bars"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+
+
+def _versions(star: Star) -> DataFrame:
+    """Pages in versions: the parts of a size, in their order."""
+    made = F.date_add(F.lit(date(2000, 1, 1)), F.col("p_size")).cast("timestamp")
+    slug = F.concat(F.lit("size-"), F.col("p_size").cast("string"))
+    rows = star.table("part").where("p_partkey % 3 <> 0").select("p_partkey", slug.alias("slug"), F.lit("main").alias("namespace"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_brand", "p_type").alias("body"), F.lit("knowledge").alias("kind"), F.array("p_type").alias("tags"), F.lit(None).cast("string").alias("source"), made.alias("created_at"), made.alias("updated_at"))
+    return rows.withColumn("version", F.row_number().over(W.partitionBy("slug").orderBy("p_partkey")).cast("long")).drop("p_partkey")
+
+
+def _page_links(star: Star, ends: int) -> DataFrame:
+    size, other = F.col("p_size").cast("string"), (F.col("p_partkey") % ends).cast("string")
+    return star.table("part").select("p_partkey", F.concat(F.lit("size-"), size).alias("from_slug"), F.concat(F.lit("size-"), other).alias("to_slug"), F.lit("main").alias("namespace"))
+
+
+def page_put(spark: SparkSession, d: str) -> DataFrame:
+    star = Star(spark, d)
+    slug = F.concat(F.lit("size-"), (F.col("p_size") + 20).cast("string"))
+    new = star.table("part").where("p_partkey % 3 = 0").select(slug.alias("slug"), F.lit("main").alias("namespace"), F.lit("strategy").alias("kind"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_brand", "p_type").alias("body"), F.array("p_type").alias("tags"), F.lit(None).cast("string").alias("source"))
+    put = knowledge.put_pages(_versions(star), new, datetime(2001, 7, 1))
+    return put.select("slug", "version", "kind", "title", "body", F.col("created_at").cast("date").alias("created_on"), F.col("updated_at").cast("date").alias("updated_on"))
+
+
+def page_read(spark: SparkSession, d: str) -> DataFrame:
+    star = Star(spark, d)
+    return knowledge.get_page(_versions(star), _page_links(star, 50), "size-7", "main").select("slug", "version", "title", "body", F.array_join("links", ",").alias("links"))
+
+
+def page_search(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.search(_versions(Star(spark, d)), "red ring, Economy!", "main", limit=1000).select("slug", "title", r6("score"))
+
+
+def links_created(spark: SparkSession, d: str) -> DataFrame:
+    star = Star(spark, d)
+    asked = _page_links(star, 70)
+    there = asked.where("p_partkey % 2 = 0").select("from_slug", "to_slug", "namespace").distinct()
+    return knowledge.new_links(_versions(star), there, asked, datetime(2001, 7, 1)).select("from_slug", "to_slug")
+
+
+def _logged(star: Star) -> DataFrame:
+    """Session events as they are logged: lists of candidates, flags and final ids, in the order of their ids."""
+    events = star.session_events().where("id is not null")
+    of = lambda kind, value: F.when(F.col("event") == kind, value)
+    item = lambda x: F.struct(x.alias("canonical_id"))
+    return events.select(
+        "event", "session_id", "turn", F.col("event_id").alias("seq"), of("candidates", F.array(item(F.col("id")), item(F.col("id") + 1))).alias("candidates"), of("a_final", F.array(F.col("id"), F.col("id") + 2)).alias("a_final_ids"),
+        of("flags", F.array(item(F.col("id")), item(F.col("id") + 3))).alias("flags"), F.when(F.col("event").isin("accept", "dismiss"), F.col("id")).alias("flag_id"),
+    )
+
+
+def event_fold(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the log: a turn's last candidates, all flags, accepts and dismisses, the last final list."""
+    folded = evaluation.fold(_logged(Star(spark, d)))
+    out = folded["candidates"].select(F.lit("candidates").alias("kind"), "session_id", "turn", "id")
+    for kind in ("flags", "accept", "dismiss", "final"):
+        out = out.unionByName(folded[kind].select(F.lit(kind).alias("kind"), "session_id", F.lit(None).cast("long").alias("turn"), "id"))
+    return out
+
+
+def accepted_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions scored against what was accepted instead of the final list."""
+    folded = Star(spark, d).folded()
+    return evaluation.score(folded | {"labelled": folded["accept"].select("session_id").distinct()}, label="accept")
+
+
+def mention_seeds(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    mentions = Star(spark, d).table("orders").select(
+        F.col("o_orderpriority").alias("namespace"), scalar.canonical_id(F.col("o_custkey") % 100).alias("canonical_id"), F.col("o_orderdate").cast("date").alias("seen_on"),
+        (1.0 + key % 3).alias("conviction"), (0.5 + key % 2).alias("prominence"), F.concat(F.lit("order-"), key.cast("string")).alias("slug"),
+    )
+    return seeds.mention_weights(mentions, date(1999, 6, 30)).select("namespace", "canonical_id", r6("weight"), "first_seen", "last_seen", "n_pages")
+
+
+def filing_dates(spark: SparkSession, d: str) -> DataFrame:
+    star = Star(spark, d)
+    companies = star.table("customer").select(F.col("c_custkey").cast("string").alias("gvkey"), F.when(F.col("c_custkey") % 10 > 0, (F.col("c_custkey") % 500).cast("string")).alias("cik"))
+    filings = star.table("orders").select((F.col("o_custkey") % 700).cast("string").alias("cik"), F.col("o_orderdate").cast("date").alias("fdate"))
+    return edges.filings_by_gvkey(companies, filings).groupBy("gvkey").agg(F.min("fdate").alias("fdate"), F.count("*").alias("n_filings"))
+
+
+def children_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Headlines of flags after some flags were given new ones."""
+    parts = Star(spark, d).table("part")
+    old = parts.where("p_partkey % 5 <> 0").select((F.col("p_partkey") % 30).alias("session_id"), scalar.canonical_id(F.col("p_size")).alias("canonical_id"), F.col("p_name").alias("title"), "p_partkey")
+    new = parts.where("p_partkey % 5 = 0").select((F.col("p_partkey") % 60).alias("session_id"), scalar.canonical_id(F.col("p_size") + 1).alias("canonical_id"), F.col("p_brand").alias("title"), "p_partkey")
+    return store.replaced(old, new, ["session_id", "canonical_id"]).select("session_id", "canonical_id", "title", "p_partkey")
+
+
+def sessions_left(spark: SparkSession, d: str) -> DataFrame:
+    """The list of sessions after a third of them was deleted."""
+    flags = Star(spark, d).table("events").where("event_type = 'click'").select(F.col("user_id").alias("session_id"), F.col("ts").alias("created_at"))
+    left = store.list_sessions(store.without_sessions(flags, flags.where("session_id % 3 = 0")))
+    return left.select("session_id", F.col("created_at").cast("date").alias("last_day"), "n_flags")
+
+
+def tearsheets(spark: SparkSession, d: str) -> DataFrame:
+    star = Star(spark, d)
+    details = star.table("supplier").select(scalar.canonical_id(F.col("s_suppkey")).alias("canonical_id"), F.col("s_name").alias("company"))
+    last = star.bars().groupBy("permno").agg(F.max_by(F.struct("open", "close"), "date").alias("b")).select(scalar.canonical_id(F.col("permno")).alias("canonical_id"), "b.*")
+    return store.tearsheet(details, last).select("canonical_id", "company", "prev_close", r6("change"), r6("change_pct"))
+
+
+def uncached_ids(spark: SparkSession, d: str) -> DataFrame:
+    star = Star(spark, d)
+    ids = star.table("orders").select(scalar.canonical_id(F.col("o_custkey")).alias("canonical_id"))
+    return store.missing_tickers(ids, star.table("supplier").select(scalar.canonical_id(F.col("s_suppkey")).alias("canonical_id"), F.col("s_name").alias("ticker")))

@@ -109,13 +109,36 @@ chain AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, lag(o_orderkey) O
 degrees AS (SELECT back AS k, count(*) AS n FROM chain WHERE back IS NOT NULL GROUP BY 1),
 pages_ AS (SELECT 'order-' || o_orderkey AS slug, day, tags, coalesce(n, 0) AS in_degree FROM chain JOIN tagged ON l_orderkey = o_orderkey LEFT JOIN degrees ON k = o_orderkey)"""
 
+_PLACED = """
+rec AS (SELECT c.*, least(greatest(coalesce(s_nationkey * 400, 0) // 1000, 0), 9) AS division, coalesce(mktcap, 0) AS cap FROM composite c LEFT JOIN supplier ON s_suppkey = permno LEFT JOIN caps USING (permno)
+        WHERE permno IN (SELECT permno FROM vol UNION SELECT permno FROM abn UNION SELECT permno FROM dis UNION SELECT permno FROM gaps)),
+cuts AS (SELECT list_distinct(quantile_cont(cap, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM rec),
+buckets AS (SELECT rec.*, division || '_' || greatest(0, len(list_filter(e, lambda x: x < cap)) - 1) AS bucket FROM rec, cuts),
+placed AS (SELECT *, (rank() OVER (PARTITION BY bucket ORDER BY composite) + (count(*) OVER (PARTITION BY bucket, composite) - 1) / 2) / count(*) OVER (PARTITION BY bucket) AS salience FROM buckets)"""
+
+_REASONS = """
+best AS (SELECT a, b, min(struct_pack(kind := kind, span := coalesce(source_span, ''))) AS e FROM adj GROUP BY 1, 2),
+p1 AS (SELECT b AS node, min([a, b]) AS path FROM adj JOIN h0 ON a = node WHERE b IN (SELECT node FROM h1) GROUP BY b),
+p2 AS (SELECT b AS node, min(list_append(path, b)) AS path FROM adj JOIN p1 ON a = node WHERE b IN (SELECT node FROM h2) GROUP BY b),
+steps AS (SELECT node, path, 1 AS hops, [e] AS es FROM p1 JOIN best ON a = path[1] AND b = path[2]
+          UNION ALL SELECT node, path, 2, [x.e, y.e] FROM p2 JOIN best x ON x.a = path[1] AND x.b = path[2] JOIN best y ON y.a = path[2] AND y.b = path[3]),
+s AS (SELECT node, path, hops, es, list_filter(es, lambda z: z.kind = 'SUPPLIES' AND z.span <> '') AS spans, list_transform(es, lambda z: z.kind) AS kinds FROM steps),
+told AS (SELECT node, path, CASE WHEN len(spans) > 0 THEN 'supply chain: ' || spans[1].span WHEN list_contains(kinds, 'SUPPLIES') THEN 'supply chain link'
+       WHEN list_contains(kinds, 'COMPETES_WITH') AND hops = 1 THEN 'direct product-market peer' WHEN list_contains(kinds, 'COMPETES_WITH') THEN 'product-market peer, 2 hops' ELSE 'moves together beyond the market' END AS reason FROM s
+         UNION ALL SELECT node, [node], 'structurally connected' FROM h0)"""
+
+_VERSIONS = """
+versions AS (SELECT 'size-' || p_size AS slug, p_name AS title, p_brand || ' ' || p_type AS body, DATE '2000-01-01' + p_size AS created_on, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS version FROM part WHERE p_partkey % 3 <> 0),
+newest AS (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY slug ORDER BY version DESC) = 1)"""
+
 QUERIES = {
     name: getattr(q, name)
     for name in (
         "bar_derivation market_series rv_spike abnormal_volume abnormal_volume_window dislocation gap zscore_signals top_vol_spikes composite_attention cap_quintile bucket_salience candidates ranked_candidates "
         "asof_link_resolve batch_resolve asof_over_time option_link_resolve ticker_map sector_map vintage_for iv_rank_minmax next_expiry_asof competes_edges_dedupe peer_load_counters supplies_edges edge_skip_reasons "
         "comoves_residual_corr expand_2hop shortest_path_hops complement_topk reason_hierarchy flag_session seed_weights in_degree page_listing slugify session_scores session_aggregate lift sliced_precision feedback_rates "
-        "drift nested_session_read edge_upsert pit_pages candidate_scores secid_resolve ibes_resolve bulk_resolve vertical_edges last_values_a_day winsorised_zscores date_ceilings"
+        "drift nested_session_read edge_upsert pit_pages candidate_scores secid_resolve ibes_resolve bulk_resolve vertical_edges last_values_a_day winsorised_zscores date_ceilings "
+        "flag_report option_enrichment vendor_bars vendor_market proxy_market bar_window page_put page_read page_search links_created event_fold accepted_scores mention_seeds filing_dates children_replaced sessions_left tearsheets uncached_ids"
     ).split()
 }
 
@@ -188,15 +211,7 @@ SELECT node, hops, array_to_string(path, '>') AS path FROM found""",
     "complement_topk": f"""WITH {_BARS}, {_ABN}, {_GRAPH} SELECT 'permno:' || permno AS canonical_id, round(value, 6) AS salience FROM abn WHERE permno IN (SELECT node FROM near) AND permno % 4 <> 0
 ORDER BY round(value, 6) DESC, 'permno:' || permno LIMIT 15""",
     "reason_hierarchy": f"""WITH {_GRAPH},
-best AS (SELECT a, b, min(struct_pack(kind := kind, span := coalesce(source_span, ''))) AS e FROM adj GROUP BY 1, 2),
-p1 AS (SELECT b AS node, min([a, b]) AS path FROM adj JOIN h0 ON a = node WHERE b IN (SELECT node FROM h1) GROUP BY b),
-p2 AS (SELECT b AS node, min(list_append(path, b)) AS path FROM adj JOIN p1 ON a = node WHERE b IN (SELECT node FROM h2) GROUP BY b),
-steps AS (SELECT node, 1 AS hops, [e] AS es FROM p1 JOIN best ON a = path[1] AND b = path[2]
-          UNION ALL SELECT node, 2, [x.e, y.e] FROM p2 JOIN best x ON x.a = path[1] AND x.b = path[2] JOIN best y ON y.a = path[2] AND y.b = path[3]),
-s AS (SELECT node, hops, es, list_filter(es, lambda z: z.kind = 'SUPPLIES' AND z.span <> '') AS spans, list_transform(es, lambda z: z.kind) AS kinds FROM steps)
-SELECT node, CASE WHEN len(spans) > 0 THEN 'supply chain: ' || spans[1].span WHEN list_contains(kinds, 'SUPPLIES') THEN 'supply chain link'
-       WHEN list_contains(kinds, 'COMPETES_WITH') AND hops = 1 THEN 'direct product-market peer' WHEN list_contains(kinds, 'COMPETES_WITH') THEN 'product-market peer, 2 hops' ELSE 'moves together beyond the market' END AS reason FROM s
-UNION ALL SELECT node, 'structurally connected' FROM h0""",
+{_REASONS} SELECT node, reason FROM told""",
     "seed_weights": f"""WITH {_PAGES}, {_NAMES},
 named AS (SELECT ticker, permno FROM valid QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY namedt DESC, permno) = 1),
 t AS (SELECT slug, day, in_degree, unnest(tags) AS tag FROM pages_ WHERE day < DATE '1999-06-30'),
@@ -230,11 +245,7 @@ n AS (SELECT session_id, id, count(*) AS n, max(p_name) FILTER (r = 1) AS t FROM
 SELECT session_id, CAST(rank AS INTEGER) AS rank, 'permno:' || id AS canonical_id, company, CAST(coalesce(n, 0) AS INTEGER) AS n_headlines, t AS first_title FROM ranked LEFT JOIN sheets USING (session_id, id) LEFT JOIN n USING (session_id, id)""",
     "edge_upsert": f"WITH {_GRAPH} SELECT src, dst, round(CASE WHEN src % 3 = 0 THEN weight + 1 ELSE weight END, 6) AS weight FROM graph WHERE src % 2 = 0 OR src % 3 = 0",
     "candidate_scores": f"""WITH {_BARS}, {_VOL}, {_ABN}, {_DIS}, {_GAP}, {_COMPOSITE}, {_CAPS},
-rec AS (SELECT c.*, least(greatest(coalesce(s_nationkey * 400, 0) // 1000, 0), 9) AS division, coalesce(mktcap, 0) AS cap FROM composite c LEFT JOIN supplier ON s_suppkey = permno LEFT JOIN caps USING (permno)
-        WHERE permno IN (SELECT permno FROM vol UNION SELECT permno FROM abn UNION SELECT permno FROM dis UNION SELECT permno FROM gaps)),
-cuts AS (SELECT list_distinct(quantile_cont(cap, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM rec),
-buckets AS (SELECT rec.*, division || '_' || greatest(0, len(list_filter(e, lambda x: x < cap)) - 1) AS bucket FROM rec, cuts),
-placed AS (SELECT *, (rank() OVER (PARTITION BY bucket ORDER BY composite) + (count(*) OVER (PARTITION BY bucket, composite) - 1) / 2) / count(*) OVER (PARTITION BY bucket) AS salience FROM buckets)
+{_PLACED}
 SELECT 'permno:' || permno AS canonical_id, DATE '2001-07-01' AS as_of, round(salience, 6) AS salience, round(composite, 6) AS attention, round(vol_spike, 6) AS vol_spike,
        round(abn_volume, 6) AS abn_volume, round(dislocation, 6) AS dislocation, round(gap, 6) AS gap FROM placed""",
     "secid_resolve": f"""WITH {_LINKS} SELECT o_custkey::VARCHAR AS key, permno FROM links
@@ -252,4 +263,54 @@ last(l_quantity ORDER BY l_orderkey, l_linenumber) FILTER (l_quantity >= 10) AS
     "date_ceilings": """SELECT 'orders' AS table_name, max(CAST(o_orderdate AS DATE)) AS last_day, count(o_orderdate) AS n_rows FROM orders
 UNION ALL SELECT 'lineitem', max(CAST(l_shipdate AS DATE)), count(l_shipdate) FROM lineitem UNION ALL SELECT 'events', max(CAST(ts AS DATE)), count(ts) FROM events""",
     "pit_pages": f"WITH {_PAGES} SELECT slug, CAST(len(list_filter(tags, lambda t: regexp_full_match(t, '[A-Z]{{1,5}}'))) AS INTEGER) AS n_tickers FROM pages_ WHERE day < DATE '1996-01-01'",
+    "flag_report": f"""WITH {_BARS}, {_VOL}, {_ABN}, {_DIS}, {_GAP}, {_COMPOSITE}, {_CAPS}, {_PLACED}, {_GRAPH}, {_REASONS},
+top AS (SELECT permno, salience FROM placed WHERE permno IN (SELECT node FROM near) AND permno % 4 <> 0 ORDER BY salience DESC, 'permno:' || permno LIMIT 10)
+SELECT 'permno:' || permno AS canonical_id, round(salience, 6) AS salience, true AS on_entity_frontier, array_to_string(list_transform(path, lambda x: 'permno:' || x), '>') AS path, reason FROM top JOIN told ON node = permno""",
+    "option_enrichment": f"""WITH {_BARS},
+q AS (SELECT l_suppkey AS s, CAST(l_shipdate AS DATE) + 1095 AS exdate, l_orderkey % 2 AS side, l_quantity / 50 AS d, (l_extendedprice / 1000 + (l_extendedprice / 1000 + 0.5::DOUBLE)) / 2 AS mid FROM lineitem
+      WHERE l_linenumber % 2 = 0 AND l_quantity BETWEEN 18 AND 32 AND l_orderkey % 3 > 0),
+x AS (SELECT s, min(exdate) AS exdate FROM q WHERE exdate > DATE '2001-07-01' + CAST(s % 60 AS INTEGER) GROUP BY 1),
+legs AS (SELECT s, first(mid ORDER BY d, mid) FILTER (side = 0) AS c, first(mid ORDER BY d, mid) FILTER (side = 1) AS p FROM q JOIN x USING (s, exdate) GROUP BY 1),
+v AS (SELECT l_suppkey AS s, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) / 100000 + 0.1::DOUBLE AS iv FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2),
+h AS (SELECT s, iv FROM v WHERE date < DATE '2001-07-01' QUALIFY row_number() OVER (PARTITION BY s ORDER BY date DESC) <= 252),
+span AS (SELECT s, min(iv) AS low, max(iv) AS high FROM h GROUP BY 1 HAVING count(*) >= 10),
+closes AS (SELECT permno AS s, last(close ORDER BY date) AS close FROM bars WHERE close IS NOT NULL GROUP BY 1)
+SELECT s_suppkey AS permno, round(v.iv, 6) AS iv, round(CASE WHEN v.iv IS NULL OR low IS NULL THEN NULL WHEN high <= low THEN 0.5 ELSE least(greatest((v.iv - low) / (high - low), 0), 1) END, 6) AS iv_rank,
+       round(CASE WHEN close > 0 THEN (c + p) / close END, 6) AS implied_move
+FROM supplier LEFT JOIN v ON v.s = s_suppkey AND v.date = DATE '2001-07-01' LEFT JOIN span ON span.s = s_suppkey LEFT JOIN legs ON legs.s = s_suppkey LEFT JOIN closes ON closes.s = s_suppkey
+WHERE s_suppkey % 8 <= 6 AND (v.iv IS NOT NULL OR (close > 0 AND c + p IS NOT NULL))""",
+    "vendor_bars": """SELECT l_suppkey AS permno, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS close, l_quantity AS volume, CASE WHEN l_linenumber > 2 THEN l_discount END AS ret FROM lineitem
+WHERE l_suppkey % 2 = 0 AND l_suppkey IN (SELECT s_suppkey FROM supplier) AND year(l_shipdate) = 1996""",
+    "vendor_market": "SELECT CAST(o_orderdate AS DATE) AS date, count(*) / 100 AS mkt FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1 HAVING count(*) % 3 <> 0",
+    "proxy_market": f"WITH {_BARS} SELECT date, round(ret, 6) AS mkt FROM bars WHERE permno = 7 AND ret IS NOT NULL",
+    "bar_window": f"WITH {_BARS} SELECT permno, count(*) AS n_bars, min(date) AS first_day, max(date) AS last_day FROM bars WHERE date >= DATE '2001-07-01' - 97 AND date < DATE '2001-07-01' GROUP BY 1",
+    "page_put": f"""WITH {_VERSIONS}, asked AS (SELECT 'size-' || (p_size + 20) AS slug, p_name AS title, p_brand || ' ' || p_type AS body FROM part WHERE p_partkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY slug ORDER BY title DESC, body DESC) = 1)
+SELECT a.slug, coalesce(version, 0) + 1 AS version, 'strategy' AS kind, a.title, a.body, coalesce(created_on, DATE '2001-07-01') AS created_on, DATE '2001-07-01' AS updated_on FROM asked a LEFT JOIN newest n ON n.slug = a.slug""",
+    "page_read": f"""WITH {_VERSIONS} SELECT slug, version, title, body, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT 'size-' || (p_partkey % 50) AS t FROM part WHERE p_size = 7)), '') AS links
+FROM newest WHERE slug = 'size-7'""",
+    "page_search": f"""WITH {_VERSIONS}, w AS (SELECT slug, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || body), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM newest),
+sizes AS (SELECT slug, count(*) AS size FROM w GROUP BY 1), st AS (SELECT count(*) AS n, avg(size) AS mean FROM sizes),
+tf AS (SELECT slug, word, count(*) AS tf FROM w WHERE word IN ('red', 'ring', 'economy') GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
+SELECT slug, any_value(title) AS title, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 6) AS score
+FROM tf JOIN df USING (word) JOIN sizes USING (slug) JOIN newest USING (slug), st GROUP BY slug""",
+    "links_created": f"""WITH {_VERSIONS}, asked AS (SELECT p_partkey % 2 = 0 AS there, 'size-' || p_size AS from_slug, 'size-' || (p_partkey % 70) AS to_slug FROM part)
+SELECT from_slug, to_slug FROM asked WHERE from_slug IN (SELECT slug FROM newest) AND to_slug IN (SELECT slug FROM newest) GROUP BY 1, 2 HAVING NOT bool_or(there)""",
+    "event_fold": """WITH log AS (SELECT event_id, user_id AS session_id, CAST(day(ts) AS BIGINT) AS turn, event_type AS e, CAST(json_extract_string(props, '$.k') AS INTEGER) AS id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL),
+c AS (SELECT session_id, turn, max_by(id, event_id) AS id FROM log WHERE e = 'view' GROUP BY 1, 2), f AS (SELECT session_id, max_by(id, event_id) AS id FROM log WHERE e = 'signup' GROUP BY 1)
+SELECT 'candidates' AS kind, session_id, turn, unnest([id, id + 1]) AS id FROM c UNION ALL SELECT 'final', session_id, NULL, unnest([id, id + 2]) FROM f
+UNION ALL SELECT DISTINCT 'flags', session_id, CAST(NULL AS BIGINT), id FROM (SELECT session_id, unnest([id, id + 3]) AS id FROM log WHERE e = 'click')
+UNION ALL SELECT DISTINCT CASE e WHEN 'purchase' THEN 'accept' ELSE 'dismiss' END, session_id, CAST(NULL AS BIGINT), id FROM log WHERE e IN ('purchase', 'error')""",
+    "accepted_scores": f"""WITH {_SCORES.replace("event = 'a_final'", "event = 'accept'")} SELECT * FROM scores""",
+    "mention_seeds": """WITH m AS (SELECT o_orderpriority AS namespace, 'permno:' || (o_custkey % 100) AS canonical_id, CAST(o_orderdate AS DATE) AS seen, o_orderkey,
+                  pow(2, -(DATE '1999-06-30' - CAST(o_orderdate AS DATE)) / 30) * (1 + o_orderkey % 3) * (0.5::DOUBLE + o_orderkey % 2) AS one FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1999-06-30'),
+s AS (SELECT namespace, canonical_id, sum(one) AS raw, min(seen) AS first_seen, max(seen) AS last_seen, count(DISTINCT o_orderkey) AS n_pages FROM m GROUP BY 1, 2)
+SELECT namespace, canonical_id, round(raw / max(raw) OVER (PARTITION BY namespace), 6) AS weight, first_seen, last_seen, n_pages FROM s""",
+    "filing_dates": """SELECT c_custkey::VARCHAR AS gvkey, min(CAST(o_orderdate AS DATE)) AS fdate, count(*) AS n_filings FROM customer JOIN orders ON c_custkey % 500 = o_custkey % 700 WHERE c_custkey % 10 > 0 GROUP BY 1""",
+    "children_replaced": """WITH n AS (SELECT p_partkey % 60 AS session_id, 'permno:' || (p_size + 1) AS canonical_id, p_brand AS title, p_partkey FROM part WHERE p_partkey % 5 = 0),
+o AS (SELECT p_partkey % 30 AS session_id, 'permno:' || p_size AS canonical_id, p_name AS title, p_partkey FROM part WHERE p_partkey % 5 <> 0)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.session_id = o.session_id AND n.canonical_id = o.canonical_id)""",
+    "sessions_left": "SELECT user_id AS session_id, max(CAST(ts AS DATE)) AS last_day, count(*) AS n_flags FROM events WHERE event_type = 'click' AND user_id % 3 <> 0 GROUP BY 1",
+    "tearsheets": f"""WITH {_BARS}, b AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY permno ORDER BY date DESC) = 1)
+SELECT 'permno:' || s_suppkey AS canonical_id, s_name AS company, close AS prev_close, round(close - open, 6) AS change, round(CASE WHEN open <> 0 THEN (close - open) * 100 / open END, 6) AS change_pct FROM supplier LEFT JOIN b ON permno = s_suppkey""",
+    "uncached_ids": "SELECT DISTINCT 'permno:' || o_custkey AS canonical_id FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)",
 }

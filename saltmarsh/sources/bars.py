@@ -20,11 +20,11 @@ class BarSource(Protocol):
     def market(self, start: date, end: date) -> DataFrame: ...
 
 
-class ParquetBars:
-    """Bars and market from two Parquet tables with the vendor's columns (prc may be signed, ret may be a code)."""
+class TableBars:
+    """Bars and market from two tables with the vendor's columns (prc may be signed, ret may be a code)."""
 
-    def __init__(self, spark: SparkSession, bars_path: str, market_path: str):
-        self.raw, self.index = spark.read.parquet(bars_path), spark.read.parquet(market_path)
+    def __init__(self, raw: DataFrame, index: DataFrame):
+        self.raw, self.index = raw, index
 
     def bars(self, permnos: DataFrame, start: date, end: date) -> DataFrame:
         return clean_bars(self.raw.where(F.col("date").between(F.lit(start), F.lit(end))).join(permnos.select("permno"), "permno", "left_semi"))
@@ -33,6 +33,13 @@ class ParquetBars:
         return self.index.where(F.col("date").between(F.lit(start), F.lit(end))).select("date", F.col("vwretd").try_cast("double").alias("mkt")).where("mkt is not null")
 
 
+class ParquetBars(TableBars):
+    """The same from two Parquet tables."""
+
+    def __init__(self, spark: SparkSession, bars_path: str, market_path: str):
+        super().__init__(spark.read.parquet(bars_path), spark.read.parquet(market_path))
+
+
 def clean_bars(raw: DataFrame) -> DataFrame:
     """Vendor bars to bars: prices without sign, codes and returns of -1 or less as null."""
     number = lambda c: F.col(c).try_cast("double")

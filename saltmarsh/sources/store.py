@@ -67,6 +67,16 @@ def tearsheet(details: DataFrame, last_bars: DataFrame) -> DataFrame:
     return details.join(last_bars.select("canonical_id", "open", "close"), "canonical_id", "left").select(*details.columns, F.col("close").alias("prev_close"), change.alias("change"), F.try_divide(change * 100, F.nullif(F.col("open"), F.lit(0.0))).alias("change_pct"))
 
 
+def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``new``, and the rows of ``old`` with other keys: all children that ``new`` gives for a key take the place of the old ones."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def without_sessions(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` but those of the sessions in ``gone``; sessions that are not there are no error."""
+    return rows.join(gone.select("session_id").distinct(), "session_id", "left_anti")
+
+
 def list_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("session_id").agg(F.max("created_at").alias("created_at"), F.count("*").alias("n_flags")).orderBy(F.desc("created_at"), "session_id")
 
