@@ -23,7 +23,7 @@ from saltmarsh.llm.common import WORDS, cut, map_rows
 WINDOW = 2048
 END_ID = 1
 #: Tokenised words that a Python worker remembers, over all tasks that it runs.
-MOST_WORDS = 600_000
+MOST_WORDS = 800_000
 
 #: Words that are encoded at a time, so that what the library holds for them stays small.
 ENCODED = 10_000
@@ -34,6 +34,15 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 _PLACED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are below U+0100, which is quicker to tell than what a pattern finds."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Words(dict):
     """White-space-free chunk of text to its token ids as little-endian unsigned 32-bit integers.
 
@@ -63,7 +72,7 @@ class Words(dict):
         """The chunks of a text, those without an odd character in lower case; stops and commas that end a word stand alone."""
         # str.split also parts at four control characters that the vocabulary does not take for white space.
         split = WORDS if CONTROLS(text) else str.split
-        if self.ODD(text):
+        if (not latin(text) or "<|" in text) and self.ODD(text):
             return [c if self.ODD(c) else c.lower() for c in split(text)]
         text = text.lower()
         if not self.JOINED(text):

@@ -271,6 +271,18 @@ def test_trees_are_monotonic_and_learn():
 # ---- 5: packing
 
 
+def test_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    draw, path = random.Random(5), packing.tokenizer_path()
+    signs = [*"abcXYZ.,.,'  \n\t'sstmdlrve0123()_-\"<|>\x1c\x1f\x85\xa0éÀßİıŉſ²ªº×÷¿´Ω中😀ﬁ\u0307\u0301", "foo", "bar, ", "baz. ", "it's, ", "<|endoftext|>", ".\n", ",\n"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(40))) for _ in range(5000)]
+    library = Tokenizer.from_file(path)
+    for text, ids in zip(texts, packing.ids_of(iter(texts), path, block=3000), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+
 def test_packing_keeps_every_token_once(tricky, empty):
     from tokenizers import Tokenizer
 
