@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from saltmarsh.llm import html_template, imatch, jaccard_join, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, toxicity
+from saltmarsh.llm import centroids, html_template, imatch, jaccard_join, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, repeated_passages, resampling, toxicity
 from saltmarsh.llm.common import cut, table
 
 
@@ -49,6 +50,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(slim).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeated_passages.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_resample_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii_skip_chain": op1_pii_skip_chain,
     "op2_fingerprint_imatch": op2_fingerprint_imatch,
@@ -60,6 +74,9 @@ QUERIES = {
     "op8_toxicity_noisy_channel": op8_toxicity_noisy_channel,
     "op9_line_dedup_simhash": op9_line_dedup_simhash,
     "op10_mix_sources": op10_mix_sources,
+    "op11_substring_automata": op11_substring_automata,
+    "op12_resample_radix": op12_resample_radix,
+    "op13_centroids_gemm": op13_centroids_gemm,
 }
 
 ORACLES = {
@@ -91,4 +108,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
             + least(greatest(budget - CASE WHEN source_size > 0 THEN budget // greatest(source_size, 1) ELSE 0 END * source_size - before, 0), size) AS BIGINT) AS taken
 FROM placed
 """,
+    "op11_substring_automata": repeated_passages.SQL,
+    "op12_resample_radix": resampling.SQL,
+    "op13_centroids_gemm": centroids.SQL,
 }
