@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from saltmarsh.llm.common import WordHashes, cut, map_rows, mix64, renamed
+from saltmarsh.llm.common import cut, map_rows, mix64, renamed
 from saltmarsh.llm.line_dedup import marked
 
 #: Words of a window that repeats, and of the runs within it of which the one with the least hash is its anchor.
@@ -33,16 +33,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _COUNTS = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
 _STRETCHES = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
-
-
-class ByteWords(WordHashes):
-    """Hashes of words given as UTF-8."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+_WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,6 +41,27 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+class Places:
+    """Where the words of a text begin and end in UTF-8, and a hash of each, without making the words.
+
+    A hash is a polynomial of the word's bytes modulo 2^64, taken from running sums over the text: the powers
+    before the word are divided out by those of the multiplier's inverse.
+    """
+
+    def __init__(self) -> None:
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes = np.frombuffer(data, np.uint8)
+        if len(self.powers) < len(codes):
+            n = np.uint64(int(_MULTIPLIER)), np.uint64(pow(int(_MULTIPLIER), -1, 2**64))
+            self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * len(codes), x)])) for x in n)
+        edge = np.diff(np.concatenate([[True], _WHITE[codes], [True]]).view(np.int8))
+        starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * self.powers[: len(codes)])])
+        return starts, stops, mix64((sums[stops] - sums[starts]) * self.inverses[starts])
+
+
 def gram_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     total = np.zeros(len(hashes) - width + 1, np.uint64)
     for i in range(width):
@@ -66,47 +78,51 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def anchors(words: list[bytes], hashes: WordHashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor of each stretch (a run of windows with one anchor), its first window, and the window after its last.
+def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor of each stretch (a run of windows with one anchor), its first window, the window after its last, and anchors that stand at two places of a stretch.
 
     Equal windows have equal anchors, so a window can only repeat if its anchor does. A sixth to a seventh as many stretches as
     words come out of usual text. The anchors are signed longs.
     """
-    if len(words) < window:
+    if len(hashes) < window:
         none = np.empty(0, np.int64)
-        return none, none, none
-    of_window = least(gram_hashes(hashes.of(words), gram), window - gram + 1)
+        return none, none, none, none
+    grams, reach = gram_hashes(hashes, gram), window - gram + 1
+    of_window = least(grams, reach)
     first = np.flatnonzero(np.concatenate([[True], of_window[1:] != of_window[:-1]]))
-    return of_window[first].view(np.int64), first, np.append(first[1:], len(of_window))
+    own, stop = of_window[first].view(np.int64), np.append(first[1:], len(of_window))
+    # Places of anchors: where a run of words has the greatest hash that windows around it have as their least one.
+    edge = np.full(reach - 1, np.iinfo(np.uint64).max)
+    chosen = grams[grams == ~least(~np.concatenate([~edge, of_window, ~edge]), reach)] if reach > 1 else grams
+    twice = np.empty(0, np.int64)
+    if len(chosen) > len(first):
+        chosen = np.sort(chosen)
+        twice = own[np.isin(own, chosen[1:][chosen[1:] == chosen[:-1]].view(np.int64))]
+    return own, first, stop, twice
 
 
 def repeated_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """anchor and n (stretches, over all documents) of the anchors that may have a window twice."""
+    """anchor and n (stretches, over all documents) of the anchors that may have a window twice; those twice in a stretch count double."""
 
-    def rows(read: Iterator[tuple]) -> Iterator[tuple]:
-        hashes, held, size = ByteWords(), [], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, held, size = Places(), [], 0
 
-        def counted() -> Iterator[tuple]:
+        def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            return zip(values.tolist(), counts.tolist(), strict=True)
-
-        for (text,) in read:
-            words = words_of(text)
-            own, first, stop = anchors(words, hashes, window, gram)
-            # A stretch longer than the anchor's reach, or any periodic one, may repeat a window within itself: it counts twice.
-            twice = own[stop - first > 1]
-            if len(twice):
-                runs = np.sort(gram_hashes(hashes.of(words), gram).view(np.int64))
-                twice = twice[np.isin(twice, runs[1:][runs[1:] == runs[:-1]])]
-            held += [own, twice]
-            size += len(own)
-            if size >= MOST_COUNTED:
-                yield from counted()
-                held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], schema=_COUNTS)
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own, _, _, twice = anchors(places.of(text.encode("utf-8", "surrogatepass"))[2], window, gram)
+                held += [own, twice]
+                size += len(own)
+                if size >= MOST_COUNTED:
+                    yield counted()
+                    held, size = [], 0
         if size:
-            yield from counted()
+            yield counted()
 
-    counts = map_rows(docs.select("text"), rows, _COUNTS, flush=50_000).groupBy("anchor").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(count, from_arrow_schema(_COUNTS)).groupBy("anchor").agg(F.sum("n").alias("n"))
     return cut(counts.where("n > 1"))
 
 
@@ -128,84 +144,109 @@ def stretches(docs: DataFrame, repeated: DataFrame, window: int = WINDOW, gram:
     shared = docs.sparkSession.sparkContext.broadcast((bits, hot))
 
     def rows(read: Iterator[tuple]) -> Iterator[tuple]:
-        (bits, hot), hashes = shared.value, ByteWords()
+        (bits, hot), places = shared.value, Places()
         for doc_id, text, text_hash in read:
-            words = words_of(text)
-            own, first, stop = anchors(words, hashes, window, gram)
+            data = text.encode("utf-8", "surrogatepass")
+            starts, stops, hashes = places.of(data)
+            own, first, stop, _ = anchors(hashes, window, gram)
             key = own.view(np.uint64)
             some = np.flatnonzero(bits[(key >> np.uint64(6)).astype(np.int64) & (len(bits) - 1)] >> (key & np.uint64(63)) & np.uint64(1))
-            for anchor, a, b in zip(own[some].tolist(), first[some].tolist(), stop[some].tolist(), strict=True):
-                yield anchor, text_hash % hot[anchor] if anchor in hot else -1, doc_id, text_hash, a, b" ".join(words[a : b + window - 1])
+            first, stop = first[some], stop[some]
+            for anchor, a, i, j in zip(own[some].tolist(), first.tolist(), starts[first].tolist(), stops[stop + window - 2].tolist(), strict=True):
+                yield anchor, text_hash % hot[anchor] if anchor in hot else -1, doc_id, text_hash, a, b" ".join(data[i:j].split())
 
     found = map_rows(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), rows, _STRETCHES)
     return found.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.col("doc_id").asc_nulls_first(), "text_hash", "start")
 
 
 class Shard:
-    """Stretches of some anchors: the windows that repeat among them, compiled to an automaton over numbered words."""
+    """Stretches of some anchors: the passages that repeat among them, compiled to an automaton over numbered words.
+
+    Equal stretches are held once. A passage is a whole stretch that stands at several places, or a window that different
+    stretches have, or that one has twice.
+    """
 
     def __init__(self, window: int, stretches: Iterable[tuple[tuple, bytes]] = ()):
         self.window = window
         self.words: dict[bytes, int] = {}
-        self.held: list[tuple[tuple, tuple[int, ...], bytes]] = []  # place, words as numbers, the same as bytes
+        self.numbers: dict[bytes, tuple[int, ...]] = {}  # the distinct stretches
+        self.held: list[tuple[tuple, bytes]] = []  # place, stretch
         self.add(stretches)
 
     def add(self, stretches: Iterable[tuple[tuple, bytes]]) -> None:
         """Add (place, words) of an anchor, in order of place."""
         for place, words in stretches:
-            numbers = tuple(self.words.setdefault(w, len(self.words)) for w in words.split(b" "))
-            self.held.append((place, numbers, np.array(numbers, np.uint32).tobytes()))
-
-    def windows(self, data: bytes) -> Iterator[bytes]:
-        size = 4 * self.window
-        return (data[k : k + size] for k in range(0, len(data) - size + 1, 4))
-
-    def confirmed(self) -> list[bytes]:
-        """The windows that occur twice or more, word by word."""
-        once: set[bytes] = set()
-        twice: dict[bytes, None] = {}
-        for _, _, data in self.held:
-            for w in self.windows(data):
-                if w in once:
-                    twice[w] = None
-                else:
-                    once.add(w)
-        return list(twice)
-
-    def repeats(self) -> Iterator[tuple[tuple, int, int]]:
-        """(place, first, stop) of runs of windows that start earlier as well; places must have been added in order."""
-        passages = self.confirmed()
-        if not passages:
-            return
+            if words not in self.numbers:
+                self.numbers[words] = tuple([self.words.setdefault(w, len(self.words)) for w in words.split(b" ")])
+            self.held.append((place, words))
+
+    def windows(self, numbers: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        size = self.window
+        return (numbers[k : k + size] for k in range(len(numbers) - size + 1))
+
+    def confirmed(self) -> tuple[set[tuple[int, ...]], set[tuple[int, ...]]]:
+        """Stretches at several places, and windows that repeat in other ways, compared word by word."""
+        often, once, twice = set(), set(), set()
+        seen: set[bytes] = set()
+        for _, words in self.held:
+            if words in seen:
+                often.add(self.numbers[words])
+            seen.add(words)
+        for numbers in self.numbers.values():
+            for w in self.windows(numbers):
+                (twice if w in once else once).add(w)
+        return often, twice
+
+    def located(self) -> dict[bytes, list[tuple[int, tuple[int, ...]]]]:
+        """For each distinct stretch the passages in it, as the automaton meets them: index of the last word, and the passage."""
+        often, twice = self.confirmed()
+        if not often and not twice:
+            return {}
+        passages = list(often | twice)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for k, passage in enumerate(passages):
-            automaton.add_word(tuple(np.frombuffer(passage, np.uint32).tolist()), k + 1)
+            automaton.add_word(passage, k)
         automaton.make_automaton()
-        seen = bytearray(len(passages) + 1)
-        for place, numbers, _ in self.held:
+        return {words: [(end, passages[k]) for end, k in automaton.iter(numbers)] for words, numbers in self.numbers.items()}
+
+    def repeats(self) -> Iterator[tuple[tuple, int, int]]:
+        """(place, first, stop) of runs of windows that start earlier as well."""
+        found = self.located()
+        if not found:
+            return
+        seen: set[tuple[int, ...]] = set()
+        for place, words in self.held:
+            numbers = self.numbers[words]
+            if numbers in seen:  # the whole stretch stood earlier, and so did each of its windows
+                yield place, 0, len(numbers) - self.window + 1
+                continue
             first = stop = -1
-            for end, k in automaton.iter(numbers):
-                if not seen[k]:
-                    seen[k] = 1
-                    continue
-                at = end - self.window + 1
-                if at != stop:
-                    if stop >= 0:
-                        yield place, first, stop
-                    first = at
-                stop = at + 1
+            for end, passage in found[words]:
+                if len(passage) == self.window and passage in seen:
+                    at = end - self.window + 1
+                    if at != stop:
+                        if stop >= 0:
+                            yield place, first, stop
+                        first = at
+                    stop = at + 1
+                elif len(passage) == self.window or passage is numbers or passage == numbers:
+                    seen.add(passage)
             if stop >= 0:
                 yield place, first, stop
 
     def firsts(self) -> Iterator[tuple[tuple, int, int, int]]:
         """(place, window, two halves of a 128-bit hash of its words) of the first occurrence of each window."""
         names = list(self.words)
-        done: set[bytes] = set()
-        for place, numbers, data in self.held:
-            for k, w in enumerate(self.windows(data)):
+        done: set[tuple[int, ...]] = set()
+        met: set[bytes] = set()
+        for place, words in self.held:
+            if words in met:
+                continue
+            met.add(words)
+            for k, w in enumerate(self.windows(self.numbers[words])):
                 if w not in done:
                     done.add(w)
-                    digest = xxhash.xxh3_128_digest(b" ".join(names[x] for x in numbers[k : k + self.window]))
+                    digest = xxhash.xxh3_128_digest(b" ".join([names[x] for x in w]))
                     yield place, k, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
