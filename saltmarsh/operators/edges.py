@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,6 +71,36 @@ def peer_counters(pairs: DataFrame, links: DataFrame, t0: date, min_score: float
     return counted.crossJoin(edges.agg(F.count("*").alias("written"))).crossJoin(nodes)  # one row each
 
 
+@contextmanager
+def all_counted(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here keep their parts when a part turns out empty; left out by the adaptive plan, those would take what they observed with them."""
+    setting = "spark.sql.adaptive.optimizer.excludedRules"
+    before = spark.conf.get(setting, "") or ""
+    spark.conf.set(setting, ",".join(filter(None, [before, "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"])))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def load_peer_edges(pairs: DataFrame, links: DataFrame, t0: date, path: str, kind: str = "COMPETES_WITH", provenance: str = "tnic", min_score: float = 0.0) -> dict[str, int]:
+    """Write the edges of ``peer_edges`` to ``path`` and return the counters of ``peer_counters``.
+
+    What is read and skipped is counted by the job that writes, as rows pass; only the nodes, which need the
+    distinct ends, are counted from the edges that were written. The pairs are scanned once.
+    """
+    read, kept = Observation(), Observation()
+    judged = _peers_judged(pairs, links, t0, min_score).observe(read, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("skip") == "score").alias("skipped_score"), F.count_if(F.col("skip") == "unresolved").alias("unresolved"))
+    found = undirected(judged.where("skip is null")).select("src", "dst", F.lit(kind).alias("kind"), "weight", F.lit(False).alias("directed"), F.lit(t0).alias("as_of"), F.lit(provenance).alias("provenance"), F.lit(vintage_for(t0)).alias("vintage"))
+    with all_counted(pairs.sparkSession):
+        found.observe(kept, F.count(F.lit(1)).alias("written")).write.parquet(path)
+    return read.get | kept.get | {"nodes": _ends(pairs.sparkSession.read.parquet(path))}
+
+
+def _ends(edges: DataFrame) -> int:
+    return edges.select(F.explode(F.array("src", "dst")).alias("n")).distinct().count()
+
+
 def source_span(share: Column, name: Column, year: Column) -> Column:
     """A readable line for a supplier edge, with the revenue share where it is known."""
     return F.when(share.isNotNull(), F.concat(name, F.format_string(" (%.1f%% of FY%d revenue)", share * 100, year))).otherwise(F.concat(name, F.format_string(" (FY%d major customer)", year)))
@@ -112,15 +143,17 @@ def skip_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("skip", F.lit("loaded")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def residuals(bars: DataFrame, market: DataFrame, window: int = 252, least: int = MIN_CO_OBS) -> DataFrame:
+def residuals(bars: DataFrame, market: DataFrame, window: int = 252, least: int = MIN_CO_OBS, seen: Observation | None = None) -> DataFrame:
     """permno, date and the return that beta through the origin leaves, over the last market dates.
 
-    Ids with fewer than ``least`` returns there drop out; without market movement beta is 0.
+    Ids with fewer than ``least`` returns there drop out; without market movement beta is 0. ``seen`` counts those used and dropped.
     """
     dates = market_dates(bars, market, window).select("date", "mkt")
     rets = bars.select("permno", "date", finite(F.col("ret")).alias("ret")).where("ret > -1").join(F.broadcast(dates), "date")
-    beta = rets.groupBy("permno").agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.sum(F.col("mkt") * F.col("ret")), F.sum(F.col("mkt") * F.col("mkt"))), F.lit(0.0)).alias("beta")).where(F.col("n") >= least)
-    return rets.join(beta, "permno").select("permno", "date", (F.col("ret") - F.col("beta") * F.col("mkt")).alias("res"))
+    beta = rets.groupBy("permno").agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.sum(F.col("mkt") * F.col("ret")), F.sum(F.col("mkt") * F.col("mkt"))), F.lit(0.0)).alias("beta"))
+    if seen is not None:
+        beta = beta.observe(seen, F.count_if(F.col("n") >= least).alias("stocks_used"), F.count_if(F.col("n") < least).alias("stocks_dropped_min_obs"))
+    return rets.join(beta.where(F.col("n") >= least), "permno").select("permno", "date", (F.col("ret") - F.col("beta") * F.col("mkt")).alias("res"))
 
 
 def correlations(res: DataFrame) -> DataFrame:
@@ -169,12 +202,25 @@ def blocked_correlations(res: DataFrame, blocks: int = 16) -> DataFrame:
     return made.withColumn("corr", finite(F.col("corr")))
 
 
-def comovement_edges(bars: DataFrame, market: DataFrame, t0: date, window: int = 252, least: int = MIN_CO_OBS, threshold: float = MIN_CORRELATION, blocks: int | None = None) -> DataFrame:
+def blocks_for(bars: DataFrame) -> int:
+    """Blocks of about IDS_PER_BLOCK ids each, by a job over the ids of ``bars``: give ``blocks`` where the number of ids is known."""
+    return max(1, -(-bars.select("permno").distinct().count() // IDS_PER_BLOCK))
+
+
+def comovement_edges(bars: DataFrame, market: DataFrame, t0: date, window: int = 252, least: int = MIN_CO_OBS, threshold: float = MIN_CORRELATION, blocks: int | None = None, seen: Observation | None = None) -> DataFrame:
     """Undirected edges of ids whose residual returns correlate at ``threshold`` or more, with the unrounded correlation as weight.
 
-    ``blocks`` of ids meet two at a time; if not given there is one for each IDS_PER_BLOCK ids.
+    ``blocks`` of ids meet two at a time; if not given, the ids are counted first (``blocks_for``).
     """
-    res = residuals(bars, market, window, least)
-    blocks = blocks or max(1, -(-bars.select("permno").distinct().count() // IDS_PER_BLOCK))
-    pairs = blocked_correlations(res, blocks)
+    pairs = blocked_correlations(residuals(bars, market, window, least, seen), blocks or blocks_for(bars))
     return pairs.where(F.col("corr") >= threshold).select("src", "dst", F.lit("COMOVES_WITH").alias("kind"), F.col("corr").alias("weight"), F.lit(False).alias("directed"), F.lit(t0).alias("as_of"), F.lit("crsp_comovement").alias("provenance"))
+
+
+def load_comovement_edges(bars: DataFrame, market: DataFrame, t0: date, path: str, window: int = 252, least: int = MIN_CO_OBS, threshold: float = MIN_CORRELATION, blocks: int | None = None) -> dict[str, int]:
+    """Write the edges of ``comovement_edges`` to ``path`` and return what that job counted: edges, pairs above the threshold, ids used and dropped, nodes."""
+    seen, kept = Observation(), Observation()
+    found = comovement_edges(bars, market, t0, window, least, threshold, blocks, seen).observe(kept, F.count(F.lit(1)).alias("pairs_above_threshold"))
+    with all_counted(bars.sparkSession):
+        found.write.parquet(path)
+    written = bars.sparkSession.read.parquet(path)
+    return kept.get | seen.get | {"edges_written": written.count(), "nodes_merged": _ends(written)}

@@ -7,7 +7,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saltmarsh.sources.scratch import cut
+
 DEPTH = 2
+#: Edges of a node from which on it is a hub, at least, and the share of all edges from which on.
+HUB_EDGES, HUB_SHARE = 20_000, 0.001
 
 
 def adjacency(edges: DataFrame, t0: date | None = None) -> DataFrame:
@@ -26,39 +30,89 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
+class Walk:
+    """Steps along the edges of a graph, with the neighbours of hubs dealt to several tasks.
+
+    A hub is a node with a set share of all edges, so there are few, and their list is broadcast. Its edges are salted by their
+    other end, and a frontier row of a hub is repeated for each salt: no task joins all edges of one node.
+    """
+
+    def __init__(self, adj: DataFrame, hub_edges: int = HUB_EDGES):
+        step = F.struct(F.col("kind"), F.col("source_span"), F.col("weight"))
+        ends = adj.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.min(step).alias("_step"))
+        degrees = ends.groupBy("_a").agg(F.count("*").alias("n"))
+        limit = F.greatest(F.lit(hub_edges), (F.col("total") * HUB_SHARE).cast("long"))
+        hubs = degrees.crossJoin(F.broadcast(degrees.agg(F.sum("n").alias("total")))).where(F.col("n") > limit)  # one row on the right
+        self.hubs = cut(hubs.select(F.col("_a").alias("_hub"), F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
+        salt = F.coalesce(F.pmod(F.xxhash64("_b"), F.col("_salts")), F.lit(0)).cast("int")
+        self.ends = cut(ends.join(F.broadcast(self.hubs), F.col("_a") == F.col("_hub"), "left").select("_a", "_b", "_step", salt.alias("_salt")))
+
+    def step(self, frontier: DataFrame) -> DataFrame:
+        """Each row of ``frontier`` (node and others) with each neighbour, _b, and the edge to it, _step."""
+        salted = frontier.join(F.broadcast(self.hubs), F.col("node") == F.col("_hub"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hub", "_salts")
+        return salted.join(self.ends, (F.col("node") == F.col("_a")) & (salted["_salt"] == self.ends["_salt"])).drop("_a", "_salt")
+
+
 def expand(seeds: DataFrame, adj: DataFrame, depth: int = DEPTH) -> DataFrame:
     """node and hops of all nodes within ``depth`` edges of a seed (column node); seeds are at 0.
 
-    Each level joins only the newest nodes with the edges and drops those seen before, so paths do not
-    multiply. The driver loop builds one plan and runs nothing.
+    Each level joins only the newest nodes with the edges and drops those seen before, so paths do not multiply. A level is
+    written before the next one starts, so the plan grows by one table a level, and the walk ends where nothing is new.
     """
-    seen = seeds.select("node").distinct().withColumn("hops", F.lit(0))
-    ends = adj.select(F.col("a").alias("_a"), F.col("b").alias("_b")).distinct()
+    walk = Walk(adj)
+    newest = cut(seeds.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0)))
+    seen = newest
     for level in range(1, depth + 1):
-        newest = seen.where(F.col("hops") == level - 1)
-        reached = newest.join(ends, newest["node"] == ends["_a"]).select(F.col("_b").alias("node")).distinct()
-        seen = seen.unionByName(reached.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(level)))
+        reached = walk.step(newest.select("node")).select(F.col("_b").alias("node")).distinct()
+        newest = cut(reached.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(level)))
+        if newest.isEmpty():
+            break
+        seen = seen.unionByName(newest)
     return seen
 
 
-def shortest_paths(seeds: DataFrame, adj: DataFrame, depth: int = DEPTH + 1) -> DataFrame:
-    """node, hops, path (ids from a seed to the node) and steps (the edges), for all nodes within ``depth``.
-
-    Of several shortest paths the least one as a list of ids counts, then the least edges by kind. A seed
-    has a path of itself alone.
-    """
-    step = F.struct(F.col("kind"), F.col("source_span"), F.col("weight"))
-    ends = adj.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.min(step).alias("_step"))
-    seen = seeds.select("node").distinct().select("node", F.lit(0).alias("hops"), F.array("node").alias("path"), F.array().cast("array<struct<kind:string,source_span:string,weight:double>>").alias("steps"))
+def _levels(walk: Walk, start: DataFrame, depth: int, by: list[str], forward: bool) -> DataFrame:
+    """Shortest paths from the rows of ``start`` (node and the columns ``by``), apart for each value of ``by``: hops, path and steps."""
+    empty = F.array().cast("array<struct<kind:string,source_span:string,weight:double>>")
+    newest = cut(start.select(*by, "node", F.lit(0).alias("hops"), F.array("node").alias("path"), empty.alias("steps")))
+    seen = newest
+    # Going back, a path grows at its front, so that it always reads from the seed to the target.
+    path = F.array_append("path", F.col("_b")) if forward else F.array_prepend("path", F.col("_b"))
+    steps = F.array_append("steps", F.col("_step")) if forward else F.array_prepend("steps", F.col("_step"))
     for level in range(1, depth + 1):
-        newest = seen.where(F.col("hops") == level - 1)
-        grown = newest.join(ends, newest["node"] == ends["_a"]).select(F.col("_b").alias("node"), F.array_append("path", F.col("_b")).alias("path"), F.array_append("steps", F.col("_step")).alias("steps"))
-        best = grown.groupBy("node").agg(F.min(F.struct("path", "steps")).alias("_best"))
-        fresh = best.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("hops"), "_best.path", "_best.steps")
-        seen = seen.unionByName(fresh)
+        grown = walk.step(newest).select(*by, F.col("_b").alias("node"), path.alias("path"), steps.alias("steps"))
+        best = grown.groupBy(*by, "node").agg(F.min(F.struct("path", "steps")).alias("_best"))
+        newest = cut(best.join(seen.select(*by, "node"), [*by, "node"], "left_anti").select(*by, "node", F.lit(level).alias("hops"), "_best.path", "_best.steps"))
+        if newest.isEmpty():
+            break
+        seen = seen.unionByName(newest)
     return seen
 
 
+def shortest_paths(seeds: DataFrame, adj: DataFrame, depth: int = DEPTH + 1, targets: DataFrame | None = None) -> DataFrame:
+    """node, hops, path (ids from a seed to the node) and steps (the edges), for all nodes within ``depth``, or the ``targets`` (column node) among them.
+
+    Of several shortest paths the least one as a list of ids counts, then the least edges by kind. A seed has a path of itself
+    alone. With targets the search starts from both ends, half of the hops from each, and joins the paths where they meet, so
+    it sees far fewer nodes. Levels are written one by one (``expand``).
+    """
+    walk = Walk(adj)
+    start = seeds.select("node").where("node is not null").distinct()
+    if targets is None:
+        return _levels(walk, start, depth, [], forward=True)
+    there = _levels(walk, start, (depth + 1) // 2, [], forward=True)
+    back = _levels(walk, targets.select("node").where("node is not null").distinct().withColumn("target", F.col("node")), depth // 2, ["target"], forward=False)
+    both = there.join(back.select("node", "target", F.col("hops").alias("_hops"), F.col("path").alias("_path"), F.col("steps").alias("_steps")), "node")
+    # The node at which they meet is the last of one path and the first of the other.
+    whole = F.struct((F.col("hops") + F.col("_hops")).alias("hops"), F.concat("path", F.slice("_path", F.lit(2), F.size("_path"))).alias("path"), F.concat("steps", "_steps").alias("steps"))
+    return both.groupBy("target").agg(F.min(whole).alias("_best")).select(F.col("target").alias("node"), "_best.hops", "_best.path", "_best.steps")
+
+
+def duplicate_nodes(nodes: DataFrame) -> DataFrame:
+    """Ids that a table of nodes (canonical_id) holds more than once, with their number; null ids count as one. Empty if ids are unique."""
+    return nodes.groupBy("canonical_id").agg(F.count("*").alias("n")).where("n > 1 or canonical_id is null")
+
+
 def complement(candidates: DataFrame, near: DataFrame, named: DataFrame, k: int, seeds: DataFrame | None = None) -> DataFrame:
     """The top ``k`` covered candidates by salience (then id) that are near and were not named.
 
@@ -70,19 +124,36 @@ def complement(candidates: DataFrame, near: DataFrame, named: DataFrame, k: int,
     return left.orderBy(F.desc("salience"), "canonical_id").limit(k)
 
 
-def reason(steps: Column) -> Column:
-    """Why a node is connected, by the strongest kind of edge on its path."""
+#: Texts of reasons, which users know: fixed values. {} stands for the span, the seed on the path, or hops and seed.
+REASONS = {
+    "named supplier": "named customer-supplier relationship: {}",
+    "supplier": "customer-supplier relationship in supply chain",
+    "peer": "direct product-market peer of {}",
+    "far peer": "product-market peer within {} hops of {}",
+    "co-moving": "co-moving with {} (return-based structural link)",
+    "other edges": "structurally connected in entity graph",
+    "no edges": "structurally connected",
+}
+
+
+def _text(name: str, *values: Column) -> Column:
+    parts = REASONS[name].split("{}")
+    return F.concat(*(x for part, value in zip(parts, [*values, None], strict=True) for x in ([F.lit(part)] + ([] if value is None else [value]))))
+
+
+def reason(steps: Column, path: Column) -> Column:
+    """Why a node is connected, by the strongest kind of edge on its path (ids as text, the first being a seed)."""
     has = lambda *kinds: F.exists(steps, lambda s: s["kind"].isin(*kinds))
-    spans = F.filter(steps, lambda s: (s["kind"] == "SUPPLIES") & s["source_span"].isNotNull())
-    hops = F.size(steps)
+    spans = F.filter(steps, lambda s: (s["kind"] == "SUPPLIES") & (s["source_span"] != ""))
+    hops, seed = F.size(path) - 1, F.get(path, F.lit(0))
     return (
-        F.when(steps.isNull() | (hops == 0), "structurally connected")
-        .when(F.size(spans) > 0, F.concat(F.lit("supply chain: "), F.get(spans, F.lit(0))["source_span"]))
-        .when(has("SUPPLIES"), "supply chain link")
-        .when(has("COMPETES_WITH", "VERTICAL") & (hops == 1), "direct product-market peer")
-        .when(has("COMPETES_WITH", "VERTICAL"), F.concat(F.lit("product-market peer, "), hops.cast("string"), F.lit(" hops")))
-        .when(has("COMOVES_WITH"), "moves together beyond the market")
-        .otherwise("structurally connected")
+        F.when(steps.isNull() | (F.size(steps) == 0), _text("no edges"))
+        .when(F.size(spans) > 0, _text("named supplier", F.get(spans, F.lit(0))["source_span"]))
+        .when(has("SUPPLIES"), _text("supplier"))
+        .when(has("COMPETES_WITH", "VERTICAL") & (hops == 1), _text("peer", seed))
+        .when(has("COMPETES_WITH", "VERTICAL"), _text("far peer", hops.cast("string"), seed))
+        .when(has("COMOVES_WITH"), _text("co-moving", seed))
+        .otherwise(_text("other edges"))
     )
 
 
@@ -91,5 +162,5 @@ def flags(top: DataFrame, paths: DataFrame) -> DataFrame:
     joined = top.join(paths.select("canonical_id", F.col("path").alias("entity_path"), "steps"), "canonical_id", "left")
     return joined.select(
         "canonical_id", "salience", F.col("entity_path").isNotNull().alias("on_entity_frontier"), F.lit(False).alias("on_thesis_frontier"), "entity_path",
-        F.lit(None).cast("array<string>").alias("thesis_path"), reason(F.col("steps")).alias("reason"),
+        F.lit(None).cast("array<string>").alias("thesis_path"), reason(F.col("steps"), F.col("entity_path")).alias("reason"),
     )

@@ -99,13 +99,17 @@ def permno_secids(links: DataFrame, t0: date) -> DataFrame:
 
 
 def resolve_over_time(asks: DataFrame, links: DataFrame, key: str, at: str, start: str, end: str, value: str) -> DataFrame:
-    """Many days at once: for each (key, day) the value of the interval that holds the day and starts last.
+    """Many days at once: for each (key, day) the value of the interval that holds the day and starts last, of several the greatest.
 
-    A join on the key with the days as a residual condition, so it deals by key and never pairs all rows.
+    One sorted pass over asks and intervals (``asof.merge_asof``): no ask is paired with all intervals of its key.
     """
-    right = links.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"))
-    joined = asks.join(right, (F.col(key) == F.col("_k")) & (F.col("_s") <= F.col(at)) & ((F.col("_e") >= F.col(at)) | F.col("_e").isNull()), "left")
-    return joined.groupBy(key, at).agg(F.max_by("_v", F.struct("_s", "_v")).alias(value))
+    from saltmarsh.operators.asof import merge_asof
+
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    order = F.array(-day(start).cast("long"), F.coalesce(-F.col(value).try_cast("long"), F.lit(0)))
+    intervals = links.where(F.col(start).isNotNull()).select(F.col(key).cast("string").alias("k"), day(start).alias("s"), day(end).alias("e"), order.alias("o"), F.struct(F.col(value).alias("value")).alias("v"))
+    found = merge_asof(asks.select(F.col(key).cast("string").alias("k"), day(at).alias("t")), intervals)
+    return found.select(F.col("k").cast(asks.schema[key].dataType).alias(key), F.date_from_unix_date("t").alias(at), F.col("v.value").alias(value))
 
 
 def vintage_for(t0: date) -> int:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions.scalar import canonical_id, clip_unit, parse_permno
 from saltmarsh.operators import signals
+from saltmarsh.operators.asof import next_after
+from saltmarsh.operators.order import average_ranks, interval, quantiles
+from saltmarsh.sources.scratch import cut
 
 #: Weights of the components of the composite.
 WEIGHTS = {"vol_spike": 1.0, "abn_volume": 1.0, "dislocation": 1.0, "gap": 0.5, "iv_rank": 0.5}
@@ -22,29 +25,24 @@ def last_caps(bars: DataFrame) -> DataFrame:
     return good.groupBy("permno").agg(F.max_by(F.col("close") * F.col("shrout") * 1000, "date").alias("mktcap"))
 
 
-def quintile(edges: Column, x: Column) -> Column:
-    """Number of the interval between distinct edges that holds x, lowest included in the first."""
-    return F.greatest(F.lit(0), F.size(F.filter(F.array_distinct(edges), lambda e: e < x)) - 1)
-
-
 def cap_quintiles(records: DataFrame) -> DataFrame:
-    """Adds cap_q, the quintile of mktcap (null counts as 0) over all records."""
+    """Adds cap_q, the quintile of mktcap (null counts as 0) over all records.
+
+    The edges are exact quantiles by distributed selection. ``records`` is read several times: cut its lineage before.
+    """
     cap = F.coalesce(F.col("mktcap"), F.lit(0.0))
-    edges = records.agg(F.percentile(cap, F.array(*map(F.lit, (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)))).alias("_edges"))
-    return records.crossJoin(F.broadcast(edges)).withColumn("cap_q", quintile(F.col("_edges"), cap)).drop("_edges")  # one row on the right
+    edges = quantiles(records.select(cap.alias("cap")), "cap", (0.0, 0.2, 0.4, 0.6, 0.8, 1.0))
+    return records.withColumn("cap_q", interval(edges, cap))
 
 
 def salience(records: DataFrame) -> DataFrame:
     """Adds bucket and salience: average rank of the composite within sector division and size, over the bucket's count.
 
-    The buckets are 50 at most, so ranks come from counts of equal composites, which are few rows for
-    each bucket only if scores tie; the window sorts each bucket once.
+    There are 50 buckets at most, so no bucket is gathered: ranks come from a running total over the order of all records.
     """
     division = F.least(F.greatest(F.floor(F.coalesce("siccd", F.lit(0)) / 1000), F.lit(0)), F.lit(9)).cast("string")
     bucketed = cap_quintiles(records).withColumn("bucket", F.concat_ws("_", division, F.col("cap_q").cast("string")))
-    whole, ties = W.partitionBy("bucket"), W.partitionBy("bucket", "composite")
-    rank = F.rank().over(whole.orderBy("composite")) + (F.count("*").over(ties) - 1) / 2
-    return bucketed.withColumn("salience", rank / F.count("*").over(whole))
+    return average_ranks(bucketed, "bucket", "composite").withColumn("salience", F.col("avg_rank") / F.col("n_group")).drop("avg_rank", "n_group")
 
 
 def components(bars: DataFrame, market: DataFrame) -> dict[str, DataFrame]:
@@ -81,9 +79,11 @@ def atm_surface(surface: DataFrame, t0: date) -> DataFrame:
 
 
 def next_expiries(quotes: DataFrame, events: DataFrame) -> DataFrame:
-    """secid, catalyst and the first expiry strictly after it (a join on secid with the dates as condition)."""
-    asks = events.select("secid", "catalyst")
-    return quotes.select("secid", "exdate").distinct().join(asks, "secid").where("exdate > catalyst").groupBy("secid", "catalyst").agg(F.min("exdate").alias("exdate"))
+    """secid, catalyst and the first expiry strictly after it, if there is one, from one sorted pass of both tables (``asof.next_after``)."""
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    asks = events.select(F.col("secid").cast("string").alias("k"), day("catalyst").alias("t"))
+    found = next_after(asks, quotes.select(F.col("secid").cast("string").alias("k"), day("exdate").alias("t"))).where("next is not null")
+    return found.select(F.col("k").cast(events.schema["secid"].dataType).alias("secid"), F.date_from_unix_date("t").alias("catalyst"), F.date_from_unix_date("next").alias("exdate"))
 
 
 def straddles(quotes: DataFrame, events: DataFrame, t0: date) -> DataFrame:
@@ -108,25 +108,31 @@ def enrich_options(ids: DataFrame, option_links: DataFrame, surface: DataFrame,
     return ranked.join(moves, "permno", "left").where("iv is not null or implied_move is not null").select("permno", "iv", "iv_rank", "implied_move")
 
 
+def weighted(wide: DataFrame, names: list[str], weights: dict[str, float] | None = None) -> DataFrame:
+    """``wide`` with nulls of the z-scores ``names`` as 0, and composite, their weighted sum."""
+    use = WEIGHTS | (weights or {})
+    if unknown := use.keys() - WEIGHTS.keys():
+        raise KeyError(f"unknown weights: {', '.join(sorted(unknown))}")
+    return wide.fillna(0.0, names).withColumn("composite", sum((use[n] * F.col(n) for n in names), F.lit(0.0)))
+
+
 def candidates(bars: DataFrame, market: DataFrame, sectors: DataFrame, t0: date, options: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """Ranked candidates of all ids with any signal, by salience and then by id as text.
 
-    Lazy from end to end: no bars, or bars without signals, give an empty table of the same columns.
+    No bars, or bars without signals, give an empty table of the same columns. The bars are passed once for all signals;
+    what is known of each id is then written to the shared folder, as quantiles and ranks read it several times.
     """
-    parts = components(bars, market)
-    ids = None
-    for one in parts.values():
-        ids = one.select("permno") if ids is None else ids.unionByName(one.select("permno"))
+    names = list(signals.NAMES)
+    wide = signals.zscores(signals.all_signals(bars, market))
     if options is not None:
-        parts["iv_rank"] = signals.zscore(options.where("iv_rank is not null").select("permno", F.col("iv_rank").alias("value")))
-    scored = composite(ids, parts, weights)
-    records = scored.join(sectors, "permno", "left").join(last_caps(bars), "permno", "left")
+        names.append("iv_rank")
+        wide = wide.join(signals.zscore(options.where("iv_rank is not null").select("permno", F.col("iv_rank").alias("value"))).withColumnRenamed("z", "iv_rank"), "permno", "left")
+    records = weighted(wide, names, weights).join(sectors, "permno", "left")
     if options is not None:
         records = records.join(options.select("permno", "iv", F.col("iv_rank").alias("iv_place"), "implied_move"), "permno", "left")
     else:
         records = records.selectExpr("*", "cast(null as double) as iv", "cast(null as double) as iv_place", "cast(null as double) as implied_move")
-    names = list(parts)
-    return salience(records).select(
+    return salience(cut(records)).select(
         canonical_id(F.col("permno")).alias("canonical_id"),
         F.when(F.col("implied_move").isNotNull(), "straddle").otherwise("attention").alias("measure"),
         "salience", F.lit(True).alias("coverage"), F.lit(t0).alias("as_of"), F.col("composite").alias("attention"),

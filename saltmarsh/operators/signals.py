@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,3 +81,47 @@ def zscore(signal: DataFrame) -> DataFrame:
     stats = signal.agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
     z = F.when((F.col("n") >= 2) & (finite(F.col("sd")) > 0), (F.col("value") - F.col("mu")) / F.col("sd")).otherwise(0.0)
     return signal.crossJoin(F.broadcast(stats)).select("permno", z.alias("z"))  # one row on the right
+
+
+#: The signals that ``all_signals`` gives.
+NAMES = ("vol_spike", "abn_volume", "dislocation", "gap")
+
+
+def all_signals(bars: DataFrame, market: DataFrame, short: int = 10, long: int = 60, beta_window: int = 60) -> DataFrame:
+    """permno, the four signals by the rules of the functions above (null where an id fails a gate) and mktcap, of the ids with any signal.
+
+    One sorted pass a key: all places (from the latest bar, return and dollar volume) and the previous close come from one
+    window over (permno, date), and all sums from one aggregate of the same partitioning. Bars that are stored by key need no
+    exchange. The market dates are ``beta_window`` rows at most and are broadcast.
+    """
+    known = market_dates(bars, market, beta_window).where(F.col("n_dates") >= MIN_BETA_OBS)
+    slim = bars.select("permno", "date", finite(F.col("open")).alias("open"), finite(F.col("close")).alias("close"), finite(F.col("ret")).alias("ret"), finite(F.col("close") * F.col("volume")).alias("dv"), (F.col("close") * F.col("shrout") * 1000).alias("cap"))
+    newest = W.partitionBy("permno").orderBy(F.desc("date"))
+    so_far = newest.rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = slim.withColumns({"rn": F.row_number().over(newest), "prev": F.lead("close").over(newest), "rn_ret": F.count("ret").over(so_far), "rn_dv": F.count("dv").over(so_far)})
+    joined = placed.join(F.broadcast(known), "date", "left")
+    ret, dv, mkt = F.col("ret"), F.col("dv"), F.col("mkt")
+    near, far, prior = F.when(F.col("rn_ret") <= short, ret), F.when(F.col("rn_ret") <= long, ret), F.when(F.col("rn_dv") > 1, dv)
+    both, last = ret.isNotNull() & mkt.isNotNull(), F.col("date") == F.col("newest")
+    sums = joined.groupBy("permno").agg(
+        F.count("ret").alias("n_ret"), F.count(near).alias("n_near"), F.stddev_samp(near).alias("sd_near"), F.stddev_samp(far).alias("sd_far"),
+        F.count("dv").alias("n_dv"), F.max(F.when((F.col("rn_dv") == 1) & dv.isNotNull(), dv)).alias("last_dv"), F.avg(prior).alias("mean_dv"), F.stddev_samp(prior).alias("sd_dv"),
+        F.count_if(both).alias("n_both"), F.try_divide(F.sum(F.when(both, mkt * ret)), F.sum(F.when(both, mkt * mkt))).alias("beta"), F.max(F.when(both & last, ret)).alias("r"), F.max(F.when(both & last, mkt)).alias("m"),
+        F.max(F.when((F.col("rn") == 1) & (F.col("prev") > 0), F.abs(F.col("open") - F.col("prev")) / F.col("prev"))).alias("gap"),
+        F.min_by("cap", F.when(F.col("cap").isNotNull(), F.col("rn"))).alias("mktcap"),
+    )
+    found = sums.select(
+        "permno",
+        F.when((F.col("n_ret") >= MIN_VOL_OBS) & (F.col("n_near") >= 2) & (F.col("sd_far") > 0), F.try_divide("sd_near", "sd_far")).alias("vol_spike"),
+        F.when((F.col("n_dv") >= MIN_VOLUME_OBS) & (F.col("sd_dv") > 0), F.try_divide(F.col("last_dv") - F.col("mean_dv"), F.col("sd_dv"))).alias("abn_volume"),
+        F.when((F.col("n_both") >= MIN_BETA_OBS) & F.col("beta").isNotNull() & F.col("r").isNotNull(), F.abs(F.col("r") - F.col("beta") * F.col("m"))).alias("dislocation"),
+        "gap", "mktcap",
+    )
+    return found.where(F.coalesce(*NAMES).isNotNull())
+
+
+def zscores(wide: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
+    """``wide`` with each of the columns as its cross-sectional z-score (``zscore``), null where there is no value; one aggregate for all."""
+    stats = wide.agg(*(f(n).alias(f"{k}_{n}") for n in names for k, f in (("mu", F.avg), ("sd", F.stddev_pop), ("n", F.count))))
+    z = lambda n: F.when(F.col(n).isNotNull(), F.when((F.col(f"n_{n}") >= 2) & (finite(F.col(f"sd_{n}")) > 0), (F.col(n) - F.col(f"mu_{n}")) / F.col(f"sd_{n}")).otherwise(0.0))
+    return wide.crossJoin(F.broadcast(stats)).select(*(c for c in wide.columns if c not in names), *(z(n).alias(n) for n in names))  # one row on the right

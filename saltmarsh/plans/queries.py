@@ -13,6 +13,7 @@ from saltmarsh.operators import edges, evaluation, graph, knowledge, pit, scorin
 from saltmarsh.sources import bars as bar_sources
 from saltmarsh.sources import store
 from saltmarsh.sources.derived import EVENTS_T0, T0, Star
+from saltmarsh.sources.scratch import cut
 
 SEED_IDS = (1, 2, 3)
 
@@ -66,19 +67,19 @@ def composite_attention(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cap_quintile(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.cap_quintiles(scoring.last_caps(Star(spark, d).bars())).select("permno", "mktcap", "cap_q")
+    return scoring.cap_quintiles(cut(scoring.last_caps(Star(spark, d).bars()))).select("permno", "mktcap", "cap_q")
 
 
 def bucket_salience(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
     bars = star.bars()
     records = signals.abnormal_volume(bars).select("permno", F.round("value", 6).alias("composite")).join(star.sectors(), "permno", "left").join(scoring.last_caps(bars), "permno", "left")
-    return scoring.salience(records).select("permno", "bucket", "composite", r6("salience"))
+    return scoring.salience(cut(records)).select("permno", "bucket", "composite", r6("salience"))
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
-    bars = star.bars()
+    bars = cut(star.bars())  # the market and the signals both read them
     return scoring.candidates(bars, star.market(bars), star.sectors(), T0)
 
 
@@ -214,17 +215,17 @@ def complement_topk(spark: SparkSession, d: str) -> DataFrame:
 def reason_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     start = spark.createDataFrame([(i,) for i in SEED_IDS], "node long")
     paths = graph.shortest_paths(start, graph.adjacency(Star(spark, d).graph(), T0), 2)
-    return paths.select("node", graph.reason(F.col("steps")).alias("reason"))
+    return paths.select("node", graph.reason(F.col("steps"), F.transform("path", scalar.canonical_id)).alias("reason"))
 
 
 def flag_session(spark: SparkSession, d: str) -> DataFrame:
     """The whole way from bars and edges to flags with a path and a reason."""
     star = Star(spark, d)
     start = spark.createDataFrame([(i,) for i in SEED_IDS], "node long")
-    adj = graph.adjacency(star.graph(), T0)
+    adj = cut(graph.adjacency(star.graph(), T0))
     near = graph.expand(start, adj).select(scalar.canonical_id(F.col("node")).alias("canonical_id"))
-    top = graph.complement(candidates(spark, d), near, _named(star), 10)
-    paths = graph.shortest_paths(start, adj).select(scalar.canonical_id(F.col("node")).alias("canonical_id"), F.transform("path", scalar.canonical_id).alias("path"), "steps")
+    top = cut(graph.complement(candidates(spark, d), near, _named(star), 10))
+    paths = graph.shortest_paths(start, adj, targets=top.select(scalar.parse_permno(F.col("canonical_id")).alias("node"))).select(scalar.canonical_id(F.col("node")).alias("canonical_id"), F.transform("path", scalar.canonical_id).alias("path"), "steps")
     return graph.flags(top, paths).drop("thesis_path")
 
 

@@ -123,8 +123,9 @@ p2 AS (SELECT b AS node, min(list_append(path, b)) AS path FROM adj JOIN p1 ON a
 steps AS (SELECT node, path, 1 AS hops, [e] AS es FROM p1 JOIN best ON a = path[1] AND b = path[2]
           UNION ALL SELECT node, path, 2, [x.e, y.e] FROM p2 JOIN best x ON x.a = path[1] AND x.b = path[2] JOIN best y ON y.a = path[2] AND y.b = path[3]),
 s AS (SELECT node, path, hops, es, list_filter(es, lambda z: z.kind = 'SUPPLIES' AND z.span <> '') AS spans, list_transform(es, lambda z: z.kind) AS kinds FROM steps),
-told AS (SELECT node, path, CASE WHEN len(spans) > 0 THEN 'supply chain: ' || spans[1].span WHEN list_contains(kinds, 'SUPPLIES') THEN 'supply chain link'
-       WHEN list_contains(kinds, 'COMPETES_WITH') AND hops = 1 THEN 'direct product-market peer' WHEN list_contains(kinds, 'COMPETES_WITH') THEN 'product-market peer, 2 hops' ELSE 'moves together beyond the market' END AS reason FROM s
+told AS (SELECT node, path, CASE WHEN len(spans) > 0 THEN 'named customer-supplier relationship: ' || spans[1].span WHEN list_contains(kinds, 'SUPPLIES') THEN 'customer-supplier relationship in supply chain'
+       WHEN list_contains(kinds, 'COMPETES_WITH') AND hops = 1 THEN 'direct product-market peer of permno:' || path[1] WHEN list_contains(kinds, 'COMPETES_WITH') THEN 'product-market peer within 2 hops of permno:' || path[1]
+       ELSE 'co-moving with permno:' || path[1] || ' (return-based structural link)' END AS reason FROM s
          UNION ALL SELECT node, [node], 'structurally connected' FROM h0)"""
 
 _VERSIONS = """

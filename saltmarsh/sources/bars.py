@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 from typing import Protocol
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -85,3 +87,31 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     rows = lines.where((F.lower(F.get("f", F.lit(0))) != names[0]) & (F.size("f") == len(names)))
     table = rows.select(*(F.get("f", F.lit(k)).alias(n) for k, n in enumerate(names)))
     return table.withColumnRenamed("vscore", "score") if "vscore" in names else table
+
+
+def store_bars(bars: DataFrame, name: str | None = None, buckets: int = 64) -> DataFrame:
+    """Write bars to a table bucketed and sorted by id, and read it: windows and sums by id then need no exchange.
+
+    The table is in the session's catalogue and warehouse, named ``name`` or a new name. A bucket holds many ids and all bars of
+    each, so choose ``buckets`` by the size of the table.
+    """
+    spark, table = bars.sparkSession, name or f"bars_{uuid4().hex}"
+    bars.repartition(buckets, "permno").write.mode("overwrite").bucketBy(buckets, "permno").sortBy("permno", "date").saveAsTable(table)
+    return spark.table(table)
+
+
+class YearlyTables:
+    """One table a year, each with what columns its year had, read as one.
+
+    ``path`` has {year} in it. Only the years of the span that is asked for are opened, all of them, those in the middle
+    included; columns of ``schema`` that a year does not have are null, others are not read. Years without a table are left out.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, years: Sequence[int], schema: str, day: str = "date"):
+        self.spark, self.path, self.years, self.schema, self.day = spark, path, sorted(years), struct(schema), day
+
+    def read(self, start: date, end: date) -> DataFrame:
+        paths = [self.path.format(year=y) for y in self.years if start.year <= y <= end.year]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths).where(F.col(self.day).between(F.lit(start), F.lit(end)))

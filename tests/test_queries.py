@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from saltmarsh.plans import registry
+from saltmarsh.plans import catalogue
 from tests.oracle import assert_same, views
 
 
@@ -12,9 +12,9 @@ def con(data):
     return views(data)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, data, con, name):
-    assert_same(registry.QUERIES[name](spark, data), con, registry.ORACLES[name])
+    assert_same(catalogue.QUERIES[name](spark, data), con, catalogue.ORACLES[name])
 
 
 def test_entry_ranks_candidates(spark):
