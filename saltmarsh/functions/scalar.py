@@ -79,3 +79,18 @@ def winsorize(x: Column, limit: float = 5.0) -> Column:
 def vintage(as_of: Column) -> Column:
     """The newest yearly file that was published by a date: last year's from July on, before that the year before's."""
     return F.year(as_of) - F.when(F.month(as_of) < 7, 2).otherwise(1)
+
+
+def clock(ts: Column) -> Column:
+    """Hour and minute of a moment, in the session's zone, which is UTC."""
+    return F.date_format(ts, "HH:mm")
+
+
+def label(ticker: Column, looked_up: Column, cid: Column) -> Column:
+    """What a flag is shown as: its tearsheet's ticker, or the one that was looked up, or its id."""
+    return F.coalesce(ticker, looked_up, cid)
+
+
+def shown(salience: Column, on_frontier: Column, least: float = 0.0, frontier_only: bool = False) -> Column:
+    """Whether a flag passes the two filters of the list: salience of at least so much, and on the frontier."""
+    return (salience >= least) & (on_frontier if frontier_only else F.lit(True))

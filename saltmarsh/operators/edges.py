@@ -20,6 +20,8 @@ MIN_CO_OBS, MIN_CORRELATION = 120, 0.30
 #: Ids of a block of the co-movement matrix, in the mean.
 IDS_PER_BLOCK = 256
 FILING_LAG_DAYS = 90
+#: The type of a customer segment that is a company; others are regions, states and markets.
+COMPANY = "COMPANY"
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -112,13 +114,13 @@ def filings_by_gvkey(companies: DataFrame, filings: DataFrame) -> DataFrame:
 
 
 def supplier_rows(segments: DataFrame, sales: DataFrame, customers: DataFrame, filings: DataFrame, links: DataFrame, t0: date, min_share: float = 0.0) -> DataFrame:
-    """Every customer segment with share, as_of, src, dst and the reason it is skipped for, if any.
+    """Every segment of a company (by ctype) with share, as_of, src, dst and the reason it is skipped for, if any.
 
     An edge counts from its filing; without one from 90 days after the fiscal year's end, and is then
     marked. The reasons apply in order: share, postdated, supplier, customer. A row without a usable
     denominator has no share and stays.
     """
-    keyed = segments.where("salecs > 0 and cnms is not null").withColumn("gvkey", pad_gvkey(F.col("gvkey")))
+    keyed = segments.where((F.col("ctype") == COMPANY) & (F.col("salecs") > 0) & F.col("cnms").isNotNull()).withColumn("gvkey", pad_gvkey(F.col("gvkey")))
     total = first_by(sales.withColumn("gvkey", pad_gvkey(F.col("gvkey"))), ["gvkey"], [F.col("datadate").desc_nulls_last() if "datadate" in sales.columns else F.desc("sale")]).select("gvkey", "sale")
     named = first_by(customers.withColumn("gvkey", pad_gvkey(F.col("gvkey"))), ["gvkey", "cid", "sid"], [F.desc("srcdate"), F.asc("cgvkey")]).select("gvkey", "cid", "sid", pad_gvkey(F.col("cgvkey")).alias("cgvkey"))
     filed = filings.withColumn("gvkey", pad_gvkey(F.col("gvkey"))).groupBy("gvkey").agg(F.min("fdate").alias("fdate"))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saltmarsh.functions.scalar import f_beta
+from saltmarsh.operators.order import quantiles
+from saltmarsh.sources.scratch import cut
 
 BETA = 0.5
 
@@ -31,7 +33,7 @@ def fold(events: DataFrame) -> dict[str, DataFrame]:
 
 
 def score(folded: dict[str, DataFrame], beta: float = BETA, label: str = "final") -> DataFrame:
-    """One row a session: precision, recall, f_beta, time_to_coverage and accept_precision, to 6 places.
+    """One row a session: precision, recall, f_beta, time_to_coverage and accept_precision, to 6 places, and the counts behind them.
 
     Precision is null without flags, recall without labels, and both without a final list. Coverage time
     is the last turn in which a label is first among the candidates, null unless all are. An id that
@@ -40,22 +42,25 @@ def score(folded: dict[str, DataFrame], beta: float = BETA, label: str = "final"
     count = lambda name, alias: folded[name].groupBy("session_id").agg(F.count("*").alias(alias))
     hits = folded["flags"].join(folded[label], ["session_id", "id"]).groupBy("session_id").agg(F.count("*").alias("hits"))
     first = folded["candidates"].groupBy("session_id", "id").agg(F.min("turn").alias("turn"))
-    covered = folded[label].join(first, ["session_id", "id"], "left").groupBy("session_id").agg(F.when(F.count("*") == F.count("turn"), F.max("turn")).alias("time_to_coverage"))
+    covered = folded[label].join(first, ["session_id", "id"], "left").groupBy("session_id").agg(F.when(F.count("*") == F.count("turn"), F.max("turn")).alias("time_to_coverage"), F.count("turn").alias("n_covered_in_candidates"))
     out = folded["sessions"].join(folded["labelled"].withColumn("has_label", F.lit(True)), "session_id", "left")
     for one in (count("flags", "n_flags"), count(label, "n_labels"), hits, covered, count("accept", "n_accept"), count("dismiss", "n_dismiss")):
         out = out.join(one, "session_id", "left")
-    out = out.fillna(0, ["n_flags", "n_labels", "hits", "n_accept", "n_dismiss"])
+    out = out.fillna(0, ["n_flags", "n_labels", "hits", "n_accept", "n_dismiss", "n_covered_in_candidates"])
     out = out.withColumn("precision", F.when(F.col("has_label"), F.try_divide("hits", "n_flags"))).withColumn("recall", F.when(F.col("has_label"), F.try_divide("hits", "n_labels")))
     return out.select(
         "session_id", "n_flags", "n_labels", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f_beta(F.col("precision"), F.col("recall"), beta), 6).alias("f_beta"),
         "time_to_coverage", F.round(F.try_divide(F.col("n_accept"), F.col("n_accept") + F.col("n_dismiss")), 6).alias("accept_precision"),
+        F.col("n_accept").alias("n_accepts"), F.col("n_dismiss").alias("n_dismisses"), "n_covered_in_candidates",
     )
 
 
 def aggregate(scores: DataFrame) -> DataFrame:
     """Over sessions: their number, means without nulls, and the median coverage time."""
+    scores = cut(scores)
     means = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("precision", "recall", "f_beta", "accept_precision")]
-    return scores.agg(F.count("*").alias("n_sessions"), *means, F.median("time_to_coverage").alias("median_time_to_coverage"))
+    (median,) = quantiles(scores, "time_to_coverage", (0.5,))
+    return scores.agg(F.count("*").alias("n_sessions"), *means).withColumn("median_time_to_coverage", F.lit(median).cast("double"))
 
 
 def lift(flags: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -39,8 +39,11 @@ def put_pages(pages: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
 
 
 def get_page(pages: DataFrame, links: DataFrame, slug: str, namespace: str) -> DataFrame:
-    """One page with the sorted slugs it links to; no row if there is none."""
-    page = latest(pages.where((F.col("slug") == slug) & (F.col("namespace") == namespace)))
+    """One page with the sorted slugs it links to. That there is no such page is an error when the row is made."""
+    found = latest(pages.where((F.col("slug") == slug) & (F.col("namespace") == namespace))).select(F.struct("*").alias("page"))
+    # The aggregate has a row also where there is nothing, and so can tell.
+    missing = F.raise_error(F.lit(f"no page {slug!r} in namespace {namespace!r}")).cast(found.schema["page"].dataType)
+    page = found.agg(F.first("page").alias("page")).select(F.coalesce("page", missing).alias("page")).select("page.*")
     out = links.where((F.col("from_slug") == slug) & (F.col("namespace") == namespace)).groupBy(F.col("from_slug").alias("slug")).agg(F.array_sort(F.collect_set("to_slug")).alias("links"))
     return page.join(out, "slug", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
 

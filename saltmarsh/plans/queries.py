@@ -161,7 +161,7 @@ def _supplier_rows(spark: SparkSession, d: str) -> DataFrame:
     lines = star.table("lineitem").join(star.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey"), "o_custkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), F.col("l_shipdate").cast("date").alias("day"))
     year = lines.where(F.col("day").between(date(2000, 1, 1), date(2000, 12, 31)))
     seg = year.groupBy(F.col("l_suppkey").cast("string").alias("gvkey"), F.col("o_custkey").alias("cid")).agg(F.sum("price").cast("double").alias("salecs"), F.max("day").alias("datadate"))
-    seg = seg.select("gvkey", "cid", F.lit(1).alias("sid"), F.concat(F.lit("CUSTOMER "), F.col("cid").cast("string")).alias("cnms"), "salecs", "datadate")
+    seg = seg.select("gvkey", "cid", F.lit(1).alias("sid"), F.concat(F.lit("CUSTOMER "), F.col("cid").cast("string")).alias("cnms"), F.when(F.col("cid") % 13 == 0, "STATE").otherwise("COMPANY").alias("ctype"), "salecs", "datadate")
     sales = year.where("l_suppkey % 11 <> 0").groupBy(F.col("l_suppkey").cast("string").alias("gvkey")).agg(F.sum("price").cast("double").alias("sale"))
     customers = star.table("customer").join(star.table("supplier"), F.col("c_nationkey") == F.col("s_nationkey")).groupBy("c_custkey").agg(F.min("s_suppkey").alias("twin"))
     named = seg.join(customers, F.col("cid") == F.col("c_custkey")).select("gvkey", "cid", "sid", F.col("twin").cast("string").alias("cgvkey"), F.lit(date(2000, 1, 1)).alias("srcdate"))
@@ -179,9 +179,8 @@ def edge_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def comoves_residual_corr(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
-    bars = star.bars()
-    calm = bars.where("ret < 3")
-    return edges.comovement_edges(calm, star.market(calm), T0, window=252, least=60, threshold=0.1).select("src", "dst", F.round("weight", 4).alias("weight"))
+    bars = cut(star.bars())
+    return edges.comovement_edges(bars, star.market(bars), T0, window=252, least=60, threshold=0.1).select("src", "dst", F.round("weight", 4).alias("weight"))
 
 
 def expand_2hop(spark: SparkSession, d: str) -> DataFrame:
@@ -286,14 +285,21 @@ def drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nested_session_read(spark: SparkSession, d: str) -> DataFrame:
+    """All flags of all sessions as a reader of sessions gets them, one to a row."""
     star = Star(spark, d)
-    ranked = store.ranked_flags(_flags(star).withColumn("canonical_id", scalar.canonical_id(F.col("id")))).where("rank <= 5")
-    sheets = star.table("part").select((F.col("p_partkey") % 15).alias("session_id"), scalar.canonical_id(F.col("p_partkey") % 100).alias("canonical_id"), "p_name", "p_partkey").groupBy("session_id", "canonical_id").agg(F.min("p_name").alias("company"))
-    sheets = sheets.selectExpr("session_id", "canonical_id", "company", "cast(null as double) prev_close", "cast(null as double) change", "cast(null as double) change_pct")
-    news = star.table("part").select((F.col("p_partkey") % 30).alias("session_id"), scalar.canonical_id(F.col("p_size").cast("long")).alias("canonical_id"), F.col("p_name").alias("title"), F.col("p_partkey").cast("string").alias("url"))
+    cid = scalar.canonical_id(F.col("id"))
+    path = F.when(F.col("id") % 3 > 0, F.array(scalar.canonical_id(F.col("session_id")), cid))
+    flags = _flags(star).select("session_id", cid.alias("canonical_id"), "salience", F.concat(F.lit("peer of "), scalar.canonical_id(F.col("session_id"))).alias("reason"), path.alias("entity_path"), path.isNotNull().alias("on_entity_frontier"))
+    ranked = store.ranked_flags(flags)
+    sessions = star.session_events().groupBy("session_id").agg(F.max("turn").alias("k"), F.lit(2).alias("d_e"), F.create_map(F.lit("permno:1"), F.lit("ONE")).alias("ticker_lookup"))
+    sheets = star.table("part").select((F.col("p_partkey") % 15).alias("session_id"), scalar.canonical_id(F.col("p_partkey") % 100).alias("canonical_id"), "p_name").groupBy("session_id", "canonical_id").agg(F.min("p_name").alias("company"), F.max("p_name").alias("summary"))
+    news = star.table("part").select((F.col("p_partkey") % 30).alias("session_id"), scalar.canonical_id(F.col("p_size").cast("long")).alias("canonical_id"), F.col("p_name").alias("title"), F.col("p_partkey").cast("string").alias("url"), F.col("p_brand").alias("source"))
     news = news.withColumn("rank", F.row_number().over(W.partitionBy("session_id", "canonical_id").orderBy("title", "url")))
-    nested = store.nested_session(ranked, sheets, news)
-    return nested.select("session_id", F.explode("flags").alias("f")).select("session_id", "f.rank", "f.canonical_id", F.col("f.tearsheet.company").alias("company"), F.size("f.headlines").alias("n_headlines"), F.get("f.headlines.title", F.lit(0)).alias("first_title"))
+    nested = store.nested_session(ranked, sheets, news, sessions)
+    return nested.select("session_id", "k", "d_e", F.col("ticker_lookup")["permno:1"].alias("looked_up"), F.explode_outer("flags").alias("f")).select(
+        "session_id", "k", "d_e", "looked_up", "f.rank", "f.canonical_id", "f.reason", F.array_join("f.entity_path", ">").alias("path"), "f.on_entity_frontier", F.col("f.tearsheet.company").alias("company"), F.col("f.tearsheet.summary").alias("summary"),
+        F.size("f.headlines").alias("n_headlines"), F.get("f.headlines.title", F.lit(0)).alias("first_title"), F.get("f.headlines.source", F.lit(0)).alias("first_source"),
+    )
 
 
 def edge_upsert(spark: SparkSession, d: str) -> DataFrame:

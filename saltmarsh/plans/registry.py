@@ -84,7 +84,7 @@ twins AS (SELECT c_custkey AS cid, min(s_suppkey) AS twin FROM customer JOIN sup
 keyed AS (SELECT s_suppkey AS permno FROM supplier WHERE NOT (s_suppkey % 10 = 0)),
 judged AS (SELECT seg.s, cid, src.permno AS src, dst.permno AS dst, CASE WHEN sale > 0 THEN salecs / sale END AS weight, year(datadate) AS fiscal_year, datadate,
                   CASE WHEN seg.s % 3 <> 0 THEN DATE '2000-12-01' + CAST(seg.s % 250 AS INTEGER) ELSE datadate + 90 END AS as_of, seg.s % 3 = 0 AS lag_estimated
-           FROM seg LEFT JOIN sales ON sales.s = seg.s LEFT JOIN twins USING (cid) LEFT JOIN keyed src ON src.permno = seg.s LEFT JOIN keyed dst ON dst.permno = twin),
+           FROM seg LEFT JOIN sales ON sales.s = seg.s LEFT JOIN twins USING (cid) LEFT JOIN keyed src ON src.permno = seg.s LEFT JOIN keyed dst ON dst.permno = twin WHERE cid % 13 <> 0),
 rows AS (SELECT *, CASE WHEN weight < 0.001 THEN 'share' WHEN as_of >= DATE '2001-04-01' THEN 'postdated' WHEN src IS NULL THEN 'supplier' WHEN dst IS NULL THEN 'customer' ELSE 'loaded' END AS reason FROM judged)"""
 
 _EVENTS = """
@@ -96,12 +96,12 @@ _SCORES = f"""{_EVENTS},
 first_turn AS (SELECT session_id, id, min(turn) AS turn FROM log WHERE event = 'candidates' AND id IS NOT NULL GROUP BY 1, 2),
 per_session AS (SELECT session_id, count(*) FILTER (event = 'flags') AS n_flags, count(*) FILTER (event = 'a_final') AS n_labels, count(*) FILTER (event = 'accept') AS acc, count(*) FILTER (event = 'dismiss') AS dis FROM items GROUP BY 1),
 hits AS (SELECT session_id, count(*) AS hits FROM items f WHERE event = 'flags' AND EXISTS (SELECT 1 FROM items l WHERE l.event = 'a_final' AND l.session_id = f.session_id AND l.id = f.id) GROUP BY 1),
-covered AS (SELECT i.session_id, CASE WHEN count(*) = count(t.turn) THEN max(t.turn) END AS ttc FROM items i LEFT JOIN first_turn t ON t.session_id = i.session_id AND t.id = i.id WHERE event = 'a_final' GROUP BY 1),
-pr AS (SELECT session_id, n_flags, n_labels, CASE WHEN n_labels > 0 AND n_flags > 0 THEN coalesce(hits, 0) / n_flags END AS p, CASE WHEN n_labels > 0 THEN coalesce(hits, 0) / n_labels END AS r, ttc, acc, dis
+covered AS (SELECT i.session_id, CASE WHEN count(*) = count(t.turn) THEN max(t.turn) END AS ttc, count(t.turn) AS seen FROM items i LEFT JOIN first_turn t ON t.session_id = i.session_id AND t.id = i.id WHERE event = 'a_final' GROUP BY 1),
+pr AS (SELECT session_id, n_flags, n_labels, CASE WHEN n_labels > 0 AND n_flags > 0 THEN coalesce(hits, 0) / n_flags END AS p, CASE WHEN n_labels > 0 THEN coalesce(hits, 0) / n_labels END AS r, ttc, acc, dis, coalesce(seen, 0) AS seen
        FROM per_session LEFT JOIN hits USING (session_id) LEFT JOIN covered USING (session_id)),
 scores AS (SELECT session_id, n_flags, n_labels, round(p, 6) AS precision, round(r, 6) AS recall,
                   round(CASE WHEN p IS NULL OR r IS NULL THEN NULL WHEN p = 0 AND r = 0 THEN 0 ELSE 1.25 * p * r / (0.25 * p + r) END, 6) AS f_beta,
-                  ttc AS time_to_coverage, CASE WHEN acc + dis > 0 THEN round(acc / (acc + dis), 6) END AS accept_precision FROM pr)"""
+                  ttc AS time_to_coverage, CASE WHEN acc + dis > 0 THEN round(acc / (acc + dis), 6) END AS accept_precision, acc AS n_accepts, dis AS n_dismisses, seen AS n_covered_in_candidates FROM pr)"""
 
 _PAGES = """
 tagged AS (SELECT l_orderkey, list_distinct(list(split_part(p_type, ' ', 1))) AS tags FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
@@ -197,7 +197,7 @@ SELECT (SELECT count(*) FROM j) AS rows, (SELECT count(*) FROM j WHERE low) AS s
 QUALIFY row_number() OVER (PARTITION BY src, dst, fiscal_year ORDER BY datadate DESC, cid DESC) = 1""",
     "edge_skip_reasons": f"WITH {_SEGMENTS} SELECT reason, count(*) AS n FROM rows GROUP BY 1",
     "comoves_residual_corr": f"""WITH {_BARS},
-calm AS (SELECT permno, date, ret FROM bars WHERE ret < 3), m AS (SELECT date, avg(ret) AS mkt FROM calm GROUP BY date),
+calm AS (SELECT permno, date, ret FROM bars WHERE ret IS NOT NULL), m AS (SELECT date, avg(ret) AS mkt FROM calm GROUP BY date),
 w AS (SELECT date, mkt FROM m QUALIFY row_number() OVER (ORDER BY date DESC) <= 252),
 r AS (SELECT permno, date, ret, mkt, sum(mkt * ret) OVER (PARTITION BY permno) / sum(mkt * mkt) OVER (PARTITION BY permno) AS beta, count(*) OVER (PARTITION BY permno) AS n FROM calm JOIN w USING (date) WHERE ret > -1),
 e AS (SELECT permno, date, ret - beta * mkt AS res FROM r WHERE n >= 60)
@@ -239,11 +239,15 @@ sh AS (SELECT ns, turn, count(*) AS shared FROM past JOIN f USING (ns, turn, id)
 SELECT ns AS namespace, turn AS session_no, n, CASE WHEN m IS NOT NULL THEN round(1 - coalesce(shared, 0) / n, 6) END AS novelty, round(coalesce(shared, 0) / (n + m - coalesce(shared, 0)), 6) AS overlap
 FROM s LEFT JOIN m USING (ns, turn) LEFT JOIN sh USING (ns, turn)""",
     "nested_session_read": f"""WITH {_EVENTS}, f AS (SELECT session_id, id, count(*) AS s FROM log WHERE event = 'flags' AND id IS NOT NULL GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s DESC, 'permno:' || id) AS rank FROM f QUALIFY rank <= 5),
-sheets AS (SELECT p_partkey % 15 AS session_id, p_partkey % 100 AS id, min(p_name) AS company FROM part GROUP BY 1, 2),
-news AS (SELECT p_partkey % 30 AS session_id, p_size AS id, p_name, row_number() OVER (PARTITION BY p_partkey % 30, p_size ORDER BY p_name, p_partkey::VARCHAR) AS r FROM part),
-n AS (SELECT session_id, id, count(*) AS n, max(p_name) FILTER (r = 1) AS t FROM news GROUP BY 1, 2)
-SELECT session_id, CAST(rank AS INTEGER) AS rank, 'permno:' || id AS canonical_id, company, CAST(coalesce(n, 0) AS INTEGER) AS n_headlines, t AS first_title FROM ranked LEFT JOIN sheets USING (session_id, id) LEFT JOIN n USING (session_id, id)""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s DESC, 'permno:' || id) AS rank FROM f),
+sess AS (SELECT session_id, max(turn) AS k FROM log GROUP BY 1),
+sheets AS (SELECT p_partkey % 15 AS session_id, p_partkey % 100 AS id, min(p_name) AS company, max(p_name) AS summary FROM part GROUP BY 1, 2),
+news AS (SELECT p_partkey % 30 AS session_id, p_size AS id, p_name, p_brand, row_number() OVER (PARTITION BY p_partkey % 30, p_size ORDER BY p_name, p_partkey::VARCHAR) AS r FROM part),
+n AS (SELECT session_id, id, count(*) AS n, max(p_name) FILTER (r = 1) AS t, max(p_brand) FILTER (r = 1) AS b FROM news GROUP BY 1, 2)
+SELECT sess.session_id, k, CAST(2 AS INTEGER) AS d_e, 'ONE' AS looked_up, CAST(rank AS INTEGER) AS rank, 'permno:' || id AS canonical_id, CASE WHEN id IS NOT NULL THEN 'peer of permno:' || sess.session_id END AS reason,
+       CASE WHEN id % 3 > 0 THEN 'permno:' || sess.session_id || '>permno:' || id END AS path, id % 3 > 0 AS on_entity_frontier, company, summary,
+       CAST(CASE WHEN id IS NOT NULL THEN coalesce(n, 0) END AS INTEGER) AS n_headlines, t AS first_title, b AS first_source
+FROM sess LEFT JOIN ranked USING (session_id) LEFT JOIN sheets USING (session_id, id) LEFT JOIN n USING (session_id, id)""",
     "edge_upsert": f"WITH {_GRAPH} SELECT src, dst, round(CASE WHEN src % 3 = 0 THEN weight + 1 ELSE weight END, 6) AS weight FROM graph WHERE src % 2 = 0 OR src % 3 = 0",
     "candidate_scores": f"""WITH {_BARS}, {_VOL}, {_ABN}, {_DIS}, {_GAP}, {_COMPOSITE}, {_CAPS},
 {_PLACED}

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions import scalar
 from saltmarsh.operators import asof, edges, graph, order, scoring, search, signals
-from saltmarsh.plans.queries import SEED_IDS, T0, _custkey_links, _flags, _logged, _pairs, _spans, r6
+from saltmarsh.plans.queries import SEED_IDS, T0, _custkey_links, _flags, _logged, _pairs, _spans, _supplier_rows, r6
 from saltmarsh.sources import bars as bar_sources
-from saltmarsh.sources import versions
+from saltmarsh.sources import store, versions
 from saltmarsh.sources.derived import Star
 from saltmarsh.sources.scratch import cut, fresh
 from saltmarsh.streaming import fold
@@ -101,11 +101,11 @@ def edges_stored(spark: SparkSession, d: str) -> DataFrame:
     """``edge_upsert`` through the store: two commits of edges, read as of each."""
     kept = cut(Star(spark, d).graph().withColumn("provenance", F.lit("derived")))
     root = fresh(spark, "edges")
-    store = versions.VersionedStore(spark, root, {"edges": ["src", "dst"]})
+    kept_edges = versions.VersionedStore(spark, root, {"edges": ["src", "dst"]})
     keys = ["src", "dst", "kind", "provenance"]
-    first = store.commit({"edges": versions.Change(kept.where("src % 2 = 0"), keys)})
-    second = store.commit({"edges": versions.Change(kept.where("src % 3 = 0").withColumn("weight", F.col("weight") + 1), keys)})
-    out = [store.read("edges", v).select(F.lit(v).cast("long").alias("version"), "src", "dst", r6("weight")) for v in (first, second)]
+    first = kept_edges.commit({"edges": versions.Change(kept.where("src % 2 = 0"), keys)})
+    second = kept_edges.commit({"edges": versions.Change(kept.where("src % 3 = 0").withColumn("weight", F.col("weight") + 1), keys)})
+    out = [kept_edges.read("edges", v).select(F.lit(v).cast("long").alias("version"), "src", "dst", r6("weight")) for v in (first, second)]
     return out[0].unionByName(out[1])
 
 
@@ -199,12 +199,86 @@ def observed_peer_load(spark: SparkSession, d: str) -> DataFrame:
 def observed_comovement_load(spark: SparkSession, d: str) -> DataFrame:
     """Counters of the co-movement load, taken while the edges are written."""
     star, path = Star(spark, d), fresh(spark, "comoves")
-    bars = cut(star.bars().where("ret < 3"))
+    bars = cut(star.bars())
     got = edges.load_comovement_edges(bars, star.market(bars), T0, path, window=252, least=60, threshold=0.1)
     names = ("edges_written", "pairs_above_threshold", "stocks_used", "stocks_dropped_min_obs", "nodes_merged")
     return spark.createDataFrame([tuple(got[k] for k in names)], ", ".join(f"{n} long" for n in names))
 
 
+# ---- sources and what is shown
+
+
+def rest_bars_read(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of a bar service's responses: one for each supplier but every seventh; every fifth supplier has no id."""
+    star, path = Star(spark, d), fresh(spark, "responses")
+    bars = star.bars()
+    one = F.struct(F.unix_millis(F.col("date").cast("timestamp")).alias("t"), F.when(F.col("permno") % 2 == 0, F.col("open")).otherwise(0.0).alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").cast("double").alias("v"))
+    ticker = lambda c: F.concat(F.lit("T"), c.cast("string"))
+    bars.where("permno % 7 <> 0").groupBy(ticker(F.col("permno")).alias("ticker")).agg(F.collect_list(one).alias("results")).write.json(path)
+    known = star.table("supplier").where("s_suppkey % 5 <> 0").select(ticker(F.col("s_suppkey")).alias("ticker"), F.col("s_suppkey").alias("permno"))
+    return bar_sources.rest_bars(bar_sources.read_rest_bars(spark, path), known).select("permno", "date", "open", "close", r6("ret"))
+
+
+def tickers_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers asked for that give no bars, and why."""
+    star = Star(spark, d)
+    ticker = lambda c: F.concat(F.lit("T"), c.cast("string"))
+    asked = star.table("supplier").select(ticker(F.col("s_suppkey")).alias("ticker"), F.when(F.col("s_suppkey") % 5 > 0, F.col("s_suppkey")).alias("permno"))
+    responses = star.table("lineitem").where("l_suppkey % 7 <> 0").groupBy(ticker(F.col("l_suppkey")).alias("ticker")).agg(F.when(F.max("l_suppkey") % 11 > 0, F.collect_list("l_orderkey")).alias("results"))
+    return bar_sources.skipped_tickers(asked, responses)
+
+
+def pair_file_read(spark: SparkSession, d: str) -> DataFrame:
+    """Scored pairs from a text file with lines of other widths, which are counted by width."""
+    star, path = Star(spark, d), fresh(spark, "pairs")
+    part = star.table("part")
+    line = F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("broken "), F.col("p_partkey"))).when(F.col("p_partkey") % 10 == 1, F.lit("  ")).otherwise(F.concat_ws(" \t", F.col("p_partkey"), F.col("p_size"), F.concat(F.lit("0."), F.col("p_size"))))
+    part.select(F.explode(F.array(F.lit("Gvkey1 GVKEY2  score"), F.concat(F.lit(" "), line))).alias("value")).write.text(path)
+    read = bar_sources.read_pairs(spark, path).agg(F.lit(3).alias("n_fields"), F.count("*").alias("n_lines"), F.round(F.sum(F.col("score").cast("double")), 4).alias("total"))
+    return read.unionByName(bar_sources.bad_lines(spark, path).withColumn("total", F.lit(None).cast("double")))
+
+
+def event_log_read(spark: SparkSession, d: str) -> DataFrame:
+    """Events appended to a log in two batches, with lines that are no events among them, and what is read back of each session."""
+    path = fresh(spark, "events")
+    events = Star(spark, d).session_events().where("id is not null")
+    logged = events.select("event", F.col("session_id").cast("string").alias("session_id"), F.timestamp_seconds(F.col("event_id")).alias("timestamp"), "turn", F.col("id").cast("string").alias("flag_id"))
+    store.append_events(logged.where("turn <= 10"), path)
+    store.append_events(logged.where("turn > 10"), path)
+    events.select(F.lit("not an event {").alias("value")).write.mode("append").text(path)
+    back = store.read_events(spark, path)
+    return back.groupBy("session_id").agg(F.count("*").alias("n_events"), F.max_by("flag_id", "timestamp").alias("last_id"))
+
+
+def tickers_read_through(spark: SparkSession, d: str) -> DataFrame:
+    """Tickers of customers from a cache that is filled as it is read: how many are in it before, and after each of two reads."""
+    star = Star(spark, d)
+    cache = versions.VersionedStore(spark, fresh(spark, "tickers"), {"tickers": ["canonical_id"]})
+    ids = star.table("customer").select(scalar.canonical_id(F.col("c_custkey")).alias("canonical_id"), "c_custkey")
+    source = ids.where("c_custkey % 3 > 0").select("canonical_id", F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"))
+    look_up = lambda missing: missing.join(source, "canonical_id")
+    store.cached_tickers(cache, ids.where("c_custkey % 2 = 0"), look_up)
+    read = store.cached_tickers(cache, ids, look_up)
+    first = cache.read("tickers", 1).select("canonical_id", F.lit(True).alias("was_cached"))
+    return read.join(first, "canonical_id", "left").select("canonical_id", "ticker", F.coalesce("was_cached", F.lit(False)).alias("was_cached"))
+
+
+def supplier_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The readable line of each supplier edge without a share, and the start of those with one."""
+    found = edges.supplier_edges(_supplier_rows(spark, d))
+    return found.select("src", "dst", "fiscal_year", F.when(F.col("weight").isNull(), F.col("source_span")).otherwise(F.regexp_extract("source_span", r"^(.* \()", 1)).alias("span"))
+
+
+def flag_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Flags as a list shows them: label, money, time of day, and the two filters."""
+    star = Star(spark, d)
+    flags = star.table("orders").select("o_orderkey", scalar.canonical_id(F.col("o_custkey")).alias("cid"), (F.col("o_totalprice") / 400_000).alias("salience"), (F.col("o_orderkey") % 2 == 0).alias("near"), (F.floor("o_totalprice") * 5_000).alias("worth"))
+    at = F.timestamp_seconds(F.col("o_orderkey") * 61)
+    label = scalar.label(F.when(F.col("o_orderkey") % 3 == 0, "TICK"), F.when(F.col("o_orderkey") % 3 == 1, "LOOK"), F.col("cid"))
+    kept = flags.where(scalar.shown(F.col("salience"), F.col("near"), 0.25, frontier_only=True))
+    return kept.select("o_orderkey", label.alias("label"), scalar.clock(at).alias("clock"), F.regexp_extract(scalar.usd(F.col("worth")), r"([BM]?)$", 1).alias("unit"))
+
+
 NAMES = (
-    "page_index_search ids_over_days price_quantiles price_ranks stored_signals yearly_bars edges_stored sessions_stored children_stored streamed_fold paths_between graph_nodes observed_peer_load observed_comovement_load"
+    "rest_bars_read tickers_skipped pair_file_read event_log_read tickers_read_through supplier_spans flag_cards page_index_search ids_over_days price_quantiles price_ranks stored_signals yearly_bars edges_stored sessions_stored children_stored streamed_fold paths_between graph_nodes observed_peer_load observed_comovement_load"
 ).split()

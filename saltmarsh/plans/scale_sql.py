@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from saltmarsh.plans.registry import _ABN, _BARS, _DIS, _EVENTS, _GAP, _GRAPH, _LINKS, _PAIRS, _VOL, ORACLES, _z
+from saltmarsh.plans.registry import _ABN, _BARS, _DIS, _EVENTS, _GAP, _GRAPH, _LINKS, _SEGMENTS, _VOL, ORACLES, _z
 
 _ASKS = "asks AS (SELECT DISTINCT o_custkey AS k, CAST(o_orderdate AS DATE) + 50 AS day FROM orders)"
 _NAMED = """
@@ -77,6 +77,17 @@ dist AS (SELECT node, min(hops) AS hops FROM walks GROUP BY 1),
 routes AS (SELECT node, [node] AS path FROM dist WHERE hops = 0
            UNION ALL SELECT d.node, list_append(r.path, d.node) FROM routes r JOIN ends ON a = r.node JOIN dist d ON d.node = b AND d.hops = len(r.path))
 SELECT node, CAST(min(len(path)) - 1 AS INTEGER) AS hops, array_to_string(min(path), '>') AS path FROM routes WHERE node % 5 = 0 GROUP BY node""",
+    "rest_bars_read": f"""WITH {_BARS} SELECT permno, date, CASE WHEN permno % 2 = 0 THEN open END AS open, close, round(ret, 6) AS ret FROM bars WHERE permno % 7 <> 0 AND permno % 5 <> 0""",
+    "tickers_skipped": """WITH r AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey % 7 <> 0)
+SELECT 'T' || s_suppkey AS ticker, CASE WHEN s_suppkey % 5 = 0 THEN 'unmapped' WHEN k IS NULL THEN 'no response' ELSE 'empty' END AS reason FROM supplier LEFT JOIN r ON k = s_suppkey WHERE s_suppkey % 5 = 0 OR k IS NULL OR s_suppkey % 11 = 0""",
+    "pair_file_read": """SELECT CAST(3 AS INTEGER) AS n_fields, count(*) AS n_lines, round(sum(CAST('0.' || p_size AS DOUBLE)), 4) AS total FROM part WHERE p_partkey % 10 > 1
+UNION ALL SELECT CAST(2 AS INTEGER), count(*), NULL FROM part WHERE p_partkey % 10 = 0""",
+    "event_log_read": f"""WITH {_EVENTS.replace("AS event FROM events", "AS event, event_id FROM events")} SELECT session_id::VARCHAR AS session_id, count(*) AS n_events, max_by(id::VARCHAR, event_id) AS last_id FROM log WHERE id IS NOT NULL GROUP BY 1""",
+    "tickers_read_through": """SELECT 'permno:' || c_custkey AS canonical_id, CASE WHEN c_custkey % 3 > 0 THEN 'T' || c_custkey END AS ticker, c_custkey % 3 > 0 AND c_custkey % 2 = 0 AS was_cached FROM customer""",
+    "supplier_spans": f"""WITH {_SEGMENTS}, e AS (SELECT * FROM rows WHERE reason = 'loaded' QUALIFY row_number() OVER (PARTITION BY src, dst, fiscal_year ORDER BY datadate DESC, cid DESC) = 1)
+SELECT src, dst, CAST(fiscal_year AS INTEGER) AS fiscal_year, 'CUSTOMER ' || cid || CASE WHEN weight IS NULL THEN ' (FY' || fiscal_year || ' major customer)' ELSE ' (' END AS span FROM e""",
+    "flag_cards": """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'TICK' WHEN 1 THEN 'LOOK' ELSE 'permno:' || o_custkey END AS label, strftime(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey * 61), '%H:%M') AS clock,
+CASE WHEN floor(o_totalprice) * 5000 >= 1e9 THEN 'B' WHEN floor(o_totalprice) * 5000 >= 1e6 THEN 'M' ELSE '' END AS unit FROM orders WHERE o_totalprice / 400000 >= 0.25 AND o_orderkey % 2 = 0""",
     "observed_peer_load": ORACLES["peer_load_counters"],
     "observed_comovement_load": ORACLES["comoves_residual_corr"].rsplit("SELECT x.permno", 1)[0].rstrip()
     + """,

@@ -80,15 +80,34 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """A text file of pairs parted by white space, with a header in any case; all columns are text.
 
     The header is the file's first line, so the names come from one small read; lines with another
-    number of fields are left out.
+    number of fields are left out, and ``bad_lines`` counts them.
     """
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f")).where(F.get("f", F.lit(0)) != "")
-    names = [x.lower() for x in lines.first()["f"]]
-    rows = lines.where((F.lower(F.get("f", F.lit(0))) != names[0]) & (F.size("f") == len(names)))
+    lines, names = _fields(spark, path)
+    rows = lines.where(F.size("f") == len(names))
     table = rows.select(*(F.get("f", F.lit(k)).alias(n) for k, n in enumerate(names)))
     return table.withColumnRenamed("vscore", "score") if "vscore" in names else table
 
 
+def _fields(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """The fields of all lines but blank ones and headers, and the header's names."""
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f")).where(F.get("f", F.lit(0)) != "")
+    names = [x.lower() for x in lines.first()["f"]]
+    return lines.where(F.lower(F.get("f", F.lit(0))) != names[0]), names
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """n_fields and n_lines of the lines that ``read_pairs`` leaves out."""
+    lines, names = _fields(spark, path)
+    return lines.where(F.size("f") != len(names)).groupBy(F.size("f").alias("n_fields")).agg(F.count("*").alias("n_lines"))
+
+
+def skipped_tickers(asked: DataFrame, responses: DataFrame) -> DataFrame:
+    """ticker and reason of the asked tickers (ticker, permno) that give no bars: unmapped, no response, or an empty one."""
+    got = responses.groupBy("ticker").agg(F.max(F.coalesce(F.size("results"), F.lit(0))).alias("n"))
+    reason = F.when(F.col("permno").isNull(), "unmapped").when(F.col("n").isNull(), "no response").when(F.col("n") <= 0, "empty")
+    return asked.join(got, "ticker", "left").select("ticker", reason.alias("reason")).where("reason is not null")
+
+
 def store_bars(bars: DataFrame, name: str | None = None, buckets: int = 64) -> DataFrame:
     """Write bars to a table bucketed and sorted by id, and read it: windows and sums by id then need no exchange.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.operators.pit import first_by
 from saltmarsh.schemas import SESSION_EVENTS, struct
+from saltmarsh.sources.versions import Change, VersionedStore
 
 MERGE_KEYS = {
     "COMPETES_WITH": ["src", "dst", "provenance", "vintage"],
@@ -22,20 +25,15 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return first_by(both, keys, [F.desc("_load"), F.xxhash64(*both.columns).asc()]).drop("_load")
 
 
-def upsert_edges(spark: SparkSession, path: str, new: DataFrame, kind: str) -> None:
-    """Merge edges of one kind into a table that is partitioned by kind, rewriting that partition only.
+def edge_store(spark: SparkSession, path: str) -> VersionedStore:
+    return VersionedStore(spark, path, {kind: ["src", "dst"] for kind in MERGE_KEYS})
 
-    The merged rows go to a folder beside the table first, as a job cannot overwrite what it reads.
-    """
-    columns = [c for c in new.columns if c != "kind"]
-    here = f"{path}/kind={kind}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(here)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = merged(spark.read.parquet(here), new.select(*columns), MERGE_KEYS[kind]) if files.exists(at) else first_by(new.select(*columns), MERGE_KEYS[kind], [F.xxhash64(*columns).asc()])
-    rows.write.mode("overwrite").parquet(f"{path}/_next_{kind}")
-    spark.read.parquet(f"{path}/_next_{kind}").write.mode("overwrite").parquet(here)
-    files.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/_next_{kind}"), True)
+
+def upsert_edges(spark: SparkSession, path: str, new: DataFrame, kind: str) -> int:
+    """Merge edges of one kind into its table of the versioned store at ``path``, by the kind's merge key, and return the version."""
+    keys = MERGE_KEYS[kind]
+    rows = first_by(new, keys, [F.xxhash64(*new.columns).asc()])
+    return edge_store(spark, path).commit({kind: Change(rows, keys)})
 
 
 def write_sessions(rows: DataFrame, path: str) -> None:
@@ -50,15 +48,23 @@ def ranked_flags(flags: DataFrame) -> DataFrame:
     return flags.withColumn("rank", F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("salience"), "canonical_id")))
 
 
-def nested_session(flags: DataFrame, tearsheets: DataFrame, headlines: DataFrame) -> DataFrame:
-    """One row a session with its flags by rank, each with its tearsheet (or null) and all its headlines by rank."""
+def nested_session(flags: DataFrame, tearsheets: DataFrame, headlines: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """One row a session with its flags by rank, each with its reason, its path, its tearsheet (or null) and all its headlines by rank.
+
+    ``sessions`` has one row for each session (created_at, as_of, k, d_e, n_flags, ticker_lookup, or what there is), which stand
+    first; a session without flags then has an empty list. All columns of the children are kept in their structs.
+    """
     keys = ["session_id", "canonical_id"]
-    news = headlines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url"))).alias("headlines"))
-    sheet = tearsheets.select(*keys, F.struct("company", "prev_close", "change", "change_pct").alias("tearsheet"))
+    own = lambda df, first=(): F.struct(*first, *(c for c in df.columns if c not in (*keys, *first)))
+    news = headlines.groupBy(*keys).agg(F.array_sort(F.collect_list(own(headlines, ("rank",)))).alias("headlines"))
+    sheet = tearsheets.select(*keys, own(tearsheets).alias("tearsheet"))
     joined = flags.join(sheet, keys, "left").join(news, keys, "left")
-    joined = joined.withColumn("headlines", F.coalesce("headlines", F.array().cast("array<struct<rank:int,title:string,url:string>>")))
-    item = F.struct("rank", "canonical_id", "salience", "tearsheet", "headlines")
-    return joined.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("flags"))
+    joined = joined.withColumn("headlines", F.coalesce("headlines", F.array().cast(news.schema["headlines"].dataType)))
+    item = F.struct("rank", "canonical_id", *(c for c in flags.columns if c not in (*keys, "rank")), "tearsheet", "headlines")
+    nested = joined.groupBy("session_id").agg(F.array_sort(F.collect_list(item)).alias("flags"))
+    if sessions is None:
+        return nested
+    return sessions.join(nested, "session_id", "left").withColumn("flags", F.coalesce("flags", F.array().cast(nested.schema["flags"].dataType)))
 
 
 def tearsheet(details: DataFrame, last_bars: DataFrame) -> DataFrame:
@@ -91,6 +97,19 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("seq", F.struct("timestamp", "turn"))
 
 
+def cached_tickers(store: VersionedStore, ids: DataFrame, look_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """canonical_id and ticker of all ids, from the cache in ``store`` (table tickers) and, for those it lacks, from ``look_up``.
+
+    What is looked up (canonical_id, ticker) is added to the cache in one commit, so the next call finds it; ids that nothing
+    is known of have a null ticker and are asked for again.
+    """
+    asked = ids.select("canonical_id").where("canonical_id is not null").distinct()
+    cache = store.read("tickers") if store.current() else None
+    found = look_up(missing_tickers(asked, cache) if cache is not None else asked).select("canonical_id", "ticker").where("ticker is not null")
+    store.commit({"tickers": Change(first_by(found, ["canonical_id"], [F.asc("ticker")]), ["canonical_id"])})
+    return asked.join(store.read("tickers"), "canonical_id", "left")
+
+
 def missing_tickers(ids: DataFrame, cache: DataFrame) -> DataFrame:
     """Ids that the cache of tickers does not have yet."""
     return ids.select("canonical_id").distinct().join(cache, "canonical_id", "left_anti")
