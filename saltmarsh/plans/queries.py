@@ -77,14 +77,21 @@ def bucket_salience(spark: SparkSession, d: str) -> DataFrame:
     return scoring.salience(cut(records)).select("permno", "bucket", "composite", r6("salience"))
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
     bars = cut(star.bars())  # the market and the signals both read them
     return scoring.candidates(bars, star.market(bars), star.sectors(), T0)
 
 
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of the candidates, in their order; the map of components as text."""
+    parts = F.concat_ws(" ", *(F.format_string(f"{n}=%.4f", F.round(F.col("components")[n], 4) + F.lit(0.0)) for n in signals.NAMES))
+    found = _candidates(spark, d)
+    return found.select(*(c for c in found.columns if c not in ("salience", "attention", "components")), r6("salience"), r6("attention"), parts.alias("components")).orderBy(F.desc("salience"), "canonical_id")
+
+
 def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return candidates(spark, d).select("canonical_id", "measure", "coverage", "has_options", r6("attention"))
+    return _candidates(spark, d).select("canonical_id", "measure", "coverage", "has_options", r6("attention"))
 
 
 def asof_link_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -218,12 +225,18 @@ def reason_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flag_session(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of the session's flags; paths as text."""
+    found = _flag_session(spark, d)
+    return found.select("canonical_id", r6("salience"), "on_entity_frontier", "on_thesis_frontier", F.array_join("entity_path", ">").alias("entity_path"), "reason")
+
+
+def _flag_session(spark: SparkSession, d: str) -> DataFrame:
     """The whole way from bars and edges to flags with a path and a reason."""
     star = Star(spark, d)
     start = spark.createDataFrame([(i,) for i in SEED_IDS], "node long")
     adj = cut(graph.adjacency(star.graph(), T0))
     near = graph.expand(start, adj).select(scalar.canonical_id(F.col("node")).alias("canonical_id"))
-    top = cut(graph.complement(candidates(spark, d), near, _named(star), 10))
+    top = cut(graph.complement(_candidates(spark, d), near, _named(star), 10))
     paths = graph.shortest_paths(start, adj, targets=top.select(scalar.parse_permno(F.col("canonical_id")).alias("node"))).select(scalar.canonical_id(F.col("node")).alias("canonical_id"), F.transform("path", scalar.canonical_id).alias("path"), "steps")
     return graph.flags(top, paths).drop("thesis_path")
 
@@ -316,7 +329,7 @@ def pit_pages(spark: SparkSession, d: str) -> DataFrame:
 def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
     """The candidates with their salience and each component, in plain columns."""
     parts = ("vol_spike", "abn_volume", "dislocation", "gap")
-    found = candidates(spark, d)
+    found = _candidates(spark, d)
     return found.select("canonical_id", "as_of", r6("salience"), r6("attention"), *(F.round(F.col("components")[c], 6).alias(c) for c in parts))
 
 
@@ -364,7 +377,7 @@ def date_ceilings(spark: SparkSession, d: str) -> DataFrame:
 
 def flag_report(spark: SparkSession, d: str) -> DataFrame:
     """``flag_session`` in plain columns."""
-    return flag_session(spark, d).select("canonical_id", r6("salience"), "on_entity_frontier", F.array_join("entity_path", ">").alias("path"), "reason")
+    return _flag_session(spark, d).select("canonical_id", r6("salience"), "on_entity_frontier", F.array_join("entity_path", ">").alias("path"), "reason")
 
 
 def option_enrichment(spark: SparkSession, d: str) -> DataFrame:

@@ -95,4 +95,11 @@ pairs_ AS (SELECT x.permno AS src, y.permno AS dst FROM e x JOIN e y ON x.date =
 used AS (SELECT permno, max(n) AS n FROM r GROUP BY 1)
 SELECT (SELECT count(*) FROM pairs_) AS edges_written, (SELECT count(*) FROM pairs_) AS pairs_above_threshold, (SELECT count(*) FROM used WHERE n >= 60) AS stocks_used,
        (SELECT count(*) FROM used WHERE n < 60) AS stocks_dropped_min_obs, (SELECT count(DISTINCT v) FROM (SELECT src AS v FROM pairs_ UNION ALL SELECT dst FROM pairs_)) AS nodes_merged""",
+    "candidates": ORACLES["candidate_scores"].rsplit("SELECT 'permno:'", 1)[0]
+    + """SELECT 'permno:' || permno AS canonical_id, 'attention' AS measure, round(salience, 6) AS salience, true AS coverage, DATE '2001-07-01' AS as_of, round(composite, 6) AS attention, false AS has_options,
+CAST(NULL AS DOUBLE) AS implied_move, CAST(NULL AS DOUBLE) AS iv_rank,
+printf('vol_spike=%.4f abn_volume=%.4f dislocation=%.4f gap=%.4f', round(vol_spike, 4) + 0.0, round(abn_volume, 4) + 0.0, round(dislocation, 4) + 0.0, round(gap, 4) + 0.0) AS components FROM placed""",
+    "flag_session": ORACLES["flag_report"].rsplit("SELECT 'permno:'", 1)[0]
+    + """SELECT 'permno:' || permno AS canonical_id, round(salience, 6) AS salience, true AS on_entity_frontier, false AS on_thesis_frontier, array_to_string(list_transform(path, lambda x: 'permno:' || x), '>') AS entity_path, reason
+FROM top JOIN told ON node = permno""",
 }
