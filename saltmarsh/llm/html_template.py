@@ -358,19 +358,6 @@ class Template:
         return "\n".join(out)
 
 
-def extract(self, page: Page) -> str:
-        """The blocks of the page's main slot. Where the page has no such slot, its article, its main element or all of it."""
-        main = self.main if page.opened[self.main] else next((p for p in page.opened if self.tag(p) in ("article", "main")), "")
-        own = self.tag(main) in ("article", "main")
-        out = []
-        for b in page.blocks:
-            if b.furniture or not (b.path == main or b.path.startswith(f"{main}>")):
-                continue
-            if not (b.text in self.repeated.get(b.path, ()) if own else self.constant.get(b.path, set()).issuperset(b.text.split())):
-                out.append(b.text)
-        return "\n".join(out)
-
-
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
