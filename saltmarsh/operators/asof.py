@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from saltmarsh.functions.scalar import pad_gvkey
 from saltmarsh.operators.pit import LINK_PRIMARIES, LINK_TYPES, MOST_OPTION_SCORE
@@ -109,7 +110,7 @@ def merge_asof(asks: DataFrame, intervals: DataFrame, heavy_rows: int = HEAVY_RO
         rows = rows.unionByName(carried)
     dealt = rows.repartition("k", "slice").sortWithinPartitions("k", "slice", "t", "ask")
     out = T.StructType([T.StructField("k", T.StringType()), T.StructField("t", T.IntegerType()), T.StructField("v", value)])
-    schema = _arrow(out)
+    schema = to_arrow_schema(out)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told() -> Iterator[tuple]:
@@ -126,19 +127,13 @@ def merge_asof(asks: DataFrame, intervals: DataFrame, heavy_rows: int = HEAVY_RO
     return dealt.select("k", "slice", "t", "ask", "e", "o", "tie", "v").mapInArrow(walk, out)
 
 
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def carried_over(events: DataFrame, value: T.DataType) -> DataFrame:
     """The intervals that are open at the start of each later slice of a heavy key, as rows of that slice.
 
     First each slice tells what it leaves open at its end; then the few rows of a key are walked slice by slice.
     """
     out = T.StructType([T.StructField(n, t) for n, t in (("k", T.StringType()), ("t", T.IntegerType()), ("ask", T.IntegerType()), ("e", T.IntegerType()), ("o", T.ArrayType(T.LongType())), ("tie", T.StringType()), ("v", value), ("slice", T.IntegerType()), ("bounds", T.ArrayType(T.IntegerType())))])
-    schema = _arrow(out)
+    schema = to_arrow_schema(out)
     columns = [f.name for f in out.fields]
 
     def left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from saltmarsh.functions import scalar
 from saltmarsh.operators import edges, evaluation, graph, knowledge, pit, scoring, seeds, signals
 from saltmarsh.sources import bars as bar_sources
 from saltmarsh.sources import store
+from saltmarsh.sources.versions import VersionedStore
 
 T0 = date(2024, 6, 14)
 
@@ -297,3 +298,57 @@ def test_slugs_and_ids(spark):
 def test_point_in_time_filter_reaches_the_scan(spark, data):
     df = pit.before(spark.read.parquet(f"{data}/orders.parquet"), date(1996, 1, 1), "o_orderdate")
     assert "LessThan(o_orderdate" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_missing_page_is_an_error(spark):
+    pages = spark.createDataFrame([("a", "n", 1, "t")], "slug string, namespace string, version long, title string")
+    links = spark.createDataFrame([], "from_slug string, to_slug string, namespace string")
+    assert knowledge.get_page(pages, links, "a", "n").first()["links"] == []
+    for slug, namespace in (("b", "n"), ("a", "m")):
+        with pytest.raises(Exception, match="no page"):
+            knowledge.get_page(pages, links, slug, namespace).collect()
+
+
+def test_counts_behind_a_score(spark):
+    r = scored(spark, [event(1, "candidates", 1, ["a", "c"]), event(2, "flags", 1, ["a"]), event(3, "a_final", ids=["a", "b"]), event(4, "accept", flag="a"), event(5, "accept", flag="a"), event(6, "dismiss", flag="c")])
+    assert (r["n_accepts"], r["n_dismisses"], r["n_covered_in_candidates"], r["n_labels"], r["n_flags"]) == (1, 1, 1, 2, 1)
+
+
+def test_nested_sessions_keep_all_fields(spark):
+    flags = spark.createDataFrame([("s", "permno:1", 1, 0.9, "why", ["permno:2", "permno:1"]), ("s", "permno:3", 2, 0.1, "x", None)], "session_id string, canonical_id string, rank int, salience double, reason string, entity_path array<string>")
+    sheets = spark.createDataFrame([("s", "permno:1", "ONE", 5.0)], "session_id string, canonical_id string, ticker string, price double")
+    news = spark.createDataFrame([("s", "permno:1", 2, "b"), ("s", "permno:1", 1, "a")], "session_id string, canonical_id string, rank int, title string")
+    sessions = spark.createDataFrame([("s", T0, 10, 2), ("empty", T0, 5, 1)], "session_id string, as_of date, k int, d_e int")
+    got = {r["session_id"]: r for r in store.nested_session(flags, sheets, news, sessions).collect()}
+    one, two = got["s"]["flags"]
+    assert (got["s"]["k"], one["reason"], one["entity_path"], one["tearsheet"]["ticker"], [h["title"] for h in one["headlines"]]) == (10, "why", ["permno:2", "permno:1"], "ONE", ["a", "b"])
+    assert (two["rank"], two["tearsheet"], two["headlines"], got["empty"]["flags"]) == (2, None, [], [])
+
+
+def test_ticker_cache_is_filled_as_it_is_read(spark, tmp_path):
+    cache, asked = VersionedStore(spark, str(tmp_path / "c"), {"tickers": ["canonical_id"]}), []
+
+    def look_up(missing):
+        asked.append(sorted(one(missing, "canonical_id")))
+        return missing.where("canonical_id <> 'permno:3'").withColumn("ticker", F.concat(F.lit("T"), F.substring("canonical_id", 8, 9)))
+
+    ids = lambda *n: spark.createDataFrame([(f"permno:{k}",) for k in n], "canonical_id string")
+    store.cached_tickers(cache, ids(1, 2), look_up)
+    got = {r["canonical_id"]: r["ticker"] for r in store.cached_tickers(cache, ids(2, 3, 4, 4), look_up).collect()}
+    assert got == {"permno:2": "T2", "permno:3": None, "permno:4": "T4"} and asked[0] == ["permno:1", "permno:2"] and asked[-1] == ["permno:3", "permno:4"]
+
+
+def test_tickers_without_bars_and_bad_lines(spark, tmp_path):
+    asked = spark.createDataFrame([("A", 1), ("B", None), ("C", 3), ("D", 4)], "ticker string, permno long")
+    responses = spark.createDataFrame([("A", [(1, 1.0)]), ("C", [])], "ticker string, results array<struct<t:long,c:double>>")
+    assert {r["ticker"]: r["reason"] for r in bar_sources.skipped_tickers(asked, responses).collect()} == {"B": "unmapped", "C": "empty", "D": "no response"}
+    (tmp_path / "p.txt").write_text("a b c\n1 2 3\n1 2\nA B C\n\n1 2 3 4\n3 4\n")
+    assert {r["n_fields"]: r["n_lines"] for r in bar_sources.bad_lines(spark, str(tmp_path / "p.txt")).collect()} == {2: 2, 4: 1}
+
+
+def test_how_flags_are_shown(spark):
+    df = spark.createDataFrame([("T", "L", "permno:1", 0.3, True), (None, "L", "permno:2", 0.3, False), (None, None, "permno:3", 0.1, True)], "ticker string, looked_up string, cid string, salience double, near boolean")
+    assert one(df.select(scalar.label(F.col("ticker"), F.col("looked_up"), F.col("cid")).alias("x")), "x") == ["T", "L", "permno:3"]
+    assert one(df.where(scalar.shown(F.col("salience"), F.col("near"), 0.2)), "cid") == ["permno:1", "permno:2"]
+    assert one(df.where(scalar.shown(F.col("salience"), F.col("near"), 0.2, frontier_only=True)), "cid") == ["permno:1"]
+    assert one(spark.createDataFrame([(datetime(2024, 1, 2, 7, 5),)], "t timestamp_ntz").select(scalar.clock(F.col("t")).alias("x")), "x") == ["07:05"]
