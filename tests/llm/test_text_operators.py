@@ -437,10 +437,21 @@ def test_disguised_words_are_restored(spark, data):
     assert restorer.words("plain Words, here") == ["plain", "words", "here"]
 
 
+def auc(rows):
+    """Chance that a toxic row scores above a clean one, ties half."""
+    bad, good = ([r["score"] for r in rows if r["toxic"] == k] for k in (1, 0))
+    return np.mean([(x > y) + (x == y) / 2 for x in bad for y in good])
+
+
 def test_held_out_toxicity(spark, data, tricky, labels, empty):
-    docs, known = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    """On documents that were not learnt from: by order and by the toxic ones found, so that no constant answer passes."""
+    more = data.replace("sf0.001", "sf0.01")
+    docs, known = spark.read.parquet(f"{more}/documents.parquet"), spark.read.parquet(f"{more}/labels.parquet")
     got = toxicity.score_documents(docs, known).join(known, "doc_id").collect()
-    assert np.mean([r["predicted"] == r["toxic"] for r in got if r["held_out"]]) > 0.85
+    held = [r for r in got if r["held_out"] and r["toxic"] is not None]
+    toxic = [r for r in held if r["toxic"] == 1]
+    assert len(toxic) >= 5 and auc(held) >= 0.9
+    assert np.mean([r["predicted"] for r in toxic]) >= 0.6 and np.mean([r["predicted"] for r in held if r["toxic"] == 0]) <= 0.05
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
     assert toxicity.score_documents(tricky, labels).count() == len(TRICKY) and toxicity.score_documents(tricky, labels.limit(0)).count() == len(TRICKY)
     assert toxicity.score_documents(empty, labels).count() == 0
