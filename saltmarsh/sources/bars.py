@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saltmarsh.schemas import REST_BARS, struct
+from saltmarsh.sources.scratch import fresh
 
 
 class BarSource(Protocol):
@@ -111,11 +112,11 @@ def skipped_tickers(asked: DataFrame, responses: DataFrame) -> DataFrame:
 def store_bars(bars: DataFrame, name: str | None = None, buckets: int = 64) -> DataFrame:
     """Write bars to a table bucketed and sorted by id, and read it: windows and sums by id then need no exchange.
 
-    The table is in the session's catalogue and warehouse, named ``name`` or a new name. A bucket holds many ids and all bars of
+    The table is in the session's catalogue, named ``name`` or a new name, and its files are in the shared folder. A bucket holds many ids and all bars of
     each, so choose ``buckets`` by the size of the table.
     """
     spark, table = bars.sparkSession, name or f"bars_{uuid4().hex}"
-    bars.repartition(buckets, "permno").write.mode("overwrite").bucketBy(buckets, "permno").sortBy("permno", "date").saveAsTable(table)
+    bars.repartition(buckets, "permno").write.mode("overwrite").bucketBy(buckets, "permno").sortBy("permno", "date").option("path", fresh(spark, table)).saveAsTable(table)
     return spark.table(table)
 
 
