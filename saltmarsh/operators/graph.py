@@ -39,13 +39,13 @@ class Walk:
 
     def __init__(self, adj: DataFrame, hub_edges: int = HUB_EDGES):
         step = F.struct(F.col("kind"), F.col("source_span"), F.col("weight"))
-        ends = adj.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.min(step).alias("_step"))
+        ends = cut(adj.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.min(step).alias("_step")))
         degrees = ends.groupBy("_a").agg(F.count("*").alias("n"))
         limit = F.greatest(F.lit(hub_edges), (F.col("total") * HUB_SHARE).cast("long"))
         hubs = degrees.crossJoin(F.broadcast(degrees.agg(F.sum("n").alias("total")))).where(F.col("n") > limit)  # one row on the right
         self.hubs = cut(hubs.select(F.col("_a").alias("_hub"), F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
         salt = F.coalesce(F.pmod(F.xxhash64("_b"), F.col("_salts")), F.lit(0)).cast("int")
-        self.ends = cut(ends.join(F.broadcast(self.hubs), F.col("_a") == F.col("_hub"), "left").select("_a", "_b", "_step", salt.alias("_salt")))
+        self.ends = ends.join(F.broadcast(self.hubs), F.col("_a") == F.col("_hub"), "left").select("_a", "_b", "_step", salt.alias("_salt"))
 
     def step(self, frontier: DataFrame) -> DataFrame:
         """Each row of ``frontier`` (node and others) with each neighbour, _b, and the edge to it, _step."""
