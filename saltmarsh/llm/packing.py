@@ -22,8 +22,8 @@ from saltmarsh.llm.common import WORDS, cut, map_rows
 
 WINDOW = 2048
 END_ID = 1
-#: Tokenised words that a Python worker remembers, over all tasks that it runs.
-MOST_WORDS = 800_000
+#: Bytes of tokenised words that a Python worker remembers, over all tasks that it runs, and what an entry takes beside its characters and ids.
+MOST_BYTES, ENTRY_BYTES = 160 * 2**20, 190
 
 #: Words that are encoded at a time, so that what the library holds for them stays small.
 ENCODED = 10_000
@@ -43,12 +43,34 @@ def latin(text: str) -> bool:
     return True
 
 
-class Words(dict):
+class Memory(dict):
+    """Chunk to ids. What is not here moves up from the ``older`` memory, or is noted as ``unknown`` and None."""
+
+    def __init__(self, older: dict):
+        super().__init__()
+        self.older, self.unknown, self.bytes = older, set(), 0
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = self.older.pop(chunk, None)
+        if ids is None:
+            self.unknown.add(chunk)
+        else:
+            self.put([(chunk, ids)])
+        return ids
+
+    def put(self, entries: list[tuple[str, bytes]]) -> None:
+        self.update(entries)
+        self.bytes += sum(ENTRY_BYTES + len(chunk) + len(ids) for chunk, ids in entries)
+
+
+class Words:
     """White-space-free chunk of text to its token ids as little-endian unsigned 32-bit integers.
 
     The vocabulary's normaliser and pre-tokenizer work within such chunks, so a text's ids are those
     of its chunks one after another. Chunks are in lower case, and new ones are cut by the vocabulary's own
     pre-tokenizer pattern, so that each run of letters is merged once, however many chunks hold it.
+    Two memories hold ``most`` bytes together, give or take what one call of ``ids`` brings: when the newer is half
+    of that it becomes the older, and the older, with what was not asked for since, is forgotten.
     """
 
     #: The pre-tokenizer's pattern, as the vocabulary file states it.
@@ -58,10 +80,10 @@ class Words(dict):
     #: A full stop or comma that may belong to the signs before it.
     JOINED = re.compile("[\x00-\x08\x0e-\x1f!-/:-@\\[-`{-\u00bf\u00d7\u00f7\u0180-\U0010ffff][.,]\\s").search
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_BYTES):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.most, self.memory = most, Memory({})
         tokenizer = Tokenizer.from_file(path)
         self.encode = tokenizer.encode_batch_fast
         ends = [i for word, i in tokenizer.get_vocab().items() if word.endswith("</w>")]
@@ -86,15 +108,27 @@ class Words(dict):
         plain = chunks.difference(odd)
         letters = set(filter(str.isalpha, plain))
         cuts = [(c, self.PARTS(c)) for c in plain.difference(letters)]
-        fresh = [*letters.union(*(parts for _, parts in cuts)).difference(self)]
+        fresh = [p for p in letters.union(*(parts for _, parts in cuts)) if self.memory[p] is None]
+        self.memory.unknown.clear()
         for k in range(0, len(fresh), ENCODED):
             new = fresh[k : k + ENCODED]
             # Encoded as one text; the last id of each part, and no other, is one that ends a word.
             ids = np.array(self.encode([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             data, stops = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            self.update((p, data[i:j]) for p, i, j in zip(new, [0, *stops[:-1]], stops, strict=True))
-        self.update((c, b"".join(map(self.__getitem__, parts))) for c, parts in cuts)
-        self.update((c, struct.pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(odd, self.encode(odd, add_special_tokens=False), strict=True))
+            self.memory.put([(p, data[i:j]) for p, i, j in zip(new, [0, *stops[:-1]], stops, strict=True)])
+        self.memory.put([(c, b"".join(map(self.memory.__getitem__, parts))) for c, parts in cuts])
+        self.memory.put([(c, struct.pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(odd, self.encode(odd, add_special_tokens=False), strict=True)])
+
+    def ids(self, held: list[list[str]]) -> Iterator[bytes]:
+        """Token ids of texts that are given by their chunks."""
+        if self.memory.bytes > self.most // 2:
+            self.memory.older = {}
+            self.memory = Memory(self.memory)
+        memory = self.memory
+        found = [[*map(memory.__getitem__, chunks)] for chunks in held]
+        self.learn(set(memory.unknown))
+        for chunks, ids in zip(held, found, strict=True):
+            yield b"".join([memory[c] if i is None else i for c, i in zip(chunks, ids, strict=True)] if None in ids else ids)
 
 
 @lru_cache(maxsize=1)
@@ -106,22 +140,14 @@ def words_of(path: str) -> Words:
 def ids_of(texts: Iterator[str], path: str, block: int = 500_000) -> Iterator[bytes]:
     """Token ids of each text, about ``block`` characters of texts at a time."""
     words = words_of(path)
-
-    def done(held: list[list[str]]) -> Iterator[bytes]:
-        if len(words) > MOST_WORDS:
-            words.clear()
-        words.learn(set().union(*held).difference(words))
-        for chunks in held:
-            yield b"".join(map(words.__getitem__, chunks))
-
     held, size = [], 0
     for text in texts:
         held.append(words.chunks(text))
         size += len(text)
         if size >= block:
-            yield from done(held)
+            yield from words.ids(held)
             held, size = [], 0
-    yield from done(held)
+    yield from words.ids(held)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -282,6 +282,20 @@ def test_ids_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_with_a_memory_that_forgets():
+    from tokenizers import Tokenizer
+
+    draw, path, most = random.Random(6), packing.tokenizer_path(), 40_000
+    words, library = packing.Words(path, most), Tokenizer.from_file(path)
+    common = ["the", "of", "it's", "x1.", "Ünder"]
+    for _ in range(60):
+        texts = [" ".join(draw.choice([*common, f"w{draw.randrange(10**6)}é", "".join(draw.choices("abcdefgh", k=9))]) for _ in range(30)) for _ in range(3)]
+        for text, ids in zip(texts, words.ids([words.chunks(t) for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert not words.memory.unknown and words.memory.bytes < most // 2 + 40_000
+    assert isinstance(words.memory.older, packing.Memory) and "the" in words.memory
+
+
 
 def test_packing_keeps_every_token_once(tricky, empty):
     from tokenizers import Tokenizer
