@@ -503,7 +503,7 @@ def filing_dates(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
     companies = star.table("customer").select(F.col("c_custkey").cast("string").alias("gvkey"), F.when(F.col("c_custkey") % 10 > 0, (F.col("c_custkey") % 500).cast("string")).alias("cik"))
     filings = star.table("orders").select((F.col("o_custkey") % 700).cast("string").alias("cik"), F.col("o_orderdate").cast("date").alias("fdate"))
-    return edges.filings_by_gvkey(companies, filings).groupBy("gvkey").agg(F.min("fdate").alias("fdate"), F.count("*").alias("n_filings"))
+    return edges.first_filings(companies, filings)
 
 
 def children_replaced(spark: SparkSession, d: str) -> DataFrame:
