@@ -163,14 +163,17 @@ def peer_load_counters(spark: SparkSession, d: str) -> DataFrame:
     return edges.peer_counters(_pairs(star), _custkey_links(star), T0, 1.2)
 
 
-def _supplier_rows(spark: SparkSession, d: str) -> DataFrame:
+def _supplier_rows(spark: SparkSession, d: str, states: bool = False) -> DataFrame:
+    """Customer segments of the year 2000; ``states``: every thirteenth customer is a state and not a company."""
     star = Star(spark, d)
     lines = star.table("lineitem").join(star.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey"), "o_custkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), F.col("l_shipdate").cast("date").alias("day"))
     year = lines.where(F.col("day").between(date(2000, 1, 1), date(2000, 12, 31)))
     seg = year.groupBy(F.col("l_suppkey").cast("string").alias("gvkey"), F.col("o_custkey").alias("cid")).agg(F.sum("price").cast("double").alias("salecs"), F.max("day").alias("datadate"))
-    seg = seg.select("gvkey", "cid", F.lit(1).alias("sid"), F.concat(F.lit("CUSTOMER "), F.col("cid").cast("string")).alias("cnms"), F.when(F.col("cid") % 13 == 0, "STATE").otherwise("COMPANY").alias("ctype"), "salecs", "datadate")
+    seg = seg.select("gvkey", "cid", F.lit(1).alias("sid"), F.concat(F.lit("CUSTOMER "), F.col("cid").cast("string")).alias("cnms"), F.when(F.lit(states) & (F.col("cid") % 13 == 0), "STATE").otherwise("COMPANY").alias("ctype"), "salecs", "datadate")
     sales = year.where("l_suppkey % 11 <> 0").groupBy(F.col("l_suppkey").cast("string").alias("gvkey")).agg(F.sum("price").cast("double").alias("sale"))
-    customers = star.table("customer").join(star.table("supplier"), F.col("c_nationkey") == F.col("s_nationkey")).groupBy("c_custkey").agg(F.min("s_suppkey").alias("twin"))
+    # The least supplier of a nation first: a customer meets one row and not all suppliers of its nation.
+    least = star.table("supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("twin"))
+    customers = star.table("customer").join(least, F.col("c_nationkey") == F.col("s_nationkey")).groupBy("c_custkey").agg(F.min("twin").alias("twin"))
     named = seg.join(customers, F.col("cid") == F.col("c_custkey")).select("gvkey", "cid", "sid", F.col("twin").cast("string").alias("cgvkey"), F.lit(date(2000, 1, 1)).alias("srcdate"))
     filings = star.table("supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").cast("string").alias("gvkey"), F.date_add(F.lit(date(2000, 12, 1)), (F.col("s_suppkey") % 250).cast("int")).alias("fdate"))
     return edges.supplier_rows(seg, sales, named, filings, _custkey_links(star), date(2001, 4, 1), 0.001)

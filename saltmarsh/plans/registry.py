@@ -84,9 +84,11 @@ twins AS (SELECT c_custkey AS cid, min(s_suppkey) AS twin FROM customer JOIN sup
 keyed AS (SELECT s_suppkey AS permno FROM supplier WHERE NOT (s_suppkey % 10 = 0)),
 judged AS (SELECT seg.s, cid, src.permno AS src, dst.permno AS dst, CASE WHEN sale > 0 THEN salecs / sale END AS weight, year(datadate) AS fiscal_year, datadate,
                   CASE WHEN seg.s % 3 <> 0 THEN DATE '2000-12-01' + CAST(seg.s % 250 AS INTEGER) ELSE datadate + 90 END AS as_of, seg.s % 3 = 0 AS lag_estimated
-           FROM seg LEFT JOIN sales ON sales.s = seg.s LEFT JOIN twins USING (cid) LEFT JOIN keyed src ON src.permno = seg.s LEFT JOIN keyed dst ON dst.permno = twin WHERE cid % 13 <> 0),
+           FROM seg LEFT JOIN sales ON sales.s = seg.s LEFT JOIN twins USING (cid) LEFT JOIN keyed src ON src.permno = seg.s LEFT JOIN keyed dst ON dst.permno = twin),
 rows AS (SELECT *, CASE WHEN weight < 0.001 THEN 'share' WHEN as_of >= DATE '2001-04-01' THEN 'postdated' WHEN src IS NULL THEN 'supplier' WHEN dst IS NULL THEN 'customer' ELSE 'loaded' END AS reason FROM judged)"""
 
+_COMPANIES = _SEGMENTS.replace("ON dst.permno = twin)", "ON dst.permno = twin WHERE cid % 13 <> 0)")
+
 _EVENTS = """
 log AS (SELECT user_id AS session_id, CAST(day(ts) AS BIGINT) AS turn, CAST(json_extract_string(props, '$.k') AS INTEGER) AS id,
                CASE event_type WHEN 'view' THEN 'candidates' WHEN 'click' THEN 'flags' WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'dismiss' WHEN 'signup' THEN 'a_final' END AS event FROM events),

@@ -264,7 +264,7 @@ def tickers_read_through(spark: SparkSession, d: str) -> DataFrame:
 
 def supplier_spans(spark: SparkSession, d: str) -> DataFrame:
     """The readable line of each supplier edge without a share, and the start of those with one."""
-    found = edges.supplier_edges(_supplier_rows(spark, d))
+    found = edges.supplier_edges(_supplier_rows(spark, d, states=True))
     return found.select("src", "dst", "fiscal_year", F.when(F.col("weight").isNull(), F.col("source_span")).otherwise(F.regexp_extract("source_span", r"^(.* \()", 1)).alias("span"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from saltmarsh.plans.registry import _ABN, _BARS, _DIS, _EVENTS, _GAP, _GRAPH, _LINKS, _SEGMENTS, _VOL, ORACLES, _z
+from saltmarsh.plans.registry import _ABN, _BARS, _COMPANIES, _DIS, _EVENTS, _GAP, _GRAPH, _LINKS, _VOL, ORACLES, _z
 
 _ASKS = "asks AS (SELECT DISTINCT o_custkey AS k, CAST(o_orderdate AS DATE) + 50 AS day FROM orders)"
 _NAMED = """
@@ -84,7 +84,7 @@ SELECT 'T' || s_suppkey AS ticker, CASE WHEN s_suppkey % 5 = 0 THEN 'unmapped' W
 UNION ALL SELECT CAST(2 AS INTEGER), count(*), NULL FROM part WHERE p_partkey % 10 = 0""",
     "event_log_read": f"""WITH {_EVENTS.replace("AS event FROM events", "AS event, event_id FROM events")} SELECT session_id::VARCHAR AS session_id, count(*) AS n_events, max_by(id::VARCHAR, event_id) AS last_id FROM log WHERE id IS NOT NULL GROUP BY 1""",
     "tickers_read_through": """SELECT 'permno:' || c_custkey AS canonical_id, CASE WHEN c_custkey % 3 > 0 THEN 'T' || c_custkey END AS ticker, c_custkey % 3 > 0 AND c_custkey % 2 = 0 AS was_cached FROM customer""",
-    "supplier_spans": f"""WITH {_SEGMENTS}, e AS (SELECT * FROM rows WHERE reason = 'loaded' QUALIFY row_number() OVER (PARTITION BY src, dst, fiscal_year ORDER BY datadate DESC, cid DESC) = 1)
+    "supplier_spans": f"""WITH {_COMPANIES}, e AS (SELECT * FROM rows WHERE reason = 'loaded' QUALIFY row_number() OVER (PARTITION BY src, dst, fiscal_year ORDER BY datadate DESC, cid DESC) = 1)
 SELECT src, dst, CAST(fiscal_year AS INTEGER) AS fiscal_year, 'CUSTOMER ' || cid || CASE WHEN weight IS NULL THEN ' (FY' || fiscal_year || ' major customer)' ELSE ' (' END AS span FROM e""",
     "flag_cards": """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'TICK' WHEN 1 THEN 'LOOK' ELSE 'permno:' || o_custkey END AS label, strftime(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey * 61), '%H:%M') AS clock,
 CASE WHEN floor(o_totalprice) * 5000 >= 1e9 THEN 'B' WHEN floor(o_totalprice) * 5000 >= 1e6 THEN 'M' ELSE '' END AS unit FROM orders WHERE o_totalprice / 400000 >= 0.25 AND o_orderkey % 2 = 0""",
