@@ -200,7 +200,7 @@ def expand_2hop(spark: SparkSession, d: str) -> DataFrame:
 
 def shortest_path_hops(spark: SparkSession, d: str) -> DataFrame:
     start = spark.createDataFrame([(i,) for i in SEED_IDS], "node long")
-    return graph.shortest_paths(start, graph.adjacency(Star(spark, d).graph(), T0), 3).select("node", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    return graph.shortest_paths(start, graph.adjacency(Star(spark, d).graph(), T0), 3, steps=False).select("node", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 def _volume_candidates(star: Star) -> DataFrame:
@@ -237,10 +237,10 @@ def _flag_session(spark: SparkSession, d: str) -> DataFrame:
     """The whole way from bars and edges to flags with a path and a reason."""
     star = Star(spark, d)
     start = spark.createDataFrame([(i,) for i in SEED_IDS], "node long")
-    adj = cut(graph.adjacency(star.graph(), T0))
-    near = graph.expand(start, adj).select(scalar.canonical_id(F.col("node")).alias("canonical_id"))
+    walk = graph.Walk(graph.adjacency(star.graph(), T0))
+    near = graph.expand(start, walk).select(scalar.canonical_id(F.col("node")).alias("canonical_id"))
     top = cut(graph.complement(_candidates(spark, d), near, _named(star), 10))
-    paths = graph.shortest_paths(start, adj, targets=top.select(scalar.parse_permno(F.col("canonical_id")).alias("node"))).select(scalar.canonical_id(F.col("node")).alias("canonical_id"), F.transform("path", scalar.canonical_id).alias("path"), "steps")
+    paths = graph.shortest_paths(start, walk, targets=top.select(scalar.parse_permno(F.col("canonical_id")).alias("node"))).select(scalar.canonical_id(F.col("node")).alias("canonical_id"), F.transform("path", scalar.canonical_id).alias("path"), "steps")
     return graph.flags(top, paths).drop("thesis_path")
 
 

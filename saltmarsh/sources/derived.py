@@ -55,18 +55,23 @@ class Star:
         start = F.date_add(F.lit(date(1995, 1, 1)), (F.col("p_partkey") % 2000).cast("int"))
         return self.table("part").select(F.split("p_type", " ")[0].alias("ticker"), F.col("p_partkey").alias("permno"), (F.col("p_size") * 100).cast("string").alias("siccd"), start.alias("namedt"), F.date_add(start, 2000).alias("nameenddt"))
 
-    def pairs(self) -> DataFrame:
-        """Scored pairs of suppliers that ship lines of one order, in both directions: how much more often than by chance."""
-        lines = self.table("lineitem").select("l_orderkey", "l_suppkey").distinct()
+    def _meetings(self) -> DataFrame:
+        """a, b and score of ``pairs`` with a < b. Lines are dealt by order once, for their distinct rows, their counts and the pairs."""
+        lines = self.table("lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()
         alone = lines.groupBy("l_suppkey").agg(F.count("*").alias("n"))
         orders = lines.agg(F.count_distinct("l_orderkey").alias("orders"))
-        both = lines.select("l_orderkey", F.col("l_suppkey").alias("a")).join(lines.select("l_orderkey", F.col("l_suppkey").alias("b")), "l_orderkey").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n_ab"))
+        both = lines.select("l_orderkey", F.col("l_suppkey").alias("a")).join(lines.select("l_orderkey", F.col("l_suppkey").alias("b")), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_ab"))
         joined = both.join(alone.withColumnsRenamed({"l_suppkey": "a", "n": "n_a"}), "a").join(alone.withColumnsRenamed({"l_suppkey": "b", "n": "n_b"}), "b").crossJoin(F.broadcast(orders))  # one row on the right
         return joined.select("a", "b", (F.col("n_ab") * F.col("orders") / (F.col("n_a") * F.col("n_b"))).alias("score"))
 
+    def pairs(self) -> DataFrame:
+        """Scored pairs of suppliers that ship lines of one order, in both directions: how much more often than by chance."""
+        there, back = F.struct("a", "b", "score"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "score")
+        return self._meetings().select(F.inline(F.array(there, back)))
+
     def graph(self, least: float = 1.4) -> DataFrame:
         """Peer edges of the pairs above a score, with the kind and a span that depend on the ends."""
-        kept = self.pairs().where((F.col("score") >= least) & (F.col("a") < F.col("b")))
+        kept = self._meetings().where(F.col("score") >= least)
         kind = F.when((F.col("a") + F.col("b")) % 5 == 0, "SUPPLIES").when((F.col("a") + F.col("b")) % 5 == 1, "COMOVES_WITH").otherwise("COMPETES_WITH")
         span = F.when((F.col("a") + F.col("b")) % 10 == 0, F.concat(F.lit("supplier "), F.col("a").cast("string")))
         return kept.select(F.col("a").alias("src"), F.col("b").alias("dst"), kind.alias("kind"), F.round("score", 6).alias("weight"), (kind == "SUPPLIES").alias("directed"), F.date_add(F.lit(date(2001, 6, 1)), ((F.col("a") * F.col("b")) % 40).cast("int")).alias("as_of"), span.alias("source_span"))
