@@ -22,6 +22,8 @@ LONG = 32
 LEAST_CHARS = 5
 #: What stands between words: runs of ASCII signs and white space. Characters beyond ASCII count as letters.
 SIGN = r"\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: Lines of a part of a bucket, where all pairs of parts meet.
+PART = 1000
 #: The filter on line keys has so many 64-bit words at most (2 MB broadcast).
 FILTER_WORDS = 2**17
 
@@ -95,15 +97,15 @@ def simhashes(lines: DataFrame) -> DataFrame:
     return own.unionByName(more)
 
 
-def block_keys(hashed: DataFrame, finer: bool = False) -> DataFrame:
-    """key and k: a key for each choice of EQUAL blocks of each SimHash in ``hashed``; ``finer``: of each greater number of blocks.
+def block_keys(hashed: DataFrame) -> DataFrame:
+    """key and k: a key for each choice of EQUAL blocks of each SimHash in ``hashed``.
 
     By the pigeonhole principle two lines share a key if their edits leave that many blocks of a SimHash
     untouched, so surely if no more than BLOCKS - EQUAL places of one of the other's words are edited.
     """
     picked = F.lit(None)
     for size, equal in EQUAL.items():
-        chosen = [c for r in (range(equal + 1, BLOCKS + 1) if finer else [equal]) for c in combinations(range(BLOCKS), r)]
+        chosen = combinations(range(BLOCKS), equal)
         picked = F.when(F.col("size") == size, F.array(*(F.array(*map(F.lit, (c + (-1,) * BLOCKS)[:BLOCKS])) for c in chosen))).otherwise(picked)
     rows = hashed.select("k", "size", "b", F.explode(picked).alias("c"))
     return rows.select(F.xxhash64("size", "c", *(F.get("b", F.get("c", F.lit(i))) for i in range(BLOCKS))).alias("key"), "k")
@@ -172,12 +174,16 @@ def near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """
     side = lambda key, c: texts.select(F.col("k").alias(key), F.col("norm").alias(f"n{c}"), F.col("code").alias(f"c{c}"))
     joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return cut(joined.where(alike(similarity)).select("a", "b"))
+
+
+def alike(similarity: float) -> Column:
+    """Whether the lines nx, cx and ny, cy (norm and code) have the edit similarity."""
     long = F.col("cx").isNotNull() & F.col("cy").isNotNull()
-    told = joined.select("a", "b", F.when(long, F.col("cx")).otherwise(F.col("nx")).alias("x"), F.when(long, F.col("cy")).otherwise(F.col("ny")).alias("y"))
-    most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - similarity) + 1e-9).cast("int")
-    close = told.withColumn("most", most).where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
-    inside = lambda band: F.call_function("levenshtein", F.col("x"), F.col("y"), band) >= 0
-    return cut(close.where(inside(F.least("most", F.lit(16))) | ((F.col("most") > 16) & inside(F.col("most")))).select("a", "b"))
+    x, y = (F.when(long, F.col(f"c{c}")).otherwise(F.col(f"n{c}")) for c in "xy")
+    most = F.floor(F.greatest(F.length(x), F.length(y)) * (1 - similarity) + 1e-9).cast("int")
+    inside = lambda band: F.call_function("levenshtein", x, y, band) >= 0
+    return (F.abs(F.length(x) - F.length(y)) <= most) & (inside(F.least(most, F.lit(16))) | ((most > 16) & inside(most)))
 
 
 def texts_of(keys: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -208,8 +214,9 @@ def near_line_groups(places: DataFrame, lines: DataFrame, docs: DataFrame, simil
 
     Lines that share a block key are a bucket. Each line of a bucket is held against two heads of the bucket,
     which finds most of what belongs together. The lines that are not near the first head then have two
-    heads of their own, and those still apart meet in finer buckets, of lines with more equal blocks. So
-    the pairs grow with the lines of a bucket and not with their square.
+    heads of their own. What is left are buckets of several groups: there all lines that are not in one group yet
+    are held against each other (``near_apart``), so no near pair that shares a key is left out. Only these comparisons
+    can grow with the square of a bucket; their pairs are not listed.
     """
     more = cut(places.where("more is not null or but_one is not null").select("k", "more", "but_one").dropDuplicates(["k"]))
     hashed = simhashes(lines.select("*", F.lit(None).cast("array<int>").alias("more"))).unionByName(simhashes(more.select("*", F.lit(None).cast("int").alias("size"), *(F.lit(None).cast("long").alias(f"w{j}") for j in range(BLOCKS // 2)))))
@@ -226,11 +233,24 @@ def near_line_groups(places: DataFrame, lines: DataFrame, docs: DataFrame, simil
         return pairs, found, lone
 
     tried, edges, lone = held(shared, None)
-    second = buckets(lone)
-    again, more_edges, lone = held(second, tried)
-    third = buckets(block_keys(hashed.join(lone.select("k").distinct(), "k", "left_semi"), finer=True))
-    _, last, _ = held(third, tried.unionByName(again))
-    return components(edges.unionByName(more_edges).unionByName(last))
+    _, more_edges, _ = held(buckets(lone), tried)
+    edges = edges.unionByName(more_edges)
+    groups = components(edges)
+    return components(edges.unionByName(near_apart(shared, groups, texts, similarity)))
+
+
+def near_apart(shared: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """All near pairs (a, b) of lines that share a key and are in different ``groups`` (node, root).
+
+    Most buckets are of one group and drop out. The others are dealt in parts of PART lines, and each two parts of a bucket
+    meet as a group of their own, with their texts. The join compares and puts out near pairs only, so what is written grows
+    with the parts, and no task holds a bucket's pairs.
+    """
+    rooted = shared.join(groups.withColumnRenamed("node", "k"), "k", "left").select("key", "k", F.coalesce("root", "k").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("r0 < r1").select("key", "parts")
+    dealt = cut(rooted.join(mixed, "key").select("key", "k", "root", "parts", F.pmod("k", "parts").cast("int").alias("part")).join(texts, "k"))
+    side = lambda c, own, other: dealt.select("key", F.col("k").alias(c), F.col("root").alias(f"r{c}"), F.col("norm").alias("nx" if c == "a" else "ny"), F.col("code").alias("cx" if c == "a" else "cy"), F.col("part").alias(own), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(other))
+    return cut(side("a", "p", "q").join(side("b", "q", "p"), ["key", "p", "q"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(similarity)).select("a", "b").distinct())
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
