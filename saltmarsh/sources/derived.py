@@ -13,6 +13,8 @@ from saltmarsh.sources.bars import returns
 #: The day as of which the registered queries look.
 T0 = date(2001, 7, 1)
 EVENTS_T0 = date(2024, 1, 29)
+#: Line items of a task that pairs suppliers: their pairs are a table in its memory.
+LINES_A_TASK = 250_000
 
 
 class Star:
@@ -57,7 +59,10 @@ class Star:
 
     def _meetings(self) -> DataFrame:
         """a, b and score of ``pairs`` with a < b. Lines are dealt by order once, for their distinct rows, their counts and the pairs."""
-        lines = self.table("lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()
+        lines = self.table("lineitem").select("l_orderkey", "l_suppkey")
+        # Orders have few bytes and many pairs, so their parts are counted by rows and not left to be coalesced by size.
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES_A_TASK))
+        lines = lines.repartition(parts, "l_orderkey").distinct()
         alone = lines.groupBy("l_suppkey").agg(F.count("*").alias("n"))
         orders = lines.agg(F.count_distinct("l_orderkey").alias("orders"))
         both = lines.select("l_orderkey", F.col("l_suppkey").alias("a")).join(lines.select("l_orderkey", F.col("l_suppkey").alias("b")), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_ab"))
