@@ -62,6 +62,12 @@ def composite(ids: DataFrame, parts: dict[str, DataFrame], weights: dict[str, fl
     return out.withColumn("composite", sum((use[n] * F.col(n) for n in parts), F.lit(0.0)))
 
 
+def composites(bars: DataFrame, market: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """``composite`` of the four signals for all ids of ``bars``, which are passed once: those without a signal stay, with 0."""
+    wide = signals.zscores(signals.all_signals(bars, market, every_id=True))
+    return weighted(wide, list(signals.NAMES), weights).select("permno", *signals.NAMES, "composite")
+
+
 def iv_rank(atm: DataFrame, history: DataFrame, days: int, least: int = MIN_IV_OBS) -> DataFrame:
     """secid, today's at-the-money volatility and its place in the range of its last ``days`` observations.
 

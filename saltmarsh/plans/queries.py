@@ -61,9 +61,9 @@ def top_vol_spikes(spark: SparkSession, d: str) -> DataFrame:
 
 def composite_attention(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
-    bars = star.bars()
-    parts = scoring.components(bars, star.market(bars))
-    return scoring.composite(bars, parts).select("permno", *(r6(c) for c in (*parts, "composite")))
+    bars = cut(star.bars())  # the market and the signals both read them
+    scored = scoring.composites(bars, star.market(bars))
+    return scored.select("permno", *(r6(c) for c in (*signals.NAMES, "composite")))
 
 
 def cap_quintile(spark: SparkSession, d: str) -> DataFrame:

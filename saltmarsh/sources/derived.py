@@ -27,10 +27,13 @@ class Star:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def bars(self, t0: date = T0) -> DataFrame:
-        """Weekly bars of suppliers before a day: first and last price, range, quantity, return, and balance as shares."""
+        """Weekly bars of suppliers before a day: first and last price, range, quantity, return, and balance as shares.
+
+        Lines are dealt by supplier once, which serves the weeks and the close before; weeks have few lines, so summing them up before the exchange saves little.
+        """
         lines = self.table("lineitem").where(F.col("l_shipdate") < F.lit(t0)).select(F.col("l_suppkey").alias("permno"), "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("q"))
         order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "p")
-        week = lines.groupBy("permno", F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(
+        week = lines.repartition("permno").groupBy("permno", F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(
             F.min_by("p", order).alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", order).alias("close"), F.sum("q").alias("volume")
         )
         shares = self.table("supplier").select(F.col("s_suppkey").alias("permno"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("shrout"))
