@@ -6,7 +6,9 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,16 +115,32 @@ def merge_asof(asks: DataFrame, intervals: DataFrame, heavy_rows: int = HEAVY_RO
     schema = to_arrow_schema(out)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told() -> Iterator[tuple]:
-            for (k, _), group in groupby(_rows(batches), key=lambda r: (r[0], r[1])):
-                held = Open()
-                for _, _, t, ask, e, o, tie, v in group:
-                    if ask:
-                        yield k, t, None if t is None or k is None else held.best(t)
-                    else:
-                        held.add((*o, tie), e, v)
-
-        return _batches(told(), schema)
+        held, last, pool = Open(), None, None  # pool: values of the open intervals, which are known by their place in it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, slices, t, ask, values = (batch.column(c) for c in ("k", "slice", "t", "ask", "v"))
+            key, part, asked_here = pc.fill_null(k.dictionary_encode().indices, -1).to_numpy(), slices.to_numpy(), ask.to_numpy() == 1
+            new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+            new[0] = (k[0].as_py(), part[0]) != last
+            last = k[-1].as_py(), part[-1]
+            pool = values if pool is None else pa.concat_arrays([pool, values])
+            before = len(pool) - len(values)
+            spans = batch.filter(pa.array(~asked_here))
+            added = zip(spans.column("o").to_pylist(), spans.column("tie").to_pylist(), spans.column("e").to_pylist(), strict=True)
+            picked = []
+            for at, (fresh, time, asks_for) in enumerate(zip(new.tolist(), t.to_pylist(), asked_here.tolist(), strict=True), before):
+                if fresh:
+                    held = Open()
+                if asks_for:
+                    picked.append(None if time is None else held.best(time))
+                else:
+                    order, tie, end = next(added)
+                    held.add((*order, tie), end, at)
+            rows = pa.array(np.flatnonzero(asked_here))
+            yield pa.RecordBatch.from_arrays([k.take(rows), t.take(rows), pool.take(pa.array(picked, pa.int64()))], names=schema.names)
+            pool = pool.take(pa.array([x[2] for x in held.held], pa.int64()))
+            held.held = [(order, end, at) for at, (order, end, _) in enumerate(held.held)]
 
     return dealt.select("k", "slice", "t", "ask", "e", "o", "tie", "v").mapInArrow(walk, out)
 
