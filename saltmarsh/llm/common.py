@@ -45,16 +45,19 @@ def share(rows: int, of: int) -> Column:
     return F.col("pick") <= min(round(rows / max(of, 1) * 2.0**64) - 2**63, 2**63 - 1)
 
 
+def tuples(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[tuple]:
+    """The rows of ``batches``, of which ``most`` at a time are Python's, as a batch may have 10,000 texts."""
+    for batch in batches:
+        for k in range(0, len(batch), most):
+            yield from zip(*(c.to_pylist() for c in batch.slice(k, most).columns), strict=True)
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, flush: int = 2000) -> DataFrame:
     """Run a generator over each partition's rows (as tuples, streamed), and return its tuples as a DataFrame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
         kept: list[tuple] = []
-        for row in rows(read()):
+        for row in rows(tuples(batches)):
             kept.append(row)
             if len(kept) >= flush:
                 yield _batch(kept, schema)

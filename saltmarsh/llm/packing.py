@@ -23,7 +23,7 @@ from saltmarsh.llm.common import WORDS, cut, map_rows
 WINDOW = 2048
 END_ID = 1
 #: Bytes of tokenised words that a Python worker remembers, over all tasks that it runs, and what an entry takes beside its characters and ids.
-MOST_BYTES, ENTRY_BYTES = 160 * 2**20, 190
+MOST_BYTES, ENTRY_BYTES = 96 * 2**20, 190
 
 #: Words that are encoded at a time, so that what the library holds for them stays small.
 ENCODED = 10_000

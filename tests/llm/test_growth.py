@@ -1,8 +1,12 @@
-"""Near lines of a bucket of many groups."""
+"""Near lines of a bucket of many groups; work and memory that must not grow with a text's lines or a batch's rows."""
 
 import random
+import tracemalloc
+
+import pyarrow as pa
 
 from saltmarsh.llm import line_dedup
+from saltmarsh.llm.common import map_rows
 
 
 def test_near_lines_apart_from_all_heads_are_found(spark, monkeypatch):
@@ -17,3 +21,21 @@ def test_near_lines_apart_from_all_heads_are_found(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(docs).collect()}
     assert got == {2 * k: int(k > 0) for k in range(40)} | {2 * k + 1: 1 for k in range(40)}
+
+
+def test_rows_of_a_large_batch_are_not_all_held(monkeypatch):
+    """pipeline: 10,000 texts of one Arrow batch reach the generator a few at a time."""
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    schema = pa.schema([("n", pa.int64())])
+    monkeypatch.setattr("saltmarsh.llm.common.from_arrow_schema", lambda schema: schema)
+    run = map_rows(Frame(), lambda rows: ((len(text),) for (text,) in rows), schema)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 2000] * 10_000)], ["text"])
+    tracemalloc.start()
+    total = sum(sum(b["n"].to_pylist()) for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 20_000_000 and peak < 4_000_000
