@@ -21,7 +21,8 @@ LONG = 32
 #: Lines shorter than this are only matched exactly, as none but an equal line can have the similarity 0.8.
 LEAST_CHARS = 5
 #: What stands between words: runs of ASCII signs and white space. Characters beyond ASCII count as letters.
-SIGN = r"\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: Listed one by one, as a pattern looks single characters up in a table and tries ranges one after another.
+SIGN = "".join(f"\\x{c:02X}" for c in range(128) if chr(c) != "\n" and not chr(c).isalnum())
 #: Lines of a part of a bucket, where all pairs of parts meet.
 PART = 1000
 #: The filter on line keys has so many 64-bit words at most (2 MB broadcast).
@@ -47,17 +48,39 @@ def word_blocks(words: Column) -> Column:
 
     An edit changes the bits of the block that it falls in and of no other, where the bits of a SimHash over
     the whole line would change here and there in most blocks. The first blocks are counted from the
-    line's start and the others from its end, so that words put in or left out between them move none. Long
-    lines have the last two at the least and at the greatest word hash of what lies between.
+    line's start and the others from its end, so that words put in or left out between them move none.
     """
-    n, inner = F.size("hashes"), F.slice("hashes", 2 * BLOCK_WORDS + 1, F.greatest(F.size("hashes") - 4 * BLOCK_WORDS, F.lit(0)))
-    at = lambda pick: F.array_position(inner, pick(inner)).cast("int") + (2 * BLOCK_WORDS - 1)
-    long = n >= LONG
-    starts = F.array(F.lit(0), words, n - words, n - 2 * words, F.when(long, at(F.array_min)).otherwise(2 * words), F.when(long, at(F.array_max)).otherwise(n - 3 * words))
-    blocks = F.transform(starts, lambda i: upper(simhash([F.get("hashes", i + k) for k in range(BLOCK_WORDS)], words)))
+    blocks = F.transform(F.array(*starts(words)), lambda i: upper(simhash([F.get("hashes", i + k) for k in range(BLOCK_WORDS)], words)))
     return F.concat(F.array(words.cast("int")), blocks)
 
 
+def starts(words: Column) -> list[Column]:
+    """Where the blocks of ``words`` words start."""
+    n = F.size("hashes")
+    return [F.lit(0), words, n - words, n - 2 * words, 2 * words, n - 3 * words]
+
+
+def with_own(lines: DataFrame) -> DataFrame:
+    """``lines`` (hashes, n and size, the words in a block) with w0, w1, w2: their ``word_blocks`` of that size, two in each.
+
+    Most lines have no others, so these are plain columns, for which Spark makes code, which it does not for functions of
+    arrays. Long lines have the last two blocks at the least and at the greatest word hash of what lies between the others.
+    """
+    inner = F.when(F.col("n") >= LONG, F.slice("hashes", 2 * BLOCK_WORDS + 1, F.col("n") - 4 * BLOCK_WORDS))
+    at = lambda pick: F.array_position("inner", pick("inner")).cast("int") + (2 * BLOCK_WORDS - 1)
+    first = starts(F.col("size"))
+    first[4:] = [F.coalesce(at(pick), start) for pick, start in zip((F.array_min, F.array_max), first[4:], strict=True)]
+    placed = lines.withColumn("inner", inner).withColumns({f"s{j}": start for j, start in enumerate(first)})
+    # Blocks of fewer words repeat theirs, which leaves what all or most of them have.
+    steps = {2: F.when(F.col("size") > 1, 1).otherwise(0), 3: F.when(F.col("size") > 2, 2).otherwise(0), 4: F.when(F.col("size") == 4, 3).when(F.col("size") == 2, 1).otherwise(0)}
+    of = lambda j, k: F.get("hashes", F.col(f"s{j}") + F.col(f"step{k}")) if k > 1 else F.get("hashes", F.col(f"s{j}"))
+    word = lambda j, k: F.when(F.col("size") == 3, F.lit(-1).cast("long")).otherwise(of(j, k)) if k == 4 else of(j, k)
+    held = placed.withColumns({f"step{k}": step for k, step in steps.items()}).withColumns({f"h{j}{k}": word(j, k) for j in range(BLOCKS) for k in range(1, BLOCK_WORDS + 1)})
+    bits = [simhash([F.col(f"h{j}{k}") for k in range(1, BLOCK_WORDS + 1)], F.lit(BLOCK_WORDS)) for j in range(BLOCKS)]
+    packed = {f"w{j}": bits[2 * j].bitwiseAND(F.lit(-(2**32))).bitwiseOR(F.shiftrightunsigned(bits[2 * j + 1], 32)) for j in range(BLOCKS // 2)}
+    return held.withColumns(packed).select(*lines.columns, *packed)
+
+
 def char_blocks() -> Column:
     """The same for lines of few words (``norm``): hashes of runs of characters."""
     n = F.length("norm")
@@ -76,17 +99,14 @@ def with_blocks(lines: DataFrame) -> DataFrame:
     """
     n = F.size("words")
     few, enough = n < WORDS + 3, (n >= 3) | (F.length("norm") >= LEAST_CHARS)
-    split = lines.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "norm": F.when(few, F.array_join("words", " "))})
     size = F.least(F.floor(n / BLOCKS), F.lit(BLOCK_WORDS)).cast("int")
+    split = lines.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "norm": F.when(few, F.array_join("words", " ")), "n": n, "size": F.when(n >= WORDS, size)})
     border = (n >= 2 * BLOCKS) & (n < BLOCKS * BLOCK_WORDS + 2) & (n % BLOCKS < 2)
     further = F.when(border, word_blocks(size - 1)).when(enough & (n < WORDS + 2), char_blocks())
     # All of the words as blocks of their own, and all but each one of them.
     but_one = F.when(few & enough & (n > 1), F.transform(F.sequence(F.lit(0), n), lambda k: F.xxhash64(F.filter("hashes", lambda _, i: i != k))))
     # A generator, as the optimiser would put what a plain column holds in each place that asks for it.
-    told = split.select(*lines.columns, F.inline(F.array(F.struct(F.when(n >= WORDS, word_blocks(size)).alias("own"), further.alias("more"), but_one.alias("but_one")))))
-    low = lambda k: F.get("own", F.lit(k)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    packed = {f"w{j}": F.shiftleft(low(2 * j + 1), 32).bitwiseOR(low(2 * j + 2)) for j in range(BLOCKS // 2)}
-    return told.withColumns({"size": F.get("own", F.lit(0)), **packed}).drop("own")
+    return with_own(split).select(*lines.columns, "size", *(f"w{j}" for j in range(BLOCKS // 2)), F.inline(F.array(F.struct(further.alias("more"), but_one.alias("but_one")))))
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
@@ -278,19 +298,19 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     heads = often.groupBy("root").agg(F.min("place").alias("head"))
     gone = often.join(heads, "root").where("place <> head").select("place.doc_id", "place.text_hash", "place.pos")
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    split = F.split(text_, "\n")
     # Documents that surely lose no line skip the join.
     gone = cut(gone)
     told = marked(docs.drop("n_lines", "n_removed").toDF(*own).withColumn("_h", F.xxhash64(text_)), "_h", gone.select("_hash").distinct())
     joined = told.where("_maybe").join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left").select(*own, "_gone")
     whole = joined.unionByName(told.where("not _maybe").select(*own, F.lit(None).cast("array<int>").alias("_gone")))
     # What stands between two removed lines stays; cut out by positions, so long texts take linear time.
-    sorted_gone = F.array_sort("_gone")
-    runs = F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.slice(split, F.when(i == 0, 0).otherwise(F.get(sorted_gone, i - 1) + 1) + 1, F.when(i == F.size("_gone"), F.size(split)).otherwise(F.get(sorted_gone, i)) - F.when(i == 0, 0).otherwise(F.get(sorted_gone, i - 1) + 1)))
+    # Both arrays are columns below the lambda, which would split and sort anew for each run.
+    whole = whole.withColumns({"_gone": F.array_sort("_gone"), "_lines": F.when(F.col("_gone").isNotNull(), F.split(text_, "\n"))})
+    runs = F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.slice("_lines", F.when(i == 0, 0).otherwise(F.get("_gone", i - 1) + 1) + 1, F.when(i == F.size("_gone"), F.size("_lines")).otherwise(F.get("_gone", i)) - F.when(i == 0, 0).otherwise(F.get("_gone", i - 1) + 1)))
     text = F.when(F.col("_gone").isNull(), F.col(text_)).otherwise(F.array_join(F.flatten(runs), "\n"))
     return whole.select(
         *((text if c == text_ else F.col(c)).alias(name) for c, name in zip(own, names, strict=True)),
-        F.coalesce(F.length(text_) - F.length(F.replace(text_, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.octet_length(text_) - F.octet_length(F.replace(text_, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 

@@ -1,9 +1,11 @@
 """Near lines of a bucket of many groups; work and memory that must not grow with a text's lines or a batch's rows."""
 
 import random
+import time
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from saltmarsh.llm import line_dedup
 from saltmarsh.llm.common import map_rows
@@ -23,6 +25,29 @@ def test_near_lines_apart_from_all_heads_are_found(spark, monkeypatch):
     assert got == {2 * k: int(k > 0) for k in range(40)} | {2 * k + 1: 1 for k in range(40)}
 
 
+def test_a_text_that_loses_many_lines_takes_linear_time(spark):
+    """op9: each other line of one text goes, so that 10,000 runs of lines stay."""
+    line = lambda k: f"{k:05d}{k * 7919 % 100003:05d}{k * 104729 % 100019:05d}"
+    text = "\n".join(f"{line(k)}\n-" for k in range(10_000))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    line_dedup.dedup_lines(docs.limit(1)).collect()
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[2]["n_removed"] == 10_000 and got[2]["text"] == "\n".join("-" * 10_000)
+    assert got[1]["n_removed"] == 0 and got[1]["text"] == text and got[1]["n_lines"] == 20_000
+    assert time.time() - began < 40
+
+
+def test_blocks_as_columns_equal_those_of_lists(spark):
+    """op9: w0, w1 and w2 hold the blocks that word_blocks gives, for lines too short for the two that content places."""
+    lines = [(n, [f"w{i * n % 13}x{i}" for i in range(n)]) for n in range(1, line_dedup.LONG)]
+    told = line_dedup.with_blocks(spark.createDataFrame(lines, "k long, words array<string>"))
+    got = {r["k"]: (r["size"], list(r["b"])) for r in line_dedup.simhashes(told.withColumn("more", F.lit(None).cast("array<int>"))).collect()}
+    hashed = spark.createDataFrame(lines, "k long, words array<string>").select("k", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") >= line_dedup.WORDS)
+    size = F.least(F.floor(F.size("hashes") / line_dedup.BLOCKS), F.lit(line_dedup.BLOCK_WORDS)).cast("int")
+    assert got == {r["k"]: (r["b"][0], r["b"][1:]) for r in hashed.select("k", line_dedup.word_blocks(size).alias("b")).collect()}
+
+
 def test_rows_of_a_large_batch_are_not_all_held(monkeypatch):
     """pipeline: 10,000 texts of one Arrow batch reach the generator a few at a time."""
 
