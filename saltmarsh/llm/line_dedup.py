@@ -21,8 +21,8 @@ LONG = 32
 #: Lines shorter than this are only matched exactly, as none but an equal line can have the similarity 0.8.
 LEAST_CHARS = 5
 #: What stands between words: runs of ASCII signs and white space. Characters beyond ASCII count as letters.
-#: Listed one by one, as a pattern looks single characters up in a table and tries ranges one after another.
-SIGN = "".join(f"\\x{c:02X}" for c in range(128) if chr(c) != "\n" and not chr(c).isalnum())
+#: In this form as ``split`` makes the pattern anew for each line, which takes long where all signs are listed.
+SIGNS, LETTER = r"[\P{Alnum}&&\p{ASCII}]+", r"[\p{Alnum}\P{ASCII}]"
 #: Lines of a part of a bucket, where all pairs of parts meet.
 PART = 1000
 #: The filter on line keys has so many 64-bit words at most (2 MB broadcast).
@@ -117,8 +117,21 @@ def simhashes(lines: DataFrame) -> DataFrame:
     return own.unionByName(more)
 
 
+def shared_blocks(hashed: DataFrame) -> DataFrame:
+    """k, size and v of the SimHashes in ``hashed``: in v those of its blocks that another line has at the same place, in order.
+
+    A block is a long here: its bits, the words in a block and its place. A key of a block that no other line has is no
+    other line's either, so most of a line's keys need not be made.
+    """
+    blocks = F.array(*(F.shiftleft(F.get("b", F.lit(j)).cast("long"), 8).bitwiseOR((F.col("size") * 8 + j).cast("long")) for j in range(BLOCKS)))
+    rows = hashed.select("k", F.explode(blocks).alias("v")).repartition("v")
+    several = rows.groupBy("v").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 < k1").select("v").hint("shuffle_hash")
+    size = F.shiftright("v", 3).bitwiseAND(F.lit(31)).cast("int")
+    return rows.join(several, "v").groupBy("k", size.alias("size")).agg(F.array_sort(F.collect_list(F.struct(F.col("v").bitwiseAND(F.lit(7)).alias("at"), "v"))).alias("v")).select("k", "size", F.col("v.v").alias("v"))
+
+
 def block_keys(hashed: DataFrame) -> DataFrame:
-    """key and k: a key for each choice of EQUAL blocks of each SimHash in ``hashed``.
+    """key and k: a key for each choice of EQUAL blocks of each SimHash in ``hashed`` that other lines have each of.
 
     By the pigeonhole principle two lines share a key if their edits leave that many blocks of a SimHash
     untouched, so surely if no more than BLOCKS - EQUAL places of one of the other's words are edited.
@@ -127,21 +140,47 @@ def block_keys(hashed: DataFrame) -> DataFrame:
     for size, equal in EQUAL.items():
         chosen = combinations(range(BLOCKS), equal)
         picked = F.when(F.col("size") == size, F.array(*(F.array(*map(F.lit, (c + (-1,) * BLOCKS)[:BLOCKS])) for c in chosen))).otherwise(picked)
-    rows = hashed.select("k", "size", "b", F.explode(picked).alias("c"))
-    return rows.select(F.xxhash64("size", "c", *(F.get("b", F.get("c", F.lit(i))) for i in range(BLOCKS))).alias("key"), "k")
+    rows = shared_blocks(hashed).select("k", "v", F.explode(picked).alias("c")).where(F.array_max("c") < F.size("v"))
+    return rows.select(F.xxhash64(*(F.get("v", F.get("c", F.lit(i))) for i in range(max(EQUAL.values())))).alias("key"), "k")
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, pos, words and k (a hash of the words) of the lines with a word or number in them.
 
-    The words in lower case are a line's normal form. The outer explode keeps the optimiser from splitting
-    the texts twice to look for empty arrays, and so does a filter that does not ask for the words.
+    The words in lower case are a line's normal form.
+    """
+    return numbered(split_lines(docs))
+
+
+def split_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, pos and line (in lower case) of all lines of ``docs``.
+
+    The outer explode keeps the optimiser from splitting the texts twice to look for empty arrays.
     """
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("pos", "line"))
-    words = lines.where(F.col("line").rlike(f"[^{SIGN}]")).withColumn("words", F.array_remove(F.split("line", f"[{SIGN}]+"), ""))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """``numbered_lines`` of ``split_lines``; the filter does not ask for the words, as they would be made twice."""
+    words = lines.where(F.col("line").rlike(LETTER)).withColumn("words", F.array_remove(F.split("line", SIGNS), ""))
     return words.select("doc_id", "text_hash", "pos", "words", F.xxhash64("words").alias("k"))
 
 
+#: Bits of a line's position in its home; all further lines of a text have the last number.
+HOME_BITS = 20
+
+
+def home_of(text_hash: str, pos: str) -> Column:
+    """A place as one long: the upper bits of the text's hash, then the position."""
+    last = 2**HOME_BITS - 1
+    return F.col(text_hash).bitwiseAND(F.lit(-last - 1)).bitwiseOR(F.least(F.col(pos), F.lit(last)).cast("long"))
+
+
+def text_bits(home: Column | str) -> Column:
+    """The part of ``home_of`` that is the text's, of a place or of a text's hash."""
+    return F.shiftright(home, HOME_BITS)
+
+
 def first_place() -> Column:
     """A line's place, ordered by doc_id (null last), text hash and position."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
@@ -153,9 +192,9 @@ def places_of(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(places: DataFrame) -> DataFrame:
-    """k, n (places), home (a text that has it), size and w0, w1, w2 of each distinct line of ``places``."""
+    """k, n (places), home (the least of them, ``home_of``), size and w0, w1, w2 of each distinct line of ``places``."""
     same = [F.max(c).alias(c) for c in ("size", *(f"w{j}" for j in range(BLOCKS // 2)))]
-    return places.groupBy("k").agg(F.count("*").alias("n"), F.min("text_hash").alias("home"), *same)
+    return places.groupBy("k").agg(F.count("*").alias("n"), F.min(home_of("text_hash", "pos")).alias("home"), *same)
 
 
 def bitmap(keys: Column) -> tuple[Column, Column]:
@@ -209,12 +248,13 @@ def alike(similarity: float) -> Column:
 def texts_of(keys: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """k, norm and code of the lines ``keys``.
 
-    The text of a line is read from its first document; documents that are surely none of those are not
-    even normalised.
+    A line is read at one place (``home``). Documents that surely have no such place are not even split, and lines that
+    surely stand at none are not parted into words.
     """
     homes = cut(keys.join(lines.select("k", "home"), "k"))
-    some = marked(docs.withColumn("_h", F.xxhash64("text")), "_h", homes.select("home").distinct()).where("_maybe").select("doc_id", "text")
-    found = marked(numbered_lines(some).select("k", "words"), "k", homes.select("k")).where("_maybe").select("k", "words")
+    some = marked(docs.withColumn("_h", text_bits(F.xxhash64("text"))), "_h", homes.select(text_bits("home")).distinct()).where("_maybe").select("doc_id", "text")
+    placed = split_lines(some).withColumn("home", home_of("text_hash", "pos"))
+    found = numbered(marked(placed, "home", homes.select("home").distinct()).where("_maybe")).select("k", "words")
     return cut(with_codes(found).join(homes, "k", "left_semi").dropDuplicates(["k"]))
 
 
@@ -268,9 +308,12 @@ def near_apart(shared: DataFrame, groups: DataFrame, texts: DataFrame, similarit
     """
     rooted = shared.join(groups.withColumnRenamed("node", "k"), "k", "left").select("key", "k", F.coalesce("root", "k").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("r0 < r1").select("key", "parts")
-    dealt = cut(rooted.join(mixed, "key").select("key", "k", "root", "parts", F.pmod("k", "parts").cast("int").alias("part")).join(texts, "k"))
-    side = lambda c, own, other: dealt.select("key", F.col("k").alias(c), F.col("root").alias(f"r{c}"), F.col("norm").alias("nx" if c == "a" else "ny"), F.col("code").alias("cx" if c == "a" else "cy"), F.col("part").alias(own), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(other))
-    return cut(side("a", "p", "q").join(side("b", "q", "p"), ["key", "p", "q"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(similarity)).select("a", "b").distinct())
+    inside = rooted.join(mixed, "key").groupBy("k").agg(F.min("root").alias("root"), F.collect_list(F.struct("key", "parts")).alias("ins"))
+    dealt = cut(inside.join(texts, "k").select("k", "root", "norm", "code", F.col("ins.key").alias("keys"), F.inline("ins")).withColumn("part", F.pmod("k", "parts").cast("int")))
+    side = lambda c, own, other: dealt.select("key", *(F.col(x).alias(f"{y}{c}") for x, y in (("k", "k"), ("root", "r"), ("norm", "n"), ("code", "c"), ("keys", "s"))), F.col("part").alias(own), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(other))
+    # Two lines that share several of these buckets are compared in the one with the least key.
+    once = F.array_min(F.array_intersect("sx", "sy")) == F.col("key")
+    return cut(side("x", "p", "q").join(side("y", "q", "p"), ["key", "p", "q"]).where((F.col("kx") < F.col("ky")) & (F.col("rx") != F.col("ry")) & once & alike(similarity)).select(F.col("kx").alias("a"), F.col("ky").alias("b")))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

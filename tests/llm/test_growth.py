@@ -48,6 +48,32 @@ def test_blocks_as_columns_equal_those_of_lists(spark):
     assert got == {r["k"]: (r["b"][0], r["b"][1:]) for r in hashed.select("k", line_dedup.word_blocks(size).alias("b")).collect()}
 
 
+def test_only_keys_that_another_line_may_have_are_made(spark):
+    """op9 (CPU over budget): 200 lines of 30 words of their own have no key (15 each before), and two with the same first 8 words share one."""
+    hashed = lambda lines: line_dedup.simhashes(line_dedup.with_blocks(spark.createDataFrame(list(enumerate(lines)), "k long, words array<string>")))
+    own = [[f"w{k}x{i}" for i in range(30)] for k in range(200)]
+    assert line_dedup.block_keys(hashed(own)).count() == 0
+    keys = [(r["key"], r["k"]) for r in line_dedup.block_keys(hashed([*own, own[0][:8] + [f"v{i}" for i in range(22)]])).collect()]
+    assert sorted(k for _, k in keys) == [0, 200] and len({key for key, _ in keys}) == 1
+
+
+def test_a_line_is_parted_into_words_as_signs_say(spark):
+    """op9: each ASCII character but letters and digits parts words, and nothing beyond ASCII does."""
+    signs = "".join(chr(c) for c in range(1, 128) if chr(c) != "\n" and not chr(c).isalnum())
+    rows = [(1, f"Aa{s}b9") for s in signs] + [(2, f"{signs}\n\n{signs}x"), (3, "\u00a0\u2003 \U0001f600a")]
+    got = line_dedup.numbered_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "pos", "words").distinct().collect()
+    assert sorted((r["doc_id"], r["pos"], r["words"]) for r in got) == [(1, 0, ["aa", "b9"]), (2, 2, ["x"]), (3, 0, ["\u00a0\u2003", "\U0001f600a"])]
+
+
+def test_lines_in_several_buckets_are_compared_once(spark):
+    """op9: near_apart listed a pair before as often as it shares a bucket, if not for its distinct; lines of one group are no pair."""
+    shared = spark.createDataFrame([(key, k) for key in (5, -7, 9) for k in (1, 2, 3)] + [(11, 1), (11, 4)], "key long, k long")
+    texts = spark.createDataFrame([(k, "one two three four five " + "x" * k, None) for k in range(1, 5)], "k long, norm string, code string")
+    groups = spark.createDataFrame([(3, 2)], "node long, root long")
+    got = line_dedup.near_apart(shared, groups, texts, 0.8).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(1, 2), (1, 3), (1, 4)]
+
+
 def test_rows_of_a_large_batch_are_not_all_held(monkeypatch):
     """pipeline: 10,000 texts of one Arrow batch reach the generator a few at a time."""
 
