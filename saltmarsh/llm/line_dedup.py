@@ -253,8 +253,9 @@ def texts_of(keys: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """
     homes = cut(keys.join(lines.select("k", "home"), "k"))
     some = marked(docs.withColumn("_h", text_bits(F.xxhash64("text"))), "_h", homes.select(text_bits("home")).distinct()).where("_maybe").select("doc_id", "text")
-    placed = split_lines(some).withColumn("home", home_of("text_hash", "pos"))
-    found = numbered(marked(placed, "home", homes.select("home").distinct()).where("_maybe")).select("k", "words")
+    # Hashed, as the filter looks at the lower bits, where the positions are.
+    placed = split_lines(some).withColumn("_home", F.xxhash64(home_of("text_hash", "pos")))
+    found = numbered(marked(placed, "_home", homes.select(F.xxhash64("home"))).where("_maybe")).select("k", "words")
     return cut(with_codes(found).join(homes, "k", "left_semi").dropDuplicates(["k"]))
 
 
@@ -296,7 +297,8 @@ def near_line_groups(places: DataFrame, lines: DataFrame, docs: DataFrame, simil
     _, more_edges, _ = held(buckets(lone), tried)
     edges = edges.unionByName(more_edges)
     groups = components(edges)
-    return components(edges.unionByName(near_apart(shared, groups, texts, similarity)))
+    # A group's lines are tied to its root here, which takes fewer rounds than the pairs that made it.
+    return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(near_apart(shared, groups, texts, similarity)))
 
 
 def near_apart(shared: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -308,11 +310,12 @@ def near_apart(shared: DataFrame, groups: DataFrame, texts: DataFrame, similarit
     """
     rooted = shared.join(groups.withColumnRenamed("node", "k"), "k", "left").select("key", "k", F.coalesce("root", "k").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("r0 < r1").select("key", "parts")
-    inside = rooted.join(mixed, "key").groupBy("k").agg(F.min("root").alias("root"), F.collect_list(F.struct("key", "parts")).alias("ins"))
-    dealt = cut(inside.join(texts, "k").select("k", "root", "norm", "code", F.col("ins.key").alias("keys"), F.inline("ins")).withColumn("part", F.pmod("k", "parts").cast("int")))
-    side = lambda c, own, other: dealt.select("key", *(F.col(x).alias(f"{y}{c}") for x, y in (("k", "k"), ("root", "r"), ("norm", "n"), ("code", "c"), ("keys", "s"))), F.col("part").alias(own), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(other))
+    inside = rooted.join(mixed, "key").groupBy("k").agg(F.min("root").alias("root"), F.array_sort(F.collect_list(F.struct("key", "parts"))).alias("ins"))
+    each = inside.join(texts, "k").select("k", "root", "norm", "code", F.col("ins.key").alias("keys"), F.posexplode("ins").alias("at", "in"))
+    dealt = cut(each.select("in.key", "k", "root", "norm", "code", F.slice("keys", F.lit(1), F.col("at")).alias("lesser"), "in.parts", F.pmod("k", "in.parts").cast("int").alias("part")))
+    side = lambda c, own, other: dealt.select("key", *(F.col(x).alias(f"{y}{c}") for x, y in (("k", "k"), ("root", "r"), ("norm", "n"), ("code", "c"), ("lesser", "s"))), F.col("part").alias(own), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(other))
     # Two lines that share several of these buckets are compared in the one with the least key.
-    once = F.array_min(F.array_intersect("sx", "sy")) == F.col("key")
+    once = ~F.arrays_overlap("sx", "sy")
     return cut(side("x", "p", "q").join(side("y", "q", "p"), ["key", "p", "q"]).where((F.col("kx") < F.col("ky")) & (F.col("rx") != F.col("ry")) & once & alike(similarity)).select(F.col("kx").alias("a"), F.col("ky").alias("b")))
 
 
