@@ -198,7 +198,7 @@ def observed_peer_load(spark: SparkSession, d: str) -> DataFrame:
 def observed_comovement_load(spark: SparkSession, d: str) -> DataFrame:
     """Counters of the co-movement load, taken while the edges are written."""
     star, path = Star(spark, d), fresh(spark, "comoves")
-    bars = cut(star.bars())
+    bars = cut(star.bars().select("permno", "date", "ret"))
     got = edges.load_comovement_edges(bars, star.market(bars), T0, path, window=252, least=60, threshold=0.1)
     names = ("edges_written", "pairs_above_threshold", "stocks_used", "stocks_dropped_min_obs", "nodes_merged")
     return spark.createDataFrame([tuple(got[k] for k in names)], ", ".join(f"{n} long" for n in names))
